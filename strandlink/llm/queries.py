@@ -18,6 +18,44 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by weights 1, 2, 3 of their sources, three epochs at most."""
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_epochs=3).drop("source")
+
+
+OP2_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS ord
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) AS weight
+  FROM sizes GROUP BY source),
+filled AS (
+  SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS words,
+         CAST(coalesce(sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS full_before,
+         CAST(sum(weight) OVER (ORDER BY 3.0 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weight_left
+  FROM sources),
+levels AS (
+  SELECT *, CAST(words - full_before AS DOUBLE) / CAST(weight_left AS DOUBLE) AS level FROM filled),
+chosen AS (SELECT max(level) AS level FROM levels WHERE level * weight <= 3 * source_size),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN source_size > 0 THEN least(CAST(3 * source_size AS DOUBLE), weight * coalesce((SELECT level FROM chosen), CAST('inf' AS DOUBLE))) ELSE 0.0::DOUBLE END AS target
+  FROM sources),
+parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
+rows AS (
+  SELECT s.doc_id, s.size, p.source_size, p.target, p.whole, CAST(round(p.target) AS BIGINT) - p.whole * p.source_size AS missing,
+         CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.doc_id NULLS FIRST, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS before
+  FROM sizes s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, missing - before)) AS BIGINT) AS taken FROM rows
+"""
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of Jaccard similarity 0.8 or more."""
     from .jaccard import jaccard_components
@@ -25,9 +63,22 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, num=80, den=100)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and the bytes decoded from them, as sums."""
+    import public_tokenizers
+
+    from .bpe import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_source_mix": op2_source_mix,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": OP2_SQL,
+}
