@@ -56,6 +56,13 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 
+def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    from .quality import classified
+
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of Jaccard similarity 0.8 or more."""
     from .jaccard import jaccard_components
@@ -63,6 +70,14 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, num=80, den=100)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    from .langid import fit, identified
+
+    docs = table(spark, sf_dir, "documents")
+    return identified(docs, fit(docs))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and the bytes decoded from them, as sums."""
     import public_tokenizers
@@ -75,7 +90,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_source_mix": op2_source_mix,
+    "op5_quality_ftrl": op5_quality_ftrl,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

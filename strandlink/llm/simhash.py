@@ -58,7 +58,8 @@ def fingerprinted(docs: DataFrame, column: str = "text", out: str = "fingerprint
 
     @arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(fingerprints(texts).view(np.int64))
+        found = [fingerprints(p.column("text")) for p in pieces([pa.RecordBatch.from_arrays([texts], ["text"])])]
+        return pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
 
     return docs.withColumn(out, of(F.col(column).cast("string")))
 
