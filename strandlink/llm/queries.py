@@ -56,6 +56,13 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     from .quality import classified
@@ -90,6 +97,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_source_mix": op2_source_mix,
+    "op4_personal_data": op4_personal_data,
     "op5_quality_ftrl": op5_quality_ftrl,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_language": op9_language,
