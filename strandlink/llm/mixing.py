@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark_tools import stash
+from .spark_tools import ranked, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the seeded order that one round of the search for the border looks at.
@@ -31,17 +31,9 @@ def n_words(text: Column) -> Column:
 
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:
-    """``source, source_size, rank``: rank counts sources by code point from 0, null last.
-
-    Ranks come from sorted ranges and the number of sources in the ranges before,
-    so no task holds all sources.
-    """
+    """``source, source_size, rank``: rank counts sources by code point from 0, null last."""
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranges = stash(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    counts = ranges.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("a.part") > F.col("b.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
-    return ranges.join(before, "part").select("source", "source_size", (F.col("before") + within - 1).alias("rank"))
+    return ranked(sources, [F.col("source").asc_nulls_last()], "rank")
 
 
 def water_level(sources: DataFrame, most_epochs: int) -> float:

@@ -56,6 +56,13 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from .html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents."""
     from .pii import report
@@ -77,6 +84,20 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, num=80, den=100)
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 100-byte strings that also start earlier."""
+    from .suffix import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op8_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.98 within their labels."""
+    from .pq import near_links
+
+    return near_links(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     from .langid import fit, identified
@@ -97,9 +118,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_source_mix": op2_source_mix,
+    "op3_main_text": op3_main_text,
     "op4_personal_data": op4_personal_data,
     "op5_quality_ftrl": op5_quality_ftrl,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_suffix_array": op7_suffix_array,
+    "op8_embedding_pq": op8_embedding_pq,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
 }

@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows to an Arrow batch; long texts make larger batches too heavy for an executor.
@@ -75,6 +75,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its rows counted from 0 in ``order``.
+
+    Counts come from sorted ranges and the number of rows in the ranges before, so
+    that no task holds all rows. Rows equal in ``order`` may get either's count.
+    """
+    ranges = stash(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = ranges.groupBy("__part").agg(F.count("*").alias("n"))
+    a, b = counts.alias("a"), counts.alias("b")
+    before = a.join(b, F.col("a.__part") > F.col("b.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranges.join(before, "__part").withColumn(name, F.col("__before") + within - 1).drop("__part", "__before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)``: ``(node, root)``, root the least node.
 
