@@ -23,28 +23,24 @@ from pyspark.sql import functions as F
 
 from .spark_tools import light_batches, pieces, record
 
-#: Words that a worker remembers, and words that one recursive query takes.
-REMEMBERED, AT_ONCE = 400_000, 20_000
+#: Words of each of the two generations that a worker remembers, and words that one recursive query takes.
+REMEMBERED, AT_ONCE = 300_000, 50_000
 
-#: ``step`` holds the tokens of every round; a word's last round is its encoding.
-#: A round keeps a word only if one of its pairs is in the vocabulary.
+#: ``step`` holds each word's tokens in every round: rows to a token and place join the
+#: merges, and a word goes on as long as one of its pairs is among them.
 ENCODE = """
 WITH RECURSIVE step AS (
-  SELECT b.word, b.pos, v.rank AS token, 0 AS round FROM bytes AS b JOIN single AS v ON v.byte = b.byte
+  SELECT word, list(v.rank ORDER BY pos) AS ids, 0 AS round FROM bytes AS b JOIN single AS v ON v.byte = b.byte GROUP BY word
   UNION ALL
-  SELECT word, pos, CASE WHEN pos = best & 65535 THEN (best >> 16)::INTEGER ELSE token END, round + 1
+  SELECT s.word, s.ids[: (k.best & 4294967295) - 1] || [(k.best >> 32)::INTEGER] || s.ids[(k.best & 4294967295) + 2 :], s.round + 1
   FROM (
-    SELECT word, pos, token, round, best, lag(pos, 1, -1) OVER (PARTITION BY word ORDER BY pos) AS before
-    FROM (
-      SELECT p.word, p.pos, p.token, p.round, min(m.rank * 65536 + p.pos) OVER (PARTITION BY p.word) AS best
-      FROM (
-        SELECT word, pos, token, round, lead(token) OVER (PARTITION BY word ORDER BY pos) AS after FROM step
-      ) AS p LEFT JOIN merges AS m ON m.a = p.token AND m.b = p.after
-    ) WHERE best IS NOT NULL
-  ) WHERE before <> best & 65535
-),
-ended AS (SELECT word, max(round) AS round FROM step GROUP BY word)
-SELECT word, list(token ORDER BY pos) AS ids FROM step JOIN ended USING (word, round) GROUP BY word
+    SELECT p.word, min(m.rank * 4294967296 + p.pos) AS best
+    FROM (SELECT word, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, generate_subscripts(ids[:-2], 1) AS pos FROM step) AS p
+    JOIN merges AS m ON m.a = p.a AND m.b = p.b
+    GROUP BY p.word
+  ) AS k JOIN step AS s ON s.word = k.word
+)
+SELECT word, arg_max(ids, round) AS ids FROM step GROUP BY word
 """
 
 DECODE = """
@@ -61,6 +57,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
@@ -95,10 +92,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """Ids joined by a space, their number, and the decoded bytes, of each text."""
         parts = [self.split(t) for t in texts]
-        new = set().union(*parts).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*parts)
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in set().union(*parts).difference(self.known):
+            if w in self.older:
+                self.known[w] = self.older[w]
+            else:
+                new.append(w)
         self.learn(sorted(new))
         out = []
         for words in parts:
@@ -132,7 +133,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataF
 
     def of(batches):
         own = encoder(path, pattern)
-        for piece in pieces(batches):
+        for piece in pieces(batches, most=4 << 20):
             got = own.encode(piece.column("text").to_pylist())
             n = pa.array([g[1] for g in got], pa.int64())
             if ids:
