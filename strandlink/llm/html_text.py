@@ -42,6 +42,7 @@ NOISE = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 SIGMA = 2.0  #: lines over which ratios are smoothed
+APART = 3.0  #: least factor between the mean ratios of content and the rest
 
 
 class Lines(HTMLParser):
@@ -144,15 +145,20 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """Between the means of the two clusters of values that it separates itself."""
+    """Midway between the means of the two clusters that it separates itself.
+
+    Means within a factor of ``APART`` are one cluster: the threshold is the least value.
+    """
     at = float(values.mean())
     for _ in range(50):
         low, high = values[values < at], values[values >= at]
-        new = (float(low.mean()) + float(high.mean())) / 2 if len(low) and len(high) else at
+        if not len(low) or not len(high):
+            return float(values.min())
+        new = (float(low.mean()) + float(high.mean())) / 2
         if abs(new - at) < 1e-9:
             break
         at = new
-    return at
+    return at if high.mean() > APART * low.mean() else float(values.min())
 
 
 def main_text(html: str | None) -> str:
