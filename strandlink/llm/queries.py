@@ -84,6 +84,25 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, num=80, den=100)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+  FROM words),
+sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, s FROM sets),
+held AS (SELECT doc_id, n_shingles AS n, unnest(s) AS g FROM sized),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM held a JOIN held b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reached(doc_id, spot) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON r.spot = l.x)
+SELECT doc_id, any_value(n_shingles) AS n_shingles, min(spot) AS component_id FROM sized JOIN reached USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 100-byte strings that also start earlier."""
     from .suffix import deduplicated
@@ -98,6 +117,20 @@ def op8_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+good AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id < b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reached(vec_id, spot) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.y FROM reached r JOIN links l ON r.spot = l.x),
+counts AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, any_value(coalesce(n, 0)) AS n_links, min(spot) AS component_id, min(spot) = vec_id AS kept FROM reached LEFT JOIN counts USING (vec_id) GROUP BY vec_id
+"""
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     from .langid import fit, identified
@@ -130,4 +163,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": OP2_SQL,
+    "op6_ngram_jaccard": OP6_SQL,
+    "op8_embedding_pq": OP8_SQL,
 }
