@@ -24,11 +24,7 @@ def score_groups(rows: DataFrame, by: list[str], score: str = "score", label: st
     s = F.col(score).cast("double")
     good = rows.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) != float("inf")))
     points = good.groupBy(*_keys(by), s.alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    ends = points.groupBy(*_keys(by)).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
-    points = _with(points, ends, by)
-    share = (F.col("__hi") - F.col("score")) / (F.col("__hi") - F.col("__lo"))
-    bucket = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise(0)
-    points = points.withColumn("__b", bucket.cast("int")).drop("__lo", "__hi")
+    points = _bucketed(points, by, "score", buckets)
     sums = points.groupBy(*_keys(by), "__b").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
     over = Window.partitionBy(*by).orderBy("__b") if by else Window.partitionBy(F.lit(0)).orderBy("__b")
     every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -45,6 +41,27 @@ def score_groups(rows: DataFrame, by: list[str], score: str = "score", label: st
     return points.select(*by, "score", "p", "n", (F.col("__p0") + F.sum("p").over(inner)).alias("tp"), (F.col("__n0") + F.sum("n").over(inner)).alias("k"), "pos", "all")
 
 
+def _bucketed(points: DataFrame, by: list[str], value: str, buckets: int = 256) -> DataFrame:
+    """``points`` with ``__b``: equal ranges of ``value`` in each group, 0 at the top."""
+    ends = points.groupBy(*_keys(by)).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    points = _with(points, ends, by)
+    share = (F.col("__hi") - F.col(value)) / (F.col("__hi") - F.col("__lo"))
+    bucket = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise(0)
+    return points.withColumn("__b", bucket.cast("int")).drop("__lo", "__hi")
+
+
+def _counted(points: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``points`` with ``__i``, their place from 0 by falling ``value`` in each group, and ``__total``."""
+    points = _bucketed(points, by, value)
+    sizes = points.groupBy(*_keys(by), "__b").agg(F.count("*").alias("__n"))
+    group = by or [F.lit(0)]
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__b")) - F.col("__n")
+    sizes = sizes.select(*by, "__b", before.alias("__before"), F.sum("__n").over(Window.partitionBy(*group)).alias("__total"))
+    points = _with(points, sizes, [*by, "__b"])
+    inner = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(F.desc(value)))
+    return points.withColumn("__i", (F.col("__before") + inner - 1).cast("int")).drop("__b", "__before")
+
+
 def _with(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Inner join on null-safe keys; with no keys every row gets the one row of ``right``."""
     if not by:
@@ -99,28 +116,34 @@ def ranking_metrics(rows: DataFrame, by: list[str], score: str = "score", label:
 
 def pr_points(rows: DataFrame, by: list[str], **names) -> DataFrame:
     """``point_index, threshold, precision, recall`` by rising threshold; the last point is (1, 0) without threshold."""
-    points = score_groups(rows, by, **names)
-    curve = points.select(*by, F.col("score").alias("threshold"), (F.col("tp") / F.col("k")).alias("precision"), F.when(F.col("pos") > 0, F.col("tp") / F.col("pos")).otherwise(1.0).alias("recall"))
-    last = (curve.select(*by).distinct() if by else curve.limit(1).select()).select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return _indexed(curve.unionByName(last), by, F.col("threshold").asc_nulls_last())
+    points = _counted(score_groups(rows, by, **names), by, "score")
+    recall = F.when(F.col("pos") > 0, F.col("tp") / F.col("pos")).otherwise(1.0)
+    own = F.struct(F.col("score").alias("threshold"), (F.col("tp") / F.col("k")).alias("precision"), recall.alias("recall"), (F.col("__total") - 1 - F.col("__i")).cast("int").alias("point_index"))
+    last = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.col("__total").cast("int").alias("point_index"))
+    # The point of the greatest score brings the closing point with it.
+    out = points.select(*by, F.explode(F.when(F.col("__i") == 0, F.array(own, last)).otherwise(F.array(own))).alias("x"))
+    return out.select(*by, "x.*")
 
 
 def roc_points(rows: DataFrame, by: list[str], **names) -> DataFrame:
-    """``point_index, threshold, fpr, tpr`` by falling threshold from infinity; points on a straight line are dropped."""
-    points = score_groups(rows, by, **names)
-    curve = points.select(*by, F.col("score").alias("threshold"), (F.col("k") - F.col("tp")).alias("fp"), "tp", (F.col("all") - F.col("pos")).alias("neg"), "pos")
-    first = (curve.select(*by, "neg", "pos").distinct()).select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("tp"), "neg", "pos")
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("threshold"))
-    curve = curve.unionByName(first)
-    bend = curve.withColumns({"dfp": F.lead("fp").over(w) - 2 * F.col("fp") + F.lag("fp").over(w), "dtp": F.lead("tp").over(w) - 2 * F.col("tp") + F.lag("tp").over(w)})
-    kept = bend.where("dfp is null or dfp <> 0 or dtp <> 0")
-    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(float("nan"))
-    return _indexed(kept.select(*by, "threshold", rate("fp", "neg").alias("fpr"), rate("tp", "pos").alias("tpr")), by, F.desc("threshold"))
+    """``point_index, threshold, fpr, tpr`` by falling threshold from infinity; points on a straight line are dropped.
 
-
-def _indexed(rows: DataFrame, by: list[str], order: Column) -> DataFrame:
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
-    return rows.withColumn("point_index", (F.row_number().over(w) - 1).cast("int"))
+    A point's neighbours are joined by their places.
+    """
+    points = _counted(score_groups(rows, by, **names), by, "score")
+    at = F.struct((F.col("__i") + 1).alias("i"), F.col("score").alias("threshold"), (F.col("k") - F.col("tp")).alias("fp"), F.col("tp").alias("tp"))
+    first = F.struct(F.lit(0).alias("i"), F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("tp"))
+    curve = points.select(*by, (F.col("all") - F.col("pos")).alias("neg"), "pos", "__total", F.explode(F.when(F.col("__i") == 0, F.array(first, at)).otherwise(F.array(at))).alias("x"))
+    curve = curve.select(*by, "neg", "pos", "__total", "x.*")
+    near = curve.select(*by, F.explode(F.array(F.struct((F.col("i") + 1).alias("i"), "fp", "tp"), F.struct((F.col("i") - 1).alias("i"), "fp", "tp"))).alias("y")).select(*by, "y.*")
+    # The two neighbours of a place add up to twice the point where the three lie evenly on a line.
+    near = near.groupBy(*_keys(by), "i").agg(F.sum("fp").alias("sfp"), F.sum("tp").alias("stp"))
+    bend = _with(curve, near, [*by, "i"])
+    inner = (F.col("i") > 0) & (F.col("i") < F.col("__total"))
+    kept = bend.where(~inner | (F.col("sfp") != 2 * F.col("fp")) | (F.col("stp") != 2 * F.col("tp")))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(float("nan"))
+    kept = kept.select(*by, "threshold", rate("fp", "neg").alias("fpr"), rate("tp", "pos").alias("tpr"), (-F.col("i")).alias("__place"))
+    return _counted(kept, by, "__place").withColumnRenamed("__i", "point_index").drop("__total", "__place")
 
 
 def chance_level(rows: DataFrame, by: list[str], label: str = "label") -> DataFrame:
