@@ -13,8 +13,9 @@ group:
    are not compared again. This joins large groups of near copies cheaply.
 3. *Completion.* A shingle that only one component holds counts as private now.
    Documents that can still link outside their component meet under every
-   shingle of their prefix (prefix filter), blocks of a large bucket against
-   each other, so that no link is lost.
+   shingle of their prefix (prefix filter); those that shingles connect are a
+   family and share a tree. In large families every shingle has its own, blocks
+   of a large bucket against each other, so that no link is lost.
 
 Nulls and texts without words have empty sets and link with nothing. Null or
 repeated ``doc_id`` values keep their rows. Columns other than ``doc_id`` and
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .spark_tools import components, cut, light_batches, partitions, pieces, record, stash
+from .spark_tools import components, light_batches, partitions, pieces, record, release, stash
 
 BLOCK = 2000  #: documents that one prefix tree holds at most
 SEGMENT = 32  #: shingles to a tree node; bounds are tested at each
@@ -213,6 +214,8 @@ def _private(ranges: int, owned: bool):
         mixed = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | (np.maximum.reduceat(doc, first) == MANY)
         private = ~np.repeat(mixed, np.diff(np.append(first, len(token))))
         doc, batch = doc[private], batch[private]
+        if not len(doc):
+            return PARTS.empty_table()
         order = np.argsort(batch, kind="stable")
         doc, batch = doc[order], batch[order]
         names, at = np.unique(batch, return_index=True)
@@ -290,14 +293,14 @@ SETS_SQL = "key binary, n long, m1 long, m2 long, body binary"
 
 
 def _sets(n: int):
-    """The sets of texts with two min-hashes."""
+    """The sets of texts that have the wanted key, with two min-hashes."""
 
     def of(batches):
         for piece in pieces(batches):
             sets, places = kernel.shingle_sets(piece.column("text"), n)
             rows = []
-            for i, key in enumerate(kernel.set_keys(sets, places)):
-                if key is not None:
+            for i, (key, wanted) in enumerate(zip(kernel.set_keys(sets, places), piece.column("wanted").to_pylist(), strict=True)):
+                if key == wanted:
                     s = sets[places[i] : places[i + 1]]
                     rows.append((key, len(s), int(kernel.mix(s ^ np.uint64(1)).min().view(np.int64)), int(kernel.mix(s ^ np.uint64(2)).min().view(np.int64)), s.astype("<u8").tobytes()))
             if rows:
@@ -313,13 +316,17 @@ def _joined(num: int, den: int, group: tuple[str, ...]):
     """Prefix trees over rows sorted by ``group``; labels are ``comp``. Yields links between labels."""
 
     def of(batches):
-        last, tree, links = None, None, []
+        last, tree, links, alone = None, None, [], None
         for batch in batches:
             names = list(zip(*(batch.column(c).to_pylist() for c in group), strict=True))
             comps, bodies = batch.column("comp").to_pylist(), batch.column("body").to_pylist()
             for name, comp, body in zip(names, comps, bodies, strict=True):
                 if name != last:
-                    last, tree = name, PrefixTree(num, den)
+                    last, tree, alone = name, None, (body, comp)
+                    continue
+                if tree is None:
+                    tree = PrefixTree(num, den)
+                    tree.add(np.frombuffer(alone[0], "<u8").tolist(), alone[1])
                 links += tree.add(np.frombuffer(body, "<u8").tolist(), comp)
             if len(links) > 10_000:
                 yield record(EDGES, *(pa.array(c, pa.binary()) for c in zip(*links, strict=True)))
@@ -364,46 +371,73 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     return described.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _candidates(texts: DataFrame, described: DataFrame, ranges: int, n: int, num: int, den: int) -> DataFrame:
+    """The sets, one to a key, that the bound leaves."""
+    held = _bounded(texts.mapInArrow(_scan(n, ranges), PARTS_SQL), ranges, False, num, den)
+    reps = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
+    ids = stash(held.join(reps, "key").select("id", F.col("key").alias("wanted"))).hint("shuffle_hash")
+    release(texts.sparkSession)
+    sets = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"])).select("wanted", "text").mapInArrow(_sets(n), SETS_SQL)
+    row = described.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    return stash(sets if row["rows"] == row["ids"] else sets.dropDuplicates(["key"]))
+
+
+def _round(sets: DataFrame, m: str, num: int, den: int) -> DataFrame:
+    """Links of the sets that share the min-hash ``m``, within blocks of each group."""
+    large = sets.groupBy(m).count().where(F.col("count") > BLOCK).select(F.col(m).alias("large"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    large = stash(large)
+    block = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("key", F.lit(m)), F.col("blocks")))
+    rows = sets.join(large, sets[m] == large["large"], "left").select("key", "n", m, "body", F.col("key").alias("comp"), block.alias("block"))
+    rows = rows.repartition(partitions(sets.sparkSession), m, "block").sortWithinPartitions(m, "block", "n", "key")
+    return stash(rows.mapInArrow(_joined(num, den, (m, "block")), "u binary, v binary"))
+
+
 def _links(texts: DataFrame, described: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links between set keys that connect what the join connects."""
     spark = texts.sparkSession
-    tasks = partitions(spark)
-    ranges = 1 << max(6, (2 * tasks - 1).bit_length())
-    held = cut(_bounded(texts.mapInArrow(_scan(n, ranges), PARTS_SQL), ranges, False, num, den))
-    reps = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    ids = held.join(reps, "key").select(F.col("doc_id").alias("id")).distinct()
-    chosen = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = chosen.mapInArrow(_sets(n), SETS_SQL)
-    sets = stash(sets.join(held, "key", "left_semi").dropDuplicates(["key"]))
-
-    found = None
-    for m in ("m1", "m2"):
-        sized = sets.groupBy(m).count().where("count > 1")
-        blocks = sets.join(sized, m).select("key", "n", m, "body", F.col("key").alias("comp"), F.pmod(F.xxhash64("key", F.lit(m)), F.ceil(F.col("count") / BLOCK)).alias("block"))
-        pairs = blocks.repartition(tasks, m, "block").sortWithinPartitions(m, "block", "n", "key").mapInArrow(_joined(num, den, (m, "block")), "u binary, v binary")
-        found = pairs if found is None else found.unionByName(pairs)
-    found = components(found).select(F.col("node").alias("u"), F.col("root").alias("v"))
-
-    labelled = sets.join(found, sets["key"] == F.col("u"), "left").select("key", "n", "body", F.coalesce("v", "key").alias("comp"))
-    labelled = stash(labelled)
-    open_keys = cut(_bounded(labelled.mapInArrow(_owner_pack(ranges), PARTS_SQL), ranges, True, num, den))
-    rest = labelled.join(open_keys, "key", "left_semi")
-    exploded = rest.mapInArrow(_tokens, "token long, key binary, comp binary, n long")
-    shared = exploded.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    exploded = exploded.join(shared, "token")
-    counts = exploded.groupBy("key").agg(F.count("*").alias("c"), F.sort_array(F.collect_list("token")).alias("tokens"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    ranges = 1 << max(6, (2 * partitions(spark) - 1).bit_length())
+    sets = _candidates(texts, described, ranges, n, num, den)
+    release(spark)
+    found = components(_round(sets, "m1", num, den).unionByName(_round(sets, "m2", num, den)))
+    found = stash(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    release(spark)
+    return found.unionByName(_completion(sets, found, ranges, num, den))
+
+
+def _completion(sets: DataFrame, found: DataFrame, ranges: int, num: int, den: int) -> DataFrame:
+    """The links between components of ``found`` that the rounds haven't met."""
+    labelled = sets.join(found.hint("shuffle_hash"), sets["key"] == F.col("u"), "left").select("key", "n", "body", F.coalesce("v", "key").alias("comp"))
+    outer = _bounded(labelled.mapInArrow(_owner_pack(ranges), PARTS_SQL), ranges, True, num, den)
+    outer = outer.join(found, outer["key"] == F.col("u"), "left").select(F.col("key").alias("k"), F.coalesce("v", "key").alias("comp"))
+    outer = stash(outer)
+    rest = sets.join(outer.hint("shuffle_hash"), sets["key"] == outer["k"]).select("key", "n", "body", "comp")
+    exploded = stash(rest.mapInArrow(_tokens, "token long, key binary, comp binary, n long"))
+    shared = exploded.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("df")).where("a <> b").select("token", "df")
+    counts = exploded.join(shared, "token").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("tokens"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    # The prefix takes private shingles first, then rare ones, so that common passages aren't in it.
     least = F.expr(f"(n * {num} + {den - 1}) div {den}")
-    prefix = counts.where("c >= " + f"(n * {num} + {den - 1}) div {den}").select("key", "n", "comp", F.explode(F.slice("tokens", 1, (F.col("c") - least + 1).cast("int"))).alias("token"))
-    prefix = cut(prefix)
+    prefix = counts.where(F.size("tokens") >= least).select("key", "n", "comp", F.explode(F.slice("tokens.token", F.lit(1), (F.size("tokens") - least + 1).cast("int"))).alias("token"))
+    prefix = stash(prefix)
+    # Shingles that the same documents hold are one bucket.
     buckets = prefix.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("a <> b")
-    buckets = buckets.groupBy("who", "size").agg(F.min("token").alias("token"))
-    blocks = F.ceil(F.col("size") / BLOCK)
-    placed = prefix.join(buckets, "token").withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    placed = placed.select("token", "key", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("token", "key", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    last = placed.join(sets.select("key", "n", "body"), "key").repartition(tasks, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "key")
-    more = cut(last.mapInArrow(_joined(num, den, ("token", "i", "j")), "u binary, v binary"))
-    return found.unionByName(more)
+    buckets = buckets.groupBy("who", "size").agg(F.min("token").alias("token")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = stash(prefix.join(buckets, "token").select("token", "blocks", F.col("key").alias("k"), "comp"))
+    # Documents that buckets connect are a family, and a small family one tree; in a
+    # large one every bucket is, blocks of a large bucket each against each other.
+    heads = placed.groupBy("token").agg(F.min("k").alias("v"))
+    families = components(placed.join(heads, "token").select(F.col("k").alias("u"), "v"))
+    families = stash(families.unionByName(families.select(F.col("root").alias("node"), "root").distinct()))
+    sizes = families.groupBy("root").agg(F.count("*").alias("members"))
+    placed = placed.join(families.join(sizes, "root"), F.col("k") == F.col("node"))
+    small = placed.where(F.col("members") <= BLOCK).select(F.col("root").alias("name"), "k", "comp", F.lit(0).alias("i"), F.lit(0).alias("j")).distinct()
+    large = placed.where(F.col("members") > BLOCK).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    large = large.select("token", "k", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    large = large.select(F.col("token").cast("string").cast("binary").alias("name"), "k", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed = stash(small.unionByName(large))
+    release(sets.sparkSession)
+    rows = sets.join(placed.hint("shuffle_hash"), sets["key"] == placed["k"]).select("name", "i", "j", "n", "key", "comp", "body")
+    rows = rows.repartition(partitions(sets.sparkSession), "name", "i", "j").sortWithinPartitions("name", "i", "j", "n", "key")
+    return stash(rows.mapInArrow(_joined(num, den, ("name", "i", "j")), "u binary, v binary"))
 
 
 TOKENS = pa.schema([("token", pa.int64()), ("key", pa.binary()), ("comp", pa.binary()), ("n", pa.int64())])
