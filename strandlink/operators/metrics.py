@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def _keys(by: list[str]) -> list[Column]:
     return [F.col(c) for c in by]
@@ -116,7 +118,7 @@ def ranking_metrics(rows: DataFrame, by: list[str], score: str = "score", label:
 
 def pr_points(rows: DataFrame, by: list[str], **names) -> DataFrame:
     """``point_index, threshold, precision, recall`` by rising threshold; the last point is (1, 0) without threshold."""
-    points = _counted(score_groups(rows, by, **names), by, "score")
+    points = _counted(stored(score_groups(rows, by, **names)), by, "score")
     recall = F.when(F.col("pos") > 0, F.col("tp") / F.col("pos")).otherwise(1.0)
     own = F.struct(F.col("score").alias("threshold"), (F.col("tp") / F.col("k")).alias("precision"), recall.alias("recall"), (F.col("__total") - 1 - F.col("__i")).cast("int").alias("point_index"))
     last = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.col("__total").cast("int").alias("point_index"))
@@ -130,11 +132,11 @@ def roc_points(rows: DataFrame, by: list[str], **names) -> DataFrame:
 
     A point's neighbours are joined by their places.
     """
-    points = _counted(score_groups(rows, by, **names), by, "score")
+    points = _counted(stored(score_groups(rows, by, **names)), by, "score")
     at = F.struct((F.col("__i") + 1).alias("i"), F.col("score").alias("threshold"), (F.col("k") - F.col("tp")).alias("fp"), F.col("tp").alias("tp"))
     first = F.struct(F.lit(0).alias("i"), F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("tp"))
     curve = points.select(*by, (F.col("all") - F.col("pos")).alias("neg"), "pos", "__total", F.explode(F.when(F.col("__i") == 0, F.array(first, at)).otherwise(F.array(at))).alias("x"))
-    curve = curve.select(*by, "neg", "pos", "__total", "x.*")
+    curve = stored(curve.select(*by, "neg", "pos", "__total", "x.*"))
     near = curve.select(*by, F.explode(F.array(F.struct((F.col("i") + 1).alias("i"), "fp", "tp"), F.struct((F.col("i") - 1).alias("i"), "fp", "tp"))).alias("y")).select(*by, "y.*")
     # The two neighbours of a place add up to twice the point where the three lie evenly on a line.
     near = near.groupBy(*_keys(by), "i").agg(F.sum("fp").alias("sfp"), F.sum("tp").alias("stp"))
@@ -143,7 +145,7 @@ def roc_points(rows: DataFrame, by: list[str], **names) -> DataFrame:
     kept = bend.where(~inner | (F.col("sfp") != 2 * F.col("fp")) | (F.col("stp") != 2 * F.col("tp")))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(float("nan"))
     kept = kept.select(*by, "threshold", rate("fp", "neg").alias("fpr"), rate("tp", "pos").alias("tpr"), (-F.col("i")).alias("__place"))
-    return _counted(kept, by, "__place").withColumnRenamed("__i", "point_index").drop("__total", "__place")
+    return _counted(stored(kept), by, "__place").withColumnRenamed("__i", "point_index").drop("__total", "__place")
 
 
 def chance_level(rows: DataFrame, by: list[str], label: str = "label") -> DataFrame:
