@@ -3,15 +3,16 @@
 Events of the standard library's parser make lines: a block-level tag, a line
 break or the end of an excluded element ends a line. Each line has its text, the
 number of tags seen since the line before, the characters inside links, and the
-innermost article (or main) element that holds it. Menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, scripts and styles never enter
-a line.
+containers (article, main, section, division, cell, body) that hold it. Menus,
+headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and
+styles never enter a line.
 
 The ratio of text to tags is smoothed along the page by a Gaussian, and the
 smoothed ratios are split into two clusters, at the threshold midway between their
 means. The upper cluster's lines are content; the region grows from them to the
-article that holds most of their text, so that its short lines stay, or, where
-none does, to all between the first and the last of them but for lists of links.
+innermost container that holds most of their text, so that its short lines stay.
+Where that is the whole body, the region is from the first to the last of them and
+the headings and texts next to them, without lists of links.
 
 Null pages count as empty and have empty text. Unclosed and stray tags are
 tolerated; a page cut off in the middle of a tag or of a script loses that tag.
@@ -33,41 +34,55 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 EXCLUDED = frozenset("script style noscript template head title nav header footer aside form button select textarea input option iframe object embed svg canvas math audio video dialog menu".split())
-#: Words of a class or id, or a role, by which an element isn't content.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|header|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|respond|replies|reply|widget|toolbar|pagination|pager|skip|hidden)(?=$|[\s_-])",
-    re.I,
+HOLDERS = frozenset("article main section div td body".split())
+#: Words that begin or end a class or id by which an element isn't content.
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead header cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond reply replies widget widgets toolbar pagination pager skip hidden".split()
 )
+#: Words before one of those by which a class speaks of the layout, and before "header" of the article's own heading.
+LAYOUT = frozenset("no has with without hide show".split())
+OWN = frozenset("article entry post story content".split())
+NAME = re.compile(r"[A-Za-z]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 SIGMA = 2.0  #: lines over which ratios are smoothed
+MOST = 0.8  #: share of the chosen text that a container must hold
+NEXT = 25  #: characters of a text next to the region that belongs to it
 APART = 3.0  #: least factor between the mean ratios of content and the rest
 
 
+def is_noise(name: str) -> bool:
+    """Whether a class or id names something that isn't content."""
+    for token in name.lower().split():
+        words = NAME.findall(token)
+        if not words or words[0] in LAYOUT or (words[0] in OWN and words[-1] == "header"):
+            continue
+        if words[0] in NOISE or words[-1] in NOISE:
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, characters in links, number of the article or 0)."""
+    """Lines of a page: (text, tags, characters in links, containers from the outermost, is a heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.link = self.met = 0
-        self.articles: list[tuple[bool, int]] = []  # (is an article, number) of the open ones
-        self.open: list[tuple[str, bool, bool]] = []
+        self.tags = self.linked = self.link = self.met = self.heading = self.articles = 0
+        self.holders: list[int] = []  # numbers of the open containers
+        self.open: list[tuple[str, bool, bool]] = []  # (tag, is excluded, is an article)
         self.silent = 0
 
     def end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, self.holder()))
+            self.lines.append((text, self.tags, self.linked, tuple(self.holders), self.heading > 0))
             self.tags = self.linked = 0
         self.text = []
 
-    def holder(self) -> int:
-        """The innermost open article, or else main element."""
-        return next((n for is_article, n in reversed(self.articles) if is_article), self.articles[-1][1] if self.articles else 0)
-
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS or (tag in EXCLUDED and not self.silent):
             self.end_line()
@@ -80,12 +95,14 @@ class Lines(HTMLParser):
         named = dict(attrs)
         article = tag in ("article", "main") or named.get("role") in ("article", "main")
         noise = tag in EXCLUDED and not (tag == "header" and self.articles and not self.silent)
-        noise = noise or (tag not in ("html", "body") and not article and (named.get("role") in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or any(NOISE.search(named.get(k) or "") for k in ("class", "id"))))
+        noise = noise or (tag not in ("html", "body") and not article and (named.get("role") in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or any(is_noise(named.get(k) or "") for k in ("class", "id"))))
         self.open.append((tag, noise, article))
         self.silent += noise
-        if article:
+        self.articles += article
+        if tag in HOLDERS:
             self.met += 1
-            self.articles.append(("article" in (tag, named.get("role")), self.met))
+            self.holders.append(self.met)
+        self.heading += tag in HEADINGS
         if tag == "a":
             self.link += 1
 
@@ -108,8 +125,10 @@ class Lines(HTMLParser):
     def _pop(self) -> None:
         tag, noise, article = self.open.pop()
         self.silent -= noise
-        if article:
-            self.articles.pop()
+        self.articles -= article
+        if tag in HOLDERS:
+            self.holders.pop()
+        self.heading -= tag in HEADINGS
         self.link -= tag == "a"
 
     def handle_endtag(self, tag):
@@ -131,7 +150,7 @@ class Lines(HTMLParser):
             if self.link:
                 self.linked += len(data.strip())
 
-    def finish(self) -> list[tuple[str, int, int, int]]:
+    def finish(self) -> list[tuple[str, int, int, tuple[int, ...], bool]]:
         self.close()
         self.end_line()
         return self.lines
@@ -168,15 +187,25 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    ratios = smoothed(np.array([(len(text) - linked) / max(tags, 1) for text, tags, linked, _ in lines], float))
+    ratios = smoothed(np.array([(len(x[0]) - x[2]) / max(x[1], 1) for x in lines], float))
     chosen = np.flatnonzero(ratios >= threshold(ratios)).tolist()
     held: dict[int, int] = {}
+    depth: dict[int, int] = {}
     for k in chosen:
-        held[lines[k][3]] = held.get(lines[k][3], 0) + len(lines[k][0])
-    most = max(held, key=lambda n: (n > 0, held[n], -n))
-    if most:
-        return " ".join(line[0] for line in lines if line[3] == most)
-    return " ".join(text for text, _, linked, _ in lines[chosen[0] : chosen[-1] + 1] if 2 * linked <= len(text))
+        for d, n in enumerate(lines[k][3]):
+            held[n], depth[n] = held.get(n, 0) + len(lines[k][0]), d
+    total = sum(len(lines[k][0]) for k in chosen)
+    most = max((n for n in held if held[n] >= MOST * total), key=lambda n: (depth[n], held[n]), default=0)
+    if most and depth[most]:
+        return " ".join(x[0] for x in lines if most in x[3])
+    links = lambda x: 2 * x[2] > len(x[0])
+    near = lambda x: not links(x) and (x[4] or len(x[0]) >= NEXT)
+    first, last = chosen[0], chosen[-1]
+    while first and near(lines[first - 1]):
+        first -= 1
+    while last + 1 < len(lines) and near(lines[last + 1]):
+        last += 1
+    return " ".join(x[0] for x in lines[first : last + 1] if not links(x))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
