@@ -76,7 +76,7 @@ def frequency_bin(count: Column) -> Column:
 
 def csv_items(c: Column) -> Column:
     """Trimmed, non-blank items of a comma-separated list."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def length_normalised(score: Column, columns: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as seq
 from ..operators import align, analysis, diagnostics, metrics, model, objective, splits
 from ..operators.fit import Config, fit, trajectory, trimmed
+from ..operators.fit import normal_equations as normal
 from ..operators.model import UNIFORM, Model, uniform_weights
 from ..sources import pairs as sources
 from . import workflow
@@ -515,6 +516,39 @@ def fit_trajectory(spark, sf_dir):
     return spark.createDataFrame([tuple(r.values()) for r in trajectory("fit", found)], "config string, iteration int, loglik double, train_auprc double, subgradient_l2 double")
 
 
+@query("SELECT DISTINCT l_returnflag, l_linestatus, list_aggregate(list_filter(list_transform(string_split(concat(' ', l_returnflag, ' ,, ', l_linestatus, ',  ,x '), ','), lambda x: trim(x)), lambda x: x <> ''), 'string_agg', '|') AS items FROM lineitem")
+def csv_items(spark, sf_dir):
+    text = F.concat(F.lit(" "), "l_returnflag", F.lit(" ,, "), "l_linestatus", F.lit(",  ,x "))
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.array_join(seq.csv_items(text), "|").alias("items")).distinct()
+
+
+@query(f"SELECT substr(noncodingRNA, 1, 1) AS base, CAST(instr('ATCG', substr(noncodingRNA, 1, 1)) - 1 AS INT) AS code, substr(noncodingRNA, 1, 1) AS back, count(*) AS n FROM ({PAIRS_SQL}) GROUP BY ALL")
+def base_codes(spark, sf_dir):
+    base = F.substring("noncodingRNA", 1, 1)
+    rows = pairs(spark, sf_dir).select(base.alias("base"), seq.base_code(base).alias("code"))
+    return rows.withColumn("back", seq.code_base(F.col("code"))).groupBy("base", "code", "back").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT score, length(noncodingRNA) AS columns, round(score / pow(length(noncodingRNA), 0.2), 6) AS root5, round(score / pow(length(noncodingRNA), 0.07), 6) AS root14, round(score / ln(35 + length(noncodingRNA)), 6) AS log35 FROM ({SCORED_SQL})")
+def length_normalised(spark, sf_dir):
+    rows = formula_scored(spark, sf_dir).select("score", F.length("noncodingRNA").cast("long").alias("columns")).distinct()
+    x = seq.length_normalised(F.col("score"), F.col("columns"))
+    return rows.select("score", "columns", *(r6(x[c]).alias(c) for c in ("root5", "root14", "log35")))
+
+
+@query(f"""
+WITH f AS (SELECT label, {P_SQL} AS p, length(noncodingRNA) / 20.0 AS a, (length(gene) - length(replace(gene, 'T', ''))) / 10.0 AS b FROM ({SCORED_SQL}))
+SELECT round(sum(p * (1 - p) * a * a), 4) AS haa, round(sum(p * (1 - p) * a * b), 4) AS hab, round(sum(p * (1 - p) * b * b), 4) AS hbb, round(sum(a * (label - p)), 4) AS ga, round(sum(b * (label - p)), 4) AS gb, round(sum(a + b), 4) AS total FROM f
+""")
+def normal_equations(spark, sf_dir):
+    rows = formula_scored(spark, sf_dir).withColumns({"probability": seq.interaction_probability(F.col("score"), ALPHA), "a": F.length("noncodingRNA") / 20.0, "b": (F.length("gene") - F.length(F.translate("gene", "T", ""))) / 10.0})
+    h, g = normal(rows, ["a", "b"])
+    total = analysis.feature_sums(rows, {"both": ["a", "b"]}).agg(F.sum("both")).first()[0]
+    values = [float(x) for x in (h[0, 0], h[0, 1], h[1, 1], g[0], g[1], total)]
+    names = ("haa", "hab", "hbb", "ga", "gb", "total")
+    return spark.createDataFrame([tuple(values)], ", ".join(f"{n} double" for n in names)).select(*(F.round(n, 4).alias(n) for n in names))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validated pairs, reverse complements, local alignment, ranking metrics by split."""
     rows = sources.prepared(sources.normalized(pairs(spark, sf_dir)))
