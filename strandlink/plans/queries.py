@@ -318,13 +318,41 @@ def align_glocal_scores(spark, sf_dir):
     return align.scored(distinct_pairs(spark, sf_dir), uniform_model("glocal")).select("l_partkey", "score")
 
 
+#: Cells with the step that made them, then each path from its best cell back to a zero.
+WALK_SQL = _align_sql(True).rpartition("SELECT k AS l_partkey")[0] + """
+, cells AS (
+  SELECT k, i, j, v, a, b, n,
+    lag(v) OVER (PARTITION BY k, j - i ORDER BY i) + CASE WHEN substr(a, CAST(i AS INT), 1) = substr(b, CAST(j AS INT), 1) THEN 5 ELSE -4 END AS by_diagonal,
+    lag(v) OVER (PARTITION BY k, i ORDER BY j) + CASE WHEN i = n THEN -1 ELSE -6 END AS by_left
+  FROM h),
+steps AS MATERIALIZED (
+  SELECT k, i, j, v, substr(a, CAST(i AS INT), 1) AS x, substr(b, CAST(j AS INT), 1) AS y,
+    CASE WHEN v = 0 OR i = 0 OR j = 0 THEN 0 WHEN v = by_diagonal THEN 1 WHEN v = by_left THEN 2 ELSE 3 END AS step FROM cells),
+walk(k, i, j, v, x, y, step) AS (
+  SELECT k, i, j, v, x, y, step FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, i, j) AS r FROM steps) WHERE r = 1
+  UNION ALL
+  SELECT s.k, s.i, s.j, s.v, s.x, s.y, s.step FROM walk w JOIN steps s ON s.k = w.k AND s.i = w.i - (w.step <> 2)::INT AND s.j = w.j - (w.step <> 3)::INT WHERE w.step <> 0),
+path AS (SELECT * FROM walk WHERE step <> 0)
+"""
+
+
 @query()
 def alignment_paths(spark, sf_dir):
+    rows = align.alignment_attributes(align.align_local(distinct_pairs(spark, sf_dir), uniform_model()))
+    return rows.select("l_partkey", F.col("aln.mir_aln").alias("mir_aln"), F.col("aln.gene_aln").alias("gene_aln"), seq.pretty_alignment(F.col("aln.mir_aln"), F.col("aln.gene_aln")).alias("pretty"))
+
+
+@query(WALK_SQL + """
+SELECT k AS l_partkey, CAST(max(v) AS DOUBLE) AS aln_score, CAST(count(*) AS INT) AS aln_columns, CAST(min(i) - 1 AS INT) AS first_mir,
+  CAST(count(*) FILTER (step = 1 AND x = y) AS INT) AS matches, CAST(count(*) FILTER (step = 1 AND x <> y) AS INT) AS mismatches, CAST(count(*) FILTER (step > 1) AS INT) AS gaps
+FROM path GROUP BY k
+""")
+def alignment_counts(spark, sf_dir):
     rows = align.alignment_attributes(align.counted(align.align_local(distinct_pairs(spark, sf_dir), uniform_model())))
-    return rows.select("l_partkey", F.col("aln.mir_aln").alias("mir_aln"), F.col("aln.gene_aln").alias("gene_aln"), "aln_score", "aln_columns", "first_mir", "matches", "mismatches", "gaps", seq.pretty_alignment(F.col("aln.mir_aln"), F.col("aln.gene_aln")).alias("pretty"), seq.length_normalised(F.col("aln_score"), F.col("aln_columns")).alias("normalised"))
+    return rows.select("l_partkey", "aln_score", "aln_columns", "first_mir", "matches", "mismatches", "gaps")
 
 
-@query()
+@query(WALK_SQL + "SELECT CAST(i - 1 AS INT) AS pos, x AS mir_nt, CASE WHEN step = 3 THEN '-' ELSE y END AS gene_nt, count(*) AS n FROM path WHERE step <> 2 GROUP BY ALL")
 def footprint_counts(spark, sf_dir):
     return align.footprint_counts(align.align_local(distinct_pairs(spark, sf_dir), uniform_model()))
 
@@ -431,11 +459,18 @@ def label_posteriors(spark, sf_dir):
     return rows.groupBy("label", "score").agg(r6(F.max("x.p0")).alias("p0"), r6(F.max("x.p1")).alias("p1"), F.count("*").alias("n"))
 
 
-@query()
+@query(WALK_SQL + """
+, score AS (SELECT k, max(v) AS s FROM path GROUP BY k),
+row_part AS (SELECT k, CASE WHEN k % 2 = 1 THEN 1 - 1 / (1 + exp(35.0 - s)) ELSE -1 / (1 + exp(35.0 - s)) END AS g FROM score),
+parts AS (
+  SELECT CASE step WHEN 1 THEN 'match' WHEN 2 THEN 'gap_first' ELSE 'gap_second' END AS param, CAST(i - 1 AS INT) AS pos,
+    CASE WHEN step = 1 THEN x END AS mir_nt, CASE WHEN step = 1 THEN y END AS gene_nt, g FROM path JOIN row_part USING (k))
+SELECT param, pos, mir_nt, gene_nt, round(sum(g), 6) + 0.0 AS value FROM parts GROUP BY ALL
+""")
 def gradient_by_position(spark, sf_dir):
     m = uniform_model()
     rows = align.aligned(distinct_pairs(spark, sf_dir).withColumn("label", (F.col("l_partkey") % 2).cast("int")), m).withColumns({"score": F.col("aln.score"), "weight": F.lit(1.0)})
-    return objective.gradient_rows(rows, -60.0).withColumn("value", r6("value"))
+    return objective.gradient_rows(rows, -35.0).withColumn("value", r6("value") + 0.0)
 
 
 @query(f"""
