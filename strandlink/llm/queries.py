@@ -12,10 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
-    from .simhash import edited_likeness
-
-    return edited_likeness(table(spark, sf_dir, "documents"))
+    """Fingerprints of all documents and of their edited texts; ``n_near`` counts, for every
+    document whose id 20 divides, all others within three bits."""
+    from .simhash import counted_neighbours, edited_likeness
+    from .spark_tools import release, stash
+
+    rows = stash(edited_likeness(table(spark, sf_dir, "documents")))
+    release(spark)
+    return counted_neighbours(rows, every=20, radius=3).drop("bits")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,13 +64,9 @@ def fingerprinted(docs: DataFrame, column: str = "text", out: str = "fingerprint
     return docs.withColumn(out, of(F.col(column).cast("string")))
 
 
-def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """All pairs ``(query_id, id, distance)`` of ``queries(id, fingerprint)`` and ``table(id, fingerprint)``
-    whose fingerprints differ in at most ``radius`` bits; an id isn't paired with itself.
-
-    Ids that share a fingerprint are one row of a block table, so large groups of
-    copies are compared once. Rows without id or fingerprint take no part.
-    """
+def near_prints(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """All ``(a, b, distance)`` of distinct fingerprints of ``queries(fingerprint)`` and ``table(fingerprint)``
+    that differ in at most ``radius`` bits, by one block table for each choice of ``blocks - radius`` blocks."""
     edges = [BITS * k // blocks for k in range(blocks + 1)]
     masks = []
     for kept in combinations(range(blocks), blocks - radius):
@@ -78,18 +74,39 @@ def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: in
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
 
     def placed(df: DataFrame, name: str) -> DataFrame:
-        only = df.where("fingerprint is not null and id is not null").select(F.col("fingerprint").alias(name)).distinct()
+        only = df.where("fingerprint is not null").select(F.col("fingerprint").alias(name)).distinct()
         keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col(name).bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)))
         return only.select(name, F.explode(keys).alias("k")).select(name, "k.t", "k.v")
 
     near = placed(queries, "a").join(placed(table, "b"), ["t", "v"])
     near = near.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("distance") <= radius)
-    near = near.select("a", "b", "distance").distinct()
+    return near.select("a", "b", "distance").distinct()
+
+
+def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """All pairs ``(query_id, id, distance)`` of ``queries(id, fingerprint)`` and ``table(id, fingerprint)``
+    whose fingerprints differ in at most ``radius`` bits; an id isn't paired with itself.
+
+    Ids that share a fingerprint are one row of a block table. Rows without id or
+    fingerprint take no part.
+    """
+    near = near_prints(queries.where("id is not null"), table.where("id is not null"), radius, blocks)
     q = queries.select(F.col("id").alias("query_id"), F.col("fingerprint").alias("a"))
     return near.join(q, "a").join(table.select("id", F.col("fingerprint").alias("b")), "b").where("query_id <> id").select("query_id", "id", "distance")
 
 
-EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+def counted_neighbours(rows: DataFrame, every: int = 20, radius: int = 3) -> DataFrame:
+    """``rows(doc_id, bits)`` with ``n_near``: of rows whose id ``every`` divides, how many other
+    rows of all lie within ``radius`` bits; null for the rest. ``rows`` is read more than once."""
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    held = rows.groupBy(F.col("bits").alias("fingerprint")).agg(F.count("*").alias("copies"))
+    near = near_prints(rows.where(asked).select(F.col("bits").alias("fingerprint")), held, radius)
+    counts = near.join(held, near["b"] == held["fingerprint"]).groupBy("a").agg((F.sum("copies") - 1).alias("others"))
+    out = rows.join(counts, F.col("bits") == F.col("a"), "left")
+    return out.withColumn("n_near", F.when(asked, F.coalesce("others", F.lit(0)))).drop("a", "others")
+
+
+EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("bits", pa.int64())])
 
 
 def _hex(prints: np.ndarray) -> list[str]:
@@ -101,7 +118,7 @@ def _compare(rows: list[tuple]) -> pa.RecordBatch:
     texts, nexts = [r[1] for r in rows], [r[2] for r in rows]
     edited = [t[: len(t) - (k := len(t) // 3)] + n[:k] for t, n in zip(texts, nexts, strict=True)]
     own, other, then = (fingerprints(pa.array(x, pa.large_string())) for x in (texts, edited, nexts))
-    return record(EDITED, pa.array([r[0] for r in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), [hashlib.sha256(e.encode()).hexdigest() for e in edited], _hex(own), _hex(other), likeness(own, other), likeness(own, then))
+    return record(EDITED, pa.array([r[0] for r in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), [hashlib.sha256(e.encode()).hexdigest() for e in edited], _hex(own), _hex(other), likeness(own, other), likeness(own, then), own.view(np.int64))
 
 
 def _in_order(batches):
@@ -127,6 +144,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     by the first as many, or all, of the next document; after the last comes the
     first. Null ids come last, rows of one id in the order of their texts' hashes.
 
+    ``bits`` is the fingerprint as a signed long.
+
     Rows are dealt into buckets of consecutive ids; the first row of a bucket goes
     to the bucket before as well, so that one shuffle of the texts is enough.
     """
@@ -163,4 +182,4 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
 
 def _schema() -> str:
-    return "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bits long"

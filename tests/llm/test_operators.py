@@ -113,6 +113,14 @@ def test_simhash_neighbours(spark):
     assert got == {(i, j, distance(a, b)) for i, a in enumerate(prints) for j, b in enumerate(prints) if i != j and distance(a, b) <= 3}
 
 
+def test_simhash_counts(real):
+    rows = spark_tools.stash(simhash.edited_likeness(real)).select("doc_id", "bits")
+    all_rows = rows.collect()
+    for r in simhash.counted_neighbours(rows).collect():
+        expected = sum(bin((r["bits"] ^ x["bits"]) & ((1 << 64) - 1)).count("1") <= 3 for x in all_rows) - 1
+        assert r["n_near"] == (expected if r["doc_id"] % 20 == 0 else None)
+
+
 # --- 2
 
 
