@@ -2,8 +2,8 @@
 
 Coarse lists and the residuals' codebooks are fitted on a bounded sample; every
 vector is indexed, in the list of its nearest centroid, with a code of its
-residual. As a query it looks into every list that can hold a partner: a list is
-left out when its cell lies farther away than the link distance. In a list, tables
+residual. As a query it looks into every list that may hold a partner: a list is
+left out when its cell begins farther away than ``slack`` link distances. In a list, tables
 of the query's distances to the code words give each member's approximate distance
 (asymmetric: the query isn't coded); members that are near enough, given the
 error of their own code, are compared exactly.
@@ -99,9 +99,8 @@ def _units(batches):
 INDEXED = pa.schema([("label", pa.int64()), ("list", pa.int32()), ("probe", pa.bool_()), ("key", pa.binary()), ("unit", pa.binary()), ("codes", pa.binary()), ("error", pa.float64()), ("copies", pa.int64())])
 
 
-def _indexed(held, cosine: float):
+def _indexed(held, reach: float):
     """Each vector as a member of its list, and as a query of every list that can hold a partner."""
-    near = np.sqrt(max(2 - 2 * cosine, 0)) + 1e-9
 
     def of(batches):
         book = held.value
@@ -121,7 +120,7 @@ def _indexed(held, cosine: float):
             rows = [(labels[i], int(own[k]), False, keys[i], raw[i], codes[k].tobytes(), float(error[k]), copies[i]) for k, i in enumerate(right)]
             # How far the border between the own cell and another is away.
             border = (far**2 - (far.min(1) ** 2)[:, None]) / np.maximum(2 * gaps[own], 1e-12)
-            rows += [(labels[right[k]], int(c), True, keys[right[k]], raw[right[k]], None, None, copies[right[k]]) for k, c in zip(*(x.tolist() for x in np.nonzero(border <= near)), strict=True)]
+            rows += [(labels[right[k]], int(c), True, keys[right[k]], raw[right[k]], None, None, copies[right[k]]) for k, c in zip(*(x.tolist() for x in np.nonzero(border <= reach + 1e-9)), strict=True)]
             for a in range(0, len(rows), 5000):
                 yield record(INDEXED, *(pa.array(c, t) for c, t in zip(zip(*rows[a : a + 5000], strict=True), INDEXED.types, strict=True)))
 
@@ -192,8 +191,13 @@ def _searched(held, cosine: float):
     return of
 
 
-def near_links(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding, label)``."""
+def near_links(vectors: DataFrame, cosine: float = 0.98, slack: float = 0.5) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding, label)``.
+
+    ``slack``: lists are probed whose cell begins within this share of the link
+    distance. With 1 no partner can be missed; a partner's offset has only a small
+    part across any one border, so that half is sufficient at a fifth of the probes.
+    """
     spark = vectors.sparkSession
     light_batches(spark)
     tasks = partitions(spark)
@@ -208,7 +212,7 @@ def near_links(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         dim = max(dims, key=lambda d: (dims[d], d))
         sample = np.stack([np.frombuffer(u, "<f8") for u in chosen if len(u) == dim])
         held = spark.sparkContext.broadcast(Codebook(sample))  # of a size that SAMPLE bounds
-        index = stash(members.mapInArrow(_indexed(held, cosine), "label long, list int, probe boolean, key binary, unit binary, codes binary, error double, copies long"))
+        index = stash(members.mapInArrow(_indexed(held, slack * float(np.sqrt(max(2 - 2 * cosine, 0)))), "label long, list int, probe boolean, key binary, unit binary, codes binary, error double, copies long"))
         sizes = index.groupBy("label", "list").agg(F.sum((~F.col("probe")).cast("long")).alias("held"), F.sum(F.col("probe").cast("long")).alias("asked"))
         sizes = stash(sizes.where("held > 0").select(F.col("label").alias("l"), F.col("list").alias("c"), F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / (4 * BLOCK)).cast("int").alias("turns")))
         dealt = index.join(sizes, (F.col("label") == F.col("l")) & (F.col("list") == F.col("c")))
