@@ -13,7 +13,9 @@ compare the windows of anchors with equal pieces:
    What stands right of them, and reversed what stands left, is sorted deep and
    shallow: multikey quicksort to a shallow depth (by eight bytes a time), then
    blind tries for the groups that still agree. The longest common prefixes of
-   neighbours in both orders say which windows are equal, byte for byte.
+   neighbours in both orders say which windows are equal, byte for byte. A piece
+   that stands in very many surroundings (the border of a common passage) doesn't
+   go to one task: its windows are grouped by two 64-bit hashes each.
 3. *Removal.* Every document is joined with the starts of its repeated windows.
 
 Null texts count as empty. Rows of one ``doc_id`` are ordered by their texts'
@@ -36,6 +38,7 @@ from .spark_tools import light_batches, partitions, pieces, ranked, record, rele
 LENGTH, ANCHOR = 100, 32
 REACH = LENGTH - ANCHOR  #: bytes of a window before its anchor at most
 SHALLOW = 32  #: depth of the multikey quicksort
+HOT = 5000  #: different surroundings of a piece from which its windows are grouped one by one
 PLACE = 28  #: bits of a place in a batch, beside the high bits of the hash
 
 
@@ -70,8 +73,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 PARTS = pa.schema([("r", pa.int64()), ("body", pa.binary())])
 #: What travels of an anchor: low bits of its piece's hash, hash of all that its windows span, document, place, and its windows' first and last start from it.
 ANCHOR_TYPE = np.dtype([("piece", "<u4"), ("span", "<u8"), ("ord", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
-FLAGS = pa.schema([("whole", pa.bool_()), ("ord", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
-FLAGS_SQL = "whole boolean, ord long, at int, first int, last int"
+FLAGS = pa.schema([("whole", pa.bool_()), ("hot", pa.bool_()), ("ord", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
+FLAGS_SQL = "whole boolean, hot boolean, ord long, at int, first int, last int"
 
 
 def _scan(ranges: int):
@@ -100,21 +103,25 @@ def _scan(ranges: int):
     return of
 
 
-def _flagged(table: pa.Table) -> pa.Table:
+def _flagged(hot: int):
     """Of one range: anchors whose windows are all repeats, and those whose bytes must be compared."""
-    rows = np.concatenate([np.frombuffer(b, ANCHOR_TYPE) for b in table.column("body").to_pylist()])
-    rows = rows[np.lexsort((rows["at"], rows["ord"], rows["span"], rows["piece"]))]
-    piece = np.append(True, rows["piece"][1:] != rows["piece"][:-1])
-    span = piece | np.append(True, rows["span"][1:] != rows["span"][:-1])
-    # Pieces with several spans: the first of each span is to be compared.
-    group = np.cumsum(piece) - 1
-    several = np.bincount(group, span) > 1
-    keep = ~span | several[group]
-    rows, whole = rows[keep], ~span[keep]
-    at = rows["at"].astype(np.int32)
-    first = at - rows["left"]
-    last = at + rows["right"] - REACH
-    return pa.Table.from_batches([record(FLAGS, pa.array(whole), rows["ord"].copy(), at, first.astype(np.int32), last.astype(np.int32))], schema=FLAGS)
+
+    def of(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(b, ANCHOR_TYPE) for b in table.column("body").to_pylist()])
+        rows = rows[np.lexsort((rows["at"], rows["ord"], rows["span"], rows["piece"]))]
+        piece = np.append(True, rows["piece"][1:] != rows["piece"][:-1])
+        span = piece | np.append(True, rows["span"][1:] != rows["span"][:-1])
+        # Pieces with several spans: the first of each span is to be compared.
+        group = np.cumsum(piece) - 1
+        spans = np.bincount(group, span)
+        keep = ~span | (spans > 1)[group]
+        rows, whole, often = rows[keep], ~span[keep], (spans > hot)[group][keep]
+        at = rows["at"].astype(np.int32)
+        first = at - rows["left"]
+        last = at + rows["right"] - REACH
+        return pa.Table.from_batches([record(FLAGS, pa.array(whole), pa.array(often), rows["ord"].copy(), at, first.astype(np.int32), last.astype(np.int32))], schema=FLAGS)
+
+    return of
 
 
 SPANS = pa.schema([("r", pa.int64()), ("ord", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary())])
@@ -140,6 +147,27 @@ def _sent(ranges: int):
     return of
 
 
+#: Bytes in another order, so that the second hash of a window doesn't follow from the first.
+SHUFFLED = np.argsort(kernel.mix(np.arange(256, dtype=np.uint64))).astype(np.uint8)
+WINDOWS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ord", pa.int64()), ("start", pa.int32())])
+
+
+def _windows(batches):
+    """Two hashes of every window of the asked anchors."""
+    for piece in pieces(batches):
+        data, offsets = kernel.text_bytes(piece.column("text"))
+        sums, other = kernel.prefix(data), kernel.prefix(SHUFFLED[data])
+        asked = piece.column("asked")
+        owner = np.repeat(np.arange(piece.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
+        first, last = (asked.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+        n = last - first + 1
+        owner = np.repeat(owner, n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        at = offsets[:-1][owner] + start
+        a, b = (kernel.spans(s, at, at + LENGTH).view(np.int64) for s in (sums, other))
+        yield record(WINDOWS, a, b, piece.column("ord").take(pa.array(owner)), start.astype(np.int32))
+
+
 class BlindTrie:
     """Orders strings of one length: nodes know only how deep they branch and by which byte."""
 
@@ -275,7 +303,7 @@ def _compared(table: pa.Table) -> pa.Table:
     _, high = np.nonzero(edge == -1)
     # k bytes before the anchor: the window starts at at - k; low and high - 1 are the run's least and largest k.
     o = table.column("ord").to_numpy()[row]
-    return pa.Table.from_batches([record(FLAGS, pa.array(np.ones(len(row), bool)), o, at[row].astype(np.int32), (at[row] - high + 1).astype(np.int32), (at[row] - low).astype(np.int32))], schema=FLAGS)
+    return pa.Table.from_batches([record(FLAGS, pa.array(np.ones(len(row), bool)), pa.array(np.zeros(len(row), bool)), o, at[row].astype(np.int32), (at[row] - high + 1).astype(np.int32), (at[row] - low).astype(np.int32))], schema=FLAGS)
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -306,7 +334,17 @@ def _kept(texts: bool):
     return of
 
 
-def deduplicated(docs: DataFrame, texts: bool = True) -> DataFrame:
+def _repeated_windows(source: DataFrame, flags: DataFrame) -> DataFrame:
+    """Windows of hot anchors that an earlier one equals, as runs of one start. Each task sums up its own windows first."""
+    asked = flags.where("hot and not whole").groupBy("ord").agg(F.collect_list(F.struct("at", "first", "last")).alias("asked")).withColumnRenamed("ord", "o")
+    found = source.join(asked, source["ord"] == F.col("o")).select("ord", "text", "asked").mapInArrow(_windows, "a long, b long, ord long, start int")
+    found = stash(found)
+    least = found.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.min(F.struct("ord", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    later = found.join(least, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).where(F.struct("ord", "start") != F.col("least"))
+    return later.select(F.lit(True).alias("whole"), F.lit(True).alias("hot"), "ord", F.col("start").alias("at"), F.col("start").alias("first"), F.col("start").alias("last"))
+
+
+def deduplicated(docs: DataFrame, texts: bool = True, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans`` and the bytes ``kept`` of every row of ``docs(doc_id, text)``.
 
     With ``texts=False``, ``kept_sha256`` in place of ``kept``.
@@ -324,12 +362,15 @@ def deduplicated(docs: DataFrame, texts: bool = True) -> DataFrame:
         places = ranked(key.distinct(), [F.col("doc_id").asc_nulls_last(), F.col("h")], "ord").select(F.col("doc_id").alias("i"), F.col("h").alias("g"), "ord")
         rows = rows.join(places, rows["doc_id"].eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("g"))).select("doc_id", "text", "ord")
     source = rows.select("ord", "text") if count["rows"] == count["ids"] else rows.select("ord", "text").dropDuplicates(["ord"])
-    flags = stash(source.mapInArrow(_scan(ranges), "r long, body binary").groupBy("r").applyInArrow(_flagged, FLAGS_SQL))
+    flags = stash(source.mapInArrow(_scan(ranges), "r long, body binary").groupBy("r").applyInArrow(_flagged(hot), FLAGS_SQL))
     release(spark)
-    asked = flags.where("not whole").groupBy("ord").agg(F.collect_list(F.struct("at", "first", "last")).alias("asked")).withColumnRenamed("ord", "o")
+    asked = flags.where("not whole and not hot").groupBy("ord").agg(F.collect_list(F.struct("at", "first", "last")).alias("asked")).withColumnRenamed("ord", "o")
     sent = source.join(asked, source["ord"] == F.col("o")).select("ord", "text", "asked").mapInArrow(_sent(ranges), "r long, ord long, at int, left int, bytes binary")
     runs = stash(sent.groupBy("r").applyInArrow(_compared, FLAGS_SQL))
     release(spark)
+    if not flags.where("hot and not whole").isEmpty():
+        runs = runs.unionByName(stash(_repeated_windows(source, flags)))
+        release(spark)
     runs = flags.where("whole").unionByName(runs).groupBy("ord").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumnRenamed("ord", "o")
     joined = rows.join(runs, rows["ord"] == F.col("o"), "left").select("doc_id", "text", "runs")
     last = "kept binary" if texts else "kept_sha256 string"
