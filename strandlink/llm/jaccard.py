@@ -17,7 +17,8 @@ group:
    family and share a tree. In large families every shingle has its own, blocks
    of a large bucket against each other, so that no link is lost.
 
-Nulls and texts without words have empty sets and link with nothing. Null or
+``docs`` should be a stored table (a scan reads it in the same order when a task
+runs again). Nulls and texts without words have empty sets and link with nothing. Null or
 repeated ``doc_id`` values keep their rows. Columns other than ``doc_id`` and
 ``text`` are not read.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .spark_tools import components, light_batches, partitions, pieces, record, release, stash
+from .spark_tools import components, light_batches, partitions, pieces, record, release, stash, trim
 
 BLOCK = 2000  #: documents that one prefix tree holds at most
 SEGMENT = 32  #: shingles to a tree node; bounds are tested at each
@@ -333,6 +334,8 @@ def _joined(num: int, den: int, group: tuple[str, ...]):
                 links = []
         if links:
             yield record(EDGES, *(pa.array(c, pa.binary()) for c in zip(*links, strict=True)))
+        tree = None
+        trim()
 
     return of
 
@@ -407,6 +410,8 @@ def _links(texts: DataFrame, described: DataFrame, n: int, num: int, den: int) -
 def _completion(sets: DataFrame, found: DataFrame, ranges: int, num: int, den: int) -> DataFrame:
     """The links between components of ``found`` that the rounds haven't met."""
     labelled = sets.join(found.hint("shuffle_hash"), sets["key"] == F.col("u"), "left").select("key", "n", "body", F.coalesce("v", "key").alias("comp"))
+    # In a fixed order, so that a task that runs again packs the same batches.
+    labelled = labelled.sortWithinPartitions("key")
     outer = _bounded(labelled.mapInArrow(_owner_pack(ranges), PARTS_SQL), ranges, True, num, den)
     outer = outer.join(found, outer["key"] == F.col("u"), "left").select(F.col("key").alias("k"), F.coalesce("v", "key").alias("comp"))
     outer = stash(outer)
