@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_tools import light_batches, pieces, record
+from .spark_tools import kept, light_batches, pieces, record
 
 #: Words of each of the two generations that a worker remembers, and words that one recursive query takes.
-REMEMBERED, AT_ONCE = 300_000, 50_000
+REMEMBERED, AT_ONCE = 150_000, 25_000
 
 #: ``step`` holds each word's tokens in every round: rows to a token and place join the
 #: merges, and a word goes on as long as one of its pairs is among them.
@@ -58,7 +58,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         ranks = pa.table({"token": [base64.b64decode(t).hex() for t, _ in pairs], "rank": pa.array([int(r) for _, r in pairs], pa.int64())})
@@ -108,14 +108,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
-    """The encoder of this process; its words stay for the next batch and task."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+    """The encoder of this process; its words stay for the next task that encodes."""
+    return kept(f"bpe {path} {pattern}", lambda: Encoder(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFrame:
@@ -133,7 +128,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataF
 
     def of(batches):
         own = encoder(path, pattern)
-        for piece in pieces(batches, most=4 << 20):
+        for piece in pieces(batches, most=2 << 20, owner=f"bpe {path} {pattern}"):
             got = own.encode(piece.column("text").to_pylist())
             n = pa.array([g[1] for g in got], pa.int64())
             if ids:

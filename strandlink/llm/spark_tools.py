@@ -2,45 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+from ..storage import stored as stash
+
 #: Rows to an Arrow batch; long texts make larger batches too heavy for an executor.
 ARROW_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else None
-    if not where:
-        where = tempfile.mkdtemp(prefix="strandlink-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandlink-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -53,8 +36,29 @@ def light_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def pieces(batches, column: str = "text", most: int = 2 << 20):
+#: What an operator keeps in a worker's process from one task to the next.
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str | None, make: Callable[[], object] | None = None) -> object:
+    """What ``owner`` keeps in this process. What others keep is dropped, as workers outlive their operators."""
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
+    if owner is not None and make is not None and owner not in _kept:
+        _kept[owner] = make()
+    return _kept.get(owner)
+
+
+def pieces(batches, column: str = "text", most: int = 1 << 20, owner: str | None = None):
     """Slices of record batches with at most ``most`` bytes of ``column``, one row at least."""
+    kept(owner)
+    try:
+        yield from _pieces(batches, column, most)
+    finally:
+        trim()
+
+
+def _pieces(batches, column: str, most: int):
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
@@ -67,6 +71,15 @@ def pieces(batches, column: str = "text", most: int = 2 << 20):
             yield batch.slice(start)
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system, as its worker may lie idle for long."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
@@ -82,9 +95,8 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     that no task holds all rows. Rows equal in ``order`` may get either's count.
     """
     ranges = stash(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    counts = ranges.groupBy("__part").agg(F.count("*").alias("n"))
-    a, b = counts.alias("a"), counts.alias("b")
-    before = a.join(b, F.col("a.__part") > F.col("b.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("__before"))
+    counts = ranges.groupBy("__part").agg(F.count("*").alias("n"))  # a row to a range
+    before = counts.select("__part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("n")).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return ranges.join(before, "__part").withColumn(name, F.col("__before") + within - 1).drop("__part", "__before")
 
