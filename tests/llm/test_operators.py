@@ -284,6 +284,23 @@ def test_language(docs, empty, real):
     assert {r["lang_pred"] for r in langid.identified(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_language_keeps_every_gram(spark):
+    """A language of many grams doesn't push the grams of a small one out of the models."""
+    letters = np.array([chr(i) for i in range(0x4E00, 0x4E00 + 400)] + list("abcdefghijklmnopqrstuvwxyz"))
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(letters, 100_000)), "aa") for i in range(64)] + [(100 + i, "xyzzy plugh " * 3 + "plover", "zz") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    kept = {r[0] for r in docs.where(~quality.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    model = langid.fit(docs)
+    assert model.langs == ["aa", "zz"]
+    for lang in model.langs:
+        codes = np.unique(np.concatenate([langid.grams([t])[0] for i, t, x in rows if x == lang and i in kept]))
+        assert np.array_equal(model.models[lang].parts[0][0], codes)
+    assert len(model.models["aa"].parts[0][0]) > 2_000_000
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identified(docs, model).collect()}
+    assert all(out[i] == lang for i, _, lang in rows)
+
+
 def test_kneser_ney_sums_to_one():
     codes, _ = langid.grams(["abracadabra and a banana band", "cab"])
     gram, n = np.unique(codes.astype(np.int64), return_counts=True)
