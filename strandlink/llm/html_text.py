@@ -10,9 +10,12 @@ styles never enter a line.
 The ratio of text to tags is smoothed along the page by a Gaussian, and the
 smoothed ratios are split into two clusters, at the threshold midway between their
 means. The upper cluster's lines are content; the region grows from them to the
-innermost container that holds most of their text, so that its short lines stay.
-Where that is the whole body, the region is from the first to the last of them and
-the headings and texts next to them, without lists of links.
+innermost container that holds them all, or to the article or main that this lies
+in, so that its short lines stay. Where that is the whole body, the region is from
+the first to the last of them and of the articles that they lie in, with the
+headings, paragraphs and longer texts next to them. No line of the region is
+dropped. Lists of links next to the text are smoothed into the upper cluster, so
+the region doesn't grow to a line of links that is no heading or paragraph.
 
 Null pages count as empty and have empty text. Unclosed and stray tags are
 tolerated; a page cut off in the middle of a tag or of a script loses that tag.
@@ -48,8 +51,7 @@ NAME = re.compile(r"[A-Za-z]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 SIGMA = 2.0  #: lines over which ratios are smoothed
-MOST = 0.8  #: share of the chosen text that a container must hold
-NEXT = 25  #: characters of a text next to the region that belongs to it
+NEXT = 25  #: characters of a text next to the region that belongs to it, if no heading or paragraph
 APART = 3.0  #: least factor between the mean ratios of content and the rest
 
 
@@ -65,7 +67,7 @@ def is_noise(name: str) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, characters in links, containers from the outermost, is a heading)."""
+    """Lines of a page: (text, tags, characters in links, containers from the outermost, is a heading or paragraph)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -73,6 +75,8 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = self.linked = self.link = self.met = self.heading = self.articles = 0
         self.holders: list[int] = []  # numbers of the open containers
+        self.bodies: set[int] = set()  # of those that are a body
+        self.wholes: set[int] = set()  # of those that are an article or main
         self.open: list[tuple[str, bool, bool]] = []  # (tag, is excluded, is an article)
         self.silent = 0
 
@@ -102,7 +106,11 @@ class Lines(HTMLParser):
         if tag in HOLDERS:
             self.met += 1
             self.holders.append(self.met)
-        self.heading += tag in HEADINGS
+            if article:
+                self.wholes.add(self.met)
+            elif tag == "body":
+                self.bodies.add(self.met)
+        self.heading += tag in HEADINGS or tag == "p"
         if tag == "a":
             self.link += 1
 
@@ -128,7 +136,7 @@ class Lines(HTMLParser):
         self.articles -= article
         if tag in HOLDERS:
             self.holders.pop()
-        self.heading -= tag in HEADINGS
+        self.heading -= tag in HEADINGS or tag == "p"
         self.link -= tag == "a"
 
     def handle_endtag(self, tag):
@@ -189,23 +197,24 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smoothed(np.array([(len(x[0]) - x[2]) / max(x[1], 1) for x in lines], float))
     chosen = np.flatnonzero(ratios >= threshold(ratios)).tolist()
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for k in chosen:
-        for d, n in enumerate(lines[k][3]):
-            held[n], depth[n] = held.get(n, 0) + len(lines[k][0]), d
-    total = sum(len(lines[k][0]) for k in chosen)
-    most = max((n for n in held if held[n] >= MOST * total), key=lambda n: (depth[n], held[n]), default=0)
-    if most and depth[most]:
-        return " ".join(x[0] for x in lines if most in x[3])
     links = lambda x: 2 * x[2] > len(x[0])
+    chosen = [k for k in chosen if lines[k][4] or not links(lines[k])] or chosen
+    # The containers that hold all chosen lines, from the outermost.
+    common = lines[chosen[0]][3]
+    for k in chosen:
+        common = common[: next((d for d, (a, b) in enumerate(zip(common, lines[k][3])) if a != b), min(len(common), len(lines[k][3])))]
+    whole = next((n for n in reversed(common) if n in parser.wholes), common[-1] if common else 0)
+    if whole and whole not in parser.bodies:
+        return " ".join(x[0] for x in lines if whole in x[3])
+    own = {n for k in chosen for n in lines[k][3] if n in parser.wholes}
+    region = [k for k, x in enumerate(lines) if not own.isdisjoint(x[3])]
     near = lambda x: not links(x) and (x[4] or len(x[0]) >= NEXT)
-    first, last = chosen[0], chosen[-1]
+    first, last = min(chosen[:1] + region[:1]), max(chosen[-1:] + region[-1:])
     while first and near(lines[first - 1]):
         first -= 1
     while last + 1 < len(lines) and near(lines[last + 1]):
         last += 1
-    return " ".join(x[0] for x in lines[first : last + 1] if not links(x))
+    return " ".join(x[0] for x in lines[first : last + 1])
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -181,6 +181,25 @@ def test_main_text():
     assert html_text.main_text(plain) == "One long paragraph of text that goes on. Two more of them, as long as it is."
 
 
+LONG = "Words of the text go on and on for quite a while in this line of the page. " * 4
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<article><section><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p></section><section><p>{0}</p></section></article>",
+        "<article><h1>Title</h1><div class=body><p>{0}</p><p>{0}</p><p>{0}</p></div><p>The end.</p></article>",
+        "<main><article><section><p>{0}</p><p>{0}</p></section><section><h2>More</h2><p>Brief.</p></section></article></main>",
+        "<div><div><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p></div><div><p>{0}</p></div></div>",
+        "<p>So.</p><p>{0}</p><p>{0}</p><p><a href=x>A line that is a link as a whole</a></p><p>{0}</p><p>The end.</p>",
+    ],
+)
+def test_main_text_drops_no_line_of_the_text(inner):
+    inner = inner.format(LONG)
+    menu = "<ul>" + "<li><a href=x>menu</a></li>" * 12 + "</ul>"
+    assert html_text.main_text(f"<html><body>{menu}{inner}{menu}</body></html>") == " ".join(re.sub(r"<[^>]*>", " ", inner).split())
+
+
 def test_main_text_rows(spark, sf):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "v", ""), (1, "u", PAGE), (3, "w", "<p>" * 2000 + "deep")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     out = html_text.extracted(pages).collect()
