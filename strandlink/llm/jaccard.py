@@ -30,7 +30,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -278,13 +278,13 @@ def _packed(ranges: int, batch: int, docs: list):
         yield _pack(ranges, batch + k // 60_000, [(key, i, s) for i, (key, _, s) in enumerate(docs[k : k + 60_000])], 2)
 
 
-def _describe(n: int):
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())])
+def _describe(n: int, marks: tuple[str, ...] = ()):
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), *((m, pa.int64()) for m in marks)])
 
     def of(batches):
         for piece in pieces(batches):
             sets, places = kernel.shingle_sets(piece.column("text"), n)
-            yield record(out, piece.column("doc_id").cast(pa.int64()), np.diff(places), pa.array(kernel.set_keys(sets, places), pa.binary()))
+            yield record(out, piece.column("doc_id").cast(pa.int64()), np.diff(places), pa.array(kernel.set_keys(sets, places), pa.binary()), *(piece.column(m) for m in marks))
 
     return of
 
@@ -366,14 +366,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     light_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = stash(texts.mapInArrow(_describe(n), "doc_id long, n_shingles long, key binary"))
-    links = _links(texts, described, n, num, den)
-    least = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    roots = least.join(components(links), least["key"] == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "least")
+    roots = _rooted(texts, described, F.min("doc_id"), n, num, den)
     low = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(low, "root").select("key", "component_id")
     return described.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _rooted(texts: DataFrame, described: DataFrame, least: Column, n: int, num: int, den: int) -> DataFrame:
+    """``key, root, least`` of every set key: the key that names its component, and the aggregate ``least`` of its rows."""
+    links = _links(texts, described, n, num, den)
+    rows = described.where("key is not null").groupBy("key").agg(least.alias("least"))
+    return rows.join(components(links), rows["key"] == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "least")
+
+
 def _candidates(texts: DataFrame, described: DataFrame, ranges: int, n: int, num: int, den: int) -> DataFrame:
     """The sets, one to a key, that the bound leaves."""
     held = _bounded(texts.mapInArrow(_scan(n, ranges), PARTS_SQL), ranges, False, num, den)
@@ -457,10 +462,23 @@ def _tokens(batches):
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component: the row whose ``doc_id`` names it.
+    """``docs`` with one row of each component, and all rows without words.
 
-    Rows that repeat a ``doc_id`` keep one, by the order of their texts.
+    The row of least ``doc_id`` stays, nulls last; of several, the one of least
+    hash over all columns but maps. So it is the same row however ``docs`` is dealt.
     """
-    named = jaccard_components(docs, n, num, den).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    light_batches(docs.sparkSession)
+    marks = ("__a", "__b")
+    plain = [F.col(c) for c, t in docs.dtypes if "map<" not in t]
+    seen = [*plain, *(c.isNull() for c in plain)]  # nulls don't change a hash
+    rows = docs.withColumns({m: F.xxhash64(F.lit(k), *seen) for k, m in enumerate(marks)})
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *marks)
+    described = stash(marked.mapInArrow(_describe(n, marks), "doc_id long, n_shingles long, key binary, __a long, __b long"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *marks))
+    roots = _rooted(texts, described, first, n, num, den)
+    chosen = roots.groupBy("root").agg(F.min("least").alias("least")).select(*(F.col(f"least.{m}").alias(m) for m in marks))
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Rows that are equal in all columns have equal marks, and one of them stays.
+    kept = rows.where(worded).join(chosen, [*marks], "left_semi").dropDuplicates([*marks]).drop(*marks)
+    return kept.unionByName(docs.where(~worded))

@@ -385,6 +385,32 @@ def test_jaccard_odd_rows(docs, empty, real):
     assert rows_of(jaccard.jaccard_components(real), "doc_id", "n_shingles", "component_id") == plain_components(rows)
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    """Of each component one row stays, whatever its id; rows that link with nothing all stay."""
+    text = lambda k, more="": " ".join(f"w{k}x{i}" for i in range(40)) + more
+    groups = [
+        [(None, text(0), "a")],
+        [(None, text(1), "a")],
+        [(5, text(2), "a")],
+        [(5, text(3), "a"), (3, text(3), "b")],
+        [(5, text(4), "c"), (7, text(4, " more"), "c")],
+        [(None, text(5), "a"), (None, text(5), "a"), (9, text(5, " end"), "z")],
+        [(None, text(6), "a"), (None, text(6, " end"), "b")],
+        [(8, text(7), "a"), (8, text(7), "b"), (8, text(7), "b")],
+        *([(i, t, "a")] for i, t in [(None, None), (None, None), (None, " "), (5, ""), (1, None)]),
+    ]
+    rows = [r for g in groups for r in g]
+    got = []
+    for parts in (1, 3):
+        df = spark_tools.stash(spark.createDataFrame(rows[::-1] if parts == 3 else rows, "doc_id long, text string, source string").repartition(parts))
+        got.append(rows_of(jaccard.keep_one(df), "doc_id", "text", "source"))
+    assert got[0] == got[1] and len(got[0]) == len(groups)
+    for g in groups:
+        best = min((r[0] for r in g), key=lambda d: (d is None, d or 0))
+        assert any(r in got[0] for r in g if r[0] == best)
+    assert got[0].count((None, None, "a")) == 2
+
+
 def test_prefix_tree_finds_all_links():
     rng = np.random.default_rng(5)
     sets = [sorted(set(rng.integers(0, 60, rng.integers(1, 60)).tolist())) for _ in range(60)]
