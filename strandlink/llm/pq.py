@@ -13,13 +13,12 @@ into blocks of members and of queries, so that no task holds a whole list; each
 block of queries meets each block of members.
 
 Only vectors with equal, non-null labels are compared. Null vectors, vectors with
-null or non-finite components, zero vectors, and vectors of another length than
-most of the sample link with nothing.
+null or non-finite components and zero vectors link with nothing. Vectors of each
+length have their own sample, codebook and lists.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from hashlib import blake2b
 
 import numpy as np
@@ -48,8 +47,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
 class Codebook:
     """Coarse centroids, and the code words of the residuals' subspaces."""
 
-    def __init__(self, sample: np.ndarray):
+    def __init__(self, sample: np.ndarray, first: int = 0):
         self.dim = sample.shape[1]
+        self.first = first  # number of its first list
         self.coarse = kmeans(sample, max(1, min(1024, int(len(sample) ** 0.5))))
         rest = sample - self.coarse[self.lists(sample)]
         edges = np.linspace(0, self.dim, SUBSPACES + 1).astype(int)
@@ -103,26 +103,26 @@ def _indexed(held, reach: float):
     """Each vector as a member of its list, and as a query of every list that can hold a partner."""
 
     def of(batches):
-        book = held.value
-        gaps = book.distances(book.coarse)
+        books = held.value
+        gaps = {size: book.distances(book.coarse) for size, book in books.items()}
         for batch in batches:
             keys, labels, copies = (batch.column(c).to_pylist() for c in ("key", "label", "copies"))
             raw = batch.column("unit").to_pylist()
-            right = [i for i, u in enumerate(raw) if len(u) == 8 * book.dim]
-            if not right:
-                continue
-            unit = np.stack([np.frombuffer(raw[i], "<f8") for i in right])
-            far = book.distances(unit)
-            own = far.argmin(1)
-            rest = unit - book.coarse[own]
-            codes = book.codes(rest)
-            error = np.sqrt(((rest - book.decoded(codes)) ** 2).sum(1))
-            rows = [(labels[i], int(own[k]), False, keys[i], raw[i], codes[k].tobytes(), float(error[k]), copies[i]) for k, i in enumerate(right)]
-            # How far the border between the own cell and another is away.
-            border = (far**2 - (far.min(1) ** 2)[:, None]) / np.maximum(2 * gaps[own], 1e-12)
-            rows += [(labels[right[k]], int(c), True, keys[right[k]], raw[right[k]], None, None, copies[right[k]]) for k, c in zip(*(x.tolist() for x in np.nonzero(border <= reach + 1e-9)), strict=True)]
-            for a in range(0, len(rows), 5000):
-                yield record(INDEXED, *(pa.array(c, t) for c, t in zip(zip(*rows[a : a + 5000], strict=True), INDEXED.types, strict=True)))
+            sizes = np.array([len(u) for u in raw])
+            for size in np.unique(sizes).tolist():
+                book, right = books[size], np.flatnonzero(sizes == size).tolist()
+                unit = np.stack([np.frombuffer(raw[i], "<f8") for i in right])
+                far = book.distances(unit)
+                own = far.argmin(1)
+                rest = unit - book.coarse[own]
+                codes = book.codes(rest)
+                error = np.sqrt(((rest - book.decoded(codes)) ** 2).sum(1))
+                rows = [(labels[i], book.first + int(own[k]), False, keys[i], raw[i], codes[k].tobytes(), float(error[k]), copies[i]) for k, i in enumerate(right)]
+                # How far the border between the own cell and another is away.
+                border = (far**2 - (far.min(1) ** 2)[:, None]) / np.maximum(2 * gaps[size][own], 1e-12)
+                rows += [(labels[right[k]], book.first + int(c), True, keys[right[k]], raw[right[k]], None, None, copies[right[k]]) for k, c in zip(*(x.tolist() for x in np.nonzero(border <= reach + 1e-9)), strict=True)]
+                for a in range(0, len(rows), 5000):
+                    yield record(INDEXED, *(pa.array(c, t) for c, t in zip(zip(*rows[a : a + 5000], strict=True), INDEXED.types, strict=True)))
 
     return of
 
@@ -163,7 +163,7 @@ def _searched(held, cosine: float):
     vectors that it links to, and enough links to connect them."""
 
     def of(batches):
-        book = held.value
+        books = held.value
         name, members, block, rows = None, [], None, []
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("label", "list", "block", "queries", "probe", "key", "unit", "codes", "error", "copies")]
@@ -175,7 +175,9 @@ def _searched(held, cosine: float):
                     continue
                 if not members:
                     continue
-                block = block or Block(book, place, members)
+                if block is None:
+                    book = books[len(unit)]
+                    block = Block(book, place - book.first, members)
                 found = block.near(np.frombuffer(unit, "<f8"), cosine)
                 own = block.names.get(key)
                 others = found if own is None else found[found != own]
@@ -205,13 +207,16 @@ def near_links(vectors: DataFrame, cosine: float = 0.98, slack: float = 0.5) ->
     rows = stash(rows.mapInArrow(_units, "vec_id long, label long, key binary, unit binary"))
     members = rows.where("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     members = stash(members)
-    chosen = members.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("unit").toArrow().column(0).to_pylist()  # a bounded sample
     named = members.select("key", "least", "copies")
-    if chosen:
-        dims = Counter(map(len, chosen))
-        dim = max(dims, key=lambda d: (dims[d], d))
-        sample = np.stack([np.frombuffer(u, "<f8") for u in chosen if len(u) == dim])
-        held = spark.sparkContext.broadcast(Codebook(sample))  # of a size that SAMPLE bounds
+    books: dict[int, Codebook] = {}
+    first = 0
+    for (size,) in members.select(F.length("unit").alias("size")).distinct().orderBy("size").collect():
+        alike = members.where(F.length("unit") == size)
+        chosen = alike.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("unit").toArrow().column(0).to_pylist()  # a bounded sample
+        books[size] = Codebook(np.stack([np.frombuffer(u, "<f8") for u in chosen]), first)
+        first += len(books[size].coarse)
+    if books:
+        held = spark.sparkContext.broadcast(books)  # of a size that SAMPLE bounds, for each length
         index = stash(members.mapInArrow(_indexed(held, slack * float(np.sqrt(max(2 - 2 * cosine, 0)))), "label long, list int, probe boolean, key binary, unit binary, codes binary, error double, copies long"))
         sizes = index.groupBy("label", "list").agg(F.sum((~F.col("probe")).cast("long")).alias("held"), F.sum(F.col("probe").cast("long")).alias("asked"))
         sizes = stash(sizes.where("held > 0").select(F.col("label").alias("l"), F.col("list").alias("c"), F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / (4 * BLOCK)).cast("int").alias("turns")))

@@ -522,6 +522,19 @@ def test_vectors(spark, monkeypatch, slack):
 # --- 10
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for dim, groups in ((8, 12), (5, 6), (3, 1)):
+        for _ in range(groups):
+            base = rng.normal(size=dim)
+            rows += [(len(rows) + k, (base + k * 1e-3).tolist(), 1) for k in range(2)]
+    got = {r["vec_id"]: r for r in pq.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"), slack=1.0).collect()}
+    for i, v, _ in rows:
+        n = sum(j != i and len(w) == len(v) and np.dot(v, w) >= 0.98 * np.linalg.norm(v) * np.linalg.norm(w) for j, w, _ in rows)
+        assert n and got[i]["n_links"] == n
+
+
 def test_bpe(docs, empty, real):
     import public_tokenizers as tok
     import tiktoken
