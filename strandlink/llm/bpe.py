@@ -1,30 +1,42 @@
 """Byte-level BPE by DuckDB recursive queries.
 
 Texts are split by the vocabulary's pattern. Every partition keeps the words it
-has met; the new words of a batch go to DuckDB as one row to a byte. A recursive
-query joins neighbouring tokens with the vocabulary, contracts each word's
-leftmost pair of least rank, and repeats until no pair of any word is in the
-vocabulary. An ordered aggregation gives the ids of a word, another decodes them.
-
-Null texts count as empty and have no ids. Lone surrogates can't occur in UTF-8.
+has met; the new words of a batch go to DuckDB as one row to a byte. A word that is
+a token is that token. For the others a recursive query joins neighbouring tokens
+with the merges, contracts each word's leftmost pair of least rank, and repeats
+until no pair of any word is a merge. The tokens' bytes, ordered by word and place
+and joined, decode them.
+
+The query takes a round for each contraction, so that a word's cost grows with the
+square of its length. Words of ``LONG`` bytes or more (runs of letters or marks without
+any break) are contracted in the same order with a heap.
+
+Null texts count as empty and have no ids. Rows that repeat get equal results each,
+columns beside ``doc_id`` and ``text`` aren't read, an empty table gives no rows.
+Lone surrogates can't occur in UTF-8.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import re
+from collections.abc import Callable
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import kept, light_batches, pieces, record
 
-#: Words of each of the two generations that a worker remembers, and words that one recursive query takes.
-REMEMBERED, AT_ONCE = 150_000, 25_000
+#: Words of each of the two generations that a worker remembers; words, and squares of their bytes, that one recursive query takes.
+REMEMBERED, AT_ONCE, SQUARES = 150_000, 50_000, 50_000_000
+LONG = 512  #: bytes from which a word isn't contracted by rounds
 
 #: ``step`` holds each word's tokens in every round: rows to a token and place join the
 #: merges, and a word goes on as long as one of its pairs is among them.
@@ -43,30 +55,79 @@ WITH RECURSIVE step AS (
 SELECT word, arg_max(ids, round) AS ids FROM step GROUP BY word
 """
 
+TEXTS = "SELECT word, len(ids) AS n, array_to_string(ids, ' ') AS ids FROM encoded ORDER BY word"
 DECODE = """
-SELECT word, string_agg(v.token, '' ORDER BY i.pos) AS hex
+SELECT v.token
 FROM (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) AS i
 JOIN vocabulary AS v ON v.rank = i.id
-GROUP BY word
+ORDER BY word, pos
 """
 
+#: What the classes of a pattern are among the ASCII characters, outside and inside brackets.
+ASCII = {r"\p{L}": ("[A-Za-z]", "A-Za-z"), r"\p{N}": ("[0-9]", "0-9"), r"\s": ("[\t-\r ]", "\t-\r "), r"\S": ("[^\t-\r ]", None)}
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of ``pattern`` in a text. Where it allows, ASCII texts have a form of it without Unicode's classes."""
+    full = regex.compile(pattern).findall
+    out, inside = [], False
+    for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if part[0] == "\\" and part[1:2].isalpha():
+            plain = ASCII.get(part, (None, None))[inside]
+            if plain is None:
+                return full
+            out.append(plain)
+            continue
+        inside = part == "[" or (inside and part != "]")
+        out.append(part)
+    quick = re.compile("".join(out)).findall
+    return lambda text: quick(text) if text.isascii() else full(text)
+
+
+def contracted(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The tokens of one word, its leftmost pair of least rank always first. A heap holds the pairs."""
+    ends = list(range(1, len(data) + 1))  # of the token at a place; 0 where none begins any more
+    before = list(range(-1, len(data) - 1))
+    heap = []
+
+    def offer(at: int) -> None:
+        if at >= 0 and ends[at] < len(data):
+            end = ends[ends[at]]
+            if (rank := ranks.get(data[at:end])) is not None:
+                heapq.heappush(heap, (rank, at, end))
+
+    for at in range(len(data)):
+        offer(at)
+    while heap:
+        _, at, end = heapq.heappop(heap)
+        middle = ends[at]
+        if not middle or middle >= len(data) or ends[middle] != end:
+            continue  # one of its tokens has gone
+        ends[at], ends[middle] = end, 0
+        if end < len(data):
+            before[end] = at
+        offer(at)
+        offer(before[at])
+    return [data[at:end] for at, end in enumerate(ends) if end]
+
 
 class Encoder:
     """The words of one worker, encoded and decoded by DuckDB."""
 
     def __init__(self, path: str, pattern: str):
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
-        ranks = pa.table({"token": [base64.b64decode(t).hex() for t, _ in pairs], "rank": pa.array([int(r) for _, r in pairs], pa.int64())})
+        ranks = pa.table({"token": [base64.b64decode(t) for t, _ in pairs], "rank": pa.array([int(r) for _, r in pairs], pa.int64())})
         self.db.register("given", ranks)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
         # Every way to cut a token of the vocabulary into two.
-        ranks = {base64.b64decode(t): int(r) for t, r in pairs}
+        self.ranks = {base64.b64decode(t): int(r) for t, r in pairs}
+        ranks = self.ranks
         cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, rank = (pa.array(c, pa.int32()) for c in zip(*cuts, strict=True))
         for name, table in (("merges", pa.table({"a": a, "b": b, "rank": rank.cast(pa.int64())})), ("single", pa.table({"byte": pa.array(range(256), pa.uint8()), "rank": pa.array([ranks[bytes([i])] for i in range(256)], pa.int32())}))):
@@ -75,36 +136,54 @@ class Encoder:
             self.db.unregister("given")
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), AT_ONCE):
-            some = words[at : at + AT_ONCE]
-            data = [w.encode() for w in some]
-            sizes = np.array([len(w) for w in data])
-            word = np.repeat(np.arange(len(data), dtype=np.int32), sizes)
-            pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("bytes", pa.table({"word": word, "pos": pos.astype(np.int32), "byte": np.frombuffer(b"".join(data), np.uint8)}))
-            found = self.db.sql(ENCODE).to_arrow_table()
-            self.db.register("encoded", found)
-            back = self.db.sql(DECODE).to_arrow_table()
-            back = dict(zip(back.column("word").to_pylist(), back.column("hex").to_pylist(), strict=True))
-            for i, ids in zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True):
-                self.known[some[i]] = (" ".join(map(str, ids)), len(ids), bytes.fromhex(back[i]))
+        some, held = [], 0
+        for w in words:
+            data = w.encode()
+            if (rank := self.ranks.get(data)) is not None:
+                self.known[w] = (str(rank), 1, data)
+            elif len(data) >= LONG:
+                tokens = contracted(data, self.ranks)
+                self.known[w] = (" ".join([str(self.ranks[t]) for t in tokens]), len(tokens), b"".join(tokens))
+            else:
+                if len(some) == AT_ONCE or held > SQUARES:
+                    self._by_rounds(some)
+                    some, held = [], 0
+                some.append((w, data))
+                held += len(data) ** 2
+        if some:
+            self._by_rounds(some)
+
+    def _by_rounds(self, some: list[tuple[str, bytes]]) -> None:
+        data = [b for _, b in some]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        word = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
+        pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.db.register("bytes", pa.table({"word": word, "pos": pos.astype(np.int32), "byte": np.frombuffer(b"".join(data), np.uint8)}))
+        self.db.register("encoded", self.db.sql(ENCODE).to_arrow_table())
+        found = self.db.sql(TEXTS).to_arrow_table()
+        tokens = self.db.sql(DECODE).to_arrow_table().column("token").combine_chunks()
+        n = found.column("n").to_numpy()
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        back = pc.binary_join(pa.ListArray.from_arrays(ends, tokens), b"").to_pylist()
+        self.known.update(zip([w for w, _ in some], zip(found.column("ids").to_pylist(), n.tolist(), back, strict=True), strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """Ids joined by a space, their number, and the decoded bytes, of each text."""
         parts = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = []
-        for w in set().union(*parts).difference(self.known):
-            if w in self.older:
-                self.known[w] = self.older[w]
+        for w in set().union(*parts).difference(known):
+            if w in older:
+                known[w] = older[w]
             else:
                 new.append(w)
-        self.learn(sorted(new))
+        self.learn(new)
         out = []
         for words in parts:
-            got = [self.known[w] for w in words]
-            out.append((" ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])))
+            ids, n, back = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), ())
+            out.append((" ".join(ids), sum(n), b"".join(back)))
         return out
 
 
