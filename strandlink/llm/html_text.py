@@ -3,22 +3,24 @@
 Events of the standard library's parser make lines: a block-level tag, a line
 break or the end of an excluded element ends a line. Each line has its text, the
 number of tags seen since the line before, the characters inside links, and the
-containers (article, main, section, division, cell, body) that hold it. Menus,
+container (article, main, section, division, cell, body) that holds it. Menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and
-styles never enter a line.
+styles never enter a line; they are known by their tags, roles, or by a class or id
+that begins or ends with a word for one of them.
 
-The ratio of text to tags is smoothed along the page by a Gaussian, and the
-smoothed ratios are split into two clusters, at the threshold midway between their
-means. The upper cluster's lines are content; the region grows from them to the
+The ratio of text to tags, links left out, is smoothed along the page by a Gaussian,
+and the smoothed ratios are split into two clusters, at the threshold midway between
+their means. The upper cluster's lines are content, but for lines of links, which
+smoothing lifts where they stand next to text. The region grows from them to the
 innermost container that holds them all, or to the article or main that this lies
 in, so that its short lines stay. Where that is the whole body, the region is from
 the first to the last of them and of the articles that they lie in, with the
-headings, paragraphs and longer texts next to them. No line of the region is
-dropped. Lists of links next to the text are smoothed into the upper cluster, so
-the region doesn't grow to a line of links that is no heading or paragraph.
+headings, paragraphs and longer texts next to them. No line of the region is dropped.
 
-Null pages count as empty and have empty text. Unclosed and stray tags are
-tolerated; a page cut off in the middle of a tag or of a script loses that tag.
+Null pages count as empty and have empty text; a null ``url`` or ``page_id`` stays null.
+Rows that repeat get equal results each, other columns aren't read, an empty table gives
+no rows. Unclosed and stray tags are tolerated; a page cut off in the middle of a tag
+or of a script loses that tag. Every event takes a bounded number of steps, whatever is open.
 """
 
 from __future__ import annotations
@@ -38,17 +40,17 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-EXCLUDED = frozenset("script style noscript template head title nav header footer aside form button select textarea input option iframe object embed svg canvas math audio video dialog menu".split())
+EXCLUDED = frozenset("script style noscript template head title nav header footer aside form button select textarea input option iframe object embed svg canvas audio video dialog menu".split())
 HOLDERS = frozenset("article main section div td body".split())
-#: Words that begin or end a class or id by which an element isn't content.
-NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead header cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond reply replies widget widgets toolbar pagination pager skip hidden".split()
-)
+#: Words that begin or end a class or id of a menu, header, footer, sidebar, notice, advert, form or of reader comments.
+NOISE = frozenset("menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar sidebars notice notices cookie cookies consent gdpr ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners form forms comment comments disqus".split())
 #: Words before one of those by which a class speaks of the layout, and before "header" of the article's own heading.
 LAYOUT = frozenset("no has with without hide show".split())
 OWN = frozenset("article entry post story content".split())
 NAME = re.compile(r"[A-Za-z]+")
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Tags that end an open element of their own name.
+CLOSING = frozenset("p li td th tr dt dd option".split())
 SPACE = re.compile(r"\s+")
 SIGMA = 2.0  #: lines over which ratios are smoothed
 NEXT = 25  #: characters of a text next to the region that belongs to it, if no heading or paragraph
@@ -67,23 +69,27 @@ def is_noise(name: str) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, characters in links, containers from the outermost, is a heading or paragraph)."""
+    """Lines of a page: (text, tags, characters in links, container, is a heading or paragraph).
+
+    ``parent``, ``begins`` and ``ends`` give each container's holder and the lines that it holds.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.link = self.met = self.heading = self.articles = 0
-        self.holders: list[int] = []  # numbers of the open containers
-        self.bodies: set[int] = set()  # of those that are a body
-        self.wholes: set[int] = set()  # of those that are an article or main
+        self.tags = self.linked = self.link = self.heading = self.articles = self.silent = 0
+        self.parent, self.begins, self.ends, self.kind = [-1], [0], [0], [""]  # container 0 is the page
+        self.holder = 0
         self.open: list[tuple[str, bool, bool]] = []  # (tag, is excluded, is an article)
-        self.silent = 0
+        self.places: dict[str, list[int]] = {}  # of the open tags by name
+        self.walls: list[int] = []  # places of open blocks and excluded elements
+        self.stops: list[int] = []  # places of open articles and bodies
 
     def end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, tuple(self.holders), self.heading > 0))
+            self.lines.append((text, self.tags, self.linked, self.holder, self.heading > 0))
             self.tags = self.linked = 0
         self.text = []
 
@@ -94,63 +100,63 @@ class Lines(HTMLParser):
             self.tags += 1
         if tag in VOID:
             return
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
-            self._close_implied(tag)
+        # A paragraph or item ends the one before it that wasn't closed, if no other block or excluded element is open in that.
+        if tag in CLOSING and self.walls and self.open[self.walls[-1]][0] == tag:
+            self._close(self.walls[-1])
         named = dict(attrs)
-        article = tag in ("article", "main") or named.get("role") in ("article", "main")
+        role = named.get("role")
+        article = tag in ("article", "main") or role in ("article", "main")
         noise = tag in EXCLUDED and not (tag == "header" and self.articles and not self.silent)
-        noise = noise or (tag not in ("html", "body") and not article and (named.get("role") in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or any(is_noise(named.get(k) or "") for k in ("class", "id"))))
+        noise = noise or (tag not in ("html", "body") and not article and (role in ROLES or any(is_noise(named.get(k) or "") for k in ("class", "id"))))
+        at = len(self.open)
         self.open.append((tag, noise, article))
+        self.places.setdefault(tag, []).append(at)
+        if noise or tag in BLOCKS or tag == "option":
+            self.walls.append(at)
+        if tag in ("article", "body"):
+            self.stops.append(at)
         self.silent += noise
         self.articles += article
         if tag in HOLDERS:
-            self.met += 1
-            self.holders.append(self.met)
-            if article:
-                self.wholes.add(self.met)
-            elif tag == "body":
-                self.bodies.add(self.met)
+            self.parent.append(self.holder)
+            self.begins.append(len(self.lines))
+            self.ends.append(-1)
+            self.kind.append("whole" if article else tag)
+            self.holder = len(self.parent) - 1
         self.heading += tag in HEADINGS or tag == "p"
-        if tag == "a":
-            self.link += 1
+        self.link += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
             self.end_line()
 
-    def _close_implied(self, tag: str) -> None:
-        """A paragraph or item ends the one before it that wasn't closed."""
-        stop = {"p": {"div", "article", "section", "main", "body", "td", "li", "blockquote"}, "li": {"ul", "ol", "menu"}, "option": {"select"}}.get(tag, {"table", "tr"} if tag in ("td", "th") else {"table", "dl"})
-        for k in range(len(self.open) - 1, -1, -1):
-            name, noise, _ = self.open[k]
-            if name == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if name in stop or noise or (name in BLOCKS and name != tag):
-                return
-
-    def _pop(self) -> None:
-        tag, noise, article = self.open.pop()
-        self.silent -= noise
-        self.articles -= article
-        if tag in HOLDERS:
-            self.holders.pop()
-        self.heading -= tag in HEADINGS or tag == "p"
-        self.link -= tag == "a"
+    def _close(self, place: int) -> None:
+        """Closes the element at a place and all that is open in it."""
+        while len(self.open) > place:
+            tag, noise, article = self.open.pop()
+            self.places[tag].pop()
+            for held in (self.walls, self.stops):
+                if held and held[-1] == len(self.open):
+                    held.pop()
+            self.silent -= noise
+            self.articles -= article
+            if tag in HOLDERS:
+                self.ends[self.holder] = len(self.lines)
+                self.holder = self.parent[self.holder]
+            self.heading -= tag in HEADINGS or tag == "p"
+            self.link -= tag == "a"
 
     def handle_endtag(self, tag):
         if tag in BLOCKS or tag in EXCLUDED:
             self.end_line()
         if not self.silent:
             self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if self.open[k][0] in ("article", "body") and tag not in ("article", "body", "html", "main"):
-                return  # a stray end tag doesn't close what holds it
+        if not self.places.get(tag):
+            return
+        place = self.places[tag][-1]
+        # A stray end tag doesn't close what holds it.
+        if tag in ("article", "body", "html", "main") or not self.stops or self.stops[-1] < place:
+            self._close(place)
 
     def handle_data(self, data):
         if not self.silent:
@@ -158,9 +164,11 @@ class Lines(HTMLParser):
             if self.link:
                 self.linked += len(data.strip())
 
-    def finish(self) -> list[tuple[str, int, int, tuple[int, ...], bool]]:
+    def finish(self) -> list[tuple[str, int, int, int, bool]]:
         self.close()
         self.end_line()
+        self._close(0)
+        self.ends[0] = len(self.lines)
         return self.lines
 
 
@@ -188,6 +196,11 @@ def threshold(values: np.ndarray) -> float:
     return at if high.mean() > APART * low.mean() else float(values.min())
 
 
+def ratios_of(lines: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
+    """Characters outside links to a tag, of each line."""
+    return np.array([(len(text) - linked) / max(tags, 1) for text, tags, linked, _, _ in lines], float)
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page; blocks in page order joined by a space."""
     parser = Lines()
@@ -195,28 +208,43 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    ratios = smoothed(np.array([(len(x[0]) - x[2]) / max(x[1], 1) for x in lines], float))
+    ratios = smoothed(ratios_of(lines))
     chosen = np.flatnonzero(ratios >= threshold(ratios)).tolist()
     links = lambda x: 2 * x[2] > len(x[0])
     chosen = [k for k in chosen if lines[k][4] or not links(lines[k])] or chosen
-    # The containers that hold all chosen lines, from the outermost.
-    common = lines[chosen[0]][3]
-    for k in chosen:
-        common = common[: next((d for d, (a, b) in enumerate(zip(common, lines[k][3])) if a != b), min(len(common), len(lines[k][3])))]
-    whole = next((n for n in reversed(common) if n in parser.wholes), common[-1] if common else 0)
-    if whole and whole not in parser.bodies:
-        return " ".join(x[0] for x in lines if whole in x[3])
-    own = {n for k in chosen for n in lines[k][3] if n in parser.wholes}
-    region = [k for k, x in enumerate(lines) if not own.isdisjoint(x[3])]
-    near = lambda x: not links(x) and (x[4] or len(x[0]) >= NEXT)
-    first, last = min(chosen[:1] + region[:1]), max(chosen[-1:] + region[-1:])
-    while first and near(lines[first - 1]):
-        first -= 1
-    while last + 1 < len(lines) and near(lines[last + 1]):
-        last += 1
+    first, last = region(parser, chosen)
+    if first is None:
+        # No container but the body: the articles of the chosen lines, and what stands next to them.
+        first, last = chosen[0], chosen[-1]
+        for k in (first, last):
+            if whole := enclosing(parser, lines[k][3], "whole"):
+                first, last = min(first, parser.begins[whole]), max(last, parser.ends[whole] - 1)
+        near = lambda x: not links(x) and (x[4] or len(x[0]) >= NEXT)
+        while first and near(lines[first - 1]):
+            first -= 1
+        while last + 1 < len(lines) and near(lines[last + 1]):
+            last += 1
     return " ".join(x[0] for x in lines[first : last + 1])
 
 
+def enclosing(parser: Lines, holder: int, kind: str) -> int:
+    """The innermost container of a kind at or around a container; 0 for none."""
+    while holder and parser.kind[holder] != kind:
+        holder = parser.parent[holder]
+    return holder
+
+
+def region(parser: Lines, chosen: list[int]) -> tuple[int | None, int | None]:
+    """First and last line of the innermost container of all chosen lines, or of the article around it; None where that is the body."""
+    holder = parser.lines[chosen[0]][3]
+    while holder and parser.ends[holder] <= chosen[-1]:
+        holder = parser.parent[holder]
+    holder = enclosing(parser, holder, "whole") or holder
+    if not holder or parser.kind[holder] == "body":
+        return None, None
+    return parser.begins[holder], parser.ends[holder] - 1
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``."""
     light_batches(pages.sparkSession)
