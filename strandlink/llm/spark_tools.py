@@ -88,6 +88,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges_of(spark: SparkSession, size: int | None, held: int = 32 << 20) -> int:
+    """A power of two of ranges by which the records of ``size`` bytes of text are grouped, each about ``held`` bytes at most."""
+    least = max(64, 2 * partitions(spark), (size or 0) // held)
+    return 1 << (least - 1).bit_length()
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with its rows counted from 0 in ``order``.
 

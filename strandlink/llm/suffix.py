@@ -6,39 +6,47 @@ that length are equal only if they have the same anchor (the leftmost of its
 ``ANCHOR``-byte pieces with the least hash) at the same place, so it is enough to
 compare the windows of anchors with equal pieces:
 
-1. *Anchors.* Anchors travel as packed bytes to the range of their hash. Anchors
-   alone with their piece are done; where all that its windows span is equal to
-   an earlier anchor's, all its windows are repeats.
+1. *Anchors.* Of anchors that are equal in a stretch of texts in all that their
+   windows span, the first travels, packed, to the range of its hash; the others
+   are repeats as a whole. There, anchors alone with their piece are done, and those
+   whose span is equal to an earlier anchor's are repeats as a whole (by a 32-byte
+   piece and a span that agree in two hashes of 64 bits).
 2. *Suffixes.* The anchors that are left send the bytes that their windows span.
    What stands right of them, and reversed what stands left, is sorted deep and
    shallow: multikey quicksort to a shallow depth (by eight bytes a time), then
    blind tries for the groups that still agree. The longest common prefixes of
    neighbours in both orders say which windows are equal, byte for byte. A piece
-   that stands in very many surroundings (the border of a common passage) doesn't
-   go to one task: its windows are grouped by two 64-bit hashes each.
+   in very many surroundings (the border of a common passage) is split by further
+   bytes: the windows that begin 0 to 34 bytes before the anchor all hold the 66 bytes
+   from it, the others the 35 bytes before it, and so on by halves, until a group is
+   small enough for one task; windows that stay together to the end are grouped by
+   their bytes.
 3. *Removal.* Every document is joined with the starts of its repeated windows.
 
 Null texts count as empty. Rows of one ``doc_id`` are ordered by their texts'
 hashes, null ids come last; rows equal in both are one document and get equal
-results. Texts shorter than ``LENGTH`` keep every byte.
+results. Texts shorter than ``LENGTH`` keep every byte. Other columns aren't read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .spark_tools import light_batches, partitions, pieces, ranked, record, release, stash
+from .spark_tools import light_batches, pieces, ranges_of, ranked, record, release, stash
 
 LENGTH, ANCHOR = 100, 32
 REACH = LENGTH - ANCHOR  #: bytes of a window before its anchor at most
 SHALLOW = 32  #: depth of the multikey quicksort
-HOT = 5000  #: different surroundings of a piece from which its windows are grouped one by one
+HOT = 5000  #: different surroundings of a piece from which it is split by further bytes
+STRETCH = 1 << 19  #: anchors of a task among which equal ones are found before they travel
 PLACE = 28  #: bits of a place in a batch, beside the high bits of the hash
 
 
@@ -77,10 +85,48 @@ FLAGS = pa.schema([("whole", pa.bool_()), ("hot", pa.bool_()), ("ord", pa.int64(
 FLAGS_SQL = "whole boolean, hot boolean, ord long, at int, first int, last int"
 
 
-def _scan(ranges: int):
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+RUN_TYPE = np.dtype([("ord", "<i8"), ("first", "<i4"), ("last", "<i4")])
 
+
+def _range_of(hashed: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each anchor. Hashes of anchors are the least of many, so they are mixed once more."""
+    return (kernel.mix(hashed) >> np.uint64(64 - (ranges.bit_length() - 1))).astype(np.int64)
+
+
+def _parted(names: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows packed by name; ``names`` are sorted."""
+    found, starts = np.unique(names, return_index=True)
+    ends = np.append(starts[1:], len(names))
+    return record(PARTS, found, pa.array([rows[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()))
+
+
+def _sorted_out(hashed: np.ndarray, rows: np.ndarray, ranges: int):
+    """Of a stretch: the first of equal anchors by range of hash, and the windows of the others as runs, by document, in ranges below 0."""
+    order = np.lexsort((rows["at"], rows["ord"], rows["span"], hashed))
+    hashed, rows = hashed[order], rows[order]
+    again = np.append(False, (hashed[1:] == hashed[:-1]) & (rows["span"][1:] == rows["span"][:-1]))
+    names = _range_of(hashed[~again], ranges)
+    by = np.argsort(names, kind="stable")
+    yield _parted(names[by], rows[~again][by])
+    if again.any():
+        some = rows[again]
+        runs = np.zeros(len(some), RUN_TYPE)
+        at = some["at"].astype(np.int64)
+        runs["ord"], runs["first"], runs["last"] = some["ord"], at - some["left"], at + some["right"] - REACH
+        runs = runs[np.lexsort((runs["first"], runs["ord"]))]
+        fresh = np.append(True, (runs["ord"][1:] != runs["ord"][:-1]) | (runs["first"][1:] > runs["last"][:-1] + 1))
+        edges = np.flatnonzero(fresh)
+        last = runs["last"][np.append(edges[1:], len(runs)) - 1]
+        runs = runs[edges]
+        runs["last"] = last
+        names = -1 - (kernel.mix(runs["ord"].view(np.uint64).copy()) % np.uint64(ranges)).astype(np.int64)
+        by = np.argsort(names, kind="stable")
+        yield _parted(names[by], runs[by])
+
+
+def _scan(ranges: int, stretch: int):
     def of(batches):
+        hashes, waiting, held = [], [], 0
         for piece in pieces(batches):
             data, offsets = kernel.text_bytes(piece.column("text"))
             text, place, first, last, sums = anchors(data, offsets)
@@ -93,12 +139,14 @@ def _scan(ranges: int):
             rows["span"] = kernel.mix(kernel.spans(sums, first, last + LENGTH) + rows["left"].astype(np.uint64))
             rows["ord"] = piece.column("ord").to_numpy(zero_copy_only=False)[text]
             rows["at"] = place - offsets[:-1][text]
-            r = (hashed >> shift).astype(np.int64)
-            order = np.argsort(r, kind="stable")
-            r, rows = r[order], rows[order]
-            names, starts = np.unique(r, return_index=True)
-            ends = np.append(starts[1:], len(r))
-            yield record(PARTS, names, pa.array([rows[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()))
+            hashes.append(hashed)
+            waiting.append(rows)
+            held += len(rows)
+            if held >= stretch:
+                yield from _sorted_out(np.concatenate(hashes), np.concatenate(waiting), ranges)
+                hashes, waiting, held = [], [], 0
+        if held:
+            yield from _sorted_out(np.concatenate(hashes), np.concatenate(waiting), ranges)
 
     return of
 
@@ -107,7 +155,12 @@ def _flagged(hot: int):
     """Of one range: anchors whose windows are all repeats, and those whose bytes must be compared."""
 
     def of(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(b, ANCHOR_TYPE) for b in table.column("body").to_pylist()])
+        bodies = table.column("body").to_pylist()
+        if table.column("r")[0].as_py() < 0:
+            runs = np.concatenate([np.frombuffer(b, RUN_TYPE) for b in bodies])
+            yes, no = pa.array(np.ones(len(runs), bool)), pa.array(np.zeros(len(runs), bool))
+            return pa.Table.from_batches([record(FLAGS, yes, no, runs["ord"].copy(), runs["first"].copy(), runs["first"].copy(), runs["last"].copy())], schema=FLAGS)
+        rows = np.concatenate([np.frombuffer(b, ANCHOR_TYPE) for b in bodies])
         rows = rows[np.lexsort((rows["at"], rows["ord"], rows["span"], rows["piece"]))]
         piece = np.append(True, rows["piece"][1:] != rows["piece"][:-1])
         span = piece | np.append(True, rows["span"][1:] != rows["span"][:-1])
@@ -124,12 +177,13 @@ def _flagged(hot: int):
     return of
 
 
-SPANS = pa.schema([("r", pa.int64()), ("ord", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary())])
+#: An anchor with the bytes that its windows span, and the least and most bytes before it with which they are compared.
+SPANS = pa.schema([("r", pa.int64()), ("ord", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
+SPANS_SQL = "r long, ord long, at int, left int, bytes binary, low int, high int"
 
 
 def _sent(ranges: int):
     """The bytes that the windows of the flagged anchors span, to the range of the anchor's piece."""
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
 
     def of(batches):
         for piece in pieces(batches):
@@ -139,35 +193,14 @@ def _sent(ranges: int):
             owner = np.repeat(np.arange(piece.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
             at, first, last = (asked.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
             base = offsets[:-1][owner]
-            r = (kernel.spans(sums, base + at, base + at + ANCHOR) >> shift).astype(np.int64)
+            r = _range_of(kernel.spans(sums, base + at, base + at + ANCHOR), ranges)
             raw = data.tobytes()
             held = [raw[a:b] for a, b in zip((base + first).tolist(), (base + last + LENGTH).tolist(), strict=True)]
-            yield record(SPANS, r, piece.column("ord").take(pa.array(owner)), at.astype(np.int32), (at - first).astype(np.int32), pa.array(held, pa.binary()))
+            yield record(SPANS, r, piece.column("ord").take(pa.array(owner)), at.astype(np.int32), (at - first).astype(np.int32), pa.array(held, pa.binary()), np.zeros(len(at), np.int32), np.full(len(at), REACH, np.int32))
 
     return of
 
 
-#: Bytes in another order, so that the second hash of a window doesn't follow from the first.
-SHUFFLED = np.argsort(kernel.mix(np.arange(256, dtype=np.uint64))).astype(np.uint8)
-WINDOWS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ord", pa.int64()), ("start", pa.int32())])
-
-
-def _windows(batches):
-    """Two hashes of every window of the asked anchors."""
-    for piece in pieces(batches):
-        data, offsets = kernel.text_bytes(piece.column("text"))
-        sums, other = kernel.prefix(data), kernel.prefix(SHUFFLED[data])
-        asked = piece.column("asked")
-        owner = np.repeat(np.arange(piece.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
-        first, last = (asked.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
-        n = last - first + 1
-        owner = np.repeat(owner, n)
-        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        at = offsets[:-1][owner] + start
-        a, b = (kernel.spans(s, at, at + LENGTH).view(np.int64) for s in (sums, other))
-        yield record(WINDOWS, a, b, piece.column("ord").take(pa.array(owner)), start.astype(np.int32))
-
-
 class BlindTrie:
     """Orders strings of one length: nodes know only how deep they branch and by which byte."""
 
@@ -268,7 +301,7 @@ def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _compared(table: pa.Table) -> pa.Table:
     """Of one range: the windows that repeat an earlier one, as runs of starts."""
     table = table.sort_by([("ord", "ascending"), ("at", "ascending")])
-    at, left = (table.column(c).to_numpy().astype(np.int64) for c in ("at", "left"))
+    at, left, low, high = (table.column(c).to_numpy().astype(np.int64) for c in ("at", "left", "low", "high"))
     held = table.column("bytes").combine_chunks()
     data, offsets = kernel.text_bytes(held)
     size = np.diff(offsets)
@@ -282,10 +315,11 @@ def _compared(table: pa.Table) -> pa.Table:
     before = padded[np.maximum(behind, 0)]
     before[j >= left[:, None]] = 0
     orders = [(*_classes(m),) for m in (right, before)]
-    shortest = LENGTH - (size - left)  # a window has this many bytes before the anchor at least
+    # A window has this many bytes before the anchor at least, and at most.
+    least, most = np.maximum(LENGTH - (size - left), low), np.minimum(left, high)
     repeated = np.zeros((n, REACH + 3), bool)
     for k in range(REACH + 1):
-        chosen = np.flatnonzero((shortest <= k) & (k <= left))
+        chosen = np.flatnonzero((least <= k) & (k <= most))
         if len(chosen) < 2:
             continue
         ids = []
@@ -334,27 +368,62 @@ def _kept(texts: bool):
     return of
 
 
-def _repeated_windows(source: DataFrame, flags: DataFrame) -> DataFrame:
-    """Windows of hot anchors that an earlier one equals, as runs of one start. Each task sums up its own windows first."""
-    asked = flags.where("hot and not whole").groupBy("ord").agg(F.collect_list(F.struct("at", "first", "last")).alias("asked")).withColumnRenamed("ord", "o")
-    found = source.join(asked, source["ord"] == F.col("o")).select("ord", "text", "asked").mapInArrow(_windows, "a long, b long, ord long, start int")
-    found = stash(found)
-    least = found.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.min(F.struct("ord", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(least, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).where(F.struct("ord", "start") != F.col("least"))
-    return later.select(F.lit(True).alias("whole"), F.lit(True).alias("hot"), "ord", F.col("start").alias("at"), F.col("start").alias("first"), F.col("start").alias("last"))
+def _asked(source: DataFrame, flags: DataFrame, ranges: int) -> DataFrame:
+    """The bytes that the windows of the anchors in ``flags`` span."""
+    asked = flags.groupBy("ord").agg(F.collect_list(F.struct("at", "first", "last")).alias("asked")).withColumnRenamed("ord", "o")
+    # Always by sorted shuffles, so that what is moved grows as the input does.
+    rows = source.join(asked.hint("merge"), source["ord"] == F.col("o")).select("ord", "text", "asked")
+    return rows.mapInArrow(_sent(ranges), SPANS_SQL)
 
 
-def deduplicated(docs: DataFrame, texts: bool = True, hot: int = HOT) -> DataFrame:
+def _split(sent: DataFrame, ranges: int, hot: int) -> DataFrame:
+    """Repeated windows of anchors whose pieces are in more than ``hot`` surroundings, as runs.
+
+    Windows with ``low`` to ``high`` bytes before the anchor share the bytes from ``low`` before it to
+    ``LENGTH - high`` after it, so anchors that differ in those share none of them. Groups
+    of at most ``hot`` anchors are compared in a task; larger ones are halved.
+    """
+
+    def halves(rows: DataFrame) -> DataFrame:
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        both = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
+        rows = rows.select("ord", "at", "left", "bytes", F.explode(both).alias("x")).select("ord", "at", "left", "bytes", "x.*")
+        least = F.greatest(F.lit(0), LENGTH - (F.length("bytes") - F.col("left")))
+        return rows.where((F.col("low") <= F.col("left")) & (F.col("high") >= least))
+
+    def held(size: Column) -> Column:
+        return F.substring(F.col("bytes"), F.col("left") - F.col("low") + 1, size)
+
+    rows, found = sent.drop("r"), []
+    for _ in range(REACH.bit_length()):
+        rows = halves(rows.where("low < high")).withColumn("name", F.xxhash64("low", held(LENGTH - (F.col("high") - F.col("low")))))
+        rows = stash(rows)
+        sizes = rows.groupBy("name").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("name", "n")
+        rows = stash(rows.join(sizes, F.col("name") == F.col("n")).drop("n"))
+        small = rows.where(F.col("size") <= hot).withColumn("r", F.pmod("name", F.lit(ranges)))
+        found.append(stash(small.select(*SPANS.names).groupBy("r").applyInArrow(_compared, FLAGS_SQL)))
+        rows = rows.where(F.col("size") > hot).drop("name", "size")
+        last = rows.where("low = high").select("ord", (F.col("at") - F.col("low")).alias("start"), held(F.lit(LENGTH)).alias("window"))
+        # Tasks sum up their own windows before they travel.
+        first = last.groupBy(F.col("window").alias("w")).agg(F.min(F.struct("ord", "start")).alias("first"))
+        later = last.join(first, F.col("window") == F.col("w")).where(F.struct("ord", "start") != F.col("first"))
+        yes = F.lit(True)
+        found.append(stash(later.select(yes.alias("whole"), yes.alias("hot"), "ord", F.col("start").alias("at"), F.col("start").alias("first"), F.col("start").alias("last"))))
+        if rows.where("low < high").isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def deduplicated(docs: DataFrame, texts: bool = True, hot: int = HOT, stretch: int = STRETCH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans`` and the bytes ``kept`` of every row of ``docs(doc_id, text)``.
 
     With ``texts=False``, ``kept_sha256`` in place of ``kept``.
     """
     spark = docs.sparkSession
     light_batches(spark)
-    tasks = partitions(spark)
-    ranges = 1 << max(6, (2 * tasks - 1).bit_length())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = rows.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    count = rows.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ranges = ranges_of(spark, count["bytes"])
     if count["rows"] == count["ids"]:
         rows = rows.withColumn("ord", F.col("doc_id"))
     else:
@@ -362,16 +431,15 @@ def deduplicated(docs: DataFrame, texts: bool = True, hot: int = HOT) -> DataFra
         places = ranked(key.distinct(), [F.col("doc_id").asc_nulls_last(), F.col("h")], "ord").select(F.col("doc_id").alias("i"), F.col("h").alias("g"), "ord")
         rows = rows.join(places, rows["doc_id"].eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("g"))).select("doc_id", "text", "ord")
     source = rows.select("ord", "text") if count["rows"] == count["ids"] else rows.select("ord", "text").dropDuplicates(["ord"])
-    flags = stash(source.mapInArrow(_scan(ranges), "r long, body binary").groupBy("r").applyInArrow(_flagged(hot), FLAGS_SQL))
+    flags = stash(source.mapInArrow(_scan(ranges, stretch), "r long, body binary").groupBy("r").applyInArrow(_flagged(hot), FLAGS_SQL))
     release(spark)
-    asked = flags.where("not whole and not hot").groupBy("ord").agg(F.collect_list(F.struct("at", "first", "last")).alias("asked")).withColumnRenamed("ord", "o")
-    sent = source.join(asked, source["ord"] == F.col("o")).select("ord", "text", "asked").mapInArrow(_sent(ranges), "r long, ord long, at int, left int, bytes binary")
-    runs = stash(sent.groupBy("r").applyInArrow(_compared, FLAGS_SQL))
+    runs = stash(_asked(source, flags.where("not whole and not hot"), ranges).groupBy("r").applyInArrow(_compared, FLAGS_SQL))
     release(spark)
-    if not flags.where("hot and not whole").isEmpty():
-        runs = runs.unionByName(stash(_repeated_windows(source, flags)))
+    often = flags.where("not whole and hot")
+    if not often.isEmpty():
+        runs = runs.unionByName(_split(stash(_asked(source, often, ranges)), ranges, hot))
         release(spark)
     runs = flags.where("whole").unionByName(runs).groupBy("ord").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumnRenamed("ord", "o")
-    joined = rows.join(runs, rows["ord"] == F.col("o"), "left").select("doc_id", "text", "runs")
+    joined = rows.join(runs.hint("merge"), rows["ord"] == F.col("o"), "left").select("doc_id", "text", "runs")
     last = "kept binary" if texts else "kept_sha256 string"
     return joined.mapInArrow(_kept(texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
