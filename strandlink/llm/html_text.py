@@ -10,8 +10,8 @@ that begins or ends with a word for one of them.
 
 The ratio of text to tags, links left out, is smoothed along the page by a Gaussian,
 and the smoothed ratios are split into two clusters, at the threshold midway between
-their means. The upper cluster's lines are content, but for lines of links, which
-smoothing lifts where they stand next to text. The region grows from them to the
+their means. The upper cluster's lines are content, but for those that smoothing alone lifts
+there from next to text and that are no heading or paragraph. The region grows from them to the
 innermost container that holds them all, or to the article or main that this lies
 in, so that its short lines stay. Where that is the whole body, the region is from
 the first to the last of them and of the articles that they lie in, with the
@@ -208,10 +208,13 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    ratios = smoothed(ratios_of(lines))
-    chosen = np.flatnonzero(ratios >= threshold(ratios)).tolist()
+    own = ratios_of(lines)
+    ratios = smoothed(own)
+    limit = threshold(ratios)
+    chosen = np.flatnonzero(ratios >= limit).tolist()
     links = lambda x: 2 * x[2] > len(x[0])
-    chosen = [k for k in chosen if lines[k][4] or not links(lines[k])] or chosen
+    # Next to text, smoothing lifts what isn't; only headings and paragraphs may be short there.
+    chosen = [k for k in chosen if lines[k][4] or own[k] >= limit] or chosen
     first, last = region(parser, chosen)
     if first is None:
         # No container but the body: the articles of the chosen lines, and what stands next to them.

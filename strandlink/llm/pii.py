@@ -1,16 +1,22 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
-Base entities (email, ip, card, phone) are matched by fixed patterns. They seed a
-graph between *patterns* (up to two words and the marks before an identifier, in
-small letters, digits as 0) and *instances* (identifier-like strings: 8 or more
-letters, digits and joining marks, 4 digits at least). Patterns are scored by the share of
-their instances that is believed in and by how many there are, instances by the
-patterns that find them; the scores are iterated, and patterns of high confidence
-give the identifiers that the base patterns miss.
+Base entities (email, ip, card, phone) are matched by fixed patterns. They and long
+mixed tokens (``secret``: 32 or more letters and digits, both of them) seed a graph between
+*patterns* and *instances*. Instances are identifier-like strings: addresses with an at
+sign, groups of digits joined by single marks or spaces (7 digits at least), tokens of
+8 or more characters with 4 digits. The patterns of an occurrence are its words in small letters,
+digits as 0: the two words before with the marks between, the one before, the one after, and
+those two together, so that what a longer pattern saw too rarely a shorter one can carry.
+
+A pattern's confidence for a kind is the mean belief in its distinct instances as such; seeds
+of another kind count as 0. An instance that is no seed is believed in as much as its best
+pattern says, and half at first, for the kinds that its form allows. The scores are iterated
+until the patterns of high confidence stay the same; those, where enough different
+seeds support them, give the identifiers that the base patterns miss.
 
 Everything is a DataFrame expression; no row leaves the JVM. Null texts count as
 empty. Rows that are equal in ``doc_id`` and ``text`` get equal results. Offsets
-are code points, ends exclusive.
+are code points, ends exclusive. Of kinds of equal confidence the first as listed is taken.
 """
 
 from __future__ import annotations
@@ -28,20 +34,33 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-CANDIDATE = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9._@+-]++"
-
-ROUNDS = 3
-BELIEVED, SUPPORT = 0.8, 3  #: a pattern's least confidence, and the distinct believed instances it needs
+#: Addresses, digits in groups, and single tokens with a digit; no run is tried from each of its places.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9._%@+-])(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++"
+    r"|[+(]{0,2}+[0-9]++(?:[)]?+[\x20./-]?+[(]?+[0-9]++)++(?![A-Za-z0-9_@])"
+    r"|(?=[A-Za-z._+-]*+[0-9])[A-Za-z0-9._+-]++)"
+)
+#: Kinds of discovered spans, and the forms that they may have.
+NAMES = (*KINDS, "secret")
+FORMS = (r"^[^@]+@[^@]+$", r"^[0-9]+(?:[.:][0-9]+){2,}$", r"^[0-9][0-9\x20-]*$", r"^[+(]*[0-9][0-9\x20()./-]*$", r"^(?=.*[A-Za-z])[A-Za-z0-9_.+-]+$")
+SECRET = r"^(?=[A-Za-z_+-]*[0-9])(?=[0-9_+-]*[A-Za-z])[A-Za-z0-9_+-]{32,}$"
+
+MOST_ROUNDS = 50  #: rounds after which scores that still change are taken as they are
+BELIEVED = 0.8  #: a pattern's least confidence
+SUPPORT = {"two": 3, "around": 3, "before": 5, "after": 5}  #: different seeds that a pattern needs
 
 
 def found(text: Column, pattern: str, context: bool = False) -> Column:
-    """All matches as ``array<struct<start, end, value[, before]>>``, in order.
+    """All matches as ``array<struct<start, end, value[, before, after]>>``, in order.
 
     The pieces between the matches and the matches themselves give the offsets.
-    ``before``: the last 40 code points of the piece before.
+    ``before`` and ``after``: 60 code points of the pieces next to the match.
     """
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    extra = ", before string" if context else ""
+    pieces = F.split(text, pattern, -1)
+    zipped = [pieces.alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")]
+    if context:
+        zipped.append(F.transform(F.slice(pieces, 2, F.size(pieces)), lambda x: F.substring(x, 1, 60)).alias("after"))
+    extra = ", before string, after string" if context else ""
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<start int, end int, value string{extra}>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -49,10 +68,10 @@ def found(text: Column, pattern: str, context: bool = False) -> Column:
         last = first + F.coalesce(F.length(x["value"]), F.lit(0))
         fields = [first.alias("start"), last.alias("end"), x["value"].alias("value")]
         if context:
-            fields.append(F.substring(x["piece"], -40, 40).alias("before"))
+            fields += [F.substring(x["piece"], -60, 60).alias("before"), x["after"].alias("after")]
         return F.struct(last.alias("at"), F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(*fields)))).alias("spans"))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(zipped, start, step, lambda acc: acc["spans"])).otherwise(start["spans"])
+    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(F.arrays_zip(*zipped), start, step, lambda acc: acc["spans"])).otherwise(start["spans"])
 
 
 def luhn(value: Column) -> Column:
@@ -87,36 +106,63 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(marked(spans, k) for k, spans in enumerate(kinds))))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Identifier-like strings with their patterns; ``kind`` is that of a base entity they overlap, else null."""
-    near = F.filter(found(text, CANDIDATE, context=True), lambda c: (F.length(c["value"]) >= 8) & (F.length(F.regexp_replace(c["value"], "[^0-9]", "")) >= 4))
-    pattern = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c["before"], r"(?:\S++\s++){0,2}\S*+$", 0)), "[0-9]+", "0")
-    kind = lambda c: F.get(F.filter(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])), F.lit(0))["kind"]
-    return F.when(text.rlike("[0-9]"), F.transform(near, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), pattern(c).alias("pattern"), F.when(F.size(base) > 0, kind(c)).alias("kind")))).otherwise(F.array().cast("array<struct<start int, end int, value string, pattern string, kind int>>"))
-
+CANDIDATES = "array<struct<start int, end int, value string, kind int, patterns array<struct<form string, words string>>>>"
 
-def patterns(occurrences: DataFrame, rounds: int = ROUNDS, believed: float = BELIEVED, support: int = SUPPORT) -> DataFrame:
-    """``pattern, kind`` of high confidence, from ``occurrences(pattern, value, kind)``.
 
-    ``kind`` marks the seeds. A pattern's confidence for a kind is the mean belief
-    in its distinct instances, as far as that kind goes, and 0 while fewer than
-    ``support`` of them are believed in. An instance is believed in as much as in
-    its best pattern; seeds always are.
-    """
-    edges = occurrences.where("trim(pattern) <> ''").groupBy("pattern", "value").agg(F.min("kind").alias("seed"))
-    edges = stash(edges)
-    belief = edges.groupBy("value").agg(F.min("seed").alias("kind")).where("kind is not null").withColumn("belief", F.lit(1.0))
-    scored = None
-    for _ in range(rounds):
-        sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-        sums = edges.join(belief, "value").groupBy("pattern", "kind").agg(F.sum("belief").alias("b"), F.sum((F.col("belief") >= believed).cast("long")).alias("sure"))
-        scored = stash(sums.join(sizes, "pattern").where(F.col("sure") >= support).select("pattern", "kind", (F.col("b") / F.col("n")).alias("confidence")))
-        best = edges.join(scored, "pattern").groupBy("value").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("best"))
-        seeds = edges.groupBy("value").agg(F.min("seed").alias("seed"))
-        belief = seeds.join(best, "value", "left").select("value", F.coalesce("seed", -F.col("best.col2")).alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("best.confidence")).alias("belief")).where("belief is not null")
-        belief = stash(belief)
-    top = scored.where(F.col("confidence") >= believed).groupBy("pattern").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("best"))
-    return top.select("pattern", (-F.col("best.col2")).cast("int").alias("kind"))
+def candidates(text: Column, base: Column) -> Column:
+    """Identifier-like strings with their patterns; ``kind`` is that of a base entity they overlap, or secret, else null."""
+
+    def likely(c: Column) -> Column:
+        digits = F.length(F.regexp_replace(c["value"], "[^0-9]", ""))
+        grouped = c["value"].rlike(r"^[0-9\x20()./+-]+$")
+        return c["value"].contains("@") | F.when(grouped, digits >= 7).otherwise((F.length(c["value"]) >= 8) & (digits >= 4))
+
+    def patterns_of(c: Column) -> Column:
+        plain = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "0"), r"\s+", " ")
+        two = plain(F.regexp_extract(c["before"], r"(?:\S++\s++){2}\S*+$", 0))
+        one = plain(F.regexp_extract(c["before"], r"(?:\S++\s++)?+\S*+$", 0))
+        after = plain(F.regexp_extract(c["after"], r"^\S*+(?:\s++\S++)?+", 0))
+        both = F.when(one.rlike(r"\p{L}") & after.rlike(r"\p{L}"), F.concat_ws(" _ ", one, after)).otherwise("")
+        named = F.array(*(F.struct(F.lit(k).alias("form"), v.alias("words")) for k, v in (("two", two), ("before", one), ("after", after), ("around", both))))
+        return F.filter(named, lambda x: x["words"].rlike(r"\p{L}"))
+
+    def kind(c: Column) -> Column:
+        of_base = F.get(F.filter(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])), F.lit(0))["kind"]
+        return F.coalesce(F.when(F.size(base) > 0, of_base), F.when(c["value"].rlike(SECRET), len(KINDS)))
+
+    near = F.filter(found(text, CANDIDATE, context=True), likely)
+    out = F.transform(near, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), kind(c).alias("kind"), patterns_of(c).alias("patterns")))
+    return F.when(text.rlike("[0-9@]"), out).otherwise(F.array().cast(CANDIDATES))
+
+
+def allowed(value: Column) -> Column:
+    """The kinds that a string's form allows."""
+    return F.filter(F.array(*(F.when(value.rlike(f), F.lit(k)) for k, f in enumerate(FORMS))), lambda k: k.isNotNull())
+
+
+def patterns(occurrences: DataFrame, believed: float = BELIEVED, support: dict[str, int] | None = None) -> DataFrame:
+    """``form, words, kind, confidence`` of high confidence, from ``occurrences(form, words, value, kind)``; ``kind`` marks the seeds."""
+    least = F.create_map(*(F.lit(x) for item in (support or SUPPORT).items() for x in item))
+    edges = stash(occurrences.groupBy("form", "words", "value").agg(F.min("kind").alias("seed")))
+    values = edges.groupBy("value").agg(F.min("seed").alias("seed"))
+    seeds = values.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("belief"))
+    open_ = stash(values.where("seed is null").select("value", F.explode(allowed(F.col("value"))).alias("kind")))
+    sizes = edges.groupBy("form", "words").agg(F.count("*").alias("n"))
+    # Only patterns with enough seeds of a kind can come to be believed in.
+    held = edges.join(seeds.drop("belief"), "value").groupBy("form", "words", "kind").agg(F.count("*").alias("sure"))
+    held = stash(held.where(F.col("sure") >= least[F.col("form")]).join(sizes, ["form", "words"]))
+    reached = stash(edges.where("seed is null").select("form", "words", "value").join(held.select("form", "words", "kind", "sure", "n"), ["form", "words"]).join(open_, ["value", "kind"]))
+    belief, before = open_.withColumn("belief", F.lit(0.5)), None
+    for _ in range(MOST_ROUNDS):
+        more = reached.join(belief, ["value", "kind"]).groupBy("form", "words", "kind").agg(F.sum("belief").alias("more"))
+        scored = held.join(more, ["form", "words", "kind"], "left")
+        scored = stash(scored.select("form", "words", "kind", ((F.col("sure") + F.coalesce("more", F.lit(0.0))) / F.col("n")).alias("confidence")))
+        now = scored.where(F.col("confidence") >= believed).agg(F.count("*"), F.sum(F.xxhash64("form", "words", "kind").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+        belief = reached.select("form", "words", "value", "kind").join(scored, ["form", "words", "kind"]).groupBy("value", "kind").agg(F.max("confidence").alias("belief"))
+    return scored.where(F.col("confidence") >= believed)
 
 
 def spotted(docs: DataFrame) -> DataFrame:
@@ -133,9 +179,14 @@ def spotted(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), "near")
     rows = stash(rows)
     seen = rows.select("doc_id", "h", F.explode("near").alias("c")).select("doc_id", "h", "c.*")
-    good = stash(patterns(seen)).withColumnRenamed("kind", "named")
-    new = seen.where("kind is null").join(good, "pattern")
-    new = new.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", F.col("named").alias("kind"), "end")).alias("new"))
+    occurrences = seen.select("start", "end", "doc_id", "h", "value", "kind", F.explode("patterns").alias("p")).select("doc_id", "h", "start", "end", "value", "kind", "p.*")
+    good = stash(patterns(occurrences.select("form", "words", "value", "kind"))).withColumnRenamed("kind", "named")
+    by_pattern = occurrences.where("kind is null").join(good, ["form", "words"]).where(F.array_contains(allowed(F.col("value")), F.col("named")))
+    by_form = seen.where(F.col("kind") == len(KINDS)).select("doc_id", "h", "start", "end", F.col("kind").alias("named"), F.lit(1.0).alias("confidence"))
+    new = by_pattern.select("doc_id", "h", "start", "end", "named", "confidence").unionByName(by_form)
+    # Of an occurrence, the kind of its best pattern.
+    new = new.groupBy("doc_id", "h", "start", "end").agg(F.max(F.struct("confidence", (-F.col("named")).alias("no"))).alias("best"))
+    new = new.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", (-F.col("best.no")).alias("kind"), "end")).alias("new"))
     new = new.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "new")
     joined = rows.join(new, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left")
     spans = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "new")))
@@ -144,7 +195,7 @@ def spotted(docs: DataFrame) -> DataFrame:
 
 def written(spans: Column) -> Column:
     """``kind:start:end`` of all spans, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -168,7 +219,7 @@ def masked(docs: DataFrame) -> DataFrame:
     plan = spotted(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).distinct()
     rows = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = rows.join(plan, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")), "left")
-    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    names = F.array(*(F.lit(f"<{k.upper()}>") for k in NAMES))
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:

@@ -14,7 +14,8 @@ block of queries meets each block of members.
 
 Only vectors with equal, non-null labels are compared. Null vectors, vectors with
 null or non-finite components and zero vectors link with nothing. Vectors of each
-length have their own sample, codebook and lists.
+length have their own sample, codebook and lists. Rows that repeat a ``vec_id`` are vectors
+of their own, each counted; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import components, light_batches, partitions, record, stash
 
 SAMPLE, SUBSPACES, WORDS = 20_000, 8, 64
+LIST, MOST_LISTS = 2048, 1024  #: members of a list that are aimed at, and lists of a codebook at most
 BLOCK = 4096  #: members of a list that one task compares queries with at a time
+AT_ONCE = 1 << 20  #: table sums that are held at a time
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -47,10 +51,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
 class Codebook:
     """Coarse centroids, and the code words of the residuals' subspaces."""
 
-    def __init__(self, sample: np.ndarray, first: int = 0):
+    def __init__(self, sample: np.ndarray, rows: int = 0, first: int = 0):
         self.dim = sample.shape[1]
         self.first = first  # number of its first list
-        self.coarse = kmeans(sample, max(1, min(1024, int(len(sample) ** 0.5))))
+        # The lists grow in number as the rows do, as far as the sample can place them.
+        self.coarse = kmeans(sample, max(1, min(MOST_LISTS, len(sample), max(int(len(sample) ** 0.5), rows // LIST))))
         rest = sample - self.coarse[self.lists(sample)]
         edges = np.linspace(0, self.dim, SUBSPACES + 1).astype(int)
         self.parts = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b > a]
@@ -71,8 +76,12 @@ class Codebook:
         return np.concatenate([w[codes[:, k]] for k, w in enumerate(self.words)], 1)
 
     def tables(self, rest: np.ndarray) -> list[np.ndarray]:
-        """Squared distances of a query's residual to the code words of each subspace."""
-        return [((rest[a:b] - w) ** 2).sum(1) for (a, b), w in zip(self.parts, self.words, strict=True)]
+        """Squared distances of queries' residuals (rows) to the code words of each subspace."""
+        out = []
+        for (a, b), w in zip(self.parts, self.words, strict=True):
+            x = rest[:, a:b]
+            out.append(np.maximum((x**2).sum(1)[:, None] - 2 * x @ w.T + (w**2).sum(1), 0))
+        return out
 
 
 UNITS = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("key", pa.binary()), ("unit", pa.binary())])
@@ -81,18 +90,24 @@ UNITS = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("key", pa.bin
 def _units(batches):
     """Vectors scaled to length one, with a key that equal ones share; null where a vector links with nothing."""
     for batch in batches:
-        ids, labels = batch.column("vec_id"), batch.column("label")
-        keys, units = [], []
-        for label, v in zip(labels.to_pylist(), batch.column("v").to_pylist(), strict=True):
-            x = None if label is None or not v or None in v else np.array(v, np.float64)
-            if x is not None and np.isfinite(x).all() and x.any():
-                x = x / np.abs(x).max()
-                unit = (x / np.sqrt(x @ x) + 0.0).astype("<f8").tobytes()
-                keys.append(blake2b(unit + int(label).to_bytes(8, "little", signed=True), digest_size=16).digest())
-                units.append(unit)
-            else:
-                keys.append(None)
-                units.append(None)
+        ids, labels, vectors = batch.column("vec_id"), batch.column("label"), batch.column("v")
+        n = batch.num_rows
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        label = pc.fill_null(labels, 0).to_numpy(zero_copy_only=False).astype("<i8")
+        known = ~labels.is_null().to_numpy(zero_copy_only=False)
+        keys: list[bytes | None] = [None] * n
+        units: list[bytes | None] = [None] * n
+        for size in np.unique(sizes[known & (sizes > 0)]).tolist():
+            some = np.flatnonzero(known & (sizes == size))
+            # Null components are NaN here, and so link with nothing.
+            x = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            good = np.isfinite(x).all(1) & x.any(1)
+            some, x = some[good], x[good]
+            x = x / np.abs(x).max(1, keepdims=True)
+            x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 0.0
+            for i, raw in zip(some.tolist(), x.astype("<f8"), strict=True):
+                units[i] = raw.tobytes()
+                keys[i] = blake2b(units[i] + label[i].tobytes(), digest_size=16).digest()
         yield record(UNITS, ids, labels, pa.array(keys, pa.binary()), pa.array(units, pa.binary()))
 
 
@@ -143,12 +158,21 @@ class Block:
         self.chain = np.arange(len(rows))
         self.book, self.place = book, place
 
-    def near(self, unit: np.ndarray, cosine: float) -> np.ndarray:
-        """Members with at least that cosine: by tables first, then exactly."""
-        tables = self.book.tables(unit - self.book.coarse[self.place])
-        about = np.sqrt(sum(t[self.codes[:, k]] for k, t in enumerate(tables)))
-        some = np.flatnonzero(about <= np.sqrt(max(2 - 2 * cosine, 0)) + self.error + 1e-6)
-        return some[self.units[some] @ unit >= cosine]
+    def near(self, units: np.ndarray, cosine: float):
+        """For queries (rows) the members with at least that cosine, by tables first, then exactly: places of queries and members."""
+        reach = np.sqrt(max(2 - 2 * cosine, 0)) + self.error + 1e-6
+        step = max(1, AT_ONCE // len(self.keys))
+        for a in range(0, len(units), step):
+            some = units[a : a + step]
+            tables = self.book.tables(some - self.book.coarse[self.place])
+            about = tables[0][:, self.codes[:, 0]]
+            for k in range(1, len(tables)):
+                about = about + tables[k][:, self.codes[:, k]]
+            q, m = np.nonzero(about <= reach**2)
+            for c in range(0, len(q), 100_000):
+                i, j = q[c : c + 100_000], m[c : c + 100_000]
+                good = np.einsum("ij,ij->i", some[i], self.units[j]) >= cosine
+                yield i[good] + a, j[good]
 
     def links(self, key: bytes, found: np.ndarray) -> list[bytes]:
         """Members that ``key`` must be linked to so that it and ``found`` are connected."""
@@ -164,11 +188,28 @@ def _searched(held, cosine: float):
 
     def of(batches):
         books = held.value
-        name, members, block, rows = None, [], None, []
+        name, members, block, waiting, rows = None, [], None, [], []
+
+        def answer():
+            pairs = list(block.near(np.stack([np.frombuffer(u, "<f8") for _, u in waiting]), cosine))
+            q, m = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+            order = np.argsort(q, kind="stable")
+            edges = np.searchsorted(q[order], np.arange(len(waiting) + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                key, found = waiting[k][0], m[order[edges[k] : edges[k + 1]]]
+                own = block.names.get(key)
+                others = found if own is None else found[found != own]
+                if len(others):
+                    rows.append((key, None, int(block.counts[others].sum())))
+                    rows.extend((key, v, 0) for v in block.links(key, others if own is None else np.append(others, own)))
+            waiting.clear()
+
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("label", "list", "block", "queries", "probe", "key", "unit", "codes", "error", "copies")]
             for label, place, part, queries, probe, key, unit, codes, error, copies in zip(*columns, strict=True):
                 if (label, place, part, queries) != name:
+                    if waiting:
+                        answer()
                     name, members, block = (label, place, part, queries), [], None
                 if not probe:
                     members.append((key, unit, codes, error, copies))
@@ -178,15 +219,14 @@ def _searched(held, cosine: float):
                 if block is None:
                     book = books[len(unit)]
                     block = Block(book, place - book.first, members)
-                found = block.near(np.frombuffer(unit, "<f8"), cosine)
-                own = block.names.get(key)
-                others = found if own is None else found[found != own]
-                if len(others):
-                    rows.append((key, None, int(block.counts[others].sum())))
-                    rows += [(key, v, 0) for v in block.links(key, found if own is None else np.append(others, own))]
+                waiting.append((key, unit))
+                if len(waiting) == 1024:
+                    answer()
                 if len(rows) > 20_000:
                     yield record(FOUND, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FOUND.types, strict=True)))
-                    rows = []
+                    rows.clear()
+        if waiting:
+            answer()
         if rows:
             yield record(FOUND, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FOUND.types, strict=True)))
 
@@ -210,10 +250,10 @@ def near_links(vectors: DataFrame, cosine: float = 0.98, slack: float = 0.5) ->
     named = members.select("key", "least", "copies")
     books: dict[int, Codebook] = {}
     first = 0
-    for (size,) in members.select(F.length("unit").alias("size")).distinct().orderBy("size").collect():
+    for size, count in members.groupBy(F.length("unit").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect():  # lengths are few
         alike = members.where(F.length("unit") == size)
         chosen = alike.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("unit").toArrow().column(0).to_pylist()  # a bounded sample
-        books[size] = Codebook(np.stack([np.frombuffer(u, "<f8") for u in chosen]), first)
+        books[size] = Codebook(np.stack([np.frombuffer(u, "<f8") for u in chosen]), count, first)
         first += len(books[size].coarse)
     if books:
         held = spark.sparkContext.broadcast(books)  # of a size that SAMPLE bounds, for each length

@@ -13,7 +13,8 @@ product; texts without words have the bias only.
 
 Training takes ``sample`` labelled rows at most, chosen by a hash of ``doc_id``:
 the bound keeps the one sequential task small. Rows whose label, id or text is
-null aren't learnt from. Without labels of both kinds every score is the share
+null aren't learnt from. Rows that repeat are learnt from and scored each; columns of ``docs``
+beside ``doc_id`` and ``text`` aren't read, whatever their names. Without labels of both kinds every score is the share
 of label 1 (0.5 without any label).
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -127,6 +128,7 @@ def _train(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """Weights learnt from ``labels(doc_id, <label>)`` of documents that aren't held out."""
+    light_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"))
     # The bound is on ids, so that no text moves for rows that aren't chosen.
@@ -137,10 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return np.frombuffer(found[0]["model"], "<f4").astype(np.float64) if found else np.zeros((1 << BITS) + 1)
 
 
-def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1."""
-    light_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # 1 MB, whatever the input
+def probability(spark: SparkSession, text: Column, model: np.ndarray) -> Column:
+    """The probability of label 1 of a text column."""
+    light_batches(spark)
+    held = spark.sparkContext.broadcast(model.astype(np.float32))  # 1 MB, whatever the input
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
@@ -153,11 +155,21 @@ def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
             out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("score", of(F.col("text").cast("string")))
+    return of(text.cast("string"))
+
+
+def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
+    """``doc_id, text`` of every row of ``docs`` and ``score``, the probability of label 1."""
+    return docs.select("doc_id", "text", probability(docs.sparkSession, F.col("text"), model).alias("score"))
+
+
+def kept(docs: DataFrame, model: np.ndarray, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose probability of label 1 is ``threshold`` at least, with all their columns."""
+    mark = next(f"__p{k}" for k in range(len(docs.columns) + 1) if f"__p{k}" not in docs.columns)
+    return docs.withColumn(mark, probability(docs.sparkSession, F.col("text"), model)).where(F.col(mark) >= threshold).drop(mark)
 
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on)."""
-    light_batches(docs.sparkSession)
+    """``doc_id, held_out, score, predicted`` (1 from ``threshold`` on) of every row of ``docs(doc_id, text)``."""
     rows = scored(docs, fit(docs, labels))
-    return rows.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

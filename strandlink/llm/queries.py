@@ -78,7 +78,7 @@ def op5_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     from .quality import classified
 
-    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7).select("doc_id", "held_out", "score", "predicted")
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ A term weighs ``1 + ln(count)``; the signed bits of its 64-bit hash vote with
 that weight, and a bit of the fingerprint is set where the votes are positive.
 A text without words has the fingerprint 0. Null texts count as empty.
 
+Rows that repeat get equal results each; other columns aren't read (``fingerprinted``
+keeps them, and raises if one has the name of its result).
+
 ``neighbours`` finds all fingerprints within a radius by permuted block tables:
 the 64 bits are cut into blocks, and two fingerprints that differ in at most
 ``radius`` bits agree in at least ``blocks - radius`` blocks, so they meet in the
@@ -27,6 +30,7 @@ from . import kernel
 from .spark_tools import light_batches, partitions, pieces, record
 
 BITS = 64
+HOT = 1000  #: fingerprints of a block from which it is split by the bits that are left
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
 
 
@@ -61,26 +65,53 @@ def fingerprinted(docs: DataFrame, column: str = "text", out: str = "fingerprint
         found = [fingerprints(p.column("text")) for p in pieces([pa.RecordBatch.from_arrays([texts], ["text"])])]
         return pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
 
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out!r} already; name another")
     return docs.withColumn(out, of(F.col(column).cast("string")))
 
 
-def near_prints(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _masks(places: list[list[int]], agree: int) -> list[int]:
+    """For each choice of ``agree`` of the blocks of bit places, the bits of those."""
+    return [_signed(sum(1 << x for block in chosen for x in block)) for chosen in combinations(places, agree)]
+
+
+def near_prints(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int = 6, hot: int = HOT) -> DataFrame:
     """All ``(a, b, distance)`` of distinct fingerprints of ``queries(fingerprint)`` and ``table(fingerprint)``
-    that differ in at most ``radius`` bits, by one block table for each choice of ``blocks - radius`` blocks."""
+    that differ in at most ``radius`` bits, by one block table for each choice of ``blocks - radius`` blocks.
+
+    Fingerprints that share a block with more than ``hot`` others meet there only where they also agree in
+    as many blocks of the bits that are left.
+    """
     edges = [BITS * k // blocks for k in range(blocks + 1)]
-    masks = []
-    for kept in combinations(range(blocks), blocks - radius):
-        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in kept)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    places = [list(range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    masks, finer = _masks(places, blocks - radius), []
+    for chosen in combinations(range(blocks), blocks - radius):
+        left = [x for k in range(blocks) if k not in chosen for x in places[k]]
+        cuts = [len(left) * k // blocks for k in range(blocks + 1)]
+        finer.append(_masks([left[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], blocks - radius))
 
     def placed(df: DataFrame, name: str) -> DataFrame:
         only = df.where("fingerprint is not null").select(F.col("fingerprint").alias(name)).distinct()
         keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col(name).bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)))
         return only.select(name, F.explode(keys).alias("k")).select(name, "k.t", "k.v")
 
-    near = placed(queries, "a").join(placed(table, "b"), ["t", "v"])
-    near = near.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("distance") <= radius)
-    return near.select("a", "b", "distance").distinct()
+    def again(df: DataFrame, name: str) -> DataFrame:
+        more = F.get(F.array(*(F.array(*map(F.lit, m)) for m in finer)), F.col("t"))
+        return df.select(name, "t", "v", F.posexplode(more).alias("s", "m")).select(name, "t", "v", "s", F.col(name).bitwiseAND(F.col("m")).alias("w"))
+
+    asked, held = placed(queries, "a"), placed(table, "b")
+    often = held.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("t", "v", F.lit(True).alias("often"))
+    # Neither the tables nor their hot blocks have a bounded size, so all joins shuffle.
+    asked, held = (df.join(often.hint("merge"), ["t", "v"], "left") for df in (asked, held))
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    few = asked.where("often is null").drop("often").join(held.where("often is null").drop("often").hint("merge"), ["t", "v"])
+    many = again(asked.where("often"), "a").join(again(held.where("often"), "b").hint("merge"), ["t", "v", "s", "w"])
+    near = few.select("a", "b").where(distance <= radius).unionByName(many.select("a", "b").where(distance <= radius))
+    return near.distinct().withColumn("distance", distance)
 
 
 def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -101,9 +132,10 @@ def counted_neighbours(rows: DataFrame, every: int = 20, radius: int = 3) -> Dat
     asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     held = rows.groupBy(F.col("bits").alias("fingerprint")).agg(F.count("*").alias("copies"))
     near = near_prints(rows.where(asked).select(F.col("bits").alias("fingerprint")), held, radius)
-    counts = near.join(held, near["b"] == held["fingerprint"]).groupBy("a").agg((F.sum("copies") - 1).alias("others"))
-    out = rows.join(counts, F.col("bits") == F.col("a"), "left")
-    return out.withColumn("n_near", F.when(asked, F.coalesce("others", F.lit(0)))).drop("a", "others")
+    counts = near.join(held.hint("merge"), near["b"] == held["fingerprint"]).groupBy("a").agg((F.sum("copies") - 1).alias("others"))
+    found = rows.where(asked).join(counts.hint("merge"), F.col("bits") == F.col("a"), "left")
+    found = found.select(*rows.columns, F.coalesce("others", F.lit(0)).alias("n_near"))
+    return found.unionByName(rows.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
 
 
 EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("bits", pa.int64())])
