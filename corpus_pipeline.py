@@ -21,8 +21,7 @@ QUALITY = 0.7
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects; it learns from ``labels``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.scored(docs, quality.fit(docs, labels))
-    return scored.where(F.col("score") >= QUALITY).select(*docs.columns)
+    return quality.kept(docs, quality.fit(docs, labels), QUALITY)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
