@@ -5,6 +5,7 @@ Scores are scalar functions, so filters and column pruning go below them.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,16 +33,26 @@ def path_column(first: Column, second: Column, weights: Weights, local: bool = T
 
     @F.arrow_udf(PATH)
     def path(a: pa.Array, b: pa.Array) -> pa.Array:
-        firsts = a.to_pylist()
-        rows = []
-        for x, p in zip(firsts, kernels.paths(firsts, b.to_pylist(), weights, local), strict=True):
-            state, after = kernels.footprint(p, len(x))
-            rows.append({"score": p.score, "mir_aln": p.first, "gene_aln": p.second, "mir_idx": p.first_at, "gene_idx": p.second_at, "state": state, "gap_after": after})
-        return pa.array(rows, _PATH)
+        firsts, seconds = a.to_pylist(), b.to_pylist()
+        # Pairs come back by shape and are put into the order of the batch.
+        order, parts = [np.zeros(0, np.int64)], [pa.array([], _PATH)]
+        for places, t in kernels.traces(firsts, seconds, weights, local):
+            order.append(places)
+            parts.append(_structs(t))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order))))
 
     return path(first, second)
 
 
+def _structs(t: kernels.Traces) -> pa.Array:
+    offsets = pa.array(t.offsets, pa.int32())
+    lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32()))
+    strings = lambda x: pa.StringArray.from_buffers(len(t.score), offsets.buffers()[1], pa.py_buffer(x.tobytes()))
+    n = t.state.shape[1]
+    rows = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n, pa.int32()), pa.array(x.ravel(), pa.int32()))
+    return pa.StructArray.from_arrays([pa.array(t.score, pa.float64()), strings(t.first), strings(t.second), lists(t.first_at), lists(t.second_at), rows(t.state), rows(t.after)], fields=list(_PATH))
+
+
 def scored(pairs: DataFrame, model: Model) -> DataFrame:
     """``pairs`` with ``score`` and ``logit`` = score + alpha; ``target_rc`` is what is aligned with ``noncodingRNA``."""
     out = pairs.withColumn("score", score_column(F.col("noncodingRNA"), F.col("target_rc"), model.weights, model.local))

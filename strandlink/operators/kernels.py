@@ -126,17 +126,42 @@ def scores(a: list[str], b: list[str], w: Weights, local: bool = True) -> np.nda
     return out
 
 
-def paths(a: list[str], b: list[str], w: Weights, local: bool = True) -> list[Path]:
-    """The alignment of each pair, in order."""
-    out: list[Path | None] = [None] * len(a)
+@dataclass
+class Traces:
+    """Alignments of pairs of one shape: scores, and columns of all pairs one after the other with their n + 1 offsets.
+
+    ``first_at`` and ``second_at`` are the places of a column's bases, -1 in a gap. ``state`` and
+    ``after`` (see ``footprints``) have a row to a pair.
+    """
+
+    score: np.ndarray
+    offsets: np.ndarray
+    first_at: np.ndarray
+    second_at: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    state: np.ndarray
+    after: np.ndarray
+
+
+def traces(a: list[str], b: list[str], w: Weights, local: bool = True):
+    """Pairs by shape, a bounded number at a time: their places in the input, and their ``Traces``."""
     for places, x, y in _shapes(a, b):
         # Directions take a byte a cell, so pairs are traced a few at a time.
         at_once = max(1, (16 << 20) // ((x.shape[1] + 1) * (y.shape[1] + 1)))
         for k in range(0, len(places), at_once):
             some = slice(k, k + at_once)
             best, end, steps, _ = _run(x[some], y[some], w, local, True)
-            for p, place in enumerate(places[some].tolist()):
-                out[place] = _walk(a[place], b[place], float(best[p]), *end[p].tolist(), steps[:, :, p], local)
+            yield places[some], _traced(x[some], y[some], best, end, steps, local)
+
+
+def paths(a: list[str], b: list[str], w: Weights, local: bool = True) -> list[Path]:
+    """The alignment of each pair, in order."""
+    out: list[Path | None] = [None] * len(a)
+    for places, t in traces(a, b, w, local):
+        for k, place in enumerate(places.tolist()):
+            i, j = t.offsets[k], t.offsets[k + 1]
+            out[place] = Path(float(t.score[k]), t.first[i:j].tobytes().decode(), t.second[i:j].tobytes().decode(), t.first_at[i:j].tolist(), t.second_at[i:j].tolist())
     return out  # type: ignore[return-value]
 
 
@@ -149,40 +174,61 @@ def _shapes(a: list[str], b: list[str]):
         yield np.array(places), encode([a[k] for k in places]), encode([b[k] for k in places])
 
 
-def _walk(a: str, b: str, score: float, i: int, j: int, steps: np.ndarray, local: bool) -> Path:
-    first, second, first_at, second_at = [], [], [], []
-    while i > 0:
-        step = steps[i, j]
-        if local and step == STOP:
+_LETTERS = np.frombuffer((BASES + "-").encode(), np.uint8)
+_OUTSIDE = -2
+
+
+def _traced(a: np.ndarray, b: np.ndarray, best: np.ndarray, end: np.ndarray, steps: np.ndarray, local: bool) -> Traces:
+    """All pairs walk back together, a step each at a time, until the last has come to its start."""
+    pairs = len(a)
+    every = np.arange(pairs)
+    i, j = end[:, 0].copy(), end[:, 1].copy()
+    going = i > 0
+    firsts, seconds = [], []
+    while True:
+        step = np.where(j == 0, UP, steps[i, j, every])
+        if local:
+            going &= steps[i, j, every] != STOP
+        if not going.any():
             break
-        if j == 0:
-            step = UP
-        if step != LEFT:
-            i -= 1
-        if step != UP:
-            j -= 1
-        first.append("-" if step == LEFT else a[i])
-        second.append("-" if step == UP else b[j])
-        first_at.append(-1 if step == LEFT else i)
-        second_at.append(-1 if step == UP else j)
-    return Path(score, "".join(reversed(first)), "".join(reversed(second)), first_at[::-1], second_at[::-1])
-
-
-def footprint(path: Path, length: int) -> tuple[list[int], list[int]]:
-    """What an alignment does at each position of the first sequence.
+        i -= going & (step != LEFT)
+        j -= going & (step != UP)
+        firsts.append(np.where(going, np.where(step == LEFT, -1, i), _OUTSIDE))
+        seconds.append(np.where(going, np.where(step == UP, -1, j), _OUTSIDE))
+        going &= i > 0
+    shape = (pairs, len(firsts))
+    first_at = np.stack(firsts[::-1], 1) if firsts else np.zeros(shape, np.int64)
+    second_at = np.stack(seconds[::-1], 1) if firsts else np.zeros(shape, np.int64)
+    held = first_at != _OUTSIDE
+    state, after = footprints(a.shape[1], b, first_at, second_at)
+    owner = np.nonzero(held)[0]
+    first_at, second_at = first_at[held], second_at[held]
+
+    def letters(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.full(len(at), len(BASES))
+        out[at >= 0] = codes[owner[at >= 0], at[at >= 0]]
+        return _LETTERS[out]
+
+    return Traces(best, np.concatenate([[0], np.cumsum(held.sum(1))]), first_at, second_at, letters(a, first_at), letters(b, second_at), state, after)
+
+
+def footprints(length: int, b: np.ndarray, first_at: np.ndarray, second_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each alignment (a row of columns' places) does at each position of the first sequence.
 
     ``state``: 0 to 3 for the base of the second sequence, 4 for a gap, -1 outside.
     ``after``: bases of the second sequence in a gap between this position and the next.
     """
-    state, after = [-1] * length, [0] * length
-    last, waiting = -1, 0
-    for k, at in enumerate(path.first_at):
-        if at < 0:
-            waiting += last >= 0
-        else:
-            # Gaps count once a later base of the first sequence stands behind them.
-            if last >= 0:
-                after[last] += waiting
-            state[at] = 4 if path.second[k] == "-" else BASES.index(path.second[k])
-            last, waiting = at, 0
+    state, after = np.full((len(b), length), -1, np.int32), np.zeros((len(b), length), np.int32)
+    if not first_at.size:
+        return state, after
+    pair, column = np.nonzero(first_at >= 0)
+    at = second_at[pair, column]
+    state[pair, first_at[pair, column]] = 4
+    some = at >= 0
+    state[pair[some], first_at[pair[some], column[some]]] = b[pair[some], at[some]]
+    # Gaps count between two bases of the first sequence.
+    columns = np.where(first_at >= 0, np.arange(first_at.shape[1]), -1)
+    before = np.maximum.accumulate(columns, axis=1)
+    pair, column = np.nonzero((first_at == -1) & (before >= 0) & (np.arange(first_at.shape[1]) < columns.max(1)[:, None]))
+    np.add.at(after, (pair, first_at[pair, before[pair, column]]), 1)
     return state, after

@@ -1,7 +1,7 @@
 """Ranking metrics as aggregates.
 
 Rows are grouped by score first, so that ties are one point. Cumulative counts
-come from ranges of scores: totals of the ranges before, and a window within each
+come from ranges of scores, cut at quantiles: totals of the ranges before, and a window within each
 range, so that no task holds all scores of a group. Rows with null or non-finite scores
 make a group's metrics NaN, as an empty group's are.
 """
@@ -23,9 +23,22 @@ def score_groups(rows: DataFrame, by: list[str], score: str = "score", label: st
 
     ``pos`` and ``all`` are the totals of the group.
     """
-    s = F.col(score).cast("double")
-    good = rows.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) != float("inf")))
-    points = good.groupBy(*_keys(by), s.alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    return placed_groups(grouped_scores(rows, by, score, label).where(FINITE), by, buckets)
+
+
+#: Whether a score can be ranked.
+FINITE = "score is not null and not isnan(score) and abs(score) <> double('inf')"
+
+
+def grouped_scores(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
+    """Each distinct score, finite or not, with ``p`` positives and ``n`` rows; stored, as all that follows reads it
+    several times and the score may be costly."""
+    points = rows.groupBy(*_keys(by), F.col(score).cast("double").alias("score"))
+    return stored(points.agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n")))
+
+
+def placed_groups(points: DataFrame, by: list[str], buckets: int = 256) -> DataFrame:
+    """``score_groups`` of distinct scores that are grouped already."""
     points = _bucketed(points, by, "score", buckets)
     sums = points.groupBy(*_keys(by), "__b").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
     over = Window.partitionBy(*by).orderBy("__b") if by else Window.partitionBy(F.lit(0)).orderBy("__b")
@@ -44,12 +57,12 @@ def score_groups(rows: DataFrame, by: list[str], score: str = "score", label: st
 
 
 def _bucketed(points: DataFrame, by: list[str], value: str, buckets: int = 256) -> DataFrame:
-    """``points`` with ``__b``: equal ranges of ``value`` in each group, 0 at the top."""
-    ends = points.groupBy(*_keys(by)).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    """``points`` with ``__b``: ranges of ``value`` in each group with about as many points each, 0 at the top."""
+    shares = [k / buckets for k in range(1, buckets)]
+    ends = points.groupBy(*_keys(by)).agg(F.percentile_approx(value, shares, 10_000).alias("__ends"))
     points = _with(points, ends, by)
-    share = (F.col("__hi") - F.col(value)) / (F.col("__hi") - F.col("__lo"))
-    bucket = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise(0)
-    return points.withColumn("__b", bucket.cast("int")).drop("__lo", "__hi")
+    above = F.aggregate("__ends", F.lit(0), lambda n, e: n + F.when(e > F.col(value), 1).otherwise(0))
+    return points.withColumn("__b", above).drop("__ends")
 
 
 def _counted(points: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -91,10 +104,10 @@ def ranking_metrics(rows: DataFrame, by: list[str], score: str = "score", label:
 
     A group of one class has its mean label as ``ap`` and NaN as ``roc_auc``.
     """
-    s = F.col(score).cast("double")
-    bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
-    totals = rows.groupBy(*_keys(by)).agg(F.count("*").alias("pairs"), F.sum(F.col(label).cast("long")).alias("positives"), F.sum(bad.cast("long")).alias("__bad"))
-    points = score_groups(rows, by, score, label)
+    grouped = grouped_scores(rows, by, score, label)
+    bad = F.sum(F.when(~F.expr(FINITE), F.col("n")).otherwise(0))
+    totals = grouped.groupBy(*_keys(by)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.sum("p").alias("positives"), bad.alias("__bad"))
+    points = placed_groups(grouped.where(FINITE), by)
     sums = points.groupBy(*_keys(by)).agg(
         F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("__ap"),
         F.sum((F.col("n") - F.col("p")) * (F.col("tp") - F.col("p") / 2)).alias("__auc"),
@@ -116,6 +129,14 @@ def ranking_metrics(rows: DataFrame, by: list[str], score: str = "score", label:
     return joined.select(*by, "pairs", F.coalesce(pos, F.lit(0)).alias("positives"), F.coalesce(neg, F.lit(0)).alias("negatives"), ap.alias("ap"), auc.alias("roc_auc"))
 
 
+def precision_of(points: DataFrame) -> float:
+    """The average precision of ``points(score, p, n)``, a row to each distinct finite score."""
+    r = placed_groups(points, []).agg(F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("ap"), F.max("pos").alias("pos"), F.max("all").alias("all")).first()
+    if not r["all"]:
+        return float("nan")
+    return r["pos"] / r["all"] if r["pos"] in (0, r["all"]) else r["ap"] / r["pos"]
+
+
 def pr_points(rows: DataFrame, by: list[str], **names) -> DataFrame:
     """``point_index, threshold, precision, recall`` by rising threshold; the last point is (1, 0) without threshold."""
     points = _counted(stored(score_groups(rows, by, **names)), by, "score")

@@ -22,9 +22,9 @@ ALIGNERS = ("local", "glocal")
 #: Named label priors: pseudo-counts by true and observed label.
 LABEL_PRIORS: dict[str, list[list[float]] | None] = {
     "none": None,
-    "95_5": [[950.0, 50.0], [50.0, 950.0]],
-    "90_10": [[900.0, 100.0], [100.0, 900.0]],
-    "80_20": [[800.0, 200.0], [200.0, 800.0]],
+    "symmetric_95_5": [[950.0, 50.0], [50.0, 950.0]],
+    "symmetric_90_10": [[900.0, 100.0], [100.0, 900.0]],
+    "symmetric_80_20": [[800.0, 200.0], [200.0, 800.0]],
 }
 
 
@@ -75,6 +75,11 @@ class Model:
     def local(self) -> bool:
         return check_aligner(self.aligner) == "local"
 
+    def facts(self) -> dict:
+        """What the model is, but for its substitution weights."""
+        w = self.weights
+        return {"aligner": self.aligner, "positions": w.length, "alpha": self.alpha, "gap_first": w.gap_first, "gap_second": w.gap_second, "label_observation": self.label_observation}
+
 
 def model_params(spark: SparkSession, model: Model) -> DataFrame:
     """The weights as rows ``param, pos, mir_nt, gene_nt, value``."""
@@ -86,6 +91,12 @@ def model_params(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "param string, pos int, mir_nt string, gene_nt string, value double")
 
 
+def mean_weights(params: DataFrame) -> DataFrame:
+    """The one mean of all match and of all mismatch weights: ``kind, mean``."""
+    kind = F.when(F.col("mir_nt") == F.col("gene_nt"), "match").otherwise("mismatch")
+    return params.where("param = 'match'").groupBy(kind.alias("kind")).agg(F.avg("value").alias("mean"))
+
+
 def position_stats(params: DataFrame) -> DataFrame:
     """Mean and population deviation of match and mismatch weights by position."""
     kind = F.when(F.col("mir_nt") == F.col("gene_nt"), "match").otherwise("mismatch")

@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnostics, metrics
 from ..operators.align import scored
-from ..operators.fit import Config, Fit, fit, summary, trajectory
+from ..operators.fit import Config, Fit, described, fit, summary, trajectory
 from ..operators.model import Model, load_model
 from ..operators.splits import group_split, stratified_split
 from ..sources import pairs as sources
 from ..sources import sinks
+from ..storage import stored
 
+#: The default grid.
 GRID = {
     "aligner": ("local", "glocal"),
-    "step_scale": (1e-5, 3e-5, 1e-4, 3e-4, 1e-3),
-    "step_decay_burnin": (10,),
+    "step_scale": (1e-5, 1.2e-5, 5e-5, 1e-4, 5e-4),
+    "step_decay_burnin": (300,),
     "prior_precision": (0.0, 1.0),
-    "label_prior": ("none", "95_5", "90_10", "80_20"),
-    "sample_weight": ("none", "mirna_balanced"),
+    "label_prior": ("none", "symmetric_95_5", "symmetric_90_10", "symmetric_80_20"),
+    "sample_weight": ("none", "mirna_gene_sqrt"),
     "max_iter": (100,),
 }
+#: Names of the grid's options on the command line.
+OPTIONS = {"aligner": "aligners", "step_scale": "step-scales", "step_decay_burnin": "step-decay-burnins", "prior_precision": "prior-precisions", "label_prior": "label-priors", "sample_weight": "sample-weights", "max_iter": "max-iters"}
 
 
 def config_grid(spark: SparkSession, grid: dict[str, tuple] | None = None, limit: int = 0) -> DataFrame:
@@ -65,17 +69,38 @@ class Evaluation:
     roc: DataFrame
     flat: dict[str, float] = field(default_factory=dict)
 
+    def save(self, folder: str, config: dict, reference: str | None = None) -> None:
+        """All tables as CSV, with the configuration's name, and drawings of each split's curves against the reference split's."""
+        spark = self.metrics.sparkSession
+        sinks.save_records(spark, [config | {"status": "ok"} | self.flat], f"{folder}/summary.csv")
+        named = {"metrics": self.metrics, "metric_slices": self.slices, "pr_points": self.pr, "roc_points": self.roc}
+        for name, df in named.items():
+            if df is not None:
+                sinks.write_csv(df.withColumn("config", F.lit(config.get("config", ""))), f"{folder}/{name}.csv")
+        if reference:
+            for kind, points, x, y in (("pr", self.pr, "recall", "precision"), ("roc", self.roc, "fpr", "tpr")):
+                for split, panels in sinks.curves(points, x, y, reference).items():
+                    sinks.draw(panels, f"{reference} vs {split}", f"{folder}/{kind}_{reference}_vs_{split}.png")
+
 
 def evaluate(splits: DataFrame, model: Model, reference: DataFrame | None = None) -> Evaluation:
-    """Metrics, slices and curves of every split of ``splits(split, noncodingRNA, target_rc, gene, label)``."""
-    rows = scored(splits, model).withColumn("score", F.col("logit")).persist()
-    found = metrics.ranking_metrics(rows, ["split"])
+    """Metrics, slices and curves of every split of ``splits(split, noncodingRNA, target_rc, gene, label)``.
+
+    Pairs are aligned once; their scores are stored.
+    """
+    rows = stored(scored(splits, model).select("split", "noncodingRNA", "gene", "label", F.col("logit").alias("score")))
+    found = stored(metrics.ranking_metrics(rows, ["split"]))
     flat = {}
     for r in found.collect():  # a row to a split
         flat[f"ap_{r['split']}"], flat[f"roc_auc_{r['split']}"] = r["ap"], r["roc_auc"]
     return Evaluation(found, diagnostics.metric_slices(rows, reference), metrics.pr_points(rows, ["split"]), metrics.roc_points(rows, ["split"]), flat)
 
 
+def aligner_precision(pairs: DataFrame, model: Model) -> float:
+    """The average precision of a model's scores on one table of pairs."""
+    return metrics.average_precision(scored(pairs, model), []).first()["ap"]
+
+
 def train_validation(train: DataFrame, strategy: str, fraction: float, seed: int) -> tuple[DataFrame, DataFrame]:
     if strategy == "random":
         rows = stratified_split(train, fraction, seed, ["noncodingRNA", "gene"])
@@ -94,10 +119,11 @@ def run_config(fit_rows: DataFrame, validation: DataFrame, config: Config) -> tu
     """Summary and fit of one configuration; an exception becomes a row of status 'error'."""
     try:
         found = fit(fit_rows, config)
-        split = validation.withColumn("split", F.lit("validation"))
-        return summary(config, found) | evaluate(split, found.model).flat, found
+        rows = scored(validation, found.model).withColumn("score", F.col("logit"))
+        r = metrics.ranking_metrics(rows, []).first()
+        return summary(config, found) | {"ap_validation": r["ap"], "roc_auc_validation": r["roc_auc"]}, found
     except Exception as e:
-        return {"config": config.name, "config_index": config.index, "status": "error", "error": f"{type(e).__name__}: {e}"}, None
+        return described(config) | {"status": "error", "error": f"{type(e).__name__}: {e}"}, None
 
 
 @dataclass
@@ -110,85 +136,121 @@ class Outcome:
     trajectories: list[dict]
 
 
-def search(spark: SparkSession, splits: DataFrame, todo: list[Config], strategy: str = "random", fraction: float = 0.2, seed: int = 1, workers: int = 1, final_max_iter: int = 0) -> Outcome:
+def search(spark: SparkSession, splits: DataFrame, todo: list[Config], strategy: str = "random", fraction: float = 0.2, seed: int = 42, workers: int = 1, final_max_iter: int = 0) -> Outcome:
     """Fits every configuration on part of ``train``, ranks them on the rest, refits the best on all, and evaluates it on the other splits.
 
-    Configurations run as threads that share the cached pairs; Spark schedules their jobs side by side.
+    Configurations run as threads that share the stored pairs; Spark schedules their jobs side by side.
     """
     ready = sources.prepared(splits)
-    train = ready.where("split = 'train'").drop("split", "split_ord").persist()
+    train = stored(ready.where("split = 'train'").drop("split", "split_ord"))
     length = sources.longest(ready)
     fit_rows, validation = train_validation(train, strategy, fraction, seed)
-    fit_rows, validation = fit_rows.persist(), validation.persist()
+    fit_rows, validation = stored(fit_rows), stored(validation)
     todo = [replace(c, model_length=c.model_length or length, split_strategy=strategy) for c in todo]
     with ThreadPoolExecutor(max(workers, 1)) as pool:
         done = list(pool.map(lambda c: run_config(fit_rows, validation, c), todo))
     results = [r for r, _ in done]
     good = lambda r, k: -math.inf if r.get(k) is None or math.isnan(r[k]) else r[k]
     order = sorted((k for k, r in enumerate(results) if r["status"] == "ok"), key=lambda k: (-good(results[k], "ap_validation"), -good(results[k], "roc_auc_validation"), k))
-    rows = [t for (r, f) in done if f for t in trajectory(r["config"], f)]
+    rows = [t for c, (_, f) in zip(todo, done, strict=True) if f for t in trajectory(c, f)]
     if not order:
         return Outcome(results, None, None, None, None, rows)
     best, config = done[order[0]][1], todo[order[0]]
     again = fit(train, replace(config, max_iter=final_max_iter)) if final_max_iter else None
     others = ready.where("split <> 'train'")
-    held = evaluate(others, (again or best).model, train) if not others.isEmpty() else None
+    held = evaluate(ready, (again or best).model, train) if final_max_iter and not others.isEmpty() else None
     return Outcome(results, best, config, again, held, rows)
 
 
 def evaluate_saved(spark: SparkSession, splits: DataFrame, path: str) -> Evaluation:
-    """A stored model on all splits; without a training split there are no slices."""
+    """A stored model on all splits. Slices refer to a split ``fit`` or ``train``; without one there are none."""
     model = load_model(spark, path)
     ready = sources.prepared(splits)
     if sources.longest(ready) > model.length:
         raise ValueError("the splits have longer first sequences than the model")
-    return evaluate(ready, model)
+    names = {r["split"] for r in ready.select("split").distinct().collect()}  # a row to a split
+    reference = next((n for n in ("fit", "train") if n in names), None)
+    return evaluate(ready, model, ready.where(F.col("split") == reference) if reference else None)
 
 
-def main(argv: list[str] | None = None) -> int:
-    """Command line: search over delimited files, or evaluate a stored model."""
-    p = argparse.ArgumentParser(description=main.__doc__)
-    p.add_argument("--train", help="training file")
-    p.add_argument("--evaluation-files", default="", help="name=path,...")
-    p.add_argument("--model", help="stored model")
+def options() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(description="Searches a grid of fits, or evaluates a stored model.")
+    p.add_argument("--dataset", help="catalog family whose train and test splits are read")
+    p.add_argument("--datasets-dir", default="datasets", help="folder with a Parquet table to each alias of the catalog")
+    p.add_argument("--eval-splits", help="aliases of the catalog, comma-separated")
+    p.add_argument("--train", help="training file, in place of a dataset")
+    p.add_argument("--eval-files", default="", help="name=path,...")
+    p.add_argument("--results-dir", default="results")
+    p.add_argument("--run-tag", default="")
+    p.add_argument("--trained-model", help="stored model")
     p.add_argument("--evaluate-only", action="store_true")
     p.add_argument("--skip-evaluation", action="store_true")
-    p.add_argument("--out", default="results")
     p.add_argument("--split-strategy", default="random", choices=("random", "group_mirna", "group_gene"))
     p.add_argument("--validation-fraction", type=float, default=0.2)
-    p.add_argument("--split-seed", type=int, default=1)
-    for name, values in GRID.items():
-        p.add_argument(f"--{name.replace('_', '-')}", default=",".join(map(str, values)))
-    p.add_argument("--step-power", type=float, default=1.0)
+    p.add_argument("--split-seed", type=int, default=42)
+    for name, option in OPTIONS.items():
+        p.add_argument(f"--{option}", dest=name, default=",".join(map(str, GRID[name])))
+    p.add_argument("--step-power", type=float, default=0.5)
     p.add_argument("--model-length", type=int)
-    p.add_argument("--config-limit", type=int, default=0)
+    p.add_argument("--limit-configs", type=int, default=0)
     p.add_argument("--config-workers", type=int, default=1)
     p.add_argument("--final-max-iter", type=int, default=500)
-    p.add_argument("--top-n", type=int, default=10)
-    a = p.parse_args(argv)
-    if a.evaluate_only and not a.model:
-        p.error("--evaluate-only needs --model")
-    spark = SparkSession.builder.getOrCreate()
-    catalog = sources.Catalog()
+    p.add_argument("--top-entities", type=int, default=20)
+    return p
+
+
+def read_splits(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The splits that the options name."""
+    catalog = sources.Catalog.of_folder(a.datasets_dir)
+    train = f"{a.dataset}_train" if a.dataset and not a.evaluate_only else None
     if a.train and not a.evaluate_only:
-        catalog.add("train", "files", "train", lambda s: sources.read_delimited(s, a.train))
-    splits = sources.load_splits(spark, catalog, None if a.evaluate_only else "train", [], a.evaluation_files, a.skip_evaluation)
-    for name, df in diagnostics.diagnostics(splits, a.top_n).items():
-        sinks.write_csv(df, f"{a.out}/{name}")
-    if a.evaluate_only:
-        found = evaluate_saved(spark, splits, a.model)
-        sinks.write_csv(found.metrics, f"{a.out}/metrics")
-        return 0
-    grid = {k: tuple(type(v[0])(x.strip()) for x in getattr(a, k).split(",") if x.strip()) for k, v in GRID.items()}
-    out = search(spark, splits, configs(grid, a.config_limit, step_power=a.step_power, model_length=a.model_length), a.split_strategy, a.validation_fraction, a.split_seed, a.config_workers, 0 if a.skip_evaluation else a.final_max_iter)
-    sinks.write_rows(spark, out.results, f"{a.out}/results")
-    sinks.write_rows(spark, out.trajectories, f"{a.out}/trajectories")
+        catalog.add("train_file", "files", "train", lambda s: sources.read_delimited(s, a.train))
+        train = "train_file"
+    tests = None if a.eval_splits is None and a.dataset and not a.evaluate_only else [x.strip() for x in (a.eval_splits or "").split(",") if x.strip()]
+    return sources.load_splits(spark, catalog, train, tests, a.eval_files, a.skip_evaluation)
+
+
+def grid_of(a: argparse.Namespace) -> dict[str, tuple]:
+    return {k: tuple(type(v[0])(x.strip()) for x in getattr(a, k).split(",") if x.strip()) for k, v in GRID.items()}
+
+
+def save_outcome(spark: SparkSession, out: Outcome, folder: str) -> None:
+    """Results of all configurations, and of the best its artefacts and evaluation."""
+    sinks.save_records(spark, out.results, f"{folder}/results.csv")
+    sinks.save_records(spark, out.trajectories, f"{folder}/trajectories.csv")
     if out.best:
         row = next(r for r in out.results if r["config"] == out.best_config.name)
-        sinks.write_artifacts(spark, (out.refit or out.best).model, asdict(out.best_config), row, out.trajectories, f"{a.out}/best")
+        own = [t for t in out.trajectories if t["config"] == out.best_config.name]
+        chosen = out.refit or out.best
+        rounds = trajectory(out.best_config, out.refit) if out.refit else own
+        sinks.save_artefacts(spark, f"{folder}/best", chosen.model, asdict(out.best_config) | {"config": out.best_config.name}, row, rounds)
     if out.held_out:
-        sinks.write_csv(out.held_out.metrics, f"{a.out}/metrics")
-        sinks.write_csv(out.held_out.slices, f"{a.out}/slices")
+        out.held_out.save(f"{folder}/evaluation", {"config": out.best_config.name}, "train")
+
+
+def main(argv: list[str] | None = None) -> int:
+    parser = options()
+    a = parser.parse_args(argv)
+    if a.evaluate_only and not a.trained_model:
+        parser.error("--evaluate-only needs --trained-model")
+    spark = SparkSession.builder.getOrCreate()
+    folder = "/".join(x for x in (a.results_dir, a.run_tag) if x)
+    splits = stored(read_splits(spark, a))
+    for name, df in diagnostics.diagnostics(splits, a.top_entities).items():
+        sinks.write_csv(df, f"{folder}/{name}.csv")
+    if a.evaluate_only:
+        evaluate_saved(spark, splits, a.trained_model).save(folder, {"config": "trained_model", "model": a.trained_model})
+        return 0
+    todo = configs(grid_of(a), a.limit_configs, step_power=a.step_power, model_length=a.model_length, dataset=a.dataset or "")
+    out = search(spark, splits, todo, a.split_strategy, a.validation_fraction, a.split_seed, a.config_workers, 0 if a.skip_evaluation else a.final_max_iter)
+    save_outcome(spark, out, folder)
+    return 0
+
+
+def main_table(families: tuple[str, ...] = ("hejret",), evaluation: str = "hejret_test,manakov_test,manakov_leftout", more: tuple[str, ...] = ()) -> int:
+    """One run of the default grid for each training family, evaluated on the same splits."""
+    for family in families:
+        main(["--dataset", family, "--eval-splits", evaluation, "--run-tag", f"train_{family}_eval_all", *more])
     return 0
 
 

@@ -15,6 +15,17 @@ REQUIRED = ("noncodingRNA", "gene", "label")
 RESERVED = ("fit", "validation", "train")  #: names of splits that the workflow makes itself
 
 
+#: Fixed names of the public benchmark's datasets and splits by alias.
+ALIASES = {
+    "hejret_train": ("AGO2_CLASH_Hejret2023", "train"),
+    "hejret_test": ("AGO2_CLASH_Hejret2023", "test"),
+    "klimentova_test": ("AGO2_eCLIP_Klimentova2022", "test"),
+    "manakov_train": ("AGO2_eCLIP_Manakov2022", "train"),
+    "manakov_test": ("AGO2_eCLIP_Manakov2022", "test"),
+    "manakov_leftout": ("AGO2_eCLIP_Manakov2022", "leftout"),
+}
+
+
 class Catalog:
     """Named datasets: alias to (dataset, split), each read by a function of the session."""
 
@@ -27,6 +38,14 @@ class Catalog:
     def add_parquet(self, alias: str, dataset: str, split: str, path: str) -> None:
         self.add(alias, dataset, split, lambda spark: spark.read.parquet(path))
 
+    @classmethod
+    def of_folder(cls, folder: str) -> Catalog:
+        """The public datasets, each a Parquet table ``<folder>/<dataset>/<split>``; read when they are asked for."""
+        out = cls()
+        for alias, (dataset, split) in ALIASES.items():
+            out.add_parquet(alias, dataset, split, f"{folder}/{dataset}/{split}")
+        return out
+
     def resolve(self, alias: str) -> tuple[str, str]:
         if alias not in self.entries:
             raise ValueError(f"unknown dataset alias {alias!r}; known: {', '.join(sorted(self.entries))}")

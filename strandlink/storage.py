@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, or the checkpoint folder that the session has set.
+
+    Where neither is set, a session whose tasks run in its own process has a
+    temporary one; on a cluster that is an error, as executors wouldn't see each other's files.
+    """
+    context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = context._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="strandlink-")
-        spark.sparkContext.setCheckpointDir(where)
+        context.setCheckpointDir(where)
     return where
 
 

@@ -83,8 +83,8 @@ def test_glocal_gap_and_empty_target():
 
 
 def test_footprint():
-    p = kernels.Path(0.0, "AC-G", "A-TG", [0, 1, -1, 2], [0, -1, 1, 2])
-    assert kernels.footprint(p, 4) == ([0, 4, 3, -1], [0, 1, 0, 0])
+    state, after = kernels.footprints(4, kernels.encode(["ATG"]), np.array([[0, 1, -1, 2]]), np.array([[0, -1, 1, 2]]))
+    assert state.tolist() == [[0, 4, 3, -1]] and after.tolist() == [[0, 1, 0, 0]]
 
 
 def test_too_long_and_bad_base():

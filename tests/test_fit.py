@@ -1,5 +1,6 @@
 """Likelihood, gradient, fit, splits, metrics, sources."""
 
+import json
 import math
 
 import numpy as np
@@ -50,7 +51,7 @@ def test_fit_improves_and_finds_alpha(small):
     found = fit.fit(small, fit.Config(max_iter=3, step_scale=1e-3), weights=False)
     assert found.loglik[-1] > found.loglik[0] and len(found.subgradient) == 3
     assert found.model.weights.length == 7
-    noisy = fit.fit(small, fit.Config(max_iter=2, step_scale=1e-3, label_prior="90_10", prior_precision=1.0, aligner="glocal", model_length=8))
+    noisy = fit.fit(small, fit.Config(max_iter=2, step_scale=1e-3, label_prior="symmetric_90_10", prior_precision=1.0, aligner="glocal", model_length=8))
     assert noisy.model.label_observation and noisy.model.weights.length == 8
 
 
@@ -135,7 +136,11 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError, match="t_test, t_train"):
         catalog.resolve("x")
     assert not sinks.write_csv(both.limit(0), str(tmp_path / "none")) and not (tmp_path / "none").exists()
-    assert sinks.json_safe({"a": np.float64("nan"), "b": np.array([1, 2])}) == {"a": None, "b": [1, 2]}
+    sinks.save_json(spark, {"a": np.float64("nan"), "b": np.array([1, 2]), "c": tmp_path}, str(tmp_path / "x.json"))
+    assert json.loads((tmp_path / "x.json").read_text()) == {"a": None, "b": [1, 2], "c": str(tmp_path)}
+    assert catalog.listing(spark).count() == 2 and catalog.describe(spark, "t_test").count() == 5
+    public = sources.Catalog.of_folder(str(tmp_path / "public"))
+    assert public.resolve("manakov_leftout") == ("AGO2_eCLIP_Manakov2022", "leftout") and public.listing(spark).count() == 6
 
 
 def test_workflow(spark, tmp_path):
@@ -147,12 +152,100 @@ def test_workflow(spark, tmp_path):
     both = diagnostics.union_splits({"train": mk(30), "other": mk(10)})
     out = workflow.search(spark, both, workflow.configs({"aligner": ("local", "nosuch"), "max_iter": (1,)}), workers=2, final_max_iter=1)
     assert [r["status"] for r in out.results] == ["ok", "error"]
-    assert out.refit and out.held_out.flat.keys() == {"ap_other", "roc_auc_other"}
-    sinks.write_artifacts(spark, out.refit.model, {}, {}, out.trajectories, str(tmp_path / "best"))
-    sinks.copy_artifacts(spark, str(tmp_path / "best"), str(tmp_path / "copy"))
+    assert out.refit and out.held_out.flat.keys() == {"ap_train", "roc_auc_train", "ap_other", "roc_auc_other"}
+    assert {"aligner", "step_scale", "iteration", "loglik"} <= out.trajectories[0].keys() and "ap_validation" in out.results[0]
+    workflow.save_outcome(spark, out, str(tmp_path))
+    assert json.loads((tmp_path / "best" / "parameters.json").read_text())["fitted"]["aligner"] == "local"
+    sinks.copy_folder(spark, str(tmp_path / "best"), str(tmp_path / "copy"))
     assert workflow.evaluate_saved(spark, both, str(tmp_path / "copy" / "model.parquet")).flat["ap_other"] == pytest.approx(out.held_out.flat["ap_other"])
 
 
+def test_evaluate_only_writes_every_split(spark, tmp_path):
+    from strandlink.plans import workflow
+
+    model.save_model(spark, model.Model(*model.baseline_weights(22)), str(tmp_path / "model"))
+    for name, rows in (("fit", [("A" * 22, "A" * 30, 1), ("C" * 21, "T" * 30, 0)]), ("heldout", [("A" * 22, "A" * 30, 1), ("G" * 21, "G" * 30, 0)])):
+        (tmp_path / f"{name}.csv").write_text("noncodingRNA,gene,label\n" + "".join(f"{a},{b},{y}\n" for a, b, y in rows))
+    splits = {n: sources.read_delimited(spark, str(tmp_path / f"{n}.csv")) for n in ("fit", "heldout")}
+    out = workflow.evaluate_saved(spark, diagnostics.union_splits(splits), str(tmp_path / "model"))
+    out.save(str(tmp_path / "out"), {"config": "baseline"}, "fit")
+    read = lambda n: spark.read.option("header", True).csv(str(tmp_path / "out" / f"{n}.csv"))
+    assert {r["split"] for r in read("metrics").collect()} == {"fit", "heldout"}
+    assert {r["slice_type"] for r in read("metric_slices").collect()} == set(diagnostics.SLICES)
+    assert read("summary").first()["config"] == "baseline" and read("pr_points").count() and read("roc_points").count()
+    assert workflow.aligner_precision(sources.prepared(splits["fit"]), model.Model(*model.baseline_weights(22))) in (0.5, 1.0)
+
+
+def test_defaults():
+    from strandlink.plans import workflow
+
+    a = workflow.options().parse_args([])
+    assert len(workflow.configs(workflow.grid_of(a))) == 160 and workflow.grid_of(a) == workflow.GRID
+    assert (a.step_power, a.split_seed, a.final_max_iter, a.top_entities) == (0.5, 42, 500, 20)
+    assert model.label_prior("none") is None
+    assert model.label_prior("symmetric_95_5")[0][0] == 950 and model.label_prior("symmetric_90_10")[0][1] == 100 and model.label_prior("symmetric_80_20")[1][0] == 200
+
+
+def test_small_parts(spark):
+    w, alpha = model.from_coefficients({"0_is_match": 2.0, "1_is_mismatch": -1.0, "Gap_miR": -3.0, "Gap_gene": -4.0, "intercept": 0.5}, 3)
+    assert w.match[0, 0, 0] == 2 and w.match[0, 1, 1] == -1 and w.match[0, 0, 2] == 0 and alpha == 0.5
+    assert w.gap_first.tolist() == [-3, -3] and w.gap_second.tolist() == [-4, -4, -4]
+    assert model.rescaled(np.array([3.0, 4.0]), np.array([0.0, 1.0])).tolist() == pytest.approx([0.6, 0.8])
+    rows = table(spark, [("ACGT", "A", 1), ("ACG", "A", 0)])
+    assert model.starting_point(rows)[0].length == 4 and model.starting_point(rows, 9)[0].length == 9
+    means = {r["kind"]: r["mean"] for r in model.mean_weights(model.model_params(spark, model.Model(*model.baseline_weights(5)))).collect()}
+    assert means == pytest.approx({"match": model.BASELINE_MATCH, "mismatch": model.BASELINE_MISMATCH})
+
+
+def test_tied_fit_climbs(spark):
+    rows = sources.prepared(table(spark, [("ACGTAC", "GTACGTAA", 1), ("ACCTAC", "TTTTTTTT", 0), ("GGGTAC", "GTACCCAA", 1), ("ACGTTT", "CCCCCCCC", 0)]))
+    found = fit.fit_tied(rows, 6, rounds=6, step=lambda k: 0.5)
+    assert found.loglik[-1] > found.loglik[0] and found.model.length == 6
+    same = np.eye(4, dtype=bool)
+    assert np.ptp(found.model.weights.match[same], axis=0).max() == 0 and np.ptp(found.model.weights.gap_first) == 0
+
+
+def test_noise_and_intercept_at_the_maximum(spark):
+    rng = np.random.default_rng(4)
+    score = rng.normal(size=400) * 3
+    true = rng.random(400) < 1 / (1 + np.exp(-(score - 1)))
+    label = np.where(rng.random(400) < 0.1, ~true, true).astype(int)
+    rows = spark.createDataFrame([(float(s), int(y), 1.0) for s, y in zip(score, label)], "score double, label int, weight double").cache()
+    prior = [[90.0, 10.0], [10.0, 90.0]]
+
+    def value(alpha, a, b):
+        p = 1 / (1 + np.exp(-(score + alpha)))
+        q = np.where(label == 1, b * p + (1 - a) * (1 - p), (1 - b) * p + a * (1 - p))
+        return np.log(q).sum() + 90 * np.log(a) + 10 * np.log(1 - a) + 10 * np.log(1 - b) + 90 * np.log(b)
+
+    noise = fit.fit_noise(rows, -1.0, [[0.8, 0.2], [0.3, 0.7]], prior)
+    best = value(-1.0, noise[0][0], noise[1][1])
+    assert all(best >= value(-1.0, noise[0][0] + d, noise[1][1] + e) for d in (-1e-3, 0, 1e-3) for e in (-1e-3, 0, 1e-3))
+    alpha, warning = fit.fit_alpha(rows, 5.0, noise)
+    assert warning is None
+    assert all(value(alpha, noise[0][0], noise[1][1]) >= value(alpha + d, noise[0][0], noise[1][1]) for d in (-0.01, 0.01))
+
+
+def test_few_jobs_a_round(spark):
+    rows = sources.prepared(table(spark, [("ACGTAC", "GTACGTAA", 1), ("ACCTAC", "TTTTTTTT", 0), ("GGGTAC", "GTACCCAA", 1)]))
+    spark.sparkContext.setJobGroup("fit-rounds", "")
+    fit.fit(rows, fit.Config(max_iter=2, label_prior="symmetric_90_10"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit-rounds"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 70, jobs
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from strandlink.storage import shared_dir
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
 def test_stream_scores(spark, tmp_path):
     from strandlink.streaming.scoring import scored_stream
 
