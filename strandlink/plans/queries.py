@@ -105,7 +105,7 @@ def revcomp_pairs(spark, sf_dir):
 
 
 @query(r"""
-WITH raw AS (SELECT doc_id, upper(substr(text, 1, 30)) AS noncodingRNA, upper(substr(text, 31, 50)) AS gene, CAST(doc_id % 3 AS INT) AS label FROM documents),
+WITH raw AS (SELECT doc_id, upper(text) AS noncodingRNA, upper(substr(text, 31)) AS gene, CAST(doc_id % 3 AS INT) AS label FROM documents),
 bad AS (
   SELECT doc_id, 'noncodingRNA' AS "column", 'unsupported nucleotide' AS reason, noncodingRNA AS v FROM raw WHERE NOT regexp_matches(noncodingRNA, '^[ACGT]*$')
   UNION ALL SELECT doc_id, 'gene', 'unsupported nucleotide', gene FROM raw WHERE NOT regexp_matches(gene, '^[ACGT]*$')
@@ -113,7 +113,8 @@ bad AS (
 SELECT "column", reason, count(*) AS n, count(DISTINCT doc_id) AS docs FROM bad GROUP BY ALL
 """)
 def validate_violations(spark, sf_dir):
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 30).alias("noncodingRNA"), F.substring("text", 31, 50).alias("gene"), (F.col("doc_id") % 3).alias("label"))
+    """Violations in the whole texts of all documents, taken for sequences."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("noncodingRNA"), F.expr("substr(text, 31)").alias("gene"), (F.col("doc_id") % 3).alias("label"))
     return sources.violations(sources.normalized(raw)).groupBy("column", "reason").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -238,16 +239,15 @@ def sample_positives(spark, sf_dir):
     return splits.sample_rows(pairs(spark, sf_dir).where("label = 1"), 25, 3, key).select(*key)
 
 
-_GRID = {"aligner": ("local", "glocal"), "step_scale": (0.0001, 0.001, 0.01), "step_decay_burnin": (10,), "prior_precision": (0.0, 1.0), "label_prior": ("none", "90_10"), "sample_weight": ("none",), "max_iter": (100,)}
-
-
 @query("""
-SELECT CAST(row_number() OVER (ORDER BY ai, si, pi, li) - 1 AS INT) AS config_index, aligner, step_scale, 10 AS step_decay_burnin, prior_precision, label_prior, 'none' AS sample_weight, 100 AS max_iter
-FROM (VALUES (0, 'local'), (1, 'glocal')) a(ai, aligner), (VALUES (0, CAST(0.0001 AS DOUBLE)), (1, 0.001), (2, 0.01)) s(si, step_scale),
-     (VALUES (0, CAST(0.0 AS DOUBLE)), (1, 1.0)) p(pi, prior_precision), (VALUES (0, 'none'), (1, '90_10')) l(li, label_prior)
+SELECT CAST(row_number() OVER (ORDER BY ai, si, pi, li, wi) - 1 AS INT) AS config_index, aligner, step_scale, 300 AS step_decay_burnin, prior_precision, label_prior, sample_weight, 100 AS max_iter
+FROM (VALUES (0, 'local'), (1, 'glocal')) a(ai, aligner), (VALUES (0, CAST(0.00001 AS DOUBLE)), (1, 0.000012), (2, 0.00005), (3, 0.0001), (4, 0.0005)) s(si, step_scale),
+     (VALUES (0, CAST(0.0 AS DOUBLE)), (1, 1.0)) p(pi, prior_precision), (VALUES (0, 'none'), (1, 'symmetric_95_5'), (2, 'symmetric_90_10'), (3, 'symmetric_80_20')) l(li, label_prior),
+     (VALUES (0, 'none'), (1, 'mirna_gene_sqrt')) w(wi, sample_weight)
 """)
 def config_grid(spark, sf_dir):
-    return workflow.config_grid(spark, _GRID)
+    """The default grid."""
+    return workflow.config_grid(spark)
 
 
 @query("""
@@ -267,10 +267,8 @@ def uniform_model(aligner: str = "local") -> Model:
 
 
 def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of each part with its first two suppliers by key: few enough for a recursive query."""
-    p = table(spark, sf_dir, "part").select("p_partkey")
-    n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
-    rows = p.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("l_partkey"), (1 + (F.col("p_partkey") * 7) % F.col("n")).alias("l_suppkey"))
+    """Every pair of a part and a supplier in ``lineitem`` once, ready to be aligned."""
+    rows = pairs(spark, sf_dir).select("l_partkey", "l_suppkey").distinct()
     nt = lambda c: F.translate(F.md5(c), _HEX, _NT)
     supp = F.col("l_suppkey").cast("string")
     first = F.substring(nt(F.col("l_partkey").cast("string")), F.lit(1), (18 + F.col("l_partkey") % 7).cast("int"))
@@ -281,50 +279,54 @@ def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: One row of the matrix from the one above: candidates from the diagonal and above, then the
 #: best of all cells to the left with their gaps, as a running maximum.
 ALIGN_SQL = """
-WITH RECURSIVE d AS (
-  SELECT p_partkey AS k, 1 + (p_partkey * 7) % (SELECT count(*) FROM supplier) AS s,
-    substr(translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(18 + p_partkey % 7 AS INT)) AS a FROM part),
-p AS (SELECT k, s, a, length(a) AS n, reverse(translate(substr(concat(
-    translate(md5(concat('g', CAST(s AS VARCHAR))), '0123456789abcdef', 'ACGTACGTACGTACGT'),
-    translate(md5(concat('h', CAST(s AS VARCHAR))), '0123456789abcdef', 'ACGTACGTACGTACGT')), 1, 50), 'ACGT', 'TGCA')) AS b FROM d),
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT CAST(row_number() OVER () AS INT) AS k, l_partkey, l_suppkey,
+    substr(translate(md5(CAST(l_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(18 + l_partkey % 7 AS INT)) AS a,
+    reverse(translate(substr(concat(
+      translate(md5(concat('g', CAST(l_suppkey AS VARCHAR))), '0123456789abcdef', 'ACGTACGTACGTACGT'),
+      translate(md5(concat('h', CAST(l_suppkey AS VARCHAR))), '0123456789abcdef', 'ACGTACGTACGTACGT')), 1, 50), 'ACGT', 'TGCA')) AS b
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)),
 h AS (
-  SELECT k, 0 AS i, j, 0 AS v, a, b, n FROM p, range(0, 51) t(j)
+  SELECT k, 0::TINYINT AS i, j::TINYINT AS j, 0 AS v FROM d, range(0, 51) t(j)
   UNION ALL
-  SELECT k, i, j, greatest({floor}max(t - {gap} * j) OVER (PARTITION BY k ORDER BY j) + {gap} * j) AS v, a, b, n
-  FROM (SELECT k, i + 1 AS i, j, a, b, n, {first}
+  SELECT k, i, j, greatest({floor}max(t - {gap} * j) OVER (PARTITION BY k ORDER BY j) + {gap} * j) AS v
+  FROM (SELECT k, (i + 1)::TINYINT AS i, j, length(a) AS n, {first}
           greatest({zero}coalesce(lag(v) OVER (PARTITION BY k ORDER BY j) + CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j AS INT), 1) THEN 5 ELSE -4 END, -100000), v - 6) {end} AS t
-        FROM h WHERE i < n)
+        FROM h JOIN d USING (k) WHERE i < length(a))
 )
 """
 
 
 def _align_sql(local: bool) -> str:
+    """The matrix of every pair, and their scores as ``scores(l_partkey, l_suppkey, score)``."""
     gap = f"(CASE WHEN i = n THEN {-1 if local else -100000} ELSE -6 END)"
     sql = ALIGN_SQL.replace("{gap}", gap)
     if local:
         sql = sql.replace("{floor}", "0, ").replace("{first}", "CASE WHEN j = 0 THEN 0 ELSE").replace("{zero}", "0, ").replace("{end}", "END")
-        return sql + "SELECT k AS l_partkey, CAST(max(v) AS DOUBLE) AS score FROM h GROUP BY k"
-    sql = sql.replace("{floor}", "").replace("{first}", "").replace("{zero}", "").replace("{end}", "")
-    return sql + "SELECT k AS l_partkey, CAST(max(v) AS DOUBLE) AS score FROM h WHERE i = n GROUP BY k"
+        last = ""
+    else:
+        sql = sql.replace("{floor}", "").replace("{first}", "").replace("{zero}", "").replace("{end}", "")
+        last = "WHERE i = length(a)"
+    return sql + f", scores AS (SELECT l_partkey, l_suppkey, CAST(max(v) AS DOUBLE) AS score FROM h JOIN d USING (k) {last} GROUP BY ALL)\n"
 
 
-@query(_align_sql(True))
+@query(_align_sql(True) + "SELECT l_partkey, l_suppkey, score FROM scores")
 def align_local_scores(spark, sf_dir):
-    return align.scored(distinct_pairs(spark, sf_dir), uniform_model()).select("l_partkey", "score")
+    return align.scored(distinct_pairs(spark, sf_dir), uniform_model()).select("l_partkey", "l_suppkey", "score")
 
 
-@query(_align_sql(False))
+@query(_align_sql(False) + "SELECT l_partkey, l_suppkey, score FROM scores")
 def align_glocal_scores(spark, sf_dir):
-    return align.scored(distinct_pairs(spark, sf_dir), uniform_model("glocal")).select("l_partkey", "score")
+    return align.scored(distinct_pairs(spark, sf_dir), uniform_model("glocal")).select("l_partkey", "l_suppkey", "score")
 
 
 #: Cells with the step that made them, then each path from its best cell back to a zero.
-WALK_SQL = _align_sql(True).rpartition("SELECT k AS l_partkey")[0] + """
+WALK_SQL = _align_sql(True) + """
 , cells AS (
-  SELECT k, i, j, v, a, b, n,
+  SELECT k, i, j, v, a, b,
     lag(v) OVER (PARTITION BY k, j - i ORDER BY i) + CASE WHEN substr(a, CAST(i AS INT), 1) = substr(b, CAST(j AS INT), 1) THEN 5 ELSE -4 END AS by_diagonal,
-    lag(v) OVER (PARTITION BY k, i ORDER BY j) + CASE WHEN i = n THEN -1 ELSE -6 END AS by_left
-  FROM h),
+    lag(v) OVER (PARTITION BY k, i ORDER BY j) + CASE WHEN i = length(a) THEN -1 ELSE -6 END AS by_left
+  FROM h JOIN d USING (k)),
 steps AS MATERIALIZED (
   SELECT k, i, j, v, substr(a, CAST(i AS INT), 1) AS x, substr(b, CAST(j AS INT), 1) AS y,
     CASE WHEN v = 0 OR i = 0 OR j = 0 THEN 0 WHEN v = by_diagonal THEN 1 WHEN v = by_left THEN 2 ELSE 3 END AS step FROM cells),
@@ -336,20 +338,24 @@ path AS (SELECT * FROM walk WHERE step <> 0)
 """
 
 
-@query()
+@query(WALK_SQL + """
+SELECT l_partkey, l_suppkey, mir_aln, gene_aln, concat(mir_aln, chr(10), signs, chr(10), gene_aln) AS pretty
+FROM (SELECT k, string_agg(CASE WHEN step = 2 THEN '-' ELSE x END, '' ORDER BY i, j) AS mir_aln, string_agg(CASE WHEN step = 3 THEN '-' ELSE y END, '' ORDER BY i, j) AS gene_aln,
+        string_agg(CASE WHEN step = 1 AND x = y THEN '|' ELSE ' ' END, '' ORDER BY i, j) AS signs FROM path GROUP BY k) JOIN d USING (k)
+""")
 def alignment_paths(spark, sf_dir):
     rows = align.alignment_attributes(align.align_local(distinct_pairs(spark, sf_dir), uniform_model()))
-    return rows.select("l_partkey", F.col("aln.mir_aln").alias("mir_aln"), F.col("aln.gene_aln").alias("gene_aln"), seq.pretty_alignment(F.col("aln.mir_aln"), F.col("aln.gene_aln")).alias("pretty"))
+    return rows.select("l_partkey", "l_suppkey", F.col("aln.mir_aln").alias("mir_aln"), F.col("aln.gene_aln").alias("gene_aln"), seq.pretty_alignment(F.col("aln.mir_aln"), F.col("aln.gene_aln")).alias("pretty"))
 
 
 @query(WALK_SQL + """
-SELECT k AS l_partkey, CAST(max(v) AS DOUBLE) AS aln_score, CAST(count(*) AS INT) AS aln_columns, CAST(min(i) - 1 AS INT) AS first_mir,
+SELECT l_partkey, l_suppkey, CAST(max(v) AS DOUBLE) AS aln_score, CAST(count(*) AS INT) AS aln_columns, CAST(min(i) - 1 AS INT) AS first_mir,
   CAST(count(*) FILTER (step = 1 AND x = y) AS INT) AS matches, CAST(count(*) FILTER (step = 1 AND x <> y) AS INT) AS mismatches, CAST(count(*) FILTER (step > 1) AS INT) AS gaps
-FROM path GROUP BY k
+FROM path JOIN d USING (k) GROUP BY l_partkey, l_suppkey
 """)
 def alignment_counts(spark, sf_dir):
     rows = align.alignment_attributes(align.counted(align.align_local(distinct_pairs(spark, sf_dir), uniform_model())))
-    return rows.select("l_partkey", "aln_score", "aln_columns", "first_mir", "matches", "mismatches", "gaps")
+    return rows.select("l_partkey", "l_suppkey", "aln_score", "aln_columns", "first_mir", "matches", "mismatches", "gaps")
 
 
 @query(WALK_SQL + "SELECT CAST(i - 1 AS INT) AS pos, x AS mir_nt, CASE WHEN step = 3 THEN '-' ELSE y END AS gene_nt, count(*) AS n FROM path WHERE step <> 2 GROUP BY ALL")
@@ -362,7 +368,7 @@ def positional_features(spark, sf_dir):
     rows = align.positional_features(align.align_local(distinct_pairs(spark, sf_dir), uniform_model()), LENGTH)
     names = [f"{i}_is_{w}" for i in range(LENGTH) for w in ("match", "mismatch")]
     rows, kept = align.without_empty_features(rows, [*names, "Gap_miR", "Gap_gene"])
-    return rows.select("l_partkey", *kept, "intercept")
+    return rows.select("l_partkey", "l_suppkey", *kept, "intercept")
 
 
 POINTS_SQL = f"""
@@ -461,7 +467,7 @@ def label_posteriors(spark, sf_dir):
 
 @query(WALK_SQL + """
 , score AS (SELECT k, max(v) AS s FROM path GROUP BY k),
-row_part AS (SELECT k, CASE WHEN k % 2 = 1 THEN 1 - 1 / (1 + exp(35.0 - s)) ELSE -1 / (1 + exp(35.0 - s)) END AS g FROM score),
+row_part AS (SELECT k, CASE WHEN l_partkey % 2 = 1 THEN 1 - 1 / (1 + exp(35.0 - s)) ELSE -1 / (1 + exp(35.0 - s)) END AS g FROM score JOIN d USING (k)),
 parts AS (
   SELECT CASE step WHEN 1 THEN 'match' WHEN 2 THEN 'gap_first' ELSE 'gap_second' END AS param, CAST(i - 1 AS INT) AS pos,
     CASE WHEN step = 1 THEN x END AS mir_nt, CASE WHEN step = 1 THEN y END AS gene_nt, g FROM path JOIN row_part USING (k))
@@ -546,9 +552,12 @@ def kmeans_on_features(spark, sf_dir):
 
 @query()
 def fit_trajectory(spark, sf_dir):
+    """Five rounds of a fit with label noise to all pairs of ``lineitem``; a positive is a pair of an odd part."""
     rows = distinct_pairs(spark, sf_dir).withColumn("label", (F.col("l_partkey") % 2).cast("int"))
-    found = fit(rows.select("noncodingRNA", "gene", "target_rc", "label"), Config(max_iter=2, step_scale=1e-5, prior_precision=1.0, label_prior="90_10"))
-    return spark.createDataFrame([tuple(r.values()) for r in trajectory("fit", found)], "config string, iteration int, loglik double, train_auprc double, subgradient_l2 double")
+    config = Config(max_iter=5, step_scale=1e-5, prior_precision=1.0, label_prior="symmetric_90_10", dataset="lineitem")
+    found = trajectory(config, fit(rows.select("noncodingRNA", "gene", "target_rc", "label"), config))
+    names = ("iteration", "loglik", "train_auprc", "subgradient_l2")
+    return spark.createDataFrame([(config.name, *(r[n] for n in names)) for r in found], "config string, iteration int, loglik double, train_auprc double, subgradient_l2 double")
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus, list_aggregate(list_filter(list_transform(string_split(concat(' ', l_returnflag, ' ,, ', l_linestatus, ',  ,x '), ','), lambda x: trim(x)), lambda x: x <> ''), 'string_agg', '|') AS items FROM lineitem")
@@ -584,10 +593,14 @@ def normal_equations(spark, sf_dir):
     return spark.createDataFrame([tuple(values)], ", ".join(f"{n} double" for n in names)).select(*(F.round(n, 4).alias(n) for n in names))
 
 
+@query(_align_sql(True) + f""", s AS (SELECT split, label, score FROM ({PAIRS_SQL}) JOIN scores USING (l_partkey, l_suppkey)),
+t AS (SELECT split, score, CAST(sum(label) AS BIGINT) AS p, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT *, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS k, CAST(sum(p) OVER (PARTITION BY split) AS BIGINT) AS pos, CAST(sum(n) OVER (PARTITION BY split) AS BIGINT) AS tot
+      FROM t WINDOW w AS (PARTITION BY split ORDER BY score DESC))
+SELECT split, any_value(tot) AS pairs, any_value(pos) AS positives, any_value(tot - pos) AS negatives, round(sum(p * (tp / k)) / any_value(pos), 6) AS ap,
+  round(sum((n - p) * (tp - p / 2)) / (any_value(pos) * any_value(tot - pos)), 6) AS roc_auc FROM c GROUP BY split
+""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validated pairs, reverse complements, local alignment, ranking metrics by split."""
     rows = sources.prepared(sources.normalized(pairs(spark, sf_dir)))
-    return metrics.ranking_metrics(align.scored(rows, uniform_model()), ["split"])
-
-
-QUERIES["flagship"] = flagship
+    return metrics.ranking_metrics(align.scored(rows, uniform_model()), ["split"]).withColumns({"ap": r6("ap"), "roc_auc": r6("roc_auc")})
