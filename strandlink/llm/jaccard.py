@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .spark_tools import components, light_batches, partitions, pieces, record, release, stash, trim
+from .spark_tools import components, light_batches, partitions, pieces, ranges_of, record, release, stash, trim
 
 BLOCK = 2000  #: documents that one prefix tree holds at most
 SEGMENT = 32  #: shingles to a tree node; bounds are tested at each
@@ -403,7 +403,7 @@ def _round(sets: DataFrame, m: str, num: int, den: int) -> DataFrame:
 def _links(texts: DataFrame, described: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links between set keys that connect what the join connects."""
     spark = texts.sparkSession
-    ranges = 1 << max(6, (2 * partitions(spark) - 1).bit_length())
+    ranges = ranges_of(spark, described.agg(F.sum("n_shingles") * 8).first()[0])
     sets = _candidates(texts, described, ranges, n, num, den)
     release(spark)
     found = components(_round(sets, "m1", num, den).unionByName(_round(sets, "m2", num, den)))
