@@ -129,14 +129,6 @@ def ranking_metrics(rows: DataFrame, by: list[str], score: str = "score", label:
     return joined.select(*by, "pairs", F.coalesce(pos, F.lit(0)).alias("positives"), F.coalesce(neg, F.lit(0)).alias("negatives"), ap.alias("ap"), auc.alias("roc_auc"))
 
 
-def precision_of(points: DataFrame) -> float:
-    """The average precision of ``points(score, p, n)``, a row to each distinct finite score."""
-    r = placed_groups(points, []).agg(F.sum(F.col("p") * F.col("tp") / F.col("k")).alias("ap"), F.max("pos").alias("pos"), F.max("all").alias("all")).first()
-    if not r["all"]:
-        return float("nan")
-    return r["pos"] / r["all"] if r["pos"] in (0, r["all"]) else r["ap"] / r["pos"]
-
-
 def pr_points(rows: DataFrame, by: list[str], **names) -> DataFrame:
     """``point_index, threshold, precision, recall`` by rising threshold; the last point is (1, 0) without threshold."""
     points = _counted(stored(score_groups(rows, by, **names)), by, "score")

@@ -363,7 +363,15 @@ def footprint_counts(spark, sf_dir):
     return align.footprint_counts(align.align_local(distinct_pairs(spark, sf_dir), uniform_model()))
 
 
-@query()
+def _positional_sql() -> str:
+    here = lambda i, test: f"CAST(count(*) FILTER (i = {i + 1} AND step = 1 AND x {test} y) AS INT)"
+    # A local alignment neither begins nor ends with a mismatch, so those two features are empty and dropped.
+    kept = ", ".join(f'{here(i, t)} AS "{i}_is_{w}"' for i in range(LENGTH) for w, t in (("match", "="), ("mismatch", "<>")) if w == "match" or 0 < i < LENGTH - 1)
+    gaps = ", ".join(f"CAST(count(*) FILTER (step = {k}) AS INT) AS {n}" for k, n in ((2, '"Gap_miR"'), (3, '"Gap_gene"')))
+    return WALK_SQL + f"SELECT l_partkey, l_suppkey, {kept}, {gaps}, 1 AS intercept FROM path JOIN d USING (k) GROUP BY l_partkey, l_suppkey"
+
+
+@query(_positional_sql())
 def positional_features(spark, sf_dir):
     rows = align.positional_features(align.align_local(distinct_pairs(spark, sf_dir), uniform_model()), LENGTH)
     names = [f"{i}_is_{w}" for i in range(LENGTH) for w in ("match", "mismatch")]
