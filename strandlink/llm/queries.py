@@ -114,6 +114,22 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), texts=False)
 
 
+#: Every window of 100 bytes of every text in hex; a maximal run of windows that are not the first of their kind is a span.
+OP7_SQL = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS s FROM texts),
+windows AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(substr(h, CAST(2 * s + 1 AS BIGINT), 200)) ORDER BY doc_id, s) AS place FROM starts),
+later AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM windows WHERE place > 1),
+runs AS (SELECT doc_id, s, sum(CASE WHEN s <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM later),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM (SELECT * FROM spans UNION ALL SELECT doc_id, n, n FROM texts)),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * e.a + 1 AS BIGINT), CAST(2 * (e.b - e.a) AS BIGINT)), '' ORDER BY e.a, e.b) AS h FROM edges e JOIN texts USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM texts JOIN kept k USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op8_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.98 within their labels."""
     from .pq import near_links
@@ -168,5 +184,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": OP2_SQL,
     "op6_ngram_jaccard": OP6_SQL,
+    "op7_suffix_array": OP7_SQL,
     "op8_embedding_pq": OP8_SQL,
 }
