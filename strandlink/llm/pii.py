@@ -21,6 +21,8 @@ are code points, ends exclusive. Of kinds of equal confidence the first as liste
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ NAMES = (*KINDS, "secret")
 FORMS = (r"^[^@]+@[^@]+$", r"^[0-9]+(?:[.:][0-9]+){2,}$", r"^[0-9][0-9\x20-]*$", r"^[+(]*[0-9][0-9\x20()./-]*$", r"^(?=.*[A-Za-z])[A-Za-z0-9_.+-]+$")
 SECRET = r"^(?=[A-Za-z_+-]*[0-9])(?=[0-9_+-]*[A-Za-z])[A-Za-z0-9_+-]{32,}$"
 
+MATCHES = 256  #: matches of a text that are put together at a time
 MOST_ROUNDS = 50  #: rounds after which scores that still change are taken as they are
 BELIEVED = 0.8  #: a pattern's least confidence
 SUPPORT = {"two": 3, "around": 3, "before": 5, "after": 5}  #: different seeds that a pattern needs
@@ -71,7 +74,28 @@ def found(text: Column, pattern: str, context: bool = False) -> Column:
             fields += [F.substring(x["piece"], -60, 60).alias("before"), x["after"].alias("after")]
         return F.struct(last.alias("at"), F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(*fields)))).alias("spans"))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(F.arrays_zip(*zipped), start, step, lambda acc: acc["spans"])).otherwise(start["spans"])
+    def shifted(s: Column, by: Column) -> Column:
+        names = ["value", "before", "after"] if context else ["value"]
+        return F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), *(s[n].alias(n) for n in names))
+
+    def counted(z: Column) -> Column:
+        """Offsets within blocks of matches, then of the blocks, as an array grows by copies."""
+        blocks = F.transform(block_starts(F.size(z)), lambda k: F.aggregate(F.slice(z, k, F.lit(MATCHES)), start, step))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<struct<start int, end int, value string{extra}>>>").alias("spans"))
+        more = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["spans"], F.array(F.transform(x["spans"], lambda s: shifted(s, acc["at"])))).alias("spans"))
+        return F.flatten(F.aggregate(blocks, none, more, lambda acc: acc["spans"]))
+
+    return F.when(F.rlike(text, F.lit(pattern)), bound(F.arrays_zip(*zipped), counted)).otherwise(start["spans"])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def block_starts(size: Column) -> Column:
+    """The places from 1 at which blocks of ``MATCHES`` of an array that isn't empty begin."""
+    return F.sequence(F.lit(1), size, F.lit(MATCHES))
 
 
 def luhn(value: Column) -> Column:
@@ -222,13 +246,31 @@ def masked(docs: DataFrame) -> DataFrame:
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in NAMES))
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+    def masked_in(chunk: Column, base: Column):
+        """Of a chunk of the text that begins at ``base``: the pieces between its spans and their names."""
+
+        def step(acc: Column, s: Column) -> Column:
+            fresh = s["start"] >= acc["at"]
+            piece = F.concat(F.substring(chunk, acc["at"] - base + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+        return step
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def block(acc: Column, k: Column) -> Column:
+        """A block of spans, over the part of the text that it needs: to find a place takes steps in proportion to it."""
+        some = F.slice("__spans", k, F.lit(MATCHES))
+        last = F.array_max(F.transform(some, lambda s: s["end"]))
+        from_ = F.struct(acc["at"].alias("at"), start["out"].alias("out"))
+
+        def use(chunk: Column) -> Column:
+            done = F.aggregate(some, from_, masked_in(chunk, acc["at"]), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
+            return done
+
+        return bound(F.substring(text, acc["at"] + 1, F.greatest(last - acc["at"], F.lit(0))), use)
+
+    new = F.aggregate(block_starts(F.size("__spans")), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     rows = rows.withColumn("__new", F.when(F.col("__spans").isNull(), text).otherwise(new))
     out = {"text": F.col("__new")}
     if "n_chars" in columns:

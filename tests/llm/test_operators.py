@@ -393,6 +393,29 @@ def test_pii_secrets_and_long_texts(spark):
     assert out[1]["spans"] == "secret:9:49" and out[2]["n_ip"] == 3000 and out[3]["spans"] == out[4]["spans"] == ""
 
 
+def test_pii_many_matches_in_one_text(spark, monkeypatch):
+    """More matches than are put together at a time, in blocks of every size."""
+    texts = [" ".join(f"é{'x' * (i % 5)} 10.0.{i % 256}.{i % 7} a{i}@b.c +1{i:010d}" for i in range(n)) for n in (1, 2, 3, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (1, 2, 7, 256):
+        monkeypatch.setattr(pii, "MATCHES", most)
+        for r in pii.report(df).collect():
+            assert r["base_sha256"] == hashlib.sha256(plain_pii(texts[r["doc_id"]]).encode()).hexdigest()
+        for r in pii.masked(df).collect():
+            expected, at = [], 0
+            for kind, a, b in (x.split(":") for x in plain_pii(texts[r["doc_id"]]).split(",")):
+                if int(a) >= at:
+                    expected.append(texts[r["doc_id"]][at : int(a)] + f"<{kind.upper()}>")
+                at = max(at, int(b))
+            assert r["text"] == "".join(expected) + texts[r["doc_id"]][at:]
+    import time
+
+    began = time.perf_counter()
+    long = spark.createDataFrame([(1, "10.0.0.1 x y z w " * 40_000)], "doc_id long, text string")
+    assert pii.masked(long).first()["text"] == "<IP> x y z w " * 40_000
+    assert time.perf_counter() - began < 120
+
+
 def test_pii_masks(docs):
     out = pii.masked(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
