@@ -3,7 +3,8 @@
 Coarse lists and the residuals' codebooks are fitted on a bounded sample; every
 vector is indexed, in the list of its nearest centroid, with a code of its
 residual. As a query it looks into every list that may hold a partner: a list is
-left out when its cell begins farther away than ``slack`` link distances. In a list, tables
+left out when its cell begins farther away than ``slack`` link distances; a half is enough
+for every pair to be met from one side at least. In a list, tables
 of the query's distances to the code words give each member's approximate distance
 (asymmetric: the query isn't coded); members that are near enough, given the
 error of their own code, are compared exactly.
@@ -174,6 +175,14 @@ class Block:
                 good = np.einsum("ij,ij->i", some[i], self.units[j]) >= cosine
                 yield i[good] + a, j[good]
 
+    def one_sided(self, units: np.ndarray, q: np.ndarray, m: np.ndarray, reach: float) -> np.ndarray:
+        """Of pairs of queries and members, those whose member doesn't probe the query's own list."""
+        coarse = self.book.coarse
+        own = self.book.lists(units)[q]
+        gap = np.sqrt(((coarse[own] - coarse[self.place]) ** 2).sum(1))
+        far = ((self.units[m] - coarse[own]) ** 2).sum(1) - ((self.units[m] - coarse[self.place]) ** 2).sum(1)
+        return np.flatnonzero((own != self.place) & (far / np.maximum(2 * gap, 1e-12) > reach + 1e-9))
+
     def links(self, key: bytes, found: np.ndarray) -> list[bytes]:
         """Members that ``key`` must be linked to so that it and ``found`` are connected."""
         chains = np.unique(self.chain[found])
@@ -182,17 +191,22 @@ class Block:
         return [self.keys[c] for c in chains.tolist() if c != own]
 
 
-def _searched(held, cosine: float):
+def _searched(held, cosine: float, reach: float):
     """Rows come sorted by list and block, members first. Yields for each query the number of
-    vectors that it links to, and enough links to connect them."""
+    vectors that it links to, for each member that of the queries whose lists it doesn't probe itself,
+    and enough links to connect them."""
 
     def of(batches):
         books = held.value
         name, members, block, waiting, rows = None, [], None, [], []
 
         def answer():
-            pairs = list(block.near(np.stack([np.frombuffer(u, "<f8") for _, u in waiting]), cosine))
+            units = np.stack([np.frombuffer(u, "<f8") for _, u, _ in waiting])
+            pairs = list(block.near(units, cosine))
             q, m = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+            alone = block.one_sided(units, q, m, reach)
+            back = np.bincount(m[alone], np.array([n for _, _, n in waiting])[q[alone]], minlength=len(block.keys))
+            rows.extend((block.keys[k], None, int(back[k])) for k in np.flatnonzero(back).tolist())
             order = np.argsort(q, kind="stable")
             edges = np.searchsorted(q[order], np.arange(len(waiting) + 1))
             for k in np.flatnonzero(np.diff(edges)).tolist():
@@ -219,7 +233,7 @@ def _searched(held, cosine: float):
                 if block is None:
                     book = books[len(unit)]
                     block = Block(book, place - book.first, members)
-                waiting.append((key, unit))
+                waiting.append((key, unit, copies))
                 if len(waiting) == 1024:
                     answer()
                 if len(rows) > 20_000:
@@ -237,8 +251,9 @@ def near_links(vectors: DataFrame, cosine: float = 0.98, slack: float = 0.5) ->
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding, label)``.
 
     ``slack``: lists are probed whose cell begins within this share of the link
-    distance. With 1 no partner can be missed; a partner's offset has only a small
-    part across any one border, so that half is sufficient at a fifth of the probes.
+    distance. Of two linked vectors the distances to the border between their cells add up
+    to the link distance at most, so with half of it one of them probes the other's list; a
+    pair that only one of them meets counts for both. Below a half links may be missed.
     """
     spark = vectors.sparkSession
     light_batches(spark)
@@ -257,7 +272,8 @@ def near_links(vectors: DataFrame, cosine: float = 0.98, slack: float = 0.5) ->
         first += len(books[size].coarse)
     if books:
         held = spark.sparkContext.broadcast(books)  # of a size that SAMPLE bounds, for each length
-        index = stash(members.mapInArrow(_indexed(held, slack * float(np.sqrt(max(2 - 2 * cosine, 0)))), "label long, list int, probe boolean, key binary, unit binary, codes binary, error double, copies long"))
+        reach = slack * float(np.sqrt(max(2 - 2 * cosine, 0)))
+        index = stash(members.mapInArrow(_indexed(held, reach), "label long, list int, probe boolean, key binary, unit binary, codes binary, error double, copies long"))
         sizes = index.groupBy("label", "list").agg(F.sum((~F.col("probe")).cast("long")).alias("held"), F.sum(F.col("probe").cast("long")).alias("asked"))
         sizes = stash(sizes.where("held > 0").select(F.col("label").alias("l"), F.col("list").alias("c"), F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / (4 * BLOCK)).cast("int").alias("turns")))
         dealt = index.join(sizes, (F.col("label") == F.col("l")) & (F.col("list") == F.col("c")))
@@ -266,7 +282,7 @@ def near_links(vectors: DataFrame, cosine: float = 0.98, slack: float = 0.5) ->
         block = F.explode(F.when(F.col("probe"), every("blocks")).otherwise(F.array(mine("blocks"))))
         dealt = dealt.withColumn("block", block).withColumn("queries", F.explode(F.when(F.col("probe"), F.array(mine("turns"))).otherwise(every("turns"))))
         dealt = dealt.drop("l", "c", "blocks", "turns").repartition(tasks, "label", "list", "block", "queries").sortWithinPartitions("label", "list", "block", "queries", "probe", "key")
-        found = stash(dealt.mapInArrow(_searched(held, cosine), "u binary, v binary, n long"))
+        found = stash(dealt.mapInArrow(_searched(held, cosine, reach), "u binary, v binary, n long"))
         counts = found.groupBy(F.col("u").alias("k")).agg(F.sum("n").alias("n"))
         roots = components(found.where("v is not null").select("u", "v"))
         named = named.join(counts, F.col("key") == F.col("k"), "left").join(roots, F.col("key") == F.col("node"), "left").select("key", "copies", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "key").alias("root"))

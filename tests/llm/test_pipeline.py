@@ -38,7 +38,7 @@ def test_linked_vectors_equal_sql(spark, tmp_path):
     df.write.parquet(str(tmp_path / "embeddings.parquet"))
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
-    same(pq.near_links(spark.read.parquet(str(tmp_path / "embeddings.parquet")), slack=1.0), con, ORACLE_SQL["op8_embedding_pq"])
+    same(pq.near_links(spark.read.parquet(str(tmp_path / "embeddings.parquet"))), con, ORACLE_SQL["op8_embedding_pq"])
     assert con.sql("select count(*) from (" + ORACLE_SQL["op8_embedding_pq"] + ") where n_links > 0").fetchall()[0][0] > 100
 
 
