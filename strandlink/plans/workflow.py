@@ -73,7 +73,8 @@ class Evaluation:
         """All tables as CSV, with the configuration's name, and drawings of each split's curves against the reference split's."""
         spark = self.metrics.sparkSession
         sinks.save_records(spark, [config | {"status": "ok"} | self.flat], f"{folder}/summary.csv")
-        named = {"metrics": self.metrics, "metric_slices": self.slices, "pr_points": self.pr, "roc_points": self.roc}
+        slices = None if self.slices is None else self.slices.orderBy("split", "slice_type", F.col("slice_value").cast("string"))
+        named = {"metrics": self.metrics, "metric_slices": slices, "pr_points": self.pr, "roc_points": self.roc}
         for name, df in named.items():
             if df is not None:
                 sinks.write_csv(df.withColumn("config", F.lit(config.get("config", ""))), f"{folder}/{name}.csv")

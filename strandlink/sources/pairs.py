@@ -110,6 +110,11 @@ def read_delimited(spark: SparkSession, path: str, allow_empty: bool = True) ->
     return validated(df.select(*REQUIRED), path, allow_empty)
 
 
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """A comma-separated table of scores against other datasets, with a header; types as Spark reads them."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
 def parse_named(text: str) -> dict[str, str]:
     """``name=path,...`` as a dict; a bare path is named by its stem. Blank items are dropped."""
     out: dict[str, str] = {}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlink.operators import align, diagnostics, fit, kernels, metrics, model, objective, splits
+from strandlink.operators import align, analysis, diagnostics, fit, kernels, metrics, model, objective, splits
 from strandlink.operators.kernels import Weights
 from strandlink.sources import pairs as sources
 from strandlink.sources import sinks
@@ -197,6 +197,67 @@ def test_small_parts(spark):
     assert means == pytest.approx({"match": model.BASELINE_MATCH, "mismatch": model.BASELINE_MISMATCH})
 
 
+def plain_logistic(x, y, penalty=0.0, rounds=60):
+    """Newton steps on the mean loss with half the penalty times the squared coefficients, the intercept free."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    free = np.diag([penalty] * (len(w) - 1) + [0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x / len(x) + free, x.T @ (p - y) / len(x) + free @ w)
+    return w
+
+
+def feature_rows(spark, n=240):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, 2)) + rng.integers(0, 3, n)[:, None] * 4
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - x[:, 1])))).astype(int)
+    return x, y, spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "id long, a double, b double, label int").cache()
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.3])
+def test_regression_by_plain_newton(spark, penalty):
+    x, y, rows = feature_rows(spark)
+    _, found = analysis.logistic_regression(rows, ["a", "b"], penalty)
+    assert [found[k] for k in ("a", "b", "intercept")] == pytest.approx(plain_logistic(x, y, penalty).tolist(), abs=2e-3)
+
+
+def test_out_of_fold(spark):
+    x, y, rows = feature_rows(spark)
+    out = analysis.out_of_fold(rows, ["a", "b"], ["id"], folds=3).collect()
+    assert sorted(r["id"] for r in out) == list(range(len(y)))
+    fold = np.zeros(len(y), int)
+    for r in out:
+        fold[r["id"]] = r["fold"]
+    for f in range(3):
+        w = plain_logistic(x[fold != f], y[fold != f])
+        for r in out:
+            if r["fold"] == f:
+                assert r["probability"] == pytest.approx(1 / (1 + np.exp(-(x[r["id"]] @ w[:2] + w[2]))), abs=5e-3)
+
+
+def test_clusters_by_plain_distances(spark):
+    x, _, rows = feature_rows(spark)
+    out, centres = analysis.clusters(rows, ["a", "b"], 3)
+    own = {r["id"]: r["cluster"] for r in out.collect()}
+    near = ((x[:, None, :] - np.array(centres)[None]) ** 2).sum(2)
+    assert [own[i] for i in range(len(x))] == near.argmin(1).tolist()
+    for c in range(3):
+        assert x[near.argmin(1) == c].mean(0) == pytest.approx(centres[c], abs=0.05)
+
+
+def test_clipped_probability(spark):
+    from strandlink.functions.sequences import TINY, clip_probability
+
+    rows = spark.createDataFrame([(0.0,), (0.5,), (1.5,)], "p double")
+    assert [r[0] for r in rows.select(clip_probability(F.col("p"))).collect()] == [TINY, 0.5, 1.0]
+
+
+def test_scores_file(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("noncodingRNA,score\nACG,1.5\nAAA,2\n")
+    assert sources.read_scores(spark, str(tmp_path / "s.csv")).dtypes == [("noncodingRNA", "string"), ("score", "double")]
+
+
 def test_tied_fit_climbs(spark):
     rows = sources.prepared(table(spark, [("ACGTAC", "GTACGTAA", 1), ("ACCTAC", "TTTTTTTT", 0), ("GGGTAC", "GTACCCAA", 1), ("ACGTTT", "CCCCCCCC", 0)]))
     found = fit.fit_tied(rows, 6, rounds=6, step=lambda k: 0.5)
