@@ -117,8 +117,8 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every window of 100 bytes of every text in hex; a maximal run of windows that are not the first of their kind is a span.
 OP7_SQL = """
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
-starts AS (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS s FROM texts),
-windows AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(substr(h, CAST(2 * s + 1 AS BIGINT), 200)) ORDER BY doc_id, s) AS place FROM starts),
+sums AS (SELECT doc_id, list_transform(range(0, greatest(n - 99, 0)), lambda s: md5(substr(h, CAST(2 * s + 1 AS BIGINT), 200))) AS w FROM texts),
+windows AS (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS place FROM (SELECT doc_id, unnest(w) AS w, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS s FROM sums)),
 later AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM windows WHERE place > 1),
 runs AS (SELECT doc_id, s, sum(CASE WHEN s <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM later),
 spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, run),
