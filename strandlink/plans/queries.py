@@ -320,21 +320,22 @@ def align_glocal_scores(spark, sf_dir):
     return align.scored(distinct_pairs(spark, sf_dir), uniform_model("glocal")).select("l_partkey", "l_suppkey", "score")
 
 
-#: Cells with the step that made them, then each path from its best cell back to a zero.
+#: Positive cells with the step that made them, then each path from its best cell (the first in row order) back to a zero.
 WALK_SQL = _align_sql(True) + """
 , cells AS (
-  SELECT k, i, j, v, a, b,
+  SELECT k, i, j, v,
     lag(v) OVER (PARTITION BY k, j - i ORDER BY i) + CASE WHEN substr(a, CAST(i AS INT), 1) = substr(b, CAST(j AS INT), 1) THEN 5 ELSE -4 END AS by_diagonal,
     lag(v) OVER (PARTITION BY k, i ORDER BY j) + CASE WHEN i = length(a) THEN -1 ELSE -6 END AS by_left
   FROM h JOIN d USING (k)),
 steps AS MATERIALIZED (
-  SELECT k, i, j, v, substr(a, CAST(i AS INT), 1) AS x, substr(b, CAST(j AS INT), 1) AS y,
-    CASE WHEN v = 0 OR i = 0 OR j = 0 THEN 0 WHEN v = by_diagonal THEN 1 WHEN v = by_left THEN 2 ELSE 3 END AS step FROM cells),
-walk(k, i, j, v, x, y, step) AS (
-  SELECT k, i, j, v, x, y, step FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, i, j) AS r FROM steps) WHERE r = 1
+  SELECT k, i, j, CAST(CASE WHEN v = by_diagonal THEN 1 WHEN v = by_left THEN 2 ELSE 3 END AS TINYINT) AS step FROM cells WHERE v > 0 AND i > 0 AND j > 0),
+best AS (SELECT k, max(v * 2000 - (60 * i::INT + j)) AS e FROM h WHERE v > 0 GROUP BY k),
+first AS (SELECT k, CAST(ceil(e / 2000.0) AS INT) AS v, CAST(ceil(e / 2000.0) AS INT) * 2000 - e AS place FROM best),
+walk(k, i, j, step) AS (
+  SELECT s.k, s.i, s.j, s.step FROM first f JOIN steps s ON s.k = f.k AND s.i = f.place // 60 AND s.j = f.place % 60
   UNION ALL
-  SELECT s.k, s.i, s.j, s.v, s.x, s.y, s.step FROM walk w JOIN steps s ON s.k = w.k AND s.i = w.i - (w.step <> 2)::INT AND s.j = w.j - (w.step <> 3)::INT WHERE w.step <> 0),
-path AS (SELECT * FROM walk WHERE step <> 0)
+  SELECT s.k, s.i, s.j, s.step FROM walk w JOIN steps s ON s.k = w.k AND s.i = w.i - (w.step <> 2)::TINYINT AND s.j = w.j - (w.step <> 3)::TINYINT),
+path AS (SELECT w.k, i, j, v, step, substr(a, CAST(i AS INT), 1) AS x, substr(b, CAST(j AS INT), 1) AS y FROM walk w JOIN first USING (k) JOIN d USING (k))
 """
 
 
