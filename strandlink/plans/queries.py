@@ -612,4 +612,6 @@ SELECT split, any_value(tot) AS pairs, any_value(pos) AS positives, any_value(to
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validated pairs, reverse complements, local alignment, ranking metrics by split."""
     rows = sources.prepared(sources.normalized(pairs(spark, sf_dir)))
+    # Alignment is the heavy part: a short shuffle keeps it from being bound to the splits of a compressed file.
+    rows = rows.select("l_partkey", "l_suppkey", "noncodingRNA", "target_rc", "label", "split").repartition("l_partkey", "l_suppkey")
     return metrics.ranking_metrics(align.scored(rows, uniform_model()), ["split"]).withColumns({"ap": r6("ap"), "roc_auc": r6("roc_auc")})
