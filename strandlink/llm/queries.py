@@ -168,6 +168,89 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into lines and put into fill-in-middle order, as sums, and what is restored from that."""
+    from pyspark.sql import functions as F
+
+    from .infill import restored, transformed
+
+    rows = transformed(table(spark, sf_dir, "documents"), unit="line", seed=7, rate=100, spm=50)
+    sums = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(c.alias(k) for k, c in sums.items()))
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256(concat('7:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
+cuts AS (
+  SELECT *, len(u) AS n, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) % (len(u) + 1) AS c1, CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) % (len(u) + 1) AS c2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST(concat('0x', substr(h, 17, 8)) AS BIGINT) % 100 >= 100 THEN 'plain'
+         WHEN CAST(concat('0x', substr(h, 25, 8)) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM texts),
+parts AS (
+  SELECT *, coalesce(array_to_string(u[1 : least(c1, c2)], ''), '') AS p, coalesce(array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], ''), '') AS m,
+    coalesce(array_to_string(u[greatest(c1, c2) + 1 : n], ''), '') AS s FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN concat('<S>', s, '<P>', p, '<M>', m) ELSE concat('<P>', p, '<S>', s, '<M>', m) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored towards the benchmark's texts, and the ranks of the best five in a hundred."""
+    from .resample import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=(5, 100), least_words=20, seed=42)
+
+
+#: The table of CRC-32 from its rule, then the register of every distinct run of words byte by byte.
+OP12_SQL = r"""
+WITH bytes AS (
+  SELECT list(list_reduce([k]::UBIGINT[] || range(8)::UBIGINT[], lambda r, x: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END) ORDER BY k) AS c
+  FROM (SELECT unnest(range(256))::UBIGINT AS k)),
+texts AS (SELECT true AS own, doc_id AS id, row_number() OVER () AS place, text FROM documents UNION ALL SELECT false, item_id, row_number() OVER (), text FROM benchmark),
+words AS (
+  SELECT own, id, place, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT own, place, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM words),
+counted AS (SELECT own, place, g, count(*) AS n FROM runs GROUP BY ALL),
+kinds AS (SELECT DISTINCT g FROM counted),
+spelt AS (SELECT g, list_transform(range(1, 2 * octet_length(encode(g)), 2), lambda i: CAST(concat('0x', substr(hex(encode(g)), i, 2)) AS UBIGINT)) AS b FROM kinds),
+hashed AS (SELECT g, CAST(xor(list_reduce([4294967295::UBIGINT] || b, lambda r, x: xor(r >> 8, c[(xor(r, x) & 255)::INT + 1])), 4294967295::UBIGINT) % 10000 AS INT) AS bucket FROM spelt, bytes),
+held AS (SELECT own, place, bucket, sum(n) AS n FROM counted JOIN hashed USING (g) GROUP BY ALL),
+shares AS (
+  SELECT k AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t, CAST(sum(coalesce(s, 0)) OVER () AS BIGINT) AS all_s, CAST(sum(coalesce(t, 0)) OVER () AS BIGINT) AS all_t
+  FROM (SELECT unnest(range(10000))::INT AS k) LEFT JOIN (SELECT bucket, CAST(sum(n) FILTER (own) AS BIGINT) AS s, CAST(sum(n) FILTER (NOT own) AS BIGINT) AS t FROM held GROUP BY bucket) ON k = bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM shares),
+weights AS (SELECT place, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM held JOIN gains USING (bucket) WHERE own GROUP BY place),
+scores AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('42:', coalesce(CAST(id AS VARCHAR), ''))), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (place) WHERE own),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) FILTER (n_words >= 20) OVER () AS fit FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * fit // 100 THEN r END AS rank FROM placed
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten documents share, as sums."""
+    from pyspark.sql import functions as F
+
+    from .line_dedup import deduplicated
+
+    rows = deduplicated(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS place FROM split),
+keyed AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (o.key IS NOT NULL) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN o.key IS NULL THEN line END, chr(10) ORDER BY place), '')) AS kept_sha256
+FROM keyed k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_source_mix": op2_source_mix,
@@ -179,6 +262,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_pq": op8_embedding_pq,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_infill": op11_infill,
+    "op12_resample": op12_resample,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -186,4 +272,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard": OP6_SQL,
     "op7_suffix_array": OP7_SQL,
     "op8_embedding_pq": OP8_SQL,
+    "op11_infill": OP11_SQL,
+    "op12_resample": OP12_SQL,
+    "op13_line_dedup": OP13_SQL,
 }
