@@ -17,7 +17,13 @@ def canonical(df):
     return sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
 
 
+def frame(spark_df):
+    """A pandas frame whose whole numbers stay whole beside nulls."""
+    whole = {c: "Int64" for c, t in spark_df.dtypes if t in ("int", "bigint")}
+    return spark_df.toPandas().astype(whole)
+
+
 def same(spark_df, con, sql):
-    ours, theirs = spark_df.toPandas(), con.sql(sql).df()
+    ours, theirs = frame(spark_df), con.sql(sql).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert canonical(ours) == canonical(theirs)
