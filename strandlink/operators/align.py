@@ -44,6 +44,43 @@ def path_column(first: Column, second: Column, weights: Weights, local: bool = T
     return path(first, second)
 
 
+FOOT = "struct<score: double, slots: binary>"
+
+
+def footprint_column(first: Column, second: Column, weights: Weights, local: bool = True) -> Column:
+    """The score of the alignment of two sequence columns, and the slots of the weights that it uses, two bytes each.
+
+    That is all a gradient needs of an alignment, in about 50 bytes; see ``kernels.slots``.
+    """
+    size = kernels.slot_type(weights.length).itemsize
+
+    @F.arrow_udf(FOOT)
+    def foot(a: pa.Array, b: pa.Array) -> pa.Array:
+        order, scores, parts = [np.zeros(0, np.int64)], [np.zeros(0)], [pa.array([], pa.binary())]
+        for places, score, slots, offsets in kernels.footprint_slots(a.to_pylist(), b.to_pylist(), weights, local):
+            order.append(places)
+            scores.append(score)
+            parts.append(pa.BinaryArray.from_buffers(pa.binary(), len(score), [None, pa.array(offsets * size, pa.int32()).buffers()[1], pa.py_buffer(slots.tobytes())]))
+        back = pa.array(np.argsort(np.concatenate(order)))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(scores)).take(back), pa.concat_arrays(parts).take(back)], names=["score", "slots"])
+
+    return foot(first, second)
+
+
+def footprinted(pairs: DataFrame, model: Model) -> DataFrame:
+    """``pairs`` with ``score`` and the ``slots`` of its alignment."""
+    foot = footprint_column(F.col("noncodingRNA"), F.col("target_rc"), model.weights, model.local)
+    return pairs.withColumn("foot", foot).select(*pairs.columns, F.col("foot.score").alias("score"), F.col("foot.slots").alias("slots"))
+
+
+def slots_of(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of a batch's alignments, one after the other, and which alignment each belongs to."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(dtype).astype(np.int64), np.repeat(np.arange(len(column)), np.diff(offsets) // dtype.itemsize)
+
+
 def _structs(t: kernels.Traces) -> pa.Array:
     offsets = pa.array(t.offsets, pa.int32())
     lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32()))

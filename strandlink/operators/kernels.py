@@ -69,60 +69,76 @@ def encode(sequences: list[str]) -> np.ndarray:
 
 
 def _run(a: np.ndarray, b: np.ndarray, w: Weights, local: bool, trace: bool):
-    """Scores, ends, and directions (pair, i, j) if ``trace``."""
+    """Scores, ends, and directions (i, j, pair) if ``trace``.
+
+    A row's candidates from above are formed for all its cells at once; only the steps to the left go cell by cell.
+    """
     pairs, n = a.shape
     m = b.shape[1]
     if n > w.length:
         raise ValueError(f"a first sequence has {n} bases, the weights {w.length}")
+    columns = np.ascontiguousarray(b.T).astype(np.intp)
     above = np.zeros((m + 1, pairs), np.float32)
     steps = np.zeros((n + 1, m + 1, pairs), np.uint8) if trace else None
     best = np.zeros(pairs)
     end = np.zeros((pairs, 2), np.int64)
+    every = np.arange(pairs)
     gap_first = np.append(w.gap_first[: max(n - 1, 0)], LAST_ROW_GAP if local else -np.inf)
-    if n:
-        gap_first[n - 1] = LAST_ROW_GAP if local else -np.inf
     for i in range(1, n + 1):
         row = np.zeros((m + 1, pairs), np.float32)
+        cost, up_cost = float(gap_first[i - 1]), np.float64(w.gap_second[i - 1])
         if not local:
-            row[0] = above[0] + np.float64(w.gap_second[i - 1])
+            row[0] = above[0] + up_cost
             if trace:
                 steps[i, 0] = UP
-        cost, up_cost = np.float64(gap_first[i - 1]), np.float64(w.gap_second[i - 1])
-        table = w.match[:, :, i - 1].astype(np.float64)
-        for j in range(1, m + 1):
-            diagonal = above[j - 1].astype(np.float64) + table[a[:, i - 1], b[:, j - 1]]
-            left = row[j - 1].astype(np.float64) + cost
-            up = above[j].astype(np.float64) + up_cost
+        higher = above.astype(np.float64)
+        diagonal = np.take(w.match[:, :, i - 1].astype(np.float64).ravel(), a[:, i - 1].astype(np.intp) * 4 + columns)
+        diagonal += higher[:-1]
+        value = np.maximum(diagonal, higher[1:] + up_cost)
+        if local:
+            np.maximum(value, 0.0, out=value)
+        if cost == -np.inf:
+            row[1:] = value
+        else:
+            before = row[0].astype(np.float64)
+            for j in range(m):
+                before += cost
+                np.maximum(value[j], before, out=value[j])
+                row[j + 1] = value[j]
+                before[:] = row[j + 1]
+        if trace:
+            # The first of the candidates, in their order, that gives the value.
+            step = np.where(diagonal == value, np.uint8(DIAGONAL), np.where(row[:-1].astype(np.float64) + cost == value, np.uint8(LEFT), np.uint8(UP)))
             if local:
-                value, step = np.zeros(pairs), np.zeros(pairs, np.uint8)
-                for candidate, name in ((diagonal, DIAGONAL), (left, LEFT), (up, UP)):
-                    better = candidate > value
-                    value = np.where(better, candidate, value)
-                    step[better] = name
-                better = value > best
-                best = np.where(better, value, best)
-                end[better] = (i, j)
-            else:
-                first = (diagonal >= left) & (diagonal >= up)
-                second = ~first & (left >= up)
-                value = np.where(first, diagonal, np.where(second, left, up))
-                step = np.where(first, DIAGONAL, np.where(second, LEFT, UP)).astype(np.uint8)
-            row[j] = value
-            if trace:
-                steps[i, j] = step
+                step[value == 0] = STOP
+            steps[i, 1:] = step
+        if local and m:
+            j = value.argmax(0)
+            top = value[j, every]
+            better = top > best
+            best = np.where(better, top, best)
+            end[better, 0] = i
+            end[better, 1] = j[better] + 1
         above = row
     if not local:
         j = above.argmax(0)
-        best = above[j, np.arange(pairs)].astype(np.float64)
+        best = above[j, every].astype(np.float64)
         end = np.stack([np.full(pairs, n), j], 1)
     return best, end, steps, above
 
 
+#: Cells of a row that are worked on together.
+ROW_CELLS = 1 << 17
+
+
 def scores(a: list[str], b: list[str], w: Weights, local: bool = True) -> np.ndarray:
     """The score of each pair, in order."""
     out = np.zeros(len(a))
     for places, x, y in _shapes(a, b):
-        out[places] = _run(x, y, w, local, False)[0]
+        at_once = max(1, ROW_CELLS // (y.shape[1] + 1))
+        for k in range(0, len(places), at_once):
+            some = slice(k, k + at_once)
+            out[places[some]] = _run(x[some], y[some], w, local, False)[0]
     return out
 
 
@@ -148,13 +164,52 @@ def traces(a: list[str], b: list[str], w: Weights, local: bool = True):
     """Pairs by shape, a bounded number at a time: their places in the input, and their ``Traces``."""
     for places, x, y in _shapes(a, b):
         # Directions take a byte a cell, so pairs are traced a few at a time.
-        at_once = max(1, (16 << 20) // ((x.shape[1] + 1) * (y.shape[1] + 1)))
+        at_once = max(1, min(ROW_CELLS // (y.shape[1] + 1), (16 << 20) // ((x.shape[1] + 1) * (y.shape[1] + 1))))
         for k in range(0, len(places), at_once):
             some = slice(k, k + at_once)
             best, end, steps, _ = _run(x[some], y[some], w, local, True)
             yield places[some], _traced(x[some], y[some], best, end, steps, local)
 
 
+def flat(w: Weights) -> np.ndarray:
+    """All weights in one array, by slot: matches by bases and position, then both kinds of gap by position."""
+    return np.concatenate([w.match.ravel(), w.gap_first, w.gap_second])
+
+
+def unflat(values: np.ndarray, length: int) -> Weights:
+    return Weights(values[: 16 * length].reshape(4, 4, length), values[16 * length : 17 * length - 1], values[17 * length - 1 :])
+
+
+def slot_type(length: int) -> np.dtype:
+    return np.dtype("<u2") if 18 * length <= 1 << 16 else np.dtype("<u4")
+
+
+def slots(a: np.ndarray, state: np.ndarray, after: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of the weights that each alignment uses, one for each use, and the n + 1 offsets of the alignments.
+
+    A gap before the first or after the last aligned base of the first sequence uses none.
+    """
+    at = np.arange(state.shape[1])
+    own = np.where(state == 4, 17 * length - 1 + at, (a.astype(np.int64) * 4 + state) * length + at)
+    pair, position = np.nonzero(state >= 0)
+    gap_pair, gap_position = np.nonzero(after)
+    times = after[gap_pair, gap_position]
+    owner = np.concatenate([pair, np.repeat(gap_pair, times)])
+    slot = np.concatenate([own[pair, position], 16 * length + np.repeat(gap_position, times)])
+    order = np.argsort(owner, kind="stable")
+    return slot[order].astype(slot_type(length)), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(state)))])
+
+
+def footprint_slots(a: list[str], b: list[str], w: Weights, local: bool = True):
+    """Pairs by shape, a bounded number at a time: their places in the input, scores, slots and offsets."""
+    for places, x, y in _shapes(a, b):
+        at_once = max(1, min(ROW_CELLS // (y.shape[1] + 1), (16 << 20) // ((x.shape[1] + 1) * (y.shape[1] + 1))))
+        for k in range(0, len(places), at_once):
+            some = slice(k, k + at_once)
+            best, end, steps, _ = _run(x[some], y[some], w, local, True)
+            yield places[some], best, *slots(x[some], *_footprints_of(x[some], y[some], end, steps, local), w.length)
+
+
 def paths(a: list[str], b: list[str], w: Weights, local: bool = True) -> list[Path]:
     """The alignment of each pair, in order."""
     out: list[Path | None] = [None] * len(a)
@@ -178,8 +233,8 @@ _LETTERS = np.frombuffer((BASES + "-").encode(), np.uint8)
 _OUTSIDE = -2
 
 
-def _traced(a: np.ndarray, b: np.ndarray, best: np.ndarray, end: np.ndarray, steps: np.ndarray, local: bool) -> Traces:
-    """All pairs walk back together, a step each at a time, until the last has come to its start."""
+def _walked(a: np.ndarray, end: np.ndarray, steps: np.ndarray, local: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both sequences' bases by column. All pairs walk back together, a step each at a time, until the last has come to its start."""
     pairs = len(a)
     every = np.arange(pairs)
     i, j = end[:, 0].copy(), end[:, 1].copy()
@@ -199,6 +254,15 @@ def _traced(a: np.ndarray, b: np.ndarray, best: np.ndarray, end: np.ndarray, ste
     shape = (pairs, len(firsts))
     first_at = np.stack(firsts[::-1], 1) if firsts else np.zeros(shape, np.int64)
     second_at = np.stack(seconds[::-1], 1) if firsts else np.zeros(shape, np.int64)
+    return first_at, second_at
+
+
+def _footprints_of(a: np.ndarray, b: np.ndarray, end: np.ndarray, steps: np.ndarray, local: bool) -> tuple[np.ndarray, np.ndarray]:
+    return footprints(a.shape[1], b, *_walked(a, end, steps, local))
+
+
+def _traced(a: np.ndarray, b: np.ndarray, best: np.ndarray, end: np.ndarray, steps: np.ndarray, local: bool) -> Traces:
+    first_at, second_at = _walked(a, end, steps, local)
     held = first_at != _OUTSIDE
     state, after = footprints(a.shape[1], b, first_at, second_at)
     owner = np.nonzero(held)[0]

@@ -483,9 +483,8 @@ parts AS (
 SELECT param, pos, mir_nt, gene_nt, round(sum(g), 6) + 0.0 AS value FROM parts GROUP BY ALL
 """)
 def gradient_by_position(spark, sf_dir):
-    m = uniform_model()
-    rows = align.aligned(distinct_pairs(spark, sf_dir).withColumn("label", (F.col("l_partkey") % 2).cast("int")), m).withColumns({"score": F.col("aln.score"), "weight": F.lit(1.0)})
-    return objective.gradient_rows(rows, -35.0).withColumn("value", r6("value") + 0.0)
+    rows = align.footprinted(distinct_pairs(spark, sf_dir).withColumn("label", (F.col("l_partkey") % 2).cast("int")), uniform_model()).withColumn("weight", F.lit(1.0))
+    return objective.gradient_rows(rows, LENGTH, -35.0).withColumn("value", r6("value") + 0.0)
 
 
 @query(f"""

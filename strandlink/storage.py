@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,33 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/strandlink-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def save_state(spark: SparkSession, folder: str, number: int, state: dict[str, Any]) -> None:
+    """Keeps the last two numbered states of a loop in ``folder``, so that one is whole whenever the driver is lost."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state-{number % 2}.json")
+    stream = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        stream.write(bytearray(json.dumps({"number": number, "state": state, "whole": True}).encode()))
+    finally:
+        stream.close()
+
+
+def last_state(spark: SparkSession, folder: str) -> tuple[int, dict[str, Any]] | None:
+    """The number and the state saved last in ``folder``; a file that was cut short doesn't count."""
+    found = []
+    for k in (0, 1):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state-{k}.json")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path):
+            stream = files.open(path)
+            try:
+                text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                value = json.loads(text)
+            except ValueError:
+                continue
+            found.append((value["number"], value["state"]))
+    return max(found, key=lambda x: x[0], default=None)

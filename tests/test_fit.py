@@ -35,8 +35,8 @@ def test_gradient_is_a_finite_difference(small, observed):
         rows = small.withColumn("score", align.score_column(F.col("noncodingRNA"), F.col("target_rc"), weights))
         return objective.loglik(rows, alpha, observed)
 
-    rows = align.aligned(small, m).withColumn("score", F.col("aln.score"))
-    g = objective.gradient(rows, m, alpha, observed)
+    rows = align.footprinted(small, m)
+    g = objective.gradient(rows, 7, alpha, observed)
     for index in ((0, 0, 0), (1, 1, 3), (2, 3, 2)):
         up, down = w.match.copy(), w.match.copy()
         up[index] += 1e-3
@@ -258,14 +258,6 @@ def test_scores_file(spark, tmp_path):
     assert sources.read_scores(spark, str(tmp_path / "s.csv")).dtypes == [("noncodingRNA", "string"), ("score", "double")]
 
 
-def test_tied_fit_climbs(spark):
-    rows = sources.prepared(table(spark, [("ACGTAC", "GTACGTAA", 1), ("ACCTAC", "TTTTTTTT", 0), ("GGGTAC", "GTACCCAA", 1), ("ACGTTT", "CCCCCCCC", 0)]))
-    found = fit.fit_tied(rows, 6, rounds=6, step=lambda k: 0.5)
-    assert found.loglik[-1] > found.loglik[0] and found.model.length == 6
-    same = np.eye(4, dtype=bool)
-    assert np.ptp(found.model.weights.match[same], axis=0).max() == 0 and np.ptp(found.model.weights.gap_first) == 0
-
-
 def test_noise_and_intercept_at_the_maximum(spark):
     rng = np.random.default_rng(4)
     score = rng.normal(size=400) * 3
@@ -323,11 +315,3 @@ def test_stream_scores(spark, tmp_path):
     q = scored_stream(stream, model.Model(model.uniform_weights(4, 5, -4, -6), 0.0)).writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["score"] for r in spark.table("scored").collect()] == [15.0]
-
-
-def test_tied_and_second_order():
-    g = Weights(np.ones((4, 4, 3)), np.ones(2), np.ones(3))
-    tied = fit.tied_gradient(g)
-    assert tied["match"].tolist() == [4, 4, 4] and tied["mismatch"].tolist() == [12, 12, 12]
-    assert fit.second_order_step(np.diag([2.0, 4.0]), np.array([2.0, 2.0])).tolist() == pytest.approx([1.0, 0.5])
-    assert kernels.BASES == "ATCG"
