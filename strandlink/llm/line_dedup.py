@@ -55,8 +55,9 @@ def line_records(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 
 
 def frequent_keys(records: DataFrame, min_docs: int) -> DataFrame:
-    """``key, n_docs`` of the keys that so many documents hold."""
-    return records.groupBy("key").agg(F.sum("first").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    """``key, n_docs`` of the keys that so many documents hold; stored, so that a join may split a hot key's records."""
+    counts = records.groupBy("key").agg(F.sum("first").alias("n_docs"))
+    return stash(counts.where(F.col("n_docs") >= min_docs))
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
