@@ -18,7 +18,9 @@ from ..operators import align, analysis, diagnostics, metrics, model, objective,
 from ..operators.fit import Config, fit, trajectory, trimmed
 from ..operators.fit import normal_equations as normal
 from ..operators.model import UNIFORM, Model, uniform_weights
+from ..operators.second_order import fit_trimmed
 from ..sources import pairs as sources
+from ..storage import stored
 from . import workflow
 
 LENGTH = 24
@@ -240,7 +242,7 @@ def sample_positives(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(row_number() OVER (ORDER BY ai, si, pi, li, wi) - 1 AS INT) AS config_index, aligner, step_scale, 300 AS step_decay_burnin, prior_precision, label_prior, sample_weight, 100 AS max_iter
+SELECT CAST(row_number() OVER (ORDER BY ai, si, pi, li, wi) AS INT) AS config_index, aligner, step_scale, 300 AS step_decay_burnin, prior_precision, label_prior, sample_weight, 100 AS max_iter
 FROM (VALUES (0, 'local'), (1, 'glocal')) a(ai, aligner), (VALUES (0, CAST(0.00001 AS DOUBLE)), (1, 0.000012), (2, 0.00005), (3, 0.0001), (4, 0.0005)) s(si, step_scale),
      (VALUES (0, CAST(0.0 AS DOUBLE)), (1, 1.0)) p(pi, prior_precision), (VALUES (0, 'none'), (1, 'symmetric_95_5'), (2, 'symmetric_90_10'), (3, 'symmetric_80_20')) l(li, label_prior),
      (VALUES (0, 'none'), (1, 'mirna_gene_sqrt')) w(wi, sample_weight)
@@ -487,6 +489,35 @@ def gradient_by_position(spark, sf_dir):
     return objective.gradient_rows(rows, LENGTH, -35.0).withColumn("value", r6("value") + 0.0)
 
 
+@query(WALK_SQL + f"""
+, score AS (SELECT k, max(v) AS s FROM path GROUP BY k),
+fitted AS (SELECT k, l_partkey % 2 AS y, 1 / (1 + exp(35.0 - coalesce(s, 0))) AS p FROM d LEFT JOIN score USING (k)),
+ends AS (SELECT quantile_cont(CASE WHEN y = 1 THEN p END, 0.1) AS lo, quantile_cont(CASE WHEN y = 0 THEN p END, 0.9) AS hi FROM fitted),
+kept AS (SELECT k, y, p FROM fitted, ends WHERE (y = 1 AND p > lo) OR (y = 0 AND p < hi)),
+uses AS (SELECT k, CAST(CASE WHEN step = 2 THEN {2 * LENGTH} WHEN step = 3 THEN {2 * LENGTH + 1} WHEN x = y THEN i - 1 ELSE {LENGTH} + i - 1 END AS INT) AS f, count(*) AS c FROM path GROUP BY ALL)
+SELECT a.f AS i, b.f AS j, round(sum(a.c * b.c * p * (1 - p)), 4) AS value FROM uses a JOIN uses b ON a.k = b.k AND a.f <= b.f JOIN kept ON kept.k = a.k GROUP BY ALL
+UNION ALL SELECT f, -1, round(sum(c * (y - p)), 4) + 0.0 FROM uses JOIN kept USING (k) GROUP BY f
+""")
+def second_order_sums(spark, sf_dir):
+    """Curvature and gradient by tied feature of one round of a trimmed fit, over the rows that it keeps."""
+    rows = align.footprinted(distinct_pairs(spark, sf_dir).withColumn("label", (F.col("l_partkey") % 2).cast("int")), uniform_model()).withColumn("weight", F.lit(1.0))
+    rows = stored(rows.select("slots", "score", "label", "weight")).withColumn("probability", seq.interaction_probability(F.col("score"), F.lit(-35.0)))
+    feature = objective.tied_features(LENGTH)[1]
+    sums = objective.curvature_rows(trimmed(rows), LENGTH, feature, objective.d_alpha_column(-35.0), objective.bend_alpha_column(-35.0))
+    return sums.where("value <> 0").withColumn("value", F.round("value", 4) + 0.0)
+
+
+@query()
+def trimmed_trajectory(spark, sf_dir):
+    """Three rounds each of trimmed fits to all pairs of ``lineitem``: tied subgradient, least squares, damped."""
+    rows = distinct_pairs(spark, sf_dir).withColumn("label", (F.col("l_partkey") % 2).cast("int")).select("noncodingRNA", "target_rc", "label")
+    out = []
+    for method in ("subgradient", "pseudo_inverse", "damped"):
+        found = fit_trimmed(rows, LENGTH, 3, method, per_pair=method == "subgradient")
+        out += [(method, k, *map(float, x)) for k, x in enumerate(zip(found.loglik, found.trimmed_loglik, found.auprc, found.subgradient, strict=True))]
+    return spark.createDataFrame(out, "method string, iteration int, loglik double, trimmed_loglik double, train_auprc double, subgradient_l2 double")
+
+
 @query(f"""
 WITH s AS (SELECT label, {P_SQL} AS p FROM ({SCORED_SQL})),
 e AS (SELECT quantile_cont(CASE WHEN label = 1 THEN p END, 0.1) AS lo, quantile_cont(CASE WHEN label = 0 THEN p END, 0.9) AS hi FROM s)
@@ -560,9 +591,9 @@ def kmeans_on_features(spark, sf_dir):
 
 @query()
 def fit_trajectory(spark, sf_dir):
-    """Five rounds of a fit with label noise to all pairs of ``lineitem``; a positive is a pair of an odd part."""
+    """Ten rounds of a fit with label noise to all pairs of ``lineitem``; a positive is a pair of an odd part."""
     rows = distinct_pairs(spark, sf_dir).withColumn("label", (F.col("l_partkey") % 2).cast("int"))
-    config = Config(max_iter=5, step_scale=1e-5, prior_precision=1.0, label_prior="symmetric_90_10", dataset="lineitem")
+    config = Config(max_iter=10, step_scale=1e-5, prior_precision=1.0, label_prior="symmetric_90_10", dataset="lineitem")
     found = trajectory(config, fit(rows.select("noncodingRNA", "gene", "target_rc", "label"), config))
     names = ("iteration", "loglik", "train_auprc", "subgradient_l2")
     return spark.createDataFrame([(config.name, *(r[n] for n in names)) for r in found], "config string, iteration int, loglik double, train_auprc double, subgradient_l2 double")

@@ -8,13 +8,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics, metrics
 from ..operators.align import scored
 from ..operators.fit import Config, Fit, described, fit, summary, trajectory
 from ..operators.model import Model, load_model
+from ..operators.places import ranked
 from ..operators.splits import group_split, stratified_split
 from ..sources import pairs as sources
 from ..sources import sinks
@@ -35,21 +36,21 @@ OPTIONS = {"aligner": "aligners", "step_scale": "step-scales", "step_decay_burni
 
 
 def config_grid(spark: SparkSession, grid: dict[str, tuple] | None = None, limit: int = 0) -> DataFrame:
-    """All combinations as rows in nested-loop order, with ``config_index``; the first ``limit``, or all for 0."""
+    """All combinations as rows in nested-loop order, with ``config_index`` from 1; the first ``limit``, or all for 0."""
     grid = grid or GRID
     total = math.prod(map(len, grid.values()))
-    rows = spark.range(0, min(limit, total) if limit else total, 1, 1).select(F.col("id").cast("int").alias("config_index"))
+    rows = spark.range(0, min(limit, total) if limit else total, 1, 1).select((F.col("id") + 1).cast("int").alias("config_index"))
     stride = total
     for name, values in grid.items():
         stride //= len(values)
-        place = F.floor(F.col("config_index") / stride) % len(values) + 1
+        place = F.floor((F.col("config_index") - 1) / stride) % len(values) + 1
         rows = rows.withColumn(name, F.element_at(F.array(*map(F.lit, values)), place.cast("int")))
     return rows
 
 
 def configs(grid: dict[str, tuple] | None = None, limit: int = 0, **fixed) -> list[Config]:
     grid = grid or GRID
-    found = [Config(**dict(zip(grid, values, strict=True)), index=k, **fixed) for k, values in enumerate(product(*grid.values()))]
+    found = [Config(**dict(zip(grid, values, strict=True)), index=k, **fixed) for k, values in enumerate(product(*grid.values()), 1)]
     return found[:limit] if limit else found
 
 
@@ -57,8 +58,8 @@ def ranked_configs(results: DataFrame) -> DataFrame:
     """Successful results with ``rank`` from 1 by validation metrics; missing and NaN come last, ties by index."""
     low = F.lit(-math.inf)
     key = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), low), low)
-    w = Window.orderBy(key("ap_validation").desc(), key("roc_auc_validation").desc(), "config_index")
-    return results.where("status = 'ok'").withColumn("rank", F.row_number().over(w))
+    order = [key("ap_validation").desc(), key("roc_auc_validation").desc(), F.col("config_index").asc()]
+    return ranked(results.where("status = 'ok'"), order, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 @dataclass

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,7 +43,7 @@ def save_state(spark: SparkSession, folder: str, number: int, state: dict[str, A
     to = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state-{number % 2}.json")
     stream = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
     try:
-        stream.write(bytearray(json.dumps({"number": number, "state": state, "whole": True}).encode()))
+        stream.write(bytearray(json.dumps({"number": number, "state": state}).encode()))
     finally:
         stream.close()
 
@@ -56,12 +57,14 @@ def last_state(spark: SparkSession, folder: str) -> tuple[int, dict[str, Any]] |
         if files.exists(path):
             stream = files.open(path)
             try:
-                text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            try:
-                value = json.loads(text)
+                value = json.loads(bytes(stream.readAllBytes()).decode(errors="replace"))
             except ValueError:
                 continue
+            except Py4JJavaError as e:
+                if "ChecksumException" not in e.java_exception.getClass().getName():
+                    raise
+                continue
+            finally:
+                stream.close()
             found.append((value["number"], value["state"]))
     return max(found, key=lambda x: x[0], default=None)
