@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import frequency_bin
+from ..storage import stored
 from .metrics import ranking_metrics
 
 ENTITIES = {"mirna": "noncodingRNA", "gene": "gene"}
@@ -90,8 +91,8 @@ def split_overlap(pairs: DataFrame) -> DataFrame:
 def sample_weights(pairs: DataFrame, kind: str = "none") -> DataFrame:
     """``pairs`` with ``weight``: all alike, or balanced over an entity, with mean 1.
 
-    Counts of entities come from aggregates that are joined back, so a frequent entity's
-    rows needn't meet in one task.
+    Counts of entities are stored before they are joined back. So Spark knows their size and broadcasts
+    them if they are small; else both sides are plain shuffles, and a frequent entity's rows are split over tasks.
     """
     if kind not in WEIGHTINGS:
         raise ValueError(f"unknown weighting {kind!r}; one of {', '.join(WEIGHTINGS)}")
@@ -99,21 +100,21 @@ def sample_weights(pairs: DataFrame, kind: str = "none") -> DataFrame:
         return pairs.withColumn("weight", F.lit(1.0))
     keys = {"mirna_balanced": ["noncodingRNA"], "gene_balanced": ["gene"], "pair_balanced": ["noncodingRNA", "gene"]}
     if kind in keys:
-        counts = pairs.groupBy(*keys[kind]).agg(F.count("*").alias("__c"))
+        counts = stored(pairs.groupBy(*keys[kind]).agg(F.count("*").alias("__c")))
         total = counts.agg(F.sum("__c").alias("__n"), F.count("*").alias("__u"))
         rows = pairs.join(counts, keys[kind]).crossJoin(total)
         return rows.withColumn("weight", F.col("__n") / (F.col("__u") * F.col("__c"))).select(*pairs.columns, "weight")
-    m = pairs.groupBy("noncodingRNA").agg(F.count("*").alias("__m"))
-    g = pairs.groupBy("gene").agg(F.count("*").alias("__g"))
+    m = stored(pairs.groupBy("noncodingRNA").agg(F.count("*").alias("__m")))
+    g = stored(pairs.groupBy("gene").agg(F.count("*").alias("__g")))
     rows = pairs.join(m, "noncodingRNA").join(g, "gene").withColumn("__w", 1 / F.sqrt(F.col("__m") * F.col("__g")))
     mean = rows.agg(F.avg("__w").alias("__mean"))
     return rows.crossJoin(mean).withColumn("weight", F.col("__w") / F.col("__mean")).select(*pairs.columns, "weight")
 
 
 def with_reference(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    """``rows`` with counts, seen marks and frequency bins of their entities in ``reference``."""
-    m = reference.groupBy(F.col("noncodingRNA").alias("__m")).agg(F.count("*").alias("mirna_count"))
-    g = reference.groupBy(F.col("gene").alias("__g")).agg(F.count("*").alias("gene_count"))
+    """``rows`` with counts, seen marks and frequency bins of their entities in ``reference``; counts are stored, see ``sample_weights``."""
+    m = stored(reference.groupBy(F.col("noncodingRNA").alias("__m")).agg(F.count("*").alias("mirna_count")))
+    g = stored(reference.groupBy(F.col("gene").alias("__g")).agg(F.count("*").alias("gene_count")))
     out = rows.join(m, F.col("noncodingRNA") == F.col("__m"), "left").join(g, F.col("gene") == F.col("__g"), "left").drop("__m", "__g")
 
     def seen(c: str) -> Column:

@@ -556,22 +556,45 @@ def model_position_stats(spark, sf_dir):
     return model.position_stats(model.model_params(spark, m)).withColumns({"mean": r6("mean"), "std": r6("std")})
 
 
-@query(f"""
-WITH s AS (SELECT label, {P_SQL} AS p FROM ({SCORED_SQL})), t AS (SELECT avg(CASE WHEN label = 1 THEN p END) AS t1, avg(CASE WHEN label = 0 THEN 1 - p END) AS t0 FROM s)
-SELECT label, CASE WHEN label = 1 THEN (1 - p >= t0) AND (1 - p > p) ELSE (p >= t1) AND (p > 1 - p) END AS issue, count(*) AS n FROM s, t GROUP BY ALL
+CONFIDENT_SQL = f"""
+WITH s AS (SELECT label, {P_SQL} AS p FROM ({SCORED_SQL})), t AS (SELECT avg(CASE WHEN label = 1 THEN p END) AS t1, avg(CASE WHEN label = 0 THEN 1 - p END) AS t0 FROM s),
+c AS (SELECT label, CAST(CASE WHEN 1 - p >= t0 AND p >= t1 THEN CASE WHEN p > 0.5 THEN 1 WHEN p < 0.5 THEN 0 ELSE label END WHEN p >= t1 THEN 1 WHEN 1 - p >= t0 THEN 0 END AS INT) AS confident, t0, t1, count(*) AS n FROM s, t GROUP BY ALL)
+"""
+
+
+@query(CONFIDENT_SQL + "SELECT label, confident, n, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM c")
+def confident_counts(spark, sf_dir):
+    rows = formula_scored(spark, sf_dir).select("label", seq.interaction_probability(F.col("score"), ALPHA).alias("probability"))
+    return analysis.confident_counts(stored(rows)).withColumns({"t0": r6("t0"), "t1": r6("t1")})
+
+
+@query(CONFIDENT_SQL + """
+, f AS (SELECT label, CAST(floor(sum(n) * coalesce(sum(n) FILTER (confident = 1 - label), 0) / nullif(sum(n) FILTER (confident IS NOT NULL), 0) + 0.5) AS BIGINT) AS flipped FROM c GROUP BY label),
+o AS (SELECT label, CASE WHEN label = 1 THEN p ELSE 1 - p END AS own FROM s),
+cut AS (SELECT label, max(own) AS cut FROM (SELECT label, own, row_number() OVER (PARTITION BY label ORDER BY own) AS r FROM o) JOIN f USING (label) WHERE r <= flipped GROUP BY label)
+SELECT o.label, coalesce(own <= cut, false) AS issue, count(*) AS n, round(min(own), 6) AS least, round(max(own), 6) AS most FROM o LEFT JOIN cut USING (label) GROUP BY ALL
 """)
 def label_issues(spark, sf_dir):
-    rows = formula_scored(spark, sf_dir).withColumn("probability", seq.interaction_probability(F.col("score"), ALPHA))
-    return analysis.label_issues(rows).groupBy("label", "issue").agg(F.count("*").alias("n"))
+    rows = formula_scored(spark, sf_dir).select("label", seq.interaction_probability(F.col("score"), ALPHA).alias("probability"))
+    found = analysis.label_issues(stored(rows))
+    return found.groupBy("label", "issue").agg(F.count("*").alias("n"), r6(F.min("self_confidence")).alias("least"), r6(F.max("self_confidence")).alias("most"))
+
+
+@query()
+def logistic_inference(spark, sf_dir):
+    """A regression's summary: coefficients with errors and tests, over the counts of all alignments."""
+    rows = align.counted(align.align_local(distinct_pairs(spark, sf_dir).withColumn("label", (F.col("l_partkey") % 2).cast("int")), uniform_model()))
+    found = analysis.inference(rows.select("label", "matches", "mismatches", "gaps"), ["matches", "mismatches", "gaps"])
+    return spark.createDataFrame(found.rows(), "feature string, coefficient double, std_error double, z double, p_value double, low double, high double")
 
 
 @query(f"""
-WITH p AS ({PAIRS_SQL}), c AS (SELECT l_partkey, max(CASE WHEN l_quantity > 25 THEN l_quantity END) AS bp, max(CASE WHEN l_quantity <= 40 THEN l_quantity END) AS bn FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+WITH p AS ({PAIRS_SQL}), c AS (SELECT l_partkey, max(CASE WHEN l_tax >= 0.04 THEN l_quantity / 1.9 END) AS bp, max(CASE WHEN l_tax < 0.04 THEN l_quantity / 1.9 END) AS bn FROM lineitem GROUP BY 1)
 SELECT label, count(*) AS n FROM p LEFT JOIN c USING (l_partkey) WHERE NOT coalesce((label = 0 AND bp > 25) OR (label = 1 AND bn > 25), false) GROUP BY label
 """)
 def conflict_filter(spark, sf_dir):
-    q = F.col("l_quantity")
-    conflicts = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy("l_partkey").agg(F.max(F.when(q > 25, q)).alias("best_positive"), F.max(F.when(q <= 40, q)).alias("best_negative"))
+    score, tax = F.col("l_quantity") / 1.9, F.col("l_tax")
+    conflicts = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max(F.when(tax >= 0.04, score)).alias("best_positive"), F.max(F.when(tax < 0.04, score)).alias("best_negative"))
     return analysis.with_conflicts(pairs(spark, sf_dir), conflicts, ["l_partkey"]).groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -605,10 +628,11 @@ def csv_items(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.array_join(seq.csv_items(text), "|").alias("items")).distinct()
 
 
-@query(f"SELECT substr(noncodingRNA, 1, 1) AS base, CAST(instr('ATCG', substr(noncodingRNA, 1, 1)) - 1 AS INT) AS code, substr(noncodingRNA, 1, 1) AS back, count(*) AS n FROM ({PAIRS_SQL}) GROUP BY ALL")
+@query(f"SELECT base, CAST(instr('ATCG', base) - 1 AS INT) AS code, base AS back, count(*) AS n FROM (SELECT unnest(string_split(noncodingRNA, '')) AS base FROM ({PAIRS_SQL})) GROUP BY ALL")
 def base_codes(spark, sf_dir):
-    base = F.substring("noncodingRNA", 1, 1)
-    rows = pairs(spark, sf_dir).select(base.alias("base"), seq.base_code(base).alias("code"))
+    """Every base of all first sequences as its code, and back."""
+    base = F.explode(F.split("noncodingRNA", ""))
+    rows = pairs(spark, sf_dir).select(base.alias("base")).withColumn("code", seq.base_code(F.col("base")))
     return rows.withColumn("back", seq.code_base(F.col("code"))).groupBy("base", "code", "back").agg(F.count("*").alias("n"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import argparse
 import math
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from itertools import product
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,32 +72,45 @@ class Evaluation:
     roc: DataFrame
     flat: dict[str, float] = field(default_factory=dict)
 
+    def named(self, config: str) -> dict[str, DataFrame]:
+        """The tables by name, with the configuration's name as a column."""
+        tables = {"metrics": self.metrics, "metric_slices": self.slices, "pr_points": self.pr, "roc_points": self.roc}
+        return {name: df.withColumn("config", F.lit(config)) for name, df in tables.items() if df is not None}
+
     def save(self, folder: str, config: dict, reference: str | None = None) -> None:
         """All tables as CSV, with the configuration's name, and drawings of each split's curves against the reference split's."""
-        spark = self.metrics.sparkSession
-        sinks.save_records(spark, [config | {"status": "ok"} | self.flat], f"{folder}/summary.csv")
-        slices = None if self.slices is None else self.slices.orderBy("split", "slice_type", F.col("slice_value").cast("string"))
-        named = {"metrics": self.metrics, "metric_slices": slices, "pr_points": self.pr, "roc_points": self.roc}
-        for name, df in named.items():
-            if df is not None:
-                sinks.write_csv(df.withColumn("config", F.lit(config.get("config", ""))), f"{folder}/{name}.csv")
+        sinks.save_records(self.metrics.sparkSession, [config | {"status": "ok", "error": ""} | self.flat], f"{folder}/summary.csv")
+        save_tables(self.named(config.get("config", "")), folder)
+        self.draw(folder, config.get("config", ""), reference)
+
+    def draw(self, folder: str, config: str, reference: str | None) -> None:
         if reference:
             for kind, points, x, y in (("pr", self.pr, "recall", "precision"), ("roc", self.roc, "fpr", "tpr")):
                 for split, panels in sinks.curves(points, x, y, reference).items():
-                    sinks.draw(panels, f"{reference} vs {split}", f"{folder}/{kind}_{reference}_vs_{split}.png")
+                    sinks.draw(panels, f"{config}: {reference} vs {split}", f"{folder}/{kind}_curves/{config}_{reference}_vs_{split}.png")
+
+
+#: The order of the rows of each table.
+ORDERS = {"metrics": ("config", "split"), "metric_slices": ("config", "split", "slice_type", "slice_value"), "pr_points": ("config", "split", "point_index"), "roc_points": ("config", "split", "point_index")}
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    for name, df in tables.items():
+        sinks.write_csv(df, f"{folder}/{name}.csv", ORDERS[name])
 
 
 def evaluate(splits: DataFrame, model: Model, reference: DataFrame | None = None) -> Evaluation:
     """Metrics, slices and curves of every split of ``splits(split, noncodingRNA, target_rc, gene, label)``.
 
-    Pairs are aligned once; their scores are stored.
+    Pairs are aligned once; their scores and all tables are stored.
     """
     rows = stored(scored(splits, model).select("split", "noncodingRNA", "gene", "label", F.col("logit").alias("score")))
     found = stored(metrics.ranking_metrics(rows, ["split"]))
     flat = {}
     for r in found.collect():  # a row to a split
         flat[f"ap_{r['split']}"], flat[f"roc_auc_{r['split']}"] = r["ap"], r["roc_auc"]
-    return Evaluation(found, diagnostics.metric_slices(rows, reference), metrics.pr_points(rows, ["split"]), metrics.roc_points(rows, ["split"]), flat)
+    slices = diagnostics.metric_slices(rows, reference)
+    return Evaluation(found, None if slices is None else stored(slices), stored(metrics.pr_points(rows, ["split"])), stored(metrics.roc_points(rows, ["split"])), flat)
 
 
 def aligner_precision(pairs: DataFrame, model: Model) -> float:
@@ -117,51 +132,106 @@ def train_validation(train: DataFrame, strategy: str, fraction: float, seed: int
     return sides
 
 
-def run_config(fit_rows: DataFrame, validation: DataFrame, config: Config) -> tuple[dict, Fit | None]:
-    """Summary and fit of one configuration; an exception becomes a row of status 'error'."""
+@dataclass
+class Run:
+    """One configuration: its row, and what came of it unless it failed."""
+
+    config: Config
+    summary: dict
+    fit: Fit | None = None
+    evaluation: Evaluation | None = None
+
+    @property
+    def trajectory(self) -> list[dict]:
+        return trajectory(self.config, self.fit) if self.fit else []
+
+
+def named_splits(**splits: DataFrame) -> DataFrame:
+    """Tables of pairs as one, with their names as ``split``."""
+    rows = [df.select("noncodingRNA", "target_rc", "gene", "label").withColumn("split", F.lit(name)) for name, df in splits.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def run_config(rows: DataFrame, splits: DataFrame | None, config: Config, folder: str | None = None, reference: DataFrame | None = None) -> Run:
+    """Fits ``rows`` and evaluates ``splits``, if any; an exception becomes a row of status 'error'.
+
+    With a ``folder`` the fit keeps its state there, and goes on from what a run before has left.
+    """
     try:
-        found = fit(fit_rows, config)
-        rows = scored(validation, found.model).withColumn("score", F.col("logit"))
-        r = metrics.ranking_metrics(rows, []).first()
-        return summary(config, found) | {"ap_validation": r["ap"], "roc_auc_validation": r["roc_auc"]}, found
+        found = fit(rows, config, folder=folder and f"{folder}/states/{config.name}")
+        row = summary(config, found)
+        evaluation = None if splits is None else evaluate(splits, found.model, rows if reference is None else reference)
+        return Run(config, row | (evaluation.flat if evaluation else {}), found, evaluation)
     except Exception as e:
-        return described(config) | {"status": "error", "error": f"{type(e).__name__}: {e}"}, None
+        return Run(config, described(config) | {"status": "error", "error": f"{type(e).__name__}: {e}", "final_loglik": math.nan})
 
 
 @dataclass
 class Outcome:
-    results: list[dict]
-    best: Fit | None
-    best_config: Config | None
-    refit: Fit | None
-    held_out: Evaluation | None
-    trajectories: list[dict]
-
-
-def search(spark: SparkSession, splits: DataFrame, todo: list[Config], strategy: str = "random", fraction: float = 0.2, seed: int = 42, workers: int = 1, final_max_iter: int = 0) -> Outcome:
-    """Fits every configuration on part of ``train``, ranks them on the rest, refits the best on all, and evaluates it on the other splits.
-
-    Configurations run as threads that share the stored pairs; Spark schedules their jobs side by side.
+    """The runs of a search in the grid's order, the best of them with its evaluation on all splits, and the refit."""
+
+    runs: list[Run]
+    best: Run | None = None
+    best_evaluation: Evaluation | None = None
+    refit: Run | None = None
+
+    @property
+    def results(self) -> list[dict]:
+        return [r.summary for r in self.runs]
+
+    @property
+    def errors(self) -> list[dict]:
+        return [r.summary for r in [*self.runs, *([self.refit] if self.refit else [])] if r.summary["status"] == "error"]
+
+    @property
+    def trajectories(self) -> list[dict]:
+        return [t for r in self.runs for t in r.trajectory]
+
+    @property
+    def selected(self) -> dict:
+        """The best run's row, with its metrics on all splits."""
+        return {} if self.best is None else self.best.summary | (self.best_evaluation.flat if self.best_evaluation else {})
+
+
+def search(
+    spark: SparkSession,
+    splits: DataFrame,
+    todo: list[Config],
+    strategy: str = "random",
+    fraction: float = 0.2,
+    seed: int = 42,
+    workers: int = 1,
+    final_max_iter: int = 0,
+    skip_evaluation: bool = False,
+    folder: str | None = None,
+) -> Outcome:
+    """Fits every configuration on part of ``train`` and ranks them on the rest; evaluates the best on all splits, and its refit on all of ``train``.
+
+    Configurations run as threads that share the stored pairs; Spark schedules their jobs side by side. A refit that
+    fails is a row of status 'error'. With ``skip_evaluation`` there is neither evaluation nor refit, and the first
+    configuration that could be fitted is the best.
     """
     ready = sources.prepared(splits)
     train = stored(ready.where("split = 'train'").drop("split", "split_ord"))
+    others = stored(ready.where("split <> 'train'"))
     length = sources.longest(ready)
-    fit_rows, validation = train_validation(train, strategy, fraction, seed)
-    fit_rows, validation = stored(fit_rows), stored(validation)
+    fit_rows, validation = (stored(x) for x in train_validation(train, strategy, fraction, seed))
     todo = [replace(c, model_length=c.model_length or length, split_strategy=strategy) for c in todo]
+    shown = None if skip_evaluation else named_splits(fit=fit_rows, validation=validation)
     with ThreadPoolExecutor(max(workers, 1)) as pool:
-        done = list(pool.map(lambda c: run_config(fit_rows, validation, c), todo))
-    results = [r for r, _ in done]
+        out = Outcome(list(pool.map(lambda c: run_config(fit_rows, shown, c, folder), todo)))
     good = lambda r, k: -math.inf if r.get(k) is None or math.isnan(r[k]) else r[k]
-    order = sorted((k for k, r in enumerate(results) if r["status"] == "ok"), key=lambda k: (-good(results[k], "ap_validation"), -good(results[k], "roc_auc_validation"), k))
-    rows = [t for c, (_, f) in zip(todo, done, strict=True) if f for t in trajectory(c, f)]
-    if not order:
-        return Outcome(results, None, None, None, None, rows)
-    best, config = done[order[0]][1], todo[order[0]]
-    again = fit(train, replace(config, max_iter=final_max_iter)) if final_max_iter else None
-    others = ready.where("split <> 'train'")
-    held = evaluate(ready, (again or best).model, train) if final_max_iter and not others.isEmpty() else None
-    return Outcome(results, best, config, again, held, rows)
+    out.best = min((r for r in out.runs if r.fit), key=lambda r: (-good(r.summary, "ap_validation"), -good(r.summary, "roc_auc_validation"), r.config.index), default=None)
+    if out.best is None or skip_evaluation:
+        return out
+    held = named_splits(**{r["split"]: others.where(F.col("split") == r["split"]) for r in others.select("split").distinct().collect()}) if not others.isEmpty() else None
+    if held is not None:
+        out.best_evaluation = evaluate(shown.unionByName(held), out.best.fit.model, fit_rows)
+    if final_max_iter > 0:
+        again = replace(out.best.config, max_iter=final_max_iter, index=0, label=f"final_refit_{out.best.config.name}")
+        whole = named_splits(train=train)
+        out.refit = run_config(train, whole if held is None else whole.unionByName(held), again, folder, train)
+    return out
 
 
 def evaluate_saved(spark: SparkSession, splits: DataFrame, path: str) -> Evaluation:
@@ -216,18 +286,40 @@ def grid_of(a: argparse.Namespace) -> dict[str, tuple]:
     return {k: tuple(type(v[0])(x.strip()) for x in getattr(a, k).split(",") if x.strip()) for k, v in GRID.items()}
 
 
+def save_run(spark: SparkSession, run: Run, folder: str) -> None:
+    """The artefacts of a run's model in ``folder``."""
+    sinks.save_artefacts(spark, folder, run.fit.model, described(run.config), run.summary, run.trajectory)
+
+
 def save_outcome(spark: SparkSession, out: Outcome, folder: str) -> None:
-    """Results of all configurations, and of the best its artefacts and evaluation."""
-    sinks.save_records(spark, out.results, f"{folder}/results.csv")
-    sinks.save_records(spark, out.trajectories, f"{folder}/trajectories.csv")
+    """Rows and tables of all configurations, the artefacts of each, and the best's and the refit's in folders of their own."""
+    for run in out.runs:
+        if run.fit:
+            save_run(spark, run, f"{folder}/model_artifacts/{run.config.name}")
+        if run.evaluation:
+            run.evaluation.draw(folder, run.config.name, "fit")
     if out.best:
-        row = next(r for r in out.results if r["config"] == out.best_config.name)
-        own = [t for t in out.trajectories if t["config"] == out.best_config.name]
-        chosen = out.refit or out.best
-        rounds = trajectory(out.best_config, out.refit) if out.refit else own
-        sinks.save_artefacts(spark, f"{folder}/best", chosen.model, asdict(out.best_config) | {"config": out.best_config.name}, row, rounds)
-    if out.held_out:
-        out.held_out.save(f"{folder}/evaluation", {"config": out.best_config.name}, "train")
+        best = f"{folder}/best_grid_model"
+        sinks.copy_folder(spark, f"{folder}/model_artifacts/{out.best.config.name}", best)
+        sinks.save_json(spark, {"selected_from": "grid", "summary": out.selected}, f"{best}/selected_summary.json")
+        if out.best_evaluation:
+            out.best_evaluation.save(f"{best}/evaluation", out.best.summary, "fit")
+    if out.refit:
+        final = f"{folder}/final_refit"
+        sinks.save_records(spark, [out.refit.summary], f"{final}/summary.csv")
+        sinks.save_records(spark, out.refit.trajectory, f"{final}/trajectory.csv")
+        if out.refit.fit:
+            save_run(spark, out.refit, f"{final}/model")
+            save_tables(out.refit.evaluation.named(out.refit.config.name), final)
+            out.refit.evaluation.draw(final, out.refit.config.name, "train")
+    sinks.save_records(spark, out.results, f"{folder}/summary.csv")
+    sinks.save_records(spark, out.errors, f"{folder}/errors.csv")
+    sinks.save_records(spark, out.trajectories, f"{folder}/trajectories.csv")
+    tables: dict[str, list[DataFrame]] = {}
+    for run in out.runs:
+        for name, df in (run.evaluation.named(run.config.name) if run.evaluation else {}).items():
+            tables.setdefault(name, []).append(df)
+    save_tables({name: reduce(DataFrame.unionByName, parts) for name, parts in tables.items()}, folder)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -236,15 +328,18 @@ def main(argv: list[str] | None = None) -> int:
     if a.evaluate_only and not a.trained_model:
         parser.error("--evaluate-only needs --trained-model")
     spark = SparkSession.builder.getOrCreate()
-    folder = "/".join(x for x in (a.results_dir, a.run_tag) if x)
+    folder = "/".join(x for x in (a.results_dir, a.run_tag or a.dataset) if x)
     splits = stored(read_splits(spark, a))
     for name, df in diagnostics.diagnostics(splits, a.top_entities).items():
         sinks.write_csv(df, f"{folder}/{name}.csv")
     if a.evaluate_only:
-        evaluate_saved(spark, splits, a.trained_model).save(folder, {"config": "trained_model", "model": a.trained_model})
+        found = evaluate_saved(spark, splits, a.trained_model)
+        row = {"config": f"evaluate_{PurePosixPath(a.trained_model).stem}", "model": a.trained_model, "max_iter": 0, "evaluation_only": True}
+        found.save(folder, row, next((n for n in ("fit", "train") if f"ap_{n}" in found.flat), None))
+        sinks.save_json(spark, {"selected_from": "trained_model", "summary": row | found.flat}, f"{folder}/best_grid_model/selected_summary.json")
         return 0
     todo = configs(grid_of(a), a.limit_configs, step_power=a.step_power, model_length=a.model_length, dataset=a.dataset or "")
-    out = search(spark, splits, todo, a.split_strategy, a.validation_fraction, a.split_seed, a.config_workers, 0 if a.skip_evaluation else a.final_max_iter)
+    out = search(spark, splits, todo, a.split_strategy, a.validation_fraction, a.split_seed, a.config_workers, a.final_max_iter, a.skip_evaluation, folder)
     save_outcome(spark, out, folder)
     return 0
 

@@ -12,13 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.model import Model, baseline_weights, save_model
+from ..storage import stored
 
 
-def write_csv(df: DataFrame, path: str) -> bool:
-    """One CSV folder with a header and sorted columns; nothing at all for no rows."""
-    if df.isEmpty():
+#: Rows that go into one file at most.
+ONE_FILE = 1_000_000
+
+
+def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = (), one_file: int = ONE_FILE) -> bool:
+    """A CSV folder with a header and sorted columns; nothing at all for no rows.
+
+    The plan is run once. Up to ``one_file`` rows are one file, more stay in as many as there are ranges of ``order``
+    or tasks; rows are in ``order`` within files and from one file to the next.
+    """
+    rows = stored(df.select(*(f"`{c}`" for c in sorted(df.columns))))
+    n = rows.count()
+    if not n:
         return False
-    df.select(*(f"`{c}`" for c in sorted(df.columns))).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    if n <= one_file:
+        rows = rows.repartition(1)
+    elif order:
+        rows = rows.repartitionByRange(*order)
+    rows = rows.sortWithinPartitions(*order) if order else rows
+    rows.write.mode("overwrite").option("header", True).csv(path)
     return True
 
 

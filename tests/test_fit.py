@@ -150,14 +150,47 @@ def test_workflow(spark, tmp_path):
     text = lambda n: "".join(rng.choice(list("ACGT"), n))
     mk = lambda n: table(spark, [(text(6), text(12), k % 2) for k in range(n)])
     both = diagnostics.union_splits({"train": mk(30), "other": mk(10)})
-    out = workflow.search(spark, both, workflow.configs({"aligner": ("local", "nosuch"), "max_iter": (1,)}), workers=2, final_max_iter=1)
-    assert [r["status"] for r in out.results] == ["ok", "error"]
-    assert out.refit and out.held_out.flat.keys() == {"ap_train", "roc_auc_train", "ap_other", "roc_auc_other"}
+    todo = workflow.configs({"aligner": ("local", "nosuch"), "max_iter": (1,)})
+    assert [c.index for c in todo] == [1, 2] and todo[0].name.startswith("cfg_0001_local")
+    out = workflow.search(spark, both, todo, workers=2, final_max_iter=1)
+    assert [r["status"] for r in out.results] == ["ok", "error"] and out.errors == out.results[1:]
+    assert out.best_evaluation.flat.keys() == {f"{m}_{s}" for m in ("ap", "roc_auc") for s in ("fit", "validation", "other")}
+    assert out.refit.evaluation.flat.keys() == {"ap_train", "roc_auc_train", "ap_other", "roc_auc_other"}
+    assert out.refit.summary["config"] == f"final_refit_{todo[0].name}" and out.refit.summary["config_index"] == 0
+    assert {"ap_fit", "roc_auc_fit", "roc_auc_validation"} <= out.results[0].keys()
     assert {"aligner", "step_scale", "iteration", "loglik"} <= out.trajectories[0].keys() and "ap_validation" in out.results[0]
     workflow.save_outcome(spark, out, str(tmp_path))
-    assert json.loads((tmp_path / "best" / "parameters.json").read_text())["fitted"]["aligner"] == "local"
-    sinks.copy_folder(spark, str(tmp_path / "best"), str(tmp_path / "copy"))
-    assert workflow.evaluate_saved(spark, both, str(tmp_path / "copy" / "model.parquet")).flat["ap_other"] == pytest.approx(out.held_out.flat["ap_other"])
+    best = tmp_path / "best_grid_model"
+    assert json.loads((best / "parameters.json").read_text())["fitted"]["aligner"] == "local"
+    assert json.loads((best / "selected_summary.json").read_text())["summary"]["ap_other"] == pytest.approx(out.best_evaluation.flat["ap_other"])
+    names = ("summary", "errors", "trajectories", "metrics", "metric_slices", "pr_points", "roc_points")
+    read = {n: spark.read.option("header", True).csv(str(tmp_path / f"{n}.csv")) for n in names}
+    assert read["summary"].count() == 2 and read["errors"].first()["status"] == "error"
+    assert {r["split"] for r in read["metrics"].collect()} == {"fit", "validation"} and {r["config"] for r in read["pr_points"].collect()} == {todo[0].name}
+    assert {p.name for p in (tmp_path / "final_refit").iterdir()} >= {"summary.csv", "trajectory.csv", "metrics.csv", "roc_points.csv", "model"}
+    assert {p.name for p in (best / "evaluation").iterdir()} >= {"summary.csv", "metrics.csv", "metric_slices.csv", "pr_points.csv"}
+    assert workflow.evaluate_saved(spark, both, str(best / "model.parquet")).flat["ap_other"] == pytest.approx(out.best_evaluation.flat["ap_other"])
+
+
+def test_search_without_refit_or_evaluation(spark, monkeypatch):
+    from strandlink.plans import workflow
+
+    both = diagnostics.union_splits({"train": table(spark, [("ACGT" + "AC"[k % 2], "GATTACA" * 2, k % 2) for k in range(24)]), "other": table(spark, [("ACGTA", "GATTACA", 1), ("ACG", "AC", 0)])})
+    todo = workflow.configs({"max_iter": (1,)})
+    bare = workflow.search(spark, both, todo, skip_evaluation=True, final_max_iter=3)
+    assert bare.best and bare.refit is None and bare.best_evaluation is None and "ap_validation" not in bare.results[0]
+    held = workflow.search(spark, both, todo)
+    assert held.refit is None and "ap_other" in held.selected
+    real = workflow.fit
+
+    def failing(rows, config, **options):
+        if config.label:
+            raise RuntimeError("no refit today")
+        return real(rows, config, **options)
+
+    monkeypatch.setattr(workflow, "fit", failing)
+    broken = workflow.search(spark, both, todo, final_max_iter=2)
+    assert broken.results[0]["status"] == "ok" and broken.refit.fit is None and [e["error"] for e in broken.errors] == ["RuntimeError: no refit today"]
 
 
 def test_evaluate_only_writes_every_split(spark, tmp_path):
@@ -308,10 +341,13 @@ def test_shared_folder_is_needed_on_a_cluster():
 
 
 def test_stream_scores(spark, tmp_path):
-    from strandlink.streaming.scoring import scored_stream
+    from strandlink.streaming.scoring import rejected_stream, scored_stream
 
-    table(spark, [("ACG", "CGT", 1), ("ANG", "A", 0)]).write.parquet(str(tmp_path / "in"))
+    table(spark, [("ACG", "CGT", 1), ("ANG", "A", 0), ("", "A", 1), ("ACGTA", "A", 1), ("AC", None, 0)]).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("noncodingRNA string, gene string, label int").parquet(str(tmp_path / "in"))
     q = scored_stream(stream, model.Model(model.uniform_weights(4, 5, -4, -6), 0.0)).writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["score"] for r in spark.table("scored").collect()] == [15.0]
+    batch = spark.read.schema("noncodingRNA string, gene string, label int").parquet(str(tmp_path / "in"))
+    left = {(r["noncodingRNA"], r["column"], r["reason"]) for r in rejected_stream(batch, model.Model(model.uniform_weights(4, 5, -4, -6), 0.0)).collect()}
+    assert left == {("ANG", "noncodingRNA", "unsupported nucleotide"), ("", "noncodingRNA", "empty first sequence"), ("ACGTA", "noncodingRNA", "first sequence longer than the model"), ("AC", "gene", "unsupported nucleotide")}
