@@ -164,25 +164,25 @@ def stretches(data: np.ndarray, longest: int = LONGEST, most: int = STRETCH):
         start, lead = end, lead + int(firsts[-before]) if before else end
 
 
-def _parts(batches, column: str, longest: int):
+def _parts(batches, column: str, longest: int, stretch: int):
     """Texts a piece at a time, long ones in stretches: bytes, offsets, words that don't count, and which rows of the piece they are."""
     for piece in pieces(batches, column):
         data, offsets = kernel.text_bytes(piece.column(column))
         data = kernel.LOWER[data]
-        if piece.num_rows == 1 and len(data) > STRETCH:
-            yield piece, [(part, np.array([0, len(part)]), before) for part, before in stretches(data, longest)]
+        if piece.num_rows == 1 and len(data) > stretch:
+            yield piece, ((part, np.array([0, len(part)]), before) for part, before in stretches(data, longest, stretch))
         else:
             yield piece, [(data, offsets, 0)]
 
 
-def bucket_counts(texts: DataFrame, column: str = "text", buckets: int = BUCKETS, longest: int = LONGEST) -> np.ndarray:
+def bucket_counts(texts: DataFrame, column: str = "text", buckets: int = BUCKETS, longest: int = LONGEST, stretch: int = STRETCH) -> np.ndarray:
     """How many features of all texts fall into each bucket; at most ``buckets`` rows a task, summed in Spark."""
     light_batches(texts.sparkSession)
     schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
         sums = np.zeros(buckets, np.int64)
-        for _, parts in _parts(batches, column, longest):
+        for _, parts in _parts(batches, column, longest, stretch):
             for data, offsets, before in parts:
                 for _, b in features(data, offsets, before, buckets, longest)[0]:
                     sums += np.bincount(b, minlength=buckets)
@@ -210,12 +210,12 @@ def gumbel(digits: int, scale: int = 1000) -> int:
 SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("weight", pa.int64()), ("score", pa.int64()), ("tie", pa.int64())])
 
 
-def scored(docs: DataFrame, gain: np.ndarray, seed: int = 42, longest: int = LONGEST) -> DataFrame:
+def scored(docs: DataFrame, gain: np.ndarray, seed: int = 42, longest: int = LONGEST, stretch: int = STRETCH) -> DataFrame:
     """``doc_id, n_words, n_features, weight, score`` of every row, and ``tie``, a hash of the text."""
     light_batches(docs.sparkSession)
 
     def score(batches):
-        for piece, parts in _parts(batches, "text", longest):
+        for piece, parts in _parts(batches, "text", longest, stretch):
             n = piece.num_rows
             words, count, weight = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             for data, offsets, before in parts:
@@ -277,14 +277,14 @@ def until(digits: list[tuple[Column, int]]) -> Column:
     return below | same
 
 
-def resampled(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 100), least_words: int = 20, seed: int = 42, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
+def resampled(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 100), least_words: int = 20, seed: int = 42, buckets: int = BUCKETS, longest: int = LONGEST, stretch: int = STRETCH) -> DataFrame:
     """``doc_id, n_features, weight, score, rank`` of every row of ``docs(doc_id, text)``; ``target`` has ``text``.
 
     Of the N rows of ``least_words`` words or more the floor(N * share) of highest score are drawn and ranked from
-    1; the others have a null rank.
+    1; the others have a null rank. Texts of more than ``stretch`` bytes are worked on in parts.
     """
-    gain = gains(bucket_counts(docs, buckets=buckets, longest=longest), bucket_counts(target, buckets=buckets, longest=longest))
-    rows = stash(scored(docs, gain, seed, longest))
+    source, aim = (bucket_counts(t, "text", buckets, longest, stretch) for t in (docs, target))
+    rows = stash(scored(docs, gains(source, aim), seed, longest, stretch))
     fit = rows.where(F.col("n_words") >= least_words)
     k = fit.count() * share[0] // share[1]
     order = [-F.col("score"), F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("doc_id").isNull().cast("long"), F.col("tie")]
