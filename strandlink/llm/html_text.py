@@ -4,9 +4,11 @@ Events of the standard library's parser make lines: a block-level tag, a line
 break or the end of an excluded element ends a line. Each line has its text, the
 number of tags seen since the line before, the characters inside links, and the
 container (article, main, section, division, cell, body) that holds it. Menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and
-styles never enter a line; they are known by their tags, roles, or by a class or id
-that begins or ends with a word for one of them.
+headers, footers, sidebars, forms, scripts and styles never enter a line where their
+tags or roles say so. A class or id that begins or ends with a word for such a thing,
+for notices, adverts or reader comments is only a suspicion: the ratios decide. An
+element under suspicion stays if no article or main outside of it has text and it has most of
+the page's content, or an article or main with content; else it is left out.
 
 The ratio of text to tags, links left out, is smoothed along the page by a Gaussian,
 and the smoothed ratios are split into two clusters, at the threshold midway between
@@ -15,7 +17,9 @@ there from next to text and that are no heading or paragraph. The region grows f
 innermost container that holds them all, or to the article or main that this lies
 in, so that its short lines stay. Where that is the whole body, the region is from
 the first to the last of them and of the articles that they lie in, with the
-headings, paragraphs and longer texts next to them. No line of the region is dropped.
+headings, paragraphs and longer texts next to them. No line of the region is dropped,
+but for lists of links: sections or divisions of several lines, none of them content, whose
+text is links for the most part.
 
 Null pages count as empty and have empty text; a null ``url`` or ``page_id`` stays null.
 Rows that repeat get equal results each, other columns aren't read, an empty table gives
@@ -43,7 +47,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 EXCLUDED = frozenset("script style noscript template head title nav header footer aside form button select textarea input option iframe object embed svg canvas audio video dialog menu".split())
 HOLDERS = frozenset("article main section div td body".split())
 #: Words that begin or end a class or id of a menu, header, footer, sidebar, notice, advert, form or of reader comments.
-NOISE = frozenset("menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar sidebars notice notices cookie cookies consent gdpr ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners form forms comment comments disqus".split())
+NOISE = frozenset("menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar sidebars notice notices cookie cookies consent gdpr ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners form forms comment comments disqus newsletter newsletters subscribe signup popup modal toolbar pagination pager social sharing".split())
+#: What follows "related" or "recommended" where that names links to other pages.
+ELSEWHERE = frozenset("posts articles stories links items news reading pages".split())
 #: Words before one of those by which a class speaks of the layout, and before "header" of the article's own heading.
 LAYOUT = frozenset("no has with without hide show".split())
 OWN = frozenset("article entry post story content".split())
@@ -65,23 +71,35 @@ def is_noise(name: str) -> bool:
             continue
         if words[0] in NOISE or words[-1] in NOISE:
             return True
+        if words[0] in ("related", "recommended") and (len(words) == 1 or words[-1] in ELSEWHERE):
+            return True
     return False
 
 
 class Lines(HTMLParser):
     """Lines of a page: (text, tags, characters in links, container, is a heading or paragraph).
 
-    ``parent``, ``begins`` and ``ends`` give each container's holder and the lines that it holds.
+    ``parent``, ``begins`` and ``ends`` give each container's holder and the lines that it holds. Elements under suspicion
+    are numbered in page order: those of ``trusted`` are read, all for None. Of each ``suspects`` has the one around it,
+    the characters outside links in it, and whether some are in an article or main inside; of each line read,
+    ``inside`` has the innermost of them and ``article`` the innermost article or main.
     """
 
-    def __init__(self):
+    def __init__(self, trusted: frozenset[int] | None = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.trusted = trusted
+        self.suspects: list[list] = []  # [around, characters, holds an article with text, articles open around it]
+        self.suspected: list[int] = []  # those that are open
+        self.excluded = 0  # open elements that tags or roles exclude
+        self.inside: list[int] = []
+        self.article: list[int] = []
+        self.seen = 0  # characters outside links and suspects
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = self.linked = self.link = self.heading = self.articles = self.silent = 0
         self.parent, self.begins, self.ends, self.kind = [-1], [0], [0], [""]  # container 0 is the page
         self.holder = 0
-        self.open: list[tuple[str, bool, bool]] = []  # (tag, is excluded, is an article)
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # (tag, isn't read, is an article, is excluded, is under suspicion)
         self.places: dict[str, list[int]] = {}  # of the open tags by name
         self.walls: list[int] = []  # places of open blocks and excluded elements
         self.stops: list[int] = []  # places of open articles and bodies
@@ -90,6 +108,8 @@ class Lines(HTMLParser):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             self.lines.append((text, self.tags, self.linked, self.holder, self.heading > 0))
+            self.inside.append(self.suspected[-1] if self.suspected else -1)
+            self.article.append(enclosing(self, self.holder, "whole"))
             self.tags = self.linked = 0
         self.text = []
 
@@ -106,10 +126,17 @@ class Lines(HTMLParser):
         named = dict(attrs)
         role = named.get("role")
         article = tag in ("article", "main") or role in ("article", "main")
-        noise = tag in EXCLUDED and not (tag == "header" and self.articles and not self.silent)
-        noise = noise or (tag not in ("html", "body") and not article and (role in ROLES or any(is_noise(named.get(k) or "") for k in ("class", "id"))))
+        excluded = tag in EXCLUDED and not (tag == "header" and self.articles and not self.silent)
+        able = tag not in ("html", "body") and not article
+        excluded = excluded or (able and role in ROLES)
+        suspect = not excluded and not self.excluded and able and any(is_noise(named.get(k) or "") for k in ("class", "id"))
+        noise = excluded or (suspect and self.trusted is not None and len(self.suspects) not in self.trusted)
+        if suspect:
+            self.suspects.append([self.suspected[-1] if self.suspected else -1, 0, False, self.articles])
+            self.suspected.append(len(self.suspects) - 1)
         at = len(self.open)
-        self.open.append((tag, noise, article))
+        self.open.append((tag, noise, article, excluded, suspect))
+        self.excluded += excluded
         self.places.setdefault(tag, []).append(at)
         if noise or tag in BLOCKS or tag == "option":
             self.walls.append(at)
@@ -133,7 +160,14 @@ class Lines(HTMLParser):
     def _close(self, place: int) -> None:
         """Closes the element at a place and all that is open in it."""
         while len(self.open) > place:
-            tag, noise, article = self.open.pop()
+            tag, noise, article, excluded, suspect = self.open.pop()
+            self.excluded -= excluded
+            if suspect:
+                # What it holds counts for the one around it.
+                around, characters, whole, _ = self.suspects[self.suspected.pop()]
+                if around >= 0:
+                    self.suspects[around][1] += characters
+                    self.suspects[around][2] |= whole
             self.places[tag].pop()
             for held in (self.walls, self.stops):
                 if held and held[-1] == len(self.open):
@@ -159,6 +193,13 @@ class Lines(HTMLParser):
             self._close(place)
 
     def handle_data(self, data):
+        if not self.excluded and not self.link and not data.isspace():
+            if self.suspected:
+                own = self.suspects[self.suspected[-1]]
+                own[1] += len(data)
+                own[2] |= self.articles > own[3]
+            else:
+                self.seen += len(data)
         if not self.silent:
             self.text.append(data)
             if self.link:
@@ -201,20 +242,84 @@ def ratios_of(lines: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
     return np.array([(len(text) - linked) / max(tags, 1) for text, tags, linked, _, _ in lines], float)
 
 
-def main_text(html: str | None) -> str:
-    """The main text of one page; blocks in page order joined by a space."""
+#: Share of the page's content, at least, of an element under suspicion that stays.
+MOST = 0.75
+
+
+def read(html: str) -> Lines:
+    """The page's lines, those of elements under suspicion only where the ratios acquit them."""
     parser = Lines()
-    parser.feed(html or "")
-    lines = parser.finish()
+    parser.feed(html)
+    parser.finish()
+    total = parser.seen + sum(s[1] for s in parser.suspects if s[0] < 0)
+    # Where no element under suspicion has much of the text or an article, none can stay.
+    if not any(s[2] or 2 * s[1] > total for s in parser.suspects):
+        return parser
+    whole = Lines(None)
+    whole.feed(html)
+    trusted = acquitted(whole, content(whole.finish()))
+    if not trusted:
+        return parser
+    parser = Lines(trusted)
+    parser.feed(html)
+    parser.finish()
+    return parser
+
+
+def content(lines: list[tuple[str, int, int, int, bool]]) -> list[int]:
+    """The lines of the upper cluster."""
     if not lines:
-        return ""
+        return []
     own = ratios_of(lines)
     ratios = smoothed(own)
     limit = threshold(ratios)
     chosen = np.flatnonzero(ratios >= limit).tolist()
-    links = lambda x: 2 * x[2] > len(x[0])
     # Next to text, smoothing lifts what isn't; only headings and paragraphs may be short there.
-    chosen = [k for k in chosen if lines[k][4] or own[k] >= limit] or chosen
+    return [k for k in chosen if lines[k][4] or own[k] >= limit] or chosen
+
+
+def certain(lines: list[tuple[str, int, int, int, bool]], chosen: list[int]) -> list[int]:
+    """Those of the upper cluster's lines that belong there by their own ratio."""
+    own = ratios_of(lines)
+    limit = threshold(smoothed(own))
+    return [k for k in chosen if own[k] >= limit]
+
+
+def acquitted(parser: Lines, chosen: list[int]) -> frozenset[int]:
+    """The elements under suspicion that stay, by the content that they hold."""
+    n = len(parser.suspects)
+    size, held, written, total, articles = [0] * n, [0] * n, [0] * n, 0, 0
+    picked = set(chosen)
+    for k, (line, e, article) in enumerate(zip(parser.lines, parser.inside, parser.article, strict=True)):
+        length = len(line[0]) - line[2]
+        total += length * (k in picked)
+        articles += length * (article > 0)
+        if e >= 0:
+            size[e] += length * (k in picked)
+            held[e] += length * (article > 0 and k in picked)
+            written[e] += length * (article > 0)
+    for e in range(n - 1, -1, -1):  # elements inside come after those around them
+        if (around := parser.suspects[e][0]) >= 0:
+            for sums in (size, held, written):
+                sums[around] += sums[e]
+    out: set[int] = set()
+    for e in range(n):
+        around = parser.suspects[e][0]
+        if around >= 0 and around not in out:
+            continue
+        if articles == written[e] and (held[e] or 0 < MOST * total <= size[e]):
+            out.add(e)
+    return frozenset(out)
+
+
+def main_text(html: str | None) -> str:
+    """The main text of one page; blocks in page order joined by a space."""
+    parser = read(html or "")
+    lines = parser.lines
+    if not lines:
+        return ""
+    chosen = content(lines)
+    links = lambda x: 2 * x[2] > len(x[0])
     first, last = region(parser, chosen)
     if first is None:
         # No container but the body: the articles of the chosen lines, and what stands next to them.
@@ -227,7 +332,27 @@ def main_text(html: str | None) -> str:
             first -= 1
         while last + 1 < len(lines) and near(lines[last + 1]):
             last += 1
-    return " ".join(x[0] for x in lines[first : last + 1])
+    listed = link_lists(parser, certain(lines, chosen), first, last)
+    return " ".join(lines[k][0] for k in range(first, last + 1) if not listed[k])
+
+
+#: Least lines of a list of links.
+LISTED = 3
+
+
+def link_lists(parser: Lines, chosen: list[int], first: int, last: int) -> np.ndarray:
+    """Which lines stand in a section or division inside the region that is a list of links."""
+    lines = parser.lines
+    length, linked = (np.concatenate([[0], np.cumsum([f(x) for x in lines])]) for f in (lambda x: len(x[0]), lambda x: x[2]))
+    held = np.zeros(len(lines) + 1, np.int64)
+    held[np.asarray(chosen, np.int64) + 1] = 1
+    held = np.cumsum(held)
+    edges = np.zeros(len(lines) + 1, np.int64)
+    for kind, a, b in zip(parser.kind, parser.begins, parser.ends, strict=True):
+        if kind in ("div", "section") and first <= a and b - 1 <= last and b - a >= LISTED and held[a] == held[b] and 2 * (linked[b] - linked[a]) > length[b] - length[a]:
+            edges[a] += 1
+            edges[b] -= 1
+    return np.cumsum(edges) > 0
 
 
 def enclosing(parser: Lines, holder: int, kind: str) -> int:

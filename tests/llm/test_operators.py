@@ -278,6 +278,33 @@ def test_main_text_is_chosen_by_ratios(monkeypatch, page):
     assert html_text.main_text(page) != words(page.replace(menu, ""))
 
 
+MENU = "<ul>" + "<li><a href=x>menu</a></li>" * 9 + "</ul>"
+ASIDES = "<div class='newsletter-signup'><p>Subscribe now please to get our letters.</p></div><div class='related-posts'><p><a href=x>Other stories</a></p></div><div class=ad><p>Buy now.</p></div>"
+
+
+@pytest.mark.parametrize("name", ["long-form", "free-form", "form-factor-guide", "ad-hoc-analysis", "notice-and-comment", "content-has-sidebar", "main-content-with-sidebar", "sidebar-form", "ads", "comments"])
+def test_main_text_is_kept_whatever_its_class(name):
+    inner = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>Short.</p>"
+    want = " ".join(re.sub(r"<[^>]*>", " ", inner).split())
+    assert html_text.main_text(f"<body>{MENU}<div class='{name}'>{inner}</div>{ASIDES}</body>") == want
+    assert html_text.main_text(f"<body>{MENU}<div class='{name}'><article>{inner}{ASIDES}</article></div>{ASIDES}</body>") == want
+
+
+def test_main_text_leaves_out_suspects_beside_an_article():
+    article = f"<article><h1>Head</h1><p>{LONG}</p></article>"
+    want = f"Head {LONG.strip()}"
+    for n in (1, 40):  # reader comments may be longer than what they are about
+        for comment in ("<p>{0}</p>", "<article><p>{0}</p></article>"):
+            assert html_text.main_text(f"<body>{article}<div id=comments>{comment.format(LONG) * n}</div></body>") == want
+            assert html_text.main_text(f"<body><main>{article}<div id=comments>{comment.format(LONG) * n}</div></main></body>") == want
+
+
+def test_main_text_leaves_out_lists_of_links_without_names():
+    links = "".join(f"<li><a href=x>Story {k} is to be found here</a>" for k in range(4))
+    page = f"<body><article><h1>Head</h1><p>{LONG}</p><div><h3>More</h3><ul>{links}</ul></div><p>{LONG}</p><p>The <a href=x>end</a>.</p></article></body>"
+    assert html_text.main_text(page) == f"Head {LONG.strip()} {LONG.strip()} The end."
+
+
 def test_main_text_takes_bounded_steps():
     import time
 
