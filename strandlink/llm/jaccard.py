@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .spark_tools import components, light_batches, partitions, pieces, ranges_of, record, release, stash, trim
+from .spark_tools import components, free, light_batches, partitions, pieces, ranges_of, record, release, stash, trim
 
 BLOCK = 2000  #: documents that one prefix tree holds at most
 SEGMENT = 32  #: shingles to a tree node; bounds are tested at each
@@ -466,15 +466,17 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
 
     The row of least ``doc_id`` stays, nulls last; of several, the one of least
     hash over all columns but maps. So it is the same row however ``docs`` is dealt.
+    Columns may have any names.
     """
     light_batches(docs.sparkSession)
-    marks = ("__a", "__b")
+    own = free(docs.columns)
+    marks = (own("a"), own("b"))
     plain = [F.col(c) for c, t in docs.dtypes if "map<" not in t]
     seen = [*plain, *(c.isNull() for c in plain)]  # nulls don't change a hash
     rows = docs.withColumns({m: F.xxhash64(F.lit(k), *seen) for k, m in enumerate(marks)})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *marks)
-    described = stash(marked.mapInArrow(_describe(n, marks), "doc_id long, n_shingles long, key binary, __a long, __b long"))
+    described = stash(marked.mapInArrow(_describe(n, marks), f"doc_id long, n_shingles long, key binary, {marks[0]} long, {marks[1]} long"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *marks))
     roots = _rooted(texts, described, first, n, num, den)
     chosen = roots.groupBy("root").agg(F.min("least").alias("least")).select(*(F.col(f"least.{m}").alias(m) for m in marks))

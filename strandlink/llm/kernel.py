@@ -7,6 +7,8 @@ hashed in constant time, then mixed.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,6 +66,19 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+#: Bytes from which a word is hashed by itself: polynomials modulo 2**64 of strings that are built up from halves
+#: and their complements agree from 1,024 bytes on.
+LONG = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, by BLAKE2 where they are long."""
+    out = spans(prefix(data), starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the n + 1 offsets of the texts' words among them; ``outside`` marks bytes of no word."""
     if not len(data):
@@ -117,7 +132,7 @@ def shingle_sets(column: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     data = LOWER[data]
     starts, ends, by_doc = words(data, offsets)
-    sets, _, places = distinct(*ngrams(spans(prefix(data), starts, ends), by_doc, n))
+    sets, _, places = distinct(*ngrams(word_hashes(data, starts, ends), by_doc, n))
     return sets, places
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark_tools import ranked, stash
+from .spark_tools import free, ranked, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the seeded order that one round of the search for the border looks at.
@@ -116,21 +116,21 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs:
 
     Rows equal in ``doc_id``, ``source`` and ``text`` are one document here. Documents
     without words come as often as every document of their source at least. The
-    columns are those of ``docs``.
+    columns are those of ``docs``, whatever their names.
     """
-    columns = docs.columns
-    once = docs.dropDuplicates(["doc_id", "source", "text"]).withColumn("__size", n_words(F.col("text").cast("string"))).withColumn("__text", F.xxhash64("text"))
-    sizes = stash(once.select("doc_id", "source", F.col("__size").alias("size"), F.col("__text").alias("h"), seeded_order(seed).alias("order")))
+    columns, own = docs.columns, free(docs.columns)
+    once = docs.dropDuplicates(["doc_id", "source", "text"]).withColumn(own("size"), n_words(F.col("text").cast("string"))).withColumn(own("text"), F.xxhash64("text"))
+    sizes = stash(once.select("doc_id", "source", F.col(own("size")).alias("size"), F.col(own("text")).alias("h"), seeded_order(seed).alias("order")))
     plan = taken_of(sizes, weights, most_epochs, keep=("h",))
     least = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(least).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), whole.alias("__whole"), rest.alias("__rest")).where("__whole > 0 or __rest > 0")
-    rows = once.join(plan, once["doc_id"].eqNullSafe(F.col("__id")) & once["__text"].eqNullSafe(F.col("__h")))
-    copies = F.concat(F.array_repeat(F.lit(0), F.col("__whole")), F.filter(F.array("__rest"), lambda r: r > 0))
-    rows = rows.withColumn("__part", F.explode(copies))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("__part")), "")
-    out = {"text": F.when(F.col("__part") > 0, head).otherwise(F.col("text"))}
+    plan = plan.select(F.col("doc_id").alias(own("id")), F.col("h").alias(own("h")), whole.alias(own("whole")), rest.alias(own("rest"))).where((F.col(own("whole")) > 0) | (F.col(own("rest")) > 0))
+    rows = once.join(plan, once["doc_id"].eqNullSafe(F.col(own("id"))) & once[own("text")].eqNullSafe(F.col(own("h"))))
+    copies = F.concat(F.array_repeat(F.lit(0), F.col(own("whole"))), F.filter(F.array(own("rest")), lambda r: r > 0))
+    rows = rows.withColumn(own("part"), F.explode(copies))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col(own("part"))), "")
+    out = {"text": F.when(F.col(own("part")) > 0, head).otherwise(F.col("text"))}
     if "n_chars" in columns:
-        out["n_chars"] = F.when(F.col("__part") > 0, F.length(head)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col(own("part")) > 0, F.length(head)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in columns))

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark_tools import stash
+from .spark_tools import free, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The same matches as the plain patterns, written so that no run of characters is
@@ -237,12 +237,13 @@ def report(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; overlapping spans by the first's.
 
-    ``n_chars``, where that column exists, follows the text. Null texts stay null.
+    ``n_chars``, where that column exists, follows the text. Null texts stay null;
+    other columns stay as they are, whatever their names.
     """
-    columns = docs.columns
-    plan = spotted(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).distinct()
-    rows = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = rows.join(plan, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")), "left")
+    columns, own = docs.columns, free(docs.columns)
+    plan = spotted(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(own("id")), F.col("h").alias(own("h")), F.col("spans").alias(own("spans"))).distinct()
+    rows = docs.withColumn(own("t"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = rows.join(plan, rows["doc_id"].eqNullSafe(F.col(own("id"))) & (F.col(own("t")) == F.col(own("h"))), "left")
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in NAMES))
     text = F.col("text")
 
@@ -260,7 +261,7 @@ def masked(docs: DataFrame) -> DataFrame:
 
     def block(acc: Column, k: Column) -> Column:
         """A block of spans, over the part of the text that it needs: to find a place takes steps in proportion to it."""
-        some = F.slice("__spans", k, F.lit(MATCHES))
+        some = F.slice(own("spans"), k, F.lit(MATCHES))
         last = F.array_max(F.transform(some, lambda s: s["end"]))
         from_ = F.struct(acc["at"].alias("at"), start["out"].alias("out"))
 
@@ -270,9 +271,9 @@ def masked(docs: DataFrame) -> DataFrame:
 
         return bound(F.substring(text, acc["at"] + 1, F.greatest(last - acc["at"], F.lit(0))), use)
 
-    new = F.aggregate(block_starts(F.size("__spans")), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = rows.withColumn("__new", F.when(F.col("__spans").isNull(), text).otherwise(new))
-    out = {"text": F.col("__new")}
+    new = F.aggregate(block_starts(F.size(own("spans"))), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    rows = rows.withColumn(own("new"), F.when(F.col(own("spans")).isNull(), text).otherwise(new))
+    out = {"text": F.col(own("new"))}
     if "n_chars" in columns:
-        out["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col(own("spans")).isNull(), F.col("n_chars")).otherwise(F.length(own("new"))).cast(docs.schema["n_chars"].dataType)
     return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in columns))

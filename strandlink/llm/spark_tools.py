@@ -18,6 +18,14 @@ from ..storage import stored as stash
 ARROW_ROWS = 1000
 
 
+def free(columns: list[str]) -> Callable[[str], str]:
+    """Names for an operator's own columns beside ``columns``, whatever those are called."""
+    taken, mark = [c.lower() for c in columns], "__"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return lambda name: f"{mark}{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)

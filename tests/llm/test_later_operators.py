@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandlink.llm import infill, kernel, line_dedup, resample
+from strandlink.llm import infill, jaccard, kernel, langid, line_dedup, mixing, pii, resample
 
 ROWS = [
     (1, "one\ntwo\nthree\n"),
@@ -239,3 +239,31 @@ def test_line_dedup_moves_no_text_and_runs_no_python(docs):
     plan = line_dedup.deduplicated(docs, 2)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert kernel.SPACE[[ord(c) for c in line_dedup.SPACE]].all()
+
+
+# --- names that clash, words that collide
+
+OWN = [f"{m}{n}" for m in ("__", "___") for n in ("size", "text", "id", "h", "whole", "rest", "part", "spans", "t", "new", "a", "b", "before", "where", "at")]
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "one two three a@b.example.com five six", "en", "x"), (2, "one two three a@b.example.com five six", "en", "y"), (None, None, None, None), (3, "", "en", "x")], "doc_id long, text string, lang string, source string")
+    rows = rows.withColumns({c: F.lit(f"own {c}") for c in OWN})
+    for made in (mixing.repeated(rows), pii.masked(rows), jaccard.keep_one(rows)):
+        assert made.columns == rows.columns and made.count() > 0
+        assert all({r[c] for r in made.collect()} == {f"own {c}"} for c in OWN)
+    assert "<EMAIL>" in {r["doc_id"]: r["text"] for r in pii.masked(rows).collect()}[1]
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(rows).where("doc_id is not null").collect()) == [1, 3]
+    assert langid.identified(rows, langid.fit(rows)).count() == 4
+
+
+def test_long_words_do_not_collide(spark):
+    a, b = b"a", b"b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, a.decode()), (2, b.decode()), (3, a.decode()), (4, f"{a.decode()} {b.decode()}")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert found == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 4)}
+    data = np.frombuffer(a + b" " + b, np.uint8)
+    starts, ends, _ = kernel.words(data, np.array([0, len(data)]))
+    assert len(set(kernel.word_hashes(data, starts, ends).tolist())) == 2
