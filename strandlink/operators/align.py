@@ -28,6 +28,62 @@ def score_column(first: Column, second: Column, weights: Weights, local: bool =
     return score(first, second)
 
 
+def score_expression(first: Column, second: Column, weights: Weights, local: bool = True) -> Column:
+    """The alignment score as one expression, without Python: a fold over the first sequence's bases, and in it over the second's.
+
+    Equal to ``score_column`` to the last bit. It takes steps in proportion to the square of the second
+    sequence's length, so it is for places where Python isn't to be had.
+    """
+    value = lambda x: F.lit(float(x))
+    zero, length = F.lit(0.0).cast("float"), weights.length
+    codes = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.instr(F.lit(kernels.BASES), x) - 1)
+    table = F.array(*map(value, weights.match.transpose(2, 0, 1).ravel()))  # by position, then both bases
+    ups = F.array(*map(value, weights.gap_second))
+    lefts = F.array(*map(value, [*weights.gap_first, 0.0]))
+    last_left = value(kernels.LAST_ROW_GAP)
+
+    def whole(given: Column) -> Column:
+        a, b, table, ups, lefts = (given[x] for x in ("a", "b", "table", "ups", "lefts"))
+        n, m = F.size(a), F.size(b)
+
+        def row(acc: Column, i: Column) -> Column:
+            above, up = acc["row"], F.get(ups, i)
+            left = F.when(i == n - 1, last_left).otherwise(F.get(lefts, i))
+            base = i * 16 + F.get(a, i) * 4
+
+            def cell(done: Column, j: Column) -> Column:
+                score = F.get(above, j).cast("double") + F.get(table, base + F.get(b, j))
+                score = F.greatest(score, F.get(above, j + 1).cast("double") + up)
+                if local:
+                    score = F.greatest(score, F.lit(0.0), F.get(done["row"], j).cast("double") + left)
+                else:
+                    score = F.when(i == n - 1, score).otherwise(F.greatest(score, F.get(done["row"], j).cast("double") + left))
+                return _let(score, lambda s: F.struct(F.array_append(done["row"], s.cast("float")).alias("row"), F.greatest(done["best"], s).alias("best")))
+
+            start = zero if local else (F.get(above, F.lit(0)).cast("double") + up).cast("float")
+            begin = F.struct(F.array(start).alias("row"), acc["best"].alias("best"))
+            return F.when(m == 0, begin).otherwise(F.aggregate(_counting(m), begin, cell))
+
+        begin = F.struct(F.array_repeat(zero, m + 1).alias("row"), F.lit(0.0).alias("best"))
+        end = lambda acc: acc["best"] if local else F.array_max(acc["row"]).cast("double")
+        # Long first sequences have no weights.
+        checked = F.when(n > length, F.raise_error(F.lit(f"a first sequence is longer than the weights, which have {length} positions")).cast("double"))
+        return checked.otherwise(F.aggregate(_counting(n), begin, row, end))
+
+    given = F.struct(codes(first).alias("a"), codes(second).alias("b"), table.alias("table"), ups.alias("ups"), lefts.alias("lefts"))
+    return _let(given, whole)
+
+
+def _counting(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.filter(F.sequence(F.lit(0), n), lambda k: k < n)
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def path_column(first: Column, second: Column, weights: Weights, local: bool = True) -> Column:
     """The alignment of two sequence columns, with its footprint on the first."""
 
@@ -90,9 +146,13 @@ def _structs(t: kernels.Traces) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(t.score, pa.float64()), strings(t.first), strings(t.second), lists(t.first_at), lists(t.second_at), rows(t.state), rows(t.after)], fields=list(_PATH))
 
 
-def scored(pairs: DataFrame, model: Model) -> DataFrame:
-    """``pairs`` with ``score`` and ``logit`` = score + alpha; ``target_rc`` is what is aligned with ``noncodingRNA``."""
-    out = pairs.withColumn("score", score_column(F.col("noncodingRNA"), F.col("target_rc"), model.weights, model.local))
+def scored(pairs: DataFrame, model: Model, python: bool = True) -> DataFrame:
+    """``pairs`` with ``score`` and ``logit`` = score + alpha; ``target_rc`` is what is aligned with ``noncodingRNA``.
+
+    Without ``python`` the scores are one expression of the JVM.
+    """
+    score = score_column if python else score_expression
+    out = pairs.withColumn("score", score(F.col("noncodingRNA"), F.col("target_rc"), model.weights, model.local))
     return out.withColumn("logit", F.col("score") + F.lit(float(model.alpha)))
 
 

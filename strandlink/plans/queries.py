@@ -322,6 +322,17 @@ def align_glocal_scores(spark, sf_dir):
     return align.scored(distinct_pairs(spark, sf_dir), uniform_model("glocal")).select("l_partkey", "l_suppkey", "score")
 
 
+#: An intercept for logits of alignment scores.
+LOGIT_ALPHA = -35.5
+
+
+@query(_align_sql(True) + f"SELECT l_partkey, l_suppkey, score + {LOGIT_ALPHA} AS logit FROM scores")
+def align_logits_jvm(spark, sf_dir):
+    """Logits of all pairs with an intercept, by the expression that needs no Python."""
+    m = Model(uniform_model().weights, LOGIT_ALPHA)
+    return align.scored(distinct_pairs(spark, sf_dir), m, python=False).select("l_partkey", "l_suppkey", "logit")
+
+
 #: Positive cells with the step that made them, then each path from its best cell (the first in row order) back to a zero.
 WALK_SQL = _align_sql(True) + """
 , cells AS (
@@ -351,6 +362,33 @@ def alignment_paths(spark, sf_dir):
     return rows.select("l_partkey", "l_suppkey", F.col("aln.mir_aln").alias("mir_aln"), F.col("aln.gene_aln").alias("gene_aln"), seq.pretty_alignment(F.col("aln.mir_aln"), F.col("aln.gene_aln")).alias("pretty"))
 
 
+#: The step that made each cell of a glocal alignment, and each path from the first best cell of the last row to the first row.
+GLOCAL_WALK_SQL = _align_sql(False) + """
+, cells AS (
+  SELECT k, i, j, v,
+    lag(v) OVER (PARTITION BY k, j - i ORDER BY i) + CASE WHEN substr(a, CAST(i AS INT), 1) = substr(b, CAST(j AS INT), 1) THEN 5 ELSE -4 END AS by_diagonal,
+    lag(v) OVER (PARTITION BY k, i ORDER BY j) + CASE WHEN i = length(a) THEN -100000 ELSE -6 END AS by_left
+  FROM h JOIN d USING (k)),
+steps AS MATERIALIZED (SELECT k, i, j, CAST(CASE WHEN j > 0 AND v = by_diagonal THEN 1 WHEN j > 0 AND v = by_left THEN 2 ELSE 3 END AS TINYINT) AS step FROM cells WHERE i > 0),
+last AS (SELECT k, i, j, v, max(v) OVER (PARTITION BY k) AS best FROM h JOIN d USING (k) WHERE i = length(a)),
+walk(k, i, j, step) AS (
+  SELECT s.k, s.i, s.j, s.step FROM (SELECT k, i, min(j) AS j FROM last WHERE v = best GROUP BY k, i) f JOIN steps s ON s.k = f.k AND s.i = f.i AND s.j = f.j
+  UNION ALL
+  SELECT s.k, s.i, s.j, s.step FROM walk w JOIN steps s ON s.k = w.k AND s.i = w.i - (w.step <> 2)::TINYINT AND s.j = w.j - (w.step <> 3)::TINYINT)
+"""
+
+
+@query(GLOCAL_WALK_SQL + """
+SELECT l_partkey, l_suppkey, mir_aln, gene_aln, aln_columns, gaps
+FROM (SELECT k, string_agg(CASE WHEN step = 2 THEN '-' ELSE substr(a, CAST(i AS INT), 1) END, '' ORDER BY i, j) AS mir_aln,
+        string_agg(CASE WHEN step = 3 THEN '-' ELSE substr(b, CAST(j AS INT), 1) END, '' ORDER BY i, j) AS gene_aln,
+        CAST(count(*) AS INT) AS aln_columns, CAST(count(*) FILTER (step > 1) AS INT) AS gaps FROM walk JOIN d USING (k) GROUP BY k) JOIN d USING (k)
+""")
+def glocal_paths(spark, sf_dir):
+    rows = align.alignment_attributes(align.counted(align.align_glocal(distinct_pairs(spark, sf_dir), uniform_model("glocal"))))
+    return rows.select("l_partkey", "l_suppkey", F.col("aln.mir_aln").alias("mir_aln"), F.col("aln.gene_aln").alias("gene_aln"), "aln_columns", "gaps")
+
+
 @query(WALK_SQL + """
 SELECT l_partkey, l_suppkey, CAST(max(v) AS DOUBLE) AS aln_score, CAST(count(*) AS INT) AS aln_columns, CAST(min(i) - 1 AS INT) AS first_mir,
   CAST(count(*) FILTER (step = 1 AND x = y) AS INT) AS matches, CAST(count(*) FILTER (step = 1 AND x <> y) AS INT) AS mismatches, CAST(count(*) FILTER (step > 1) AS INT) AS gaps

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandlink.operators import kernels, model
 from strandlink.operators.kernels import Weights
@@ -118,3 +119,18 @@ def test_partitioning_does_not_matter(spark):
     m = model.Model(model.uniform_weights(6, 5, -4, -6), 1.0)
     one, many = (sorted(r["logit"] for r in align.scored(rows.repartition(k), m).collect()) for k in (1, 7))
     assert one == many
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_expression_equals_kernel(spark, local):
+    from strandlink.operators import align
+
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("ACGT"), n))
+    rows = [(text(rng.integers(1, 8)), text(rng.integers(0, 14))) for _ in range(60)] + [("", "ACG"), ("", ""), ("ACG", "")]
+    pairs = spark.createDataFrame(rows, "noncodingRNA string, target_rc string")
+    m = model.Model(Weights(rng.normal(0.4, 2, (4, 4, 8)), rng.normal(-0.7, 1, 7), rng.normal(-0.7, 1, 8)), 0.5, "local" if local else "glocal")
+    both = align.scored(pairs, m, python=False).withColumnRenamed("score", "plain").withColumn("score", align.score_column(F.col("noncodingRNA"), F.col("target_rc"), m.weights, local)).collect()
+    assert len(both) == 63 and all(r["plain"] == r["score"] and r["logit"] == r["plain"] + 0.5 for r in both)
+    with pytest.raises(Exception, match="longer than the weights"):
+        align.scored(spark.createDataFrame([("A" * 9, "A")], pairs.schema), m, python=False).collect()
