@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnostics, metrics
 from ..operators.align import scored
-from ..operators.fit import Config, Fit, described, fit, summary, trajectory
+from ..operators.fit import Config, Fit, described, fit_many, summary, trajectory
 from ..operators.model import Model, load_model
 from ..operators.places import ranked
 from ..operators.splits import group_split, stratified_split
@@ -152,18 +152,33 @@ def named_splits(**splits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def run_config(rows: DataFrame, splits: DataFrame | None, config: Config, folder: str | None = None, reference: DataFrame | None = None) -> Run:
-    """Fits ``rows`` and evaluates ``splits``, if any; an exception becomes a row of status 'error'.
+def run_configs(rows: DataFrame, splits: DataFrame | None, todo: list[Config], folder: str | None = None, reference: DataFrame | None = None) -> list[Run]:
+    """Fits ``rows`` under every configuration in the same passes and evaluates ``splits``, if any; an exception becomes a row of status 'error'.
 
-    With a ``folder`` the fit keeps its state there, and goes on from what a run before has left.
+    With a ``folder`` fits keep their state there, and go on from what a run before has left. What ends the common
+    passes ends only the configuration that it came from: they are run one by one then.
     """
+
+    def failed(config: Config, e: Exception) -> Run:
+        return Run(config, described(config) | {"status": "error", "error": f"{type(e).__name__}: {e}", "final_loglik": math.nan})
+
     try:
-        found = fit(rows, config, folder=folder and f"{folder}/states/{config.name}")
-        row = summary(config, found)
-        evaluation = None if splits is None else evaluate(splits, found.model, rows if reference is None else reference)
-        return Run(config, row | (evaluation.flat if evaluation else {}), found, evaluation)
+        found = fit_many(rows, todo, folders=[f"{folder}/states/{c.name}" for c in todo] if folder else None)
     except Exception as e:
-        return Run(config, described(config) | {"status": "error", "error": f"{type(e).__name__}: {e}", "final_loglik": math.nan})
+        if len(todo) == 1:
+            return [failed(todo[0], e)]
+        return [run for c in todo for run in run_configs(rows, splits, [c], folder, reference)]
+    out = []
+    for config, one in zip(todo, found, strict=True):
+        try:
+            if isinstance(one, Exception):
+                raise one
+            row = summary(config, one)
+            evaluation = None if splits is None else evaluate(splits, one.model, rows if reference is None else reference)
+            out.append(Run(config, row | (evaluation.flat if evaluation else {}), one, evaluation))
+        except Exception as e:
+            out.append(failed(config, e))
+    return out
 
 
 @dataclass
@@ -204,11 +219,12 @@ def search(
     final_max_iter: int = 0,
     skip_evaluation: bool = False,
     folder: str | None = None,
+    stacked: int = 16,
 ) -> Outcome:
     """Fits every configuration on part of ``train`` and ranks them on the rest; evaluates the best on all splits, and its refit on all of ``train``.
 
-    Configurations run as threads that share the stored pairs; Spark schedules their jobs side by side. A refit that
-    fails is a row of status 'error'. With ``skip_evaluation`` there is neither evaluation nor refit, and the first
+    ``stacked`` configurations share each pass over the pairs; ``workers`` such groups run as threads, whose jobs Spark
+    schedules side by side. A refit that fails is a row of status 'error'. With ``skip_evaluation`` there is neither evaluation nor refit, and the first
     configuration that could be fitted is the best.
     """
     ready = sources.prepared(splits)
@@ -219,7 +235,8 @@ def search(
     todo = [replace(c, model_length=c.model_length or length, split_strategy=strategy) for c in todo]
     shown = None if skip_evaluation else named_splits(fit=fit_rows, validation=validation)
     with ThreadPoolExecutor(max(workers, 1)) as pool:
-        out = Outcome(list(pool.map(lambda c: run_config(fit_rows, shown, c, folder), todo)))
+        groups = [todo[k : k + stacked] for k in range(0, len(todo), stacked)]
+        out = Outcome([run for runs in pool.map(lambda g: run_configs(fit_rows, shown, g, folder), groups) for run in runs])
     good = lambda r, k: -math.inf if r.get(k) is None or math.isnan(r[k]) else r[k]
     out.best = min((r for r in out.runs if r.fit), key=lambda r: (-good(r.summary, "ap_validation"), -good(r.summary, "roc_auc_validation"), r.config.index), default=None)
     if out.best is None or skip_evaluation:
@@ -230,7 +247,7 @@ def search(
     if final_max_iter > 0:
         again = replace(out.best.config, max_iter=final_max_iter, index=0, label=f"final_refit_{out.best.config.name}")
         whole = named_splits(train=train)
-        out.refit = run_config(train, whole if held is None else whole.unionByName(held), again, folder, train)
+        out.refit = run_configs(train, whole if held is None else whole.unionByName(held), [again], folder, train)[0]
     return out
 
 
@@ -266,6 +283,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--model-length", type=int)
     p.add_argument("--limit-configs", type=int, default=0)
     p.add_argument("--config-workers", type=int, default=1)
+    p.add_argument("--stacked-configs", type=int, default=16, help="configurations that share each pass over the pairs")
     p.add_argument("--final-max-iter", type=int, default=500)
     p.add_argument("--top-entities", type=int, default=20)
     return p
@@ -339,7 +357,7 @@ def main(argv: list[str] | None = None) -> int:
         sinks.save_json(spark, {"selected_from": "trained_model", "summary": row | found.flat}, f"{folder}/best_grid_model/selected_summary.json")
         return 0
     todo = configs(grid_of(a), a.limit_configs, step_power=a.step_power, model_length=a.model_length, dataset=a.dataset or "")
-    out = search(spark, splits, todo, a.split_strategy, a.validation_fraction, a.split_seed, a.config_workers, a.final_max_iter, a.skip_evaluation, folder)
+    out = search(spark, splits, todo, a.split_strategy, a.validation_fraction, a.split_seed, a.config_workers, a.final_max_iter, a.skip_evaluation, folder, a.stacked_configs)
     save_outcome(spark, out, folder)
     return 0
 

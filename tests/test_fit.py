@@ -55,6 +55,34 @@ def test_fit_improves_and_finds_alpha(small):
     assert noisy.model.label_observation and noisy.model.weights.length == 8
 
 
+def test_stacked_fits_equal_single_ones(small):
+    configs = [
+        fit.Config(max_iter=2, step_scale=1e-3),
+        fit.Config(max_iter=3, step_scale=1e-2, aligner="glocal", label_prior="symmetric_90_10"),
+        fit.Config(max_iter=1, step_scale=1e-3, prior_precision=1.0, sample_weight="mirna_gene_sqrt", model_length=9),
+        fit.Config(max_iter=2, aligner="nosuch"),
+        fit.Config(max_iter=2, model_length=3),
+    ]
+    found = fit.fit_many(small, configs)
+    assert [type(f) for f in found[3:]] == [ValueError, ValueError]
+    for config, many in zip(configs[:3], found):
+        one = fit.fit(small, config)
+        assert many.loglik == pytest.approx(one.loglik) and many.auprc == pytest.approx(one.auprc) and many.subgradient == pytest.approx(one.subgradient)
+        assert kernels.flat(many.model.weights) == pytest.approx(kernels.flat(one.model.weights)) and many.model.alpha == pytest.approx(one.model.alpha)
+        assert many.model.aligner == config.aligner and len(many.loglik) == config.max_iter
+
+
+def test_stacked_fits_take_the_jobs_of_one(small):
+    def jobs(n):
+        small.sparkSession.sparkContext.setJobGroup(f"stack-{n}", "")
+        fit.fit_many(small, [fit.Config(max_iter=1, step_scale=1e-4 * (k + 1), label_prior="symmetric_90_10") for k in range(n)])
+        small.sparkSession.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(small.sparkSession.sparkContext.statusTracker().getJobIdsForGroup(f"stack-{n}"))
+
+    # A model length is looked up for each configuration; the rest is shared.
+    assert jobs(8) <= jobs(1) + 8 * 3
+
+
 def test_alpha_is_stationary(small):
     rows = align.scored(small, model.Model(model.uniform_weights(8, 1, -1, -1), 0.0))
     a, warning = fit.fit_alpha(rows, 0.0)
@@ -175,20 +203,20 @@ def test_workflow(spark, tmp_path):
 def test_search_without_refit_or_evaluation(spark, monkeypatch):
     from strandlink.plans import workflow
 
-    both = diagnostics.union_splits({"train": table(spark, [("ACGT" + "AC"[k % 2], "GATTACA" * 2, k % 2) for k in range(24)]), "other": table(spark, [("ACGTA", "GATTACA", 1), ("ACG", "AC", 0)])})
+    both = diagnostics.union_splits({"train": table(spark, [("ACG" + "ACGT"[k % 4] + "ACGT"[k // 4 % 4] + "AC"[k % 2], "GATTACA" * 2, k % 2) for k in range(32)]), "other": table(spark, [("ACGTA", "GATTACA", 1), ("ACG", "AC", 0)])})
     todo = workflow.configs({"max_iter": (1,)})
     bare = workflow.search(spark, both, todo, skip_evaluation=True, final_max_iter=3)
     assert bare.best and bare.refit is None and bare.best_evaluation is None and "ap_validation" not in bare.results[0]
     held = workflow.search(spark, both, todo)
     assert held.refit is None and "ap_other" in held.selected
-    real = workflow.fit
+    real = workflow.fit_many
 
-    def failing(rows, config, **options):
-        if config.label:
+    def failing(rows, configs, **options):
+        if configs[0].label:
             raise RuntimeError("no refit today")
-        return real(rows, config, **options)
+        return real(rows, configs, **options)
 
-    monkeypatch.setattr(workflow, "fit", failing)
+    monkeypatch.setattr(workflow, "fit_many", failing)
     broken = workflow.search(spark, both, todo, final_max_iter=2)
     assert broken.results[0]["status"] == "ok" and broken.refit.fit is None and [e["error"] for e in broken.errors] == ["RuntimeError: no refit today"]
 
