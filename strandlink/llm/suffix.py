@@ -47,35 +47,49 @@ REACH = LENGTH - ANCHOR  #: bytes of a window before its anchor at most
 SHALLOW = 32  #: depth of the multikey quicksort
 HOT = 5000  #: different surroundings of a piece from which it is split by further bytes
 STRETCH = 1 << 19  #: anchors of a task among which equal ones are found before they travel
-PLACE = 28  #: bits of a place in a batch, beside the high bits of the hash
+PLACE = 28  #: bits of a place, beside the high bits of the hash
+STARTS = 1 << 22  #: windows whose anchors are chosen at a time; with a window more they must fit in ``PLACE`` bits
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a batch: text, place, first and last start of their windows (all in the batch), and prefix sums."""
+def anchors(data: np.ndarray, offsets: np.ndarray, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a batch: text, place, first and last start of their windows (all in the batch), and prefix sums.
+
+    Places are chosen for ``starts`` windows at a time, so neither the bits of a place nor the room for
+    the choice grow with a text.
+    """
     sums = kernel.prefix(data)
-    n = len(data) - LENGTH + 1
-    if n <= 0:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z, sums
-    at = np.arange(len(data) - ANCHOR + 1)
-    least = (kernel.spans(sums, at, at + ANCHOR) >> np.uint64(PLACE) << np.uint64(PLACE)) | at.astype(np.uint64)
+    none = tuple(np.zeros(0, np.int64) for _ in range(4))
+    found = [none, *(_chosen(sums, offsets, a, min(a + starts, len(data) - LENGTH + 1)) for a in range(0, len(data) - LENGTH + 1, starts))]
+    text, place, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    # An anchor whose windows stand on both sides of a border is one.
+    fresh = np.flatnonzero(_changes(text, place))
+    return text[fresh], place[fresh], first[fresh], last[np.append(fresh[1:], len(text)) - 1] if len(fresh) else last, sums
+
+
+def _changes(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+    return fresh
+
+
+def _chosen(sums: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows that start from ``a`` to before ``b``: text, place, first and last start."""
+    at = np.arange(a, b + REACH)
+    least = (kernel.spans(sums, at, at + ANCHOR) >> np.uint64(PLACE) << np.uint64(PLACE)) | (at - a).astype(np.uint64)
     width = 1
     while 2 * width <= REACH + 1:
         least = np.minimum(least[: len(least) - width], least[width:])
         width *= 2
     rest = REACH + 1 - width
-    least = np.minimum(least[: len(least) - rest], least[rest:])[:n] if rest else least[:n]
-    place = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    place = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64) + a
     # Windows that lie within one text.
-    ends = np.repeat(offsets[1:], np.diff(offsets))[:n]
-    start = np.flatnonzero(np.arange(n) + LENGTH <= ends)
-    place = place[start]
-    text = np.searchsorted(offsets, start, "right") - 1
-    fresh = np.ones(len(start), bool)
-    fresh[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(fresh)
+    text = np.searchsorted(offsets, np.arange(a, b), "right") - 1
+    start = np.flatnonzero(np.arange(a, b) + LENGTH <= offsets[1:][text])
+    text, place = text[start], place[start]
+    first = np.flatnonzero(_changes(text, place))
     last = np.append(first[1:], len(start)) - 1 if len(first) else first
-    return text[first], place[first], start[first], start[last], sums
+    return text[first], place[first], start[first] + a, start[last] + a
 
 
 PARTS = pa.schema([("r", pa.int64()), ("body", pa.binary())])
