@@ -9,14 +9,17 @@ digits as 0: the two words before with the marks between, the one before, the on
 those two together, so that what a longer pattern saw too rarely a shorter one can carry.
 
 A pattern's confidence for a kind is the mean belief in its distinct instances as such; seeds
-of another kind count as 0. An instance that is no seed is believed in as much as its best
-pattern says, and half at first, for the kinds that its form allows. The scores are iterated
-until the patterns of high confidence stay the same; those, where enough different
-seeds support them, give the identifiers that the base patterns miss.
+of another kind count as 0. The belief in an instance that is no seed is ``PASSED_ON`` times the
+confidence of its best pattern, for the kinds that its form allows. As less than all is passed on,
+there is one solution: scores iterated from no belief rise to it, those from full belief fall to
+it, and each round takes the same share off the distance at least. Rounds end when both sides agree
+which patterns have high confidence; those, where enough different seeds support
+them, give the identifiers that the base patterns miss.
 
 Everything is a DataFrame expression; no row leaves the JVM. Null texts count as
 empty. Rows that are equal in ``doc_id`` and ``text`` get equal results. Offsets
-are code points, ends exclusive. Of kinds of equal confidence the first as listed is taken.
+are code points, ends exclusive. Contexts are whole words, however long. Of kinds of equal
+confidence (from below) the first as listed is taken.
 """
 
 from __future__ import annotations
@@ -48,7 +51,9 @@ FORMS = (r"^[^@]+@[^@]+$", r"^[0-9]+(?:[.:][0-9]+){2,}$", r"^[0-9][0-9\x20-]*$",
 SECRET = r"^(?=[A-Za-z_+-]*[0-9])(?=[0-9_+-]*[A-Za-z])[A-Za-z0-9_+-]{32,}$"
 
 MATCHES = 256  #: matches of a text that are put together at a time
-MOST_ROUNDS = 50  #: rounds after which scores that still change are taken as they are
+LONG_CONTEXT = 128  #: code points from which a hash stands for the words of a pattern
+PASSED_ON = 0.85  #: share of a pattern's confidence that its instances pass on
+CLOSE = 1e-6  #: distance of the two sides from which scores count as settled
 BELIEVED = 0.8  #: a pattern's least confidence
 SUPPORT = {"two": 3, "around": 3, "before": 5, "after": 5}  #: different seeds that a pattern needs
 
@@ -57,12 +62,13 @@ def found(text: Column, pattern: str, context: bool = False) -> Column:
     """All matches as ``array<struct<start, end, value[, before, after]>>``, in order.
 
     The pieces between the matches and the matches themselves give the offsets.
-    ``before`` and ``after``: 60 code points of the pieces next to the match.
+    ``before`` (reversed) and ``after``: the nearest words of the pieces next to the match,
+    up to two spaces away.
     """
     pieces = F.split(text, pattern, -1)
     zipped = [pieces.alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")]
     if context:
-        zipped.append(F.transform(F.slice(pieces, 2, F.size(pieces)), lambda x: F.substring(x, 1, 60)).alias("after"))
+        zipped.append(F.transform(F.slice(pieces, 2, F.size(pieces)), nearest).alias("after"))
     extra = ", before string, after string" if context else ""
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<start int, end int, value string{extra}>>").alias("spans"))
 
@@ -71,7 +77,7 @@ def found(text: Column, pattern: str, context: bool = False) -> Column:
         last = first + F.coalesce(F.length(x["value"]), F.lit(0))
         fields = [first.alias("start"), last.alias("end"), x["value"].alias("value")]
         if context:
-            fields += [F.substring(x["piece"], -60, 60).alias("before"), x["after"].alias("after")]
+            fields += [nearest(F.reverse(x["piece"])).alias("before"), x["after"].alias("after")]
         return F.struct(last.alias("at"), F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(*fields)))).alias("spans"))
 
     def shifted(s: Column, by: Column) -> Column:
@@ -88,6 +94,11 @@ def found(text: Column, pattern: str, context: bool = False) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), bound(F.arrays_zip(*zipped), counted)).otherwise(start["spans"])
 
 
+def nearest(text: Column) -> Column:
+    """The first words of a text: what stands before the third of its spaces."""
+    return F.regexp_extract(text, r"^\S*+(?:\s++\S++){0,2}+", 0)
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is evaluated once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -143,12 +154,14 @@ def candidates(text: Column, base: Column) -> Column:
 
     def patterns_of(c: Column) -> Column:
         plain = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "0"), r"\s+", " ")
-        two = plain(F.regexp_extract(c["before"], r"(?:\S++\s++){2}\S*+$", 0))
-        one = plain(F.regexp_extract(c["before"], r"(?:\S++\s++)?+\S*+$", 0))
+        two = plain(F.reverse(F.regexp_extract(c["before"], r"^\S*+(?:\s++\S++){2}", 0)))
+        one = plain(F.reverse(F.regexp_extract(c["before"], r"^\S*+(?:\s++\S++)?+", 0)))
         after = plain(F.regexp_extract(c["after"], r"^\S*+(?:\s++\S++)?+", 0))
         both = F.when(one.rlike(r"\p{L}") & after.rlike(r"\p{L}"), F.concat_ws(" _ ", one, after)).otherwise("")
         named = F.array(*(F.struct(F.lit(k).alias("form"), v.alias("words")) for k, v in (("two", two), ("before", one), ("after", after), ("around", both))))
-        return F.filter(named, lambda x: x["words"].rlike(r"\p{L}"))
+        worded = F.filter(named, lambda x: x["words"].rlike(r"\p{L}"))
+        short = lambda words: F.when(F.length(words) < LONG_CONTEXT, words).otherwise(F.concat(F.lit("sha256 "), F.sha2(words, 256)))
+        return F.transform(worded, lambda x: F.struct(x["form"].alias("form"), short(x["words"]).alias("words")))
 
     def kind(c: Column) -> Column:
         of_base = F.get(F.filter(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])), F.lit(0))["kind"]
@@ -176,17 +189,16 @@ def patterns(occurrences: DataFrame, believed: float = BELIEVED, support: dict[s
     held = edges.join(seeds.drop("belief"), "value").groupBy("form", "words", "kind").agg(F.count("*").alias("sure"))
     held = stash(held.where(F.col("sure") >= least[F.col("form")]).join(sizes, ["form", "words"]))
     reached = stash(edges.where("seed is null").select("form", "words", "value").join(held.select("form", "words", "kind", "sure", "n"), ["form", "words"]).join(open_, ["value", "kind"]))
-    belief, before = open_.withColumn("belief", F.lit(0.5)), None
-    for _ in range(MOST_ROUNDS):
-        more = reached.join(belief, ["value", "kind"]).groupBy("form", "words", "kind").agg(F.sum("belief").alias("more"))
+    sides = {"low": 0.0, "high": 1.0}
+    belief = open_.select("value", "kind", *(F.lit(v).alias(side) for side, v in sides.items()))
+    while True:
+        more = reached.join(belief, ["value", "kind"]).groupBy("form", "words", "kind").agg(*(F.sum(side).alias(side) for side in sides))
         scored = held.join(more, ["form", "words", "kind"], "left")
-        scored = stash(scored.select("form", "words", "kind", ((F.col("sure") + F.coalesce("more", F.lit(0.0))) / F.col("n")).alias("confidence")))
-        now = scored.where(F.col("confidence") >= believed).agg(F.count("*"), F.sum(F.xxhash64("form", "words", "kind").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-        belief = reached.select("form", "words", "value", "kind").join(scored, ["form", "words", "kind"]).groupBy("value", "kind").agg(F.max("confidence").alias("belief"))
-    return scored.where(F.col("confidence") >= believed)
+        scored = stash(scored.select("form", "words", "kind", *(((F.col("sure") + F.coalesce(side, F.lit(0.0))) / F.col("n")).alias(side) for side in sides)))
+        if scored.where((F.col("low") < believed) & (F.col("high") >= believed) & (F.col("high") - F.col("low") > CLOSE)).isEmpty():
+            return scored.where(F.col("low") >= believed - CLOSE).select("form", "words", "kind", F.col("low").alias("confidence"))
+        belief = reached.select("form", "words", "value", "kind").join(scored, ["form", "words", "kind"]).groupBy("value", "kind")
+        belief = belief.agg(*((PASSED_ON * F.max(side)).alias(side) for side in sides))
 
 
 def spotted(docs: DataFrame) -> DataFrame:
