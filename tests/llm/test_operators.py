@@ -413,6 +413,59 @@ def test_pii_kinds_of_equal_confidence(spark):
     assert out[50] == "card:8:20"
 
 
+def test_pii_contexts_are_whole_words(spark):
+    """Words that differ only 60 code points away are different patterns, and a long word is one however long."""
+    card = [x for x in (f"{4111111111110000 + i}" for i in range(400)) if plain_pii(x)][:8]
+    long, other = "a" + "x" * 3000, "b" + "x" * 3000
+    rows = [(i, f"{long} {v}") for i, v in enumerate(card)] + [(50, f"{long} 1234-5678-99"), (51, f"{other} 1234-5678-98"), (52, "y" * 1_000_000 + " 1234-5678-97")]
+    out = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[50] == "card:3002:3014" and out[51] == out[52] == ""
+
+
+def plain_patterns(occurrences, believed):
+    """The solution by many rounds from no belief."""
+    edges = {}
+    for form, words, value, kind in occurrences:
+        edges.setdefault((form, words), {}).setdefault(value, set()).add(kind)
+    seeds = {}
+    for held in edges.values():
+        for value, kinds in held.items():
+            if kinds - {None}:
+                seeds[value] = min(kinds - {None} | {seeds.get(value, 9)})
+    names = {(p, k) for p, held in edges.items() for k in range(5) if sum(seeds.get(v) == k for v in held) >= 1}
+    score, belief = {}, {}
+    for _ in range(400):
+        for p, k in names:
+            score[p, k] = sum(1.0 if seeds.get(v) == k else 0.0 if v in seeds else belief.get((v, k), 0.0) for v in edges[p]) / len(edges[p])
+        belief = {}
+        for (p, k), c in score.items():
+            for v in (v for v in edges[p] if re.match(pii.FORMS[k], v)):
+                belief[v, k] = max(belief.get((v, k), 0.0), pii.PASSED_ON * c)
+    return {(*p, k) for (p, k), c in score.items() if c >= believed - 1e-6}
+
+
+def test_pii_beliefs_settle(spark):
+    """Both sides meet in the one solution of the scores, whatever the shares of seeds."""
+    rng = np.random.default_rng(3)
+    kinds = [(None, 3, 4)[int(k)] for k in rng.choice(3, 150, p=[0.5, 0.3, 0.2])]
+    rows = []
+    for w in range(40):
+        near = rng.permutation(150)
+        if w % 2:  # mostly of one kind, or open
+            near = [v for v in near if kinds[v] != 4]
+        rows += [("two", f"w{w}", f"+{v:03d} 55 66 77", kinds[v]) for v in near[: 3 + w // 3]]
+    allowed_ = [k for k, f in enumerate(pii.FORMS) if re.match(f, rows[0][2])]
+    assert allowed_ == [3]
+    df = spark.createDataFrame(rows, "form string, words string, value string, kind int")
+    sizes = []
+    for believed in (0.6, 0.8, 0.9):
+        out = pii.patterns(df, believed, dict.fromkeys(pii.SUPPORT, 1)).collect()
+        got = {(r["form"], r["words"], r["kind"]) for r in out}
+        assert got == plain_patterns(rows, believed)
+        sizes.append(len(got))
+    assert sizes[0] > sizes[1] > sizes[2] > 0
+
+
 def test_pii_secrets_and_long_texts(spark):
     token = "ab12" * 10
     rows = [(1, f'token = "{token}" and so on'), (2, "1.2.3.4 " * 3000 + "x" * 1_000_000), (3, "no numbers"), (4, None)]
@@ -775,6 +828,23 @@ def test_suffix(spark, real, hot, stretch):
     assert rows_of(suffix.deduplicated(real, texts=False, hot=hot, stretch=stretch), *COLUMNS) == plain_removed(sample)
 
 
+@pytest.mark.parametrize("starts", [1, 7, 100, 1000])
+def test_anchors_of_any_stretch(starts):
+    """Anchors don't depend on how many windows are looked at together."""
+    rng = np.random.default_rng(2)
+    texts = [b"", b"x" * 99, b"x" * 500, bytes(rng.integers(97, 100, 700).astype(np.uint8)), b"", bytes(rng.integers(0, 255, 1300).astype(np.uint8)), b"ab" * 200]
+    data, offsets = kernel.text_bytes(pa.array(texts, pa.binary()))
+    whole = suffix.anchors(data, offsets, len(data))
+    for a, b in zip(suffix.anchors(data, offsets, starts), whole, strict=True):
+        assert a.tolist() == b.tolist()
+    text, place, first, last, _ = whole
+    windows = [(i, s) for i, t in enumerate(texts) for s in range(offsets[i], offsets[i] + len(t) - suffix.LENGTH + 1)]
+    assert windows == [(i, s) for i, a, b in zip(text, first, last, strict=True) for s in range(a, b + 1)]
+    assert ((first <= place) & (place <= first + suffix.REACH) & (last <= place)).all()
+    with_none = suffix.anchors(data[:50], np.array([0, 50]), starts)
+    assert all(len(x) == 0 for x in with_none[:4])
+
+
 def test_suffix_splits_a_common_border(spark):
     """One passage in many different surroundings is split by further bytes, down to single windows."""
     rng = np.random.default_rng(6)
