@@ -658,13 +658,28 @@ def test_language_by_plain_entropy(spark):
     learnt = {r["doc_id"] for r in docs.where(~langid.held_out(F.col("doc_id"))).collect()}
     model = langid.fit(docs)
     asked = ["a banana", "la plage", "как идут", "zzz 𝒜", "x"]
-    bits, n = model.entropies(asked)
+    bits, n = next(model.entropies([asked]))
     for j, lang in enumerate(model.langs):
         counts = plain_model([t for i, t, x in rows if x == lang and i in learnt])
         assert bits[:, j] == pytest.approx([plain_bits(counts, t) for t in asked])
     assert n.tolist() == [len(characters_of(t)) for t in asked]
 
 
+def test_language_models_in_turn(spark, real, monkeypatch):
+    """A process that holds one language at a time gives what it gives with all; of equal languages the first by name wins."""
+    model = langid.fit(real)
+    texts = [[r["text"] for r in real.select("text").limit(n).collect()] for n in (7, 1, 20)]
+    whole = [(b.copy(), n) for b, n in model.entropies(texts)]
+    assert len(model.langs) > 2 and set(spark_tools.kept(model.models.owner)) == set(model.langs)
+    monkeypatch.setattr(langid, "HELD", 1)
+    for (bits, n), (b, m) in zip(whole, model.entropies(texts), strict=True):
+        assert np.array_equal(bits, b) and np.array_equal(n, m)
+    assert set(spark_tools.kept(model.models.owner)) == {model.langs[-1]}
+    assert not any("_value" in vars(p) for p in model.models.parts.values())
+    two = spark.createDataFrame([(i, "same words here", lang) for i in range(12) for lang in ("yy", "xx")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.identified(two, langid.fit(two)).collect()} == {"xx"}
+
+
 def test_language_rejects(spark, real):
     model = langid.fit(real)
     odd = spark.createDataFrame([(1, "ξένος κόσμος χωρίς γλώσσα " * 9), (2, "qqqq zzzz xxxx jjjj " * 20), (3, "1234"), (4, "word " * 300_000)], "doc_id long, text string")
