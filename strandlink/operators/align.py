@@ -146,6 +146,36 @@ def _structs(t: kernels.Traces) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(t.score, pa.float64()), strings(t.first), strings(t.second), lists(t.first_at), lists(t.second_at), rows(t.state), rows(t.after)], fields=list(_PATH))
 
 
+COLUMNS = "score double, place int, mir_idx int, gene_idx int, mir string, gene string"
+_COLUMNS = pa.schema([("score", pa.float64()), ("place", pa.int32()), ("mir_idx", pa.int32()), ("gene_idx", pa.int32()), ("mir", pa.string()), ("gene", pa.string())])
+
+
+def path_table(model: Model, carried: str):
+    """A table function of the columns of alignments, for ``spark.udtf.register`` and ``SELECT ... FROM name(TABLE(pairs))``.
+
+    ``pairs`` has ``noncodingRNA`` and ``target_rc``, and the columns that ``carried`` declares, which come back with each
+    column of a pair's alignment: its ``place`` from 0, the places of its bases from 0 (null in a gap) and its letters
+    (``-`` in a gap). An empty alignment has no row; a null sequence counts as empty. Whole Arrow batches are aligned,
+    where they lie: the call needs no shuffle. Carried names must differ from those of ``COLUMNS``.
+    """
+
+    @F.arrow_udtf(returnType=f"{carried}, {COLUMNS}" if carried else COLUMNS)
+    class AlignPath:
+        def eval(self, batch: pa.RecordBatch):
+            given = [n for n in batch.schema.names if n not in ("noncodingRNA", "target_rc")]
+            first, second = ([x or "" for x in batch.column(n).to_pylist()] for n in ("noncodingRNA", "target_rc"))
+            for places, t in kernels.traces(first, second, model.weights, model.local):
+                number = np.diff(t.offsets)
+                owner = np.repeat(np.arange(len(number)), number)
+                own = batch.take(pa.array(places[owner]))
+                letters = lambda x: pa.StringArray.from_buffers(len(x), pa.array(np.arange(len(x) + 1), pa.int32()).buffers()[1], pa.py_buffer(x.tobytes()))
+                at = lambda x: pa.array(x, pa.int32(), mask=x < 0)
+                found = [pa.array(t.score[owner]), pa.array(np.arange(len(owner)) - t.offsets[owner], pa.int32()), at(t.first_at), at(t.second_at), letters(t.first), letters(t.second)]
+                yield pa.Table.from_arrays([*(own.column(n) for n in given), *found], names=[*given, *_COLUMNS.names])
+
+    return AlignPath
+
+
 def scored(pairs: DataFrame, model: Model, python: bool = True) -> DataFrame:
     """``pairs`` with ``score`` and ``logit`` = score + alpha; ``target_rc`` is what is aligned with ``noncodingRNA``.
 

@@ -404,6 +404,21 @@ def footprint_counts(spark, sf_dir):
     return align.footprint_counts(align.align_local(distinct_pairs(spark, sf_dir), uniform_model()))
 
 
+@query(WALK_SQL + """
+SELECT CAST(place AS INT) AS place, mir, gene, count(*) AS n, CAST(sum(CASE WHEN step <> 2 THEN i - 1 END) AS BIGINT) AS mir_places, CAST(sum(CASE WHEN step <> 3 THEN j - 1 END) AS BIGINT) AS gene_places, CAST(sum(best) AS DOUBLE) AS scores
+FROM (SELECT k, i::INT AS i, j::INT AS j, step, max(v) OVER (PARTITION BY k) AS best, row_number() OVER (PARTITION BY k ORDER BY i, j) - 1 AS place, CASE WHEN step = 2 THEN '-' ELSE x END AS mir, CASE WHEN step = 3 THEN '-' ELSE y END AS gene FROM path)
+GROUP BY place, mir, gene
+""")
+def align_path_columns(spark, sf_dir):
+    """The table function of alignment columns over all pairs, called in SQL; sums by place and letters."""
+    spark.udtf.register("align_path", align.path_table(uniform_model(), "l_partkey long, l_suppkey long"))
+    rows = distinct_pairs(spark, sf_dir).selectExpr("CAST(l_partkey AS LONG) AS l_partkey", "CAST(l_suppkey AS LONG) AS l_suppkey", "noncodingRNA", "target_rc")
+    return spark.sql("""
+      SELECT place, mir, gene, count(*) AS n, sum(mir_idx) AS mir_places, sum(gene_idx) AS gene_places, sum(score) AS scores
+      FROM align_path(TABLE(SELECT * FROM {rows})) GROUP BY place, mir, gene
+    """, rows=rows)
+
+
 def _positional_sql() -> str:
     here = lambda i, test: f"CAST(count(*) FILTER (i = {i + 1} AND step = 1 AND x {test} y) AS INT)"
     # A local alignment neither begins nor ends with a mismatch, so those two features are empty and dropped.

@@ -134,3 +134,24 @@ def test_expression_equals_kernel(spark, local):
     assert len(both) == 63 and all(r["plain"] == r["score"] and r["logit"] == r["plain"] + 0.5 for r in both)
     with pytest.raises(Exception, match="longer than the weights"):
         align.scored(spark.createDataFrame([("A" * 9, "A")], pairs.schema), m, python=False).collect()
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_path_table(spark, local):
+    """A row to an alignment column, with carried columns; empty alignments and null sequences have none."""
+    from strandlink.operators import align
+
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(rng.choice(list("ACGT"), n))
+    rows = [(k, f"p{k % 7}", text(rng.integers(1, 9)), text(rng.integers(1, 14))) for k in range(80)] + [(90, None, "AAA", "AAA"), (90, None, "AAA", "AAA"), (91, "x", "AAA", "CCC"), (92, "x", None, "A"), (93, "x", "", "")]
+    m = model.Model(Weights(rng.normal(0.4, 2, (4, 4, 9)), rng.normal(-0.7, 1, 8), rng.normal(-0.7, 1, 9)), 0.0, "local" if local else "glocal")
+    pairs = spark.createDataFrame(rows, "key int, other string, noncodingRNA string, target_rc string").repartition(5)
+    spark.udtf.register("align_path_test", align.path_table(m, "key int, other string"))
+    pairs.createOrReplaceTempView("pairs_of_test")
+    got = sorted(map(tuple, spark.sql("SELECT key, other, score, place, mir_idx, gene_idx, mir, gene FROM align_path_test(TABLE(pairs_of_test))").collect()), key=repr)
+    want = []
+    none = lambda i: None if i < 0 else i
+    for (key, other, *_), p in zip(rows, kernels.paths([r[2] or "" for r in rows], [r[3] or "" for r in rows], m.weights, local)):
+        want += [(key, other, p.score, c, none(i), none(j), x, y) for c, (x, y, i, j) in enumerate(zip(p.first, p.second, p.first_at, p.second_at))]
+    assert len(want) > 100 and got == sorted(want, key=repr)
+    assert spark.sql("SELECT key, other, place FROM align_path_test(TABLE(SELECT * FROM pairs_of_test WHERE key < 0))").count() == 0
