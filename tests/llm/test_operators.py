@@ -665,6 +665,16 @@ def test_language_by_plain_entropy(spark):
     assert n.tolist() == [len(characters_of(t)) for t in asked]
 
 
+def test_language_marks_alone(spark):
+    """A text of marks without a letter has no language, beside texts of letters and marks."""
+    texts = ["\u0301\u0302 \u0301", "e\u0301te\u0301", "12 \u0301", "", None, "\u0e31", "e\u0301"]
+    assert np.diff(langid.grams(texts)[1]).tolist() == [0, 6, 0, 0, 0, 0, 3]
+    docs = spark.createDataFrame([(k, t, "fr") for k, t in enumerate(texts * 2)], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identified(docs, langid.fit(docs)).collect()}
+    assert {k for k, x in out.items() if x == ("und", 0.0)} == {0, 2, 3, 4, 5, 7, 9, 10, 11, 12}
+    assert all(out[k][0] == "fr" for k in (1, 6, 8, 13))
+
+
 def test_language_models_in_turn(spark, real, monkeypatch):
     """A process that holds one language at a time gives what it gives with all; of equal languages the first by name wins."""
     model = langid.fit(real)
@@ -680,6 +690,19 @@ def test_language_models_in_turn(spark, real, monkeypatch):
     assert {r["lang_pred"] for r in langid.identified(two, langid.fit(two)).collect()} == {"xx"}
 
 
+def test_vectors_asked_lists():
+    """Whether a member asks a query's list is what its row says, however close the border."""
+    book = pq.Codebook(np.random.default_rng(2).normal(size=(200, 6)), 0, 0)
+    unit = np.ones(6).tobytes()
+    code = bytes(len(book.words))
+    rows = [(bytes([k]), unit, code, 0.0, 1, np.array(asked, "<i4").tobytes()) for k, asked in enumerate([[0, 3], [3], [], [1, 2, 3]])]
+    block = pq.Block(book, 3, rows)
+    own = np.array([0, 2])
+    q, m = (x.ravel() for x in np.meshgrid([0, 1], [0, 1, 2, 3], indexing="ij"))
+    alone = {(int(q[i]), int(m[i])) for i in block.one_sided(own, q, m)}
+    assert alone == {(0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2)}
+
+
 def test_language_rejects(spark, real):
     model = langid.fit(real)
     odd = spark.createDataFrame([(1, "ξένος κόσμος χωρίς γλώσσα " * 9), (2, "qqqq zzzz xxxx jjjj " * 20), (3, "1234"), (4, "word " * 300_000)], "doc_id long, text string")
