@@ -112,11 +112,15 @@ def _units(batches):
         yield record(UNITS, ids, labels, pa.array(keys, pa.binary()), pa.array(units, pa.binary()))
 
 
-INDEXED = pa.schema([("label", pa.int64()), ("list", pa.int32()), ("probe", pa.bool_()), ("key", pa.binary()), ("unit", pa.binary()), ("codes", pa.binary()), ("error", pa.float64()), ("copies", pa.int64())])
+INDEXED = pa.schema([("label", pa.int64()), ("list", pa.int32()), ("probe", pa.bool_()), ("key", pa.binary()), ("unit", pa.binary()), ("codes", pa.binary()), ("error", pa.float64()), ("copies", pa.int64()), ("lists", pa.binary())])
 
 
 def _indexed(held, reach: float):
-    """Each vector as a member of its list, and as a query of every list that can hold a partner."""
+    """Each vector as a member of its list, and as a query of every list that can hold a partner.
+
+    ``lists``: of a member those that it asks as a query, of a query its own. So whether a
+    pair meets from both sides is looked up, not worked out again.
+    """
 
     def of(batches):
         books = held.value
@@ -133,10 +137,13 @@ def _indexed(held, reach: float):
                 rest = unit - book.coarse[own]
                 codes = book.codes(rest)
                 error = np.sqrt(((rest - book.decoded(codes)) ** 2).sum(1))
-                rows = [(labels[i], book.first + int(own[k]), False, keys[i], raw[i], codes[k].tobytes(), float(error[k]), copies[i]) for k, i in enumerate(right)]
                 # How far the border between the own cell and another is away.
                 border = (far**2 - (far.min(1) ** 2)[:, None]) / np.maximum(2 * gaps[size][own], 1e-12)
-                rows += [(labels[right[k]], book.first + int(c), True, keys[right[k]], raw[right[k]], None, None, copies[right[k]]) for k, c in zip(*(x.tolist() for x in np.nonzero(border <= reach + 1e-9)), strict=True)]
+                asked = border <= reach + 1e-9
+                places = [np.flatnonzero(x).astype("<i4") for x in asked]
+                rows = [(labels[i], book.first + int(own[k]), False, keys[i], raw[i], codes[k].tobytes(), float(error[k]), copies[i], places[k].tobytes()) for k, i in enumerate(right)]
+                mine = [x.tobytes() for x in own.astype("<i4")]
+                rows += [(labels[i], book.first + c, True, keys[i], raw[i], None, None, copies[i], mine[k]) for k, i in enumerate(right) for c in places[k].tolist()]
                 for a in range(0, len(rows), 5000):
                     yield record(INDEXED, *(pa.array(c, t) for c, t in zip(zip(*rows[a : a + 5000], strict=True), INDEXED.types, strict=True)))
 
@@ -156,6 +163,8 @@ class Block:
         self.error = np.array([r[3] for r in rows])
         self.counts = np.array([r[4] for r in rows], np.int64)
         self.names = {k: i for i, k in enumerate(self.keys)}
+        asked = [np.frombuffer(r[5], "<i4") for r in rows]
+        self.asked = np.repeat(np.arange(len(rows)), [len(x) for x in asked]) * len(book.coarse) + np.concatenate(asked)
         self.chain = np.arange(len(rows))
         self.book, self.place = book, place
 
@@ -175,13 +184,9 @@ class Block:
                 good = np.einsum("ij,ij->i", some[i], self.units[j]) >= cosine
                 yield i[good] + a, j[good]
 
-    def one_sided(self, units: np.ndarray, q: np.ndarray, m: np.ndarray, reach: float) -> np.ndarray:
-        """Of pairs of queries and members, those whose member doesn't probe the query's own list."""
-        coarse = self.book.coarse
-        own = self.book.lists(units)[q]
-        gap = np.sqrt(((coarse[own] - coarse[self.place]) ** 2).sum(1))
-        far = ((self.units[m] - coarse[own]) ** 2).sum(1) - ((self.units[m] - coarse[self.place]) ** 2).sum(1)
-        return np.flatnonzero((own != self.place) & (far / np.maximum(2 * gap, 1e-12) > reach + 1e-9))
+    def one_sided(self, own: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Of pairs of queries and members, those whose member doesn't ask the query's own list."""
+        return np.flatnonzero(~np.isin(m * len(self.book.coarse) + own[q], self.asked))
 
     def links(self, key: bytes, found: np.ndarray) -> list[bytes]:
         """Members that ``key`` must be linked to so that it and ``found`` are connected."""
@@ -191,7 +196,7 @@ class Block:
         return [self.keys[c] for c in chains.tolist() if c != own]
 
 
-def _searched(held, cosine: float, reach: float):
+def _searched(held, cosine: float):
     """Rows come sorted by list and block, members first. Yields for each query the number of
     vectors that it links to, for each member that of the queries whose lists it doesn't probe itself,
     and enough links to connect them."""
@@ -201,11 +206,12 @@ def _searched(held, cosine: float, reach: float):
         name, members, block, waiting, rows = None, [], None, [], []
 
         def answer():
-            units = np.stack([np.frombuffer(u, "<f8") for _, u, _ in waiting])
+            units = np.stack([np.frombuffer(u, "<f8") for _, u, _, _ in waiting])
+            own_lists = np.frombuffer(b"".join(x for _, _, _, x in waiting), "<i4").astype(np.int64)
             pairs = list(block.near(units, cosine))
             q, m = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-            alone = block.one_sided(units, q, m, reach)
-            back = np.bincount(m[alone], np.array([n for _, _, n in waiting])[q[alone]], minlength=len(block.keys))
+            alone = block.one_sided(own_lists, q, m)
+            back = np.bincount(m[alone], np.array([n for _, _, n, _ in waiting])[q[alone]], minlength=len(block.keys))
             rows.extend((block.keys[k], None, int(back[k])) for k in np.flatnonzero(back).tolist())
             order = np.argsort(q, kind="stable")
             edges = np.searchsorted(q[order], np.arange(len(waiting) + 1))
@@ -219,21 +225,21 @@ def _searched(held, cosine: float, reach: float):
             waiting.clear()
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("label", "list", "block", "queries", "probe", "key", "unit", "codes", "error", "copies")]
-            for label, place, part, queries, probe, key, unit, codes, error, copies in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("label", "list", "block", "queries", "probe", "key", "unit", "codes", "error", "copies", "lists")]
+            for label, place, part, queries, probe, key, unit, codes, error, copies, lists in zip(*columns, strict=True):
                 if (label, place, part, queries) != name:
                     if waiting:
                         answer()
                     name, members, block = (label, place, part, queries), [], None
                 if not probe:
-                    members.append((key, unit, codes, error, copies))
+                    members.append((key, unit, codes, error, copies, lists))
                     continue
                 if not members:
                     continue
                 if block is None:
                     book = books[len(unit)]
                     block = Block(book, place - book.first, members)
-                waiting.append((key, unit, copies))
+                waiting.append((key, unit, copies, lists))
                 if len(waiting) == 1024:
                     answer()
                 if len(rows) > 20_000:
@@ -273,7 +279,7 @@ def near_links(vectors: DataFrame, cosine: float = 0.98, slack: float = 0.5) ->
     if books:
         held = spark.sparkContext.broadcast(books)  # of a size that SAMPLE bounds, for each length
         reach = slack * float(np.sqrt(max(2 - 2 * cosine, 0)))
-        index = stash(members.mapInArrow(_indexed(held, reach), "label long, list int, probe boolean, key binary, unit binary, codes binary, error double, copies long"))
+        index = stash(members.mapInArrow(_indexed(held, reach), "label long, list int, probe boolean, key binary, unit binary, codes binary, error double, copies long, lists binary"))
         sizes = index.groupBy("label", "list").agg(F.sum((~F.col("probe")).cast("long")).alias("held"), F.sum(F.col("probe").cast("long")).alias("asked"))
         sizes = stash(sizes.where("held > 0").select(F.col("label").alias("l"), F.col("list").alias("c"), F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / (4 * BLOCK)).cast("int").alias("turns")))
         dealt = index.join(sizes, (F.col("label") == F.col("l")) & (F.col("list") == F.col("c")))
@@ -282,7 +288,7 @@ def near_links(vectors: DataFrame, cosine: float = 0.98, slack: float = 0.5) ->
         block = F.explode(F.when(F.col("probe"), every("blocks")).otherwise(F.array(mine("blocks"))))
         dealt = dealt.withColumn("block", block).withColumn("queries", F.explode(F.when(F.col("probe"), F.array(mine("turns"))).otherwise(every("turns"))))
         dealt = dealt.drop("l", "c", "blocks", "turns").repartition(tasks, "label", "list", "block", "queries").sortWithinPartitions("label", "list", "block", "queries", "probe", "key")
-        found = stash(dealt.mapInArrow(_searched(held, cosine, reach), "u binary, v binary, n long"))
+        found = stash(dealt.mapInArrow(_searched(held, cosine), "u binary, v binary, n long"))
         counts = found.groupBy(F.col("u").alias("k")).agg(F.sum("n").alias("n"))
         roots = components(found.where("v is not null").select("u", "v"))
         named = named.join(counts, F.col("key") == F.col("k"), "left").join(roots, F.col("key") == F.col("node"), "left").select("key", "copies", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "key").alias("root"))
