@@ -14,19 +14,20 @@ def seeded(seed: int | str, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
-def _border(keys: DataFrame, by: list[str], share: float) -> DataFrame:
-    """For each group the hash up to which the first ``ceil(share * n)`` keys reach, found by hex digits.
+def _border(keys: DataFrame, by: list[str], share: float, key: list[str]) -> DataFrame:
+    """For each group the hash and key of the last of its first ``ceil(share * n)`` keys, as ``last``; no row where there is none.
 
-    ``keys`` has ``h``; each round looks at counts by two digits, so no task sorts a group.
+    ``keys`` has ``h``. Counts by four hex digits lead to the digits of the last key, so that a task sorts one key in 65,536
+    of a group. What is joined to the keys is a row a group, and broadcast.
     """
-    goal = keys.groupBy(*by).agg(F.ceil(F.count("*") * F.lit(share)).alias("left")).withColumn("at", F.lit(""))
-    for k in (2, 4, 6):
-        inside = (keys.join(goal, by) if by else keys.crossJoin(goal)).where(F.col("h").startswith(F.col("at")))
-        sums = inside.groupBy(*by, "left", F.substring("h", 1, k).alias("at")).agg(F.count("*").alias("n"))
-        over = Window.partitionBy(*(by or [F.lit(0)])).orderBy("at")
-        sums = sums.withColumn("before", F.sum("n").over(over) - F.col("n"))
-        goal = sums.where("before < left and left <= before + n").select(*by, (F.col("left") - F.col("before")).alias("left"), "at")
-    return goal
+    head = F.substring("h", 1, 4)
+    sums = keys.groupBy(*by, head.alias("at")).agg(F.count("*").alias("n"))
+    over = Window.partitionBy(*by)
+    sums = sums.withColumns({"before": F.sum("n").over(over.orderBy("at")) - F.col("n"), "goal": F.ceil(F.sum("n").over(over) * F.lit(share))})
+    goal = sums.where("before < goal and goal <= before + n").select(*by, "at", (F.col("goal") - F.col("before")).alias("left"))
+    near = keys.join(F.broadcast(goal), by).where(head == F.col("at"))
+    placed = near.withColumn("r", F.row_number().over(over.orderBy("h", *key)))
+    return placed.where(F.col("r") == F.col("left")).select(*by, F.struct("h", *key).alias("last"))
 
 
 def stratified_split(pairs: DataFrame, fraction: float, seed: int, key: list[str]) -> DataFrame:
@@ -34,13 +35,10 @@ def stratified_split(pairs: DataFrame, fraction: float, seed: int, key: list[str
 
     ``key`` names columns that identify a row; rows of one label that share them stay together.
     """
-    keys = pairs.select("label", *key).distinct().withColumn("h", seeded(seed, *key))
-    border = _border(keys, ["label"], fraction)
-    near = keys.join(border, "label").withColumn("head", F.substring("h", 1, 6))
-    edge = near.where(F.col("head") == F.col("at"))
-    last = edge.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", *key))).where(F.col("r") <= F.col("left"))
-    chosen = near.where(F.col("head") < F.col("at")).select("label", *key).unionByName(last.select("label", *key)).withColumn("held_out", F.lit(True))
-    return pairs.join(chosen, ["label", *key], "left").withColumn("held_out", F.coalesce("held_out", F.lit(False))).select(*pairs.columns, "held_out")
+    h = seeded(seed, *key)
+    border = _border(pairs.select("label", *key).distinct().withColumn("h", h), ["label"], fraction, key)
+    held = F.coalesce(F.struct(h.alias("h"), *key) <= F.col("last"), F.lit(False))
+    return pairs.join(F.broadcast(border), "label", "left").withColumn("held_out", held).select(*pairs.columns, "held_out")
 
 
 def group_split(pairs: DataFrame, group: str, fraction: float, seed: int, attempts: int = ATTEMPTS) -> DataFrame:
@@ -64,9 +62,8 @@ def group_split(pairs: DataFrame, group: str, fraction: float, seed: int, attemp
 
 def _chosen_groups(per: DataFrame, column: str, fraction: float, seed: str) -> DataFrame:
     keys = per.select(column).withColumn("h", seeded(seed, column)).withColumn("one", F.lit(0))
-    near = keys.join(_border(keys, ["one"], fraction), "one").withColumn("head", F.substring("h", 1, 6))
-    edge = near.where(F.col("head") == F.col("at")).withColumn("r", F.row_number().over(Window.partitionBy("one").orderBy("h", column))).where(F.col("r") <= F.col("left"))
-    return near.where(F.col("head") < F.col("at")).select(column).unionByName(edge.select(column)).withColumn("held_out", F.lit(True))
+    near = keys.join(F.broadcast(_border(keys, ["one"], fraction, [column])), "one")
+    return near.where(F.struct("h", column) <= F.col("last")).select(column).withColumn("held_out", F.lit(True))
 
 
 def sample_rows(rows: DataFrame, k: int, seed: int, key: list[str]) -> DataFrame:
