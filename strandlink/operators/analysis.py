@@ -21,22 +21,30 @@ from .quantiles import order_statistics
 from .splits import seeded
 
 
+def tallied(rows: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
+    """The distinct rows of ``columns`` with ``n``: how many there are, or the sum of their ``weight``."""
+    number = F.sum(F.col(weight).cast("double")) if weight else F.count("*").cast("double")
+    return rows.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(number.alias("n"))
+
+
 def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(rows)
 
 
 def logistic_regression(rows: DataFrame, features: list[str], penalty: float = 0.0, weight: str | None = None) -> tuple[LogisticRegressionModel, dict[str, float]]:
-    """A logistic regression of ``label``, unpenalised by default; its coefficients by name, with ``intercept``."""
-    lr = LogisticRegression(labelCol="label", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
-    if weight:
-        lr = lr.setWeightCol(weight)
-    model = lr.fit(assembled(rows, features))
+    """A logistic regression of ``label``, unpenalised by default; its coefficients by name, with ``intercept``.
+
+    Equal rows are fitted as one of their common weight, so that steps run over distinct ones.
+    """
+    lr = LogisticRegression(labelCol="label", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9, weightCol="n")
+    model = lr.fit(assembled(tallied(rows, ["label", *features], weight), features))
     return model, dict(zip(features, map(float, model.coefficients), strict=True)) | {"intercept": float(model.intercept)}
 
 
-def clusters(rows: DataFrame, features: list[str], k: int = 3, seed: int = 1) -> tuple[DataFrame, list[list[float]]]:
-    """``rows`` with ``cluster``, and the centres."""
-    model = KMeans(k=k, seed=seed).fit(assembled(rows, features))
+def clusters(rows: DataFrame, features: list[str], k: int = 3, seed: int = 1, weight: str | None = None) -> tuple[DataFrame, list[list[float]]]:
+    """``rows`` with ``cluster``, and the centres. ``weight`` names how much a row counts."""
+    means = KMeans(k=k, seed=seed, weightCol=weight) if weight else KMeans(k=k, seed=seed)
+    model = means.fit(assembled(rows, features))
     out = model.transform(assembled(rows, features)).drop("features").withColumnRenamed("prediction", "cluster")
     return out, [list(map(float, c)) for c in model.clusterCenters()]
 
@@ -174,20 +182,21 @@ def inference(rows: DataFrame, features: list[str], rounds: int = 50, tolerance:
     coefficient 0 and error NaN.
     """
     names = [*features, "intercept"]
-    data = rows.select(F.col("label").cast("double").alias("label"), *(F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)), F.lit(1.0).alias(f"f{len(features)}")).persist()
+    # Equal rows are one, so that passes run over distinct ones.
+    data = tallied(rows, ["label", *features]).select("n", F.col("label").cast("double").alias("label"), *(F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)), F.lit(1.0).alias(f"f{len(features)}")).persist()
     columns = [f"f{i}" for i in range(len(names))]
     beta, value, h = np.zeros(len(names)), -math.inf, np.eye(len(names))
 
     def terms(beta):
         eta = sum((F.col(c) * F.lit(float(b)) for c, b in zip(columns, beta, strict=True)), F.lit(0.0))
         fitted = data.withColumn("eta", eta).withColumn("probability", sigmoid(F.col("eta")))
-        value = F.sum(-softplus(F.when(F.col("label") == 1, -F.col("eta")).otherwise(F.col("eta"))))
-        r = fitted.agg(F.count("*").alias("n"), F.sum("label").alias("pos"), value.alias("value")).first()
-        return r, *normal_equations(fitted, columns)
+        value = F.sum(-F.col("n") * softplus(F.when(F.col("label") == 1, -F.col("eta")).otherwise(F.col("eta"))))
+        r = fitted.agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("pos"), value.alias("value")).first()
+        return r, *normal_equations(fitted, columns, times="n")
 
     try:
         r, h, g = terms(beta)
-        n, pos, value = r["n"], r["pos"] or 0.0, r["value"] or 0.0
+        n, pos, value = int(r["n"] or 0), r["pos"] or 0.0, r["value"] or 0.0
         null = sum(k * math.log(k / n) for k in (pos, n - pos) if k)
         separated = pos in (0.0, float(n))
         for k in range(1, rounds + 1):
