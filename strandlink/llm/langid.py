@@ -11,7 +11,7 @@ Models are sorted arrays of hashes: 16 bits of the characters before, 8 of the l
 Each language is a broadcast of its own; driver and workers hold a few languages at a time, so
 that their memory doesn't grow with the number of languages. A
 text goes to the language of least cross-entropy by character; the score is a softmax over
-the languages, whose temperature is fitted on a bounded sample of the documents learnt
+the languages, whose temperature is fitted on all documents learnt
 from, as are the limits beyond which a text is ``rejected`` (like no language learnt).
 
 Texts that are null or have no letter are ``und`` with score 0, and so are all
@@ -39,7 +39,7 @@ from .spark_tools import kept, light_batches, pieces, record, stash
 ORDER, WIDTH = 4, 16  #: characters of a gram, bits of each
 LAST = 8  #: bits of the last character in a hash
 CLASSES = 1 << LAST
-CALIBRATION = 2000  #: documents that temperature and limits are fitted on at most
+GRID = [2.0**k for k in range(-2, 7)]  #: temperatures that are tried
 HELD = 8  #: languages whose models a process holds at a time
 CHUNK = 16  #: pieces of texts that are scored by some languages before the next are loaded
 
@@ -270,29 +270,35 @@ def fit(docs: DataFrame) -> Identifier:
     return found
 
 
+SUMS = pa.schema([("lang", pa.int32()), ("n", pa.int64()), ("bits", pa.float64()), ("squares", pa.float64()), *((f"loss{k}", pa.float64()) for k in range(len(GRID)))])
+
+
 def _calibrate(found: Identifier, known: DataFrame) -> None:
-    ids = known.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64(F.col("__id").cast("string"), F.lit(9)), "__id").limit(CALIBRATION)
-    rows = known.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("lang", "text")
+    """Temperature and limits from sums over all documents learnt from: a row a language and task."""
+    number = {lang: k for k, lang in enumerate(found.langs)}
 
     def of(batches):
+        sums = np.zeros((len(number), 3 + len(GRID)))
         for piece, bits, n in found.scored(batches):
             some = np.flatnonzero(n)
-            yield record(SAMPLE, piece.column("lang").take(pa.array(some)), pa.array(list(bits[some]), SAMPLE.field(1).type))
-
-    SAMPLE = pa.schema([("lang", pa.string()), ("bits", pa.list_(pa.float64()))])
-    sample = rows.mapInArrow(of, "lang string, bits array<double>").toArrow()  # a bounded number of short rows
-    if not sample.num_rows:
+            right = np.array([number[x] for x in piece.column("lang").take(pa.array(some)).to_pylist()], np.int64)
+            bits, every = bits[some], np.arange(len(some))
+            own = bits[every, right]
+            losses = [-np.log(np.maximum(softmax(bits, t)[every, right], 1e-12)) for t in GRID]
+            for k, values in enumerate([np.ones(len(some)), own, own**2, *losses]):
+                sums[:, k] += np.bincount(right, values, minlength=len(number))
+        yield record(SUMS, np.arange(len(number), dtype=np.int32), sums[:, 0].astype(np.int64), *sums[:, 1:].T)
+
+    names = [name for name in SUMS.names if name != "lang"]
+    parts = known.select("lang", "text").mapInArrow(of, ", ".join(f"{x.name} {'int' if x.name == 'lang' else 'long' if x.name == 'n' else 'double'}" for x in SUMS))
+    sums = parts.groupBy("lang").agg(*(F.sum(name).alias(name) for name in names)).orderBy("lang").collect()  # a row a language
+    if not sum(r["n"] for r in sums):
         return
-    bits = np.array(sample.column("bits").to_pylist())
-    right = np.array([found.langs.index(x) if x in found.langs else 0 for x in sample.column("lang").to_pylist()])
-    grid = [2.0**k for k in range(-2, 7)]
-    losses = [-np.mean(np.log(np.maximum(softmax(bits, t)[np.arange(len(right)), right], 1e-12))) for t in grid]
-    found.temperature = grid[int(np.argmin(losses))]
-    for k, lang in enumerate(found.langs):
-        own = bits[right == k, k]
-        if len(own) > 1:
-            found.limits[lang] = float(own.mean() + 4 * own.std())
+    found.temperature = GRID[int(np.argmin([sum(r[f"loss{k}"] for r in sums) for k in range(len(GRID))]))]
+    for r in sums:
+        if r["n"] > 1:
+            mean = r["bits"] / r["n"]
+            found.limits[found.langs[r["lang"]]] = float(mean + 4 * np.sqrt(max(r["squares"] / r["n"] - mean**2, 0.0)))
 
 
 def softmax(bits: np.ndarray, temperature: float) -> np.ndarray:

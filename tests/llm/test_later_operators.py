@@ -267,3 +267,19 @@ def test_long_words_do_not_collide(spark):
     data = np.frombuffer(a + b" " + b, np.uint8)
     starts, ends, _ = kernel.words(data, np.array([0, len(data)]))
     assert len(set(kernel.word_hashes(data, starts, ends).tolist())) == 2
+
+
+def test_language_calibrates_on_all_documents(spark):
+    """Limits are those of every document learnt from, also beyond the first thousands."""
+    from strandlink.llm import langid
+    from strandlink.llm.quality import held_out
+
+    rows = [(k, ("eine kleine katze schlief" if k % 2 else "the small cat was asleep") + f" {chr(97 + k % 7)}{chr(97 + k % 11)}", "de" if k % 2 else "en") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.fit(docs)
+    known = docs.where(~held_out(F.col("doc_id"))).select("text", "lang").collect()
+    assert len(known) > 4000
+    bits = next(iter(found.entropies([[r["text"] for r in known]])))[0]
+    for k, lang in enumerate(found.langs):
+        own = bits[[r["lang"] == lang for r in known], k]
+        assert found.limits[lang] == pytest.approx(own.mean() + 4 * own.std())
