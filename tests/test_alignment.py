@@ -155,3 +155,46 @@ def test_path_table(spark, local):
         want += [(key, other, p.score, c, none(i), none(j), x, y) for c, (x, y, i, j) in enumerate(zip(p.first, p.second, p.first_at, p.second_at))]
     assert len(want) > 100 and got == sorted(want, key=repr)
     assert spark.sql("SELECT key, other, place FROM align_path_test(TABLE(SELECT * FROM pairs_of_test WHERE key < 0))").count() == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(bases, st.text("ACGT", max_size=12)), min_size=1, max_size=8), st.booleans(), st.integers(0, 5))
+def test_whole_weights_equal_plain(pairs, local, seed):
+    """Whole weights take whole cells; alike by position, or not."""
+    rng = np.random.default_rng(seed)
+    other = Weights(rng.integers(-5, 6, (4, 4, 9)).astype(float), rng.integers(-4, 2, 8).astype(float), rng.integers(-4, 2, 9).astype(float))
+    a, b = map(list, zip(*pairs))
+    for w in (model.uniform_weights(9, 5, -4, -6), other):
+        assert kernels._whole(w, 30) and kernels.scores(a, b, w, local).tolist() == [plain(x, y, w, local)[0] for x, y in pairs]
+
+
+def test_counts_come_with_alignments(spark):
+    """Numbers of an alignment are those of its rows, also when its rows aren't asked for."""
+    from strandlink.operators import align
+
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("ACGT"), n))
+    pairs = spark.createDataFrame([(text(rng.integers(1, 10)), text(rng.integers(0, 20))) for _ in range(50)], "noncodingRNA string, target_rc string")
+    m = model.Model(model.uniform_weights(10, 5, -4, -6), 0.0)
+    for r in align.counted(align.align_local(pairs, m)).collect():
+        both = list(zip(r["aln"]["mir_aln"], r["aln"]["gene_aln"]))
+        want = (sum(x == y for x, y in both), sum(x != y and "-" not in (x, y) for x, y in both), sum("-" in (x, y) for x, y in both), len(both))
+        assert (r["matches"], r["mismatches"], r["gaps"], r["aln"]["columns"]) == want
+    few = align.align_local(pairs, m, ()).schema["aln"].dataType.names
+    assert "mir_aln" not in few and "matches" in few
+
+
+def test_split_joins_no_keys_by_label(spark):
+    """All keys of a label never meet in one task."""
+    from strandlink.operators.splits import stratified_split
+
+    rows = spark.range(1000).selectExpr("CAST(id % 2 AS INT) AS label", "CAST(id AS STRING) AS a")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = stratified_split(rows, 0.3, 7, ["a"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert {(r["label"], r["n"]) for r in found.where("held_out").groupBy("label").agg(F.count("*").alias("n")).collect()} == {(0, 150), (1, 150)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -379,3 +379,15 @@ def test_stream_scores(spark, tmp_path):
     batch = spark.read.schema("noncodingRNA string, gene string, label int").parquet(str(tmp_path / "in"))
     left = {(r["noncodingRNA"], r["column"], r["reason"]) for r in rejected_stream(batch, model.Model(model.uniform_weights(4, 5, -4, -6), 0.0)).collect()}
     assert left == {("ANG", "noncodingRNA", "unsupported nucleotide"), ("", "noncodingRNA", "empty first sequence"), ("ACGTA", "noncodingRNA", "first sequence longer than the model"), ("AC", "gene", "unsupported nucleotide")}
+
+
+@pytest.mark.parametrize("observed", [None, [[0.9, 0.1], [0.2, 0.8]]])
+def test_sums_by_intercept_of_arrays(spark, observed):
+    """Sums over arrays at many intercepts are those of the columns."""
+    from strandlink.operators import objective
+
+    rng = np.random.default_rng(8)
+    score, label, weight = rng.normal(0, 30, 300), rng.integers(0, 2, 300), rng.random(300)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in zip(score, label, weight)], "score double, label double, weight double")
+    alphas = np.linspace(-40, 40, 7)
+    assert objective.sums_by_alpha(score, label, weight, alphas, observed).T == pytest.approx(np.array(objective.by_alpha(rows, alphas.tolist(), observed)))
