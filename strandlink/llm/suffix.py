@@ -36,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,7 +194,9 @@ def _flagged(hot: int):
 
 #: An anchor with the bytes that its windows span, and the least and most bytes before it with which they are compared.
 SPANS = pa.schema([("r", pa.int64()), ("ord", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("bytes", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
-SPANS_SQL = "r long, ord long, at int, left int, bytes binary, low int, high int"
+#: As they are sent: with whether the anchor's piece is in very many surroundings.
+SENT = SPANS.append(pa.field("hot", pa.bool_()))
+SENT_SQL = "r long, ord long, at int, left int, bytes binary, low int, high int, hot boolean"
 
 
 def _sent(ranges: int):
@@ -210,7 +213,8 @@ def _sent(ranges: int):
             r = _range_of(kernel.spans(sums, base + at, base + at + ANCHOR), ranges)
             raw = data.tobytes()
             held = [raw[a:b] for a, b in zip((base + first).tolist(), (base + last + LENGTH).tolist(), strict=True)]
-            yield record(SPANS, r, piece.column("ord").take(pa.array(owner)), at.astype(np.int32), (at - first).astype(np.int32), pa.array(held, pa.binary()), np.zeros(len(at), np.int32), np.full(len(at), REACH, np.int32))
+            often = pc.fill_null(asked.flatten().field(3), False)
+            yield record(SENT, r, piece.column("ord").take(pa.array(owner)), at.astype(np.int32), (at - first).astype(np.int32), pa.array(held, pa.binary()), np.zeros(len(at), np.int32), np.full(len(at), REACH, np.int32), often)
 
     return of
 
@@ -383,11 +387,11 @@ def _kept(texts: bool):
 
 
 def _asked(source: DataFrame, flags: DataFrame, ranges: int) -> DataFrame:
-    """The bytes that the windows of the anchors in ``flags`` span."""
-    asked = flags.groupBy("ord").agg(F.collect_list(F.struct("at", "first", "last")).alias("asked")).withColumnRenamed("ord", "o")
+    """The bytes that the windows of the anchors in ``flags`` span. It moves the texts, so all anchors ask at once."""
+    asked = flags.groupBy("ord").agg(F.collect_list(F.struct("at", "first", "last", "hot")).alias("asked")).withColumnRenamed("ord", "o")
     # Always by sorted shuffles, so that what is moved grows as the input does.
     rows = source.join(asked.hint("merge"), source["ord"] == F.col("o")).select("ord", "text", "asked")
-    return rows.mapInArrow(_sent(ranges), SPANS_SQL)
+    return rows.mapInArrow(_sent(ranges), SENT_SQL)
 
 
 def _split(sent: DataFrame, ranges: int, hot: int) -> DataFrame:
@@ -447,11 +451,15 @@ def deduplicated(docs: DataFrame, texts: bool = True, hot: int = HOT, stretch: i
     source = rows.select("ord", "text") if count["rows"] == count["ids"] else rows.select("ord", "text").dropDuplicates(["ord"])
     flags = stash(source.mapInArrow(_scan(ranges, stretch), "r long, body binary").groupBy("r").applyInArrow(_flagged(hot), FLAGS_SQL))
     release(spark)
-    runs = stash(_asked(source, flags.where("not whole and not hot"), ranges).groupBy("r").applyInArrow(_compared, FLAGS_SQL))
+    sent = _asked(source, flags.where("not whole"), ranges)
+    often = not flags.where("not whole and hot").isEmpty()
+    if often:
+        sent = stash(sent)
+        release(spark)
+    runs = stash(sent.where("not hot").select(*SPANS.names).groupBy("r").applyInArrow(_compared, FLAGS_SQL))
     release(spark)
-    often = flags.where("not whole and hot")
-    if not often.isEmpty():
-        runs = runs.unionByName(_split(stash(_asked(source, often, ranges)), ranges, hot))
+    if often:
+        runs = runs.unionByName(_split(sent.where("hot").select(*SPANS.names), ranges, hot))
         release(spark)
     runs = flags.where("whole").unionByName(runs).groupBy("ord").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumnRenamed("ord", "o")
     joined = rows.join(runs.hint("merge"), rows["ord"] == F.col("o"), "left").select("doc_id", "text", "runs")

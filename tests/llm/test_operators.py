@@ -895,6 +895,19 @@ def test_suffix_splits_a_common_border(spark):
         assert rows_of(suffix.deduplicated(df, texts=False, hot=hot, stretch=50), *COLUMNS) == plain_removed(rows)
 
 
+def test_suffix_moves_texts_once_for_all_anchors(spark, monkeypatch):
+    """Pieces in many surroundings don't make the texts travel again."""
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage, other = word(200), word(130)
+    rows = [(i, word(60) + passage + word(70)) for i in range(20)] + [(30, word(9) + other), (31, other + word(9))]
+    calls, asked = [], suffix._asked
+    monkeypatch.setattr(suffix, "_asked", lambda *a: calls.append(a) or asked(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(suffix.deduplicated(df, texts=False, hot=5), *COLUMNS) == plain_removed(rows)
+    assert len(calls) == 1
+
+
 def test_suffix_odd_rows(docs, empty):
     out = suffix.deduplicated(docs).collect()
     assert len(out) == docs.count() and suffix.deduplicated(empty).count() == 0
