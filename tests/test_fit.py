@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlink.operators import align, analysis, diagnostics, fit, kernels, metrics, model, objective, splits
+from strandlink.operators import align, analysis, diagnostics, fit, jvm, kernels, metrics, model, moments, objective, splits
 from strandlink.operators.kernels import Weights
 from strandlink.sources import pairs as sources
 from strandlink.sources import sinks
@@ -391,3 +391,69 @@ def test_sums_by_intercept_of_arrays(spark, observed):
     rows = spark.createDataFrame([tuple(map(float, r)) for r in zip(score, label, weight)], "score double, label double, weight double")
     alphas = np.linspace(-40, 40, 7)
     assert objective.sums_by_alpha(score, label, weight, alphas, observed).T == pytest.approx(np.array(objective.by_alpha(rows, alphas.tolist(), observed)))
+
+
+def test_jvm_footprints_equal_the_kernels(spark):
+    rng = np.random.default_rng(8)
+    text = lambda low, high: "".join(rng.choice(list(kernels.BASES), int(rng.integers(low, high))))
+    rows = [(text(0, 9), text(0, 14)) for _ in range(120)] + [("", ""), ("A", ""), ("", "C"), ("ACGTACGT", "ACGTACGT")]
+    pairs = spark.createDataFrame(rows, "a string, b string")
+    whole = rng.integers(-3, 4, 18 * 8 - 1).astype(float)
+    for flat in (rng.normal(0, 1.5, 18 * 8 - 1), whole, kernels.flat(model.baseline_weights(8)[0])):
+        w = kernels.unflat(flat, 8)
+        for local in (True, False):
+            foot = jvm.footprint(spark, F.col("a"), F.col("b"), w, local)
+            found = [(r["f"]["score"], bytes(r["f"]["slots"])) for r in pairs.select(foot.alias("f")).collect()]
+            wanted = [None] * len(rows)
+            for places, score, slots, offsets in kernels.footprint_slots(*map(list, zip(*rows, strict=True)), w, local):
+                for k, place in enumerate(places.tolist()):
+                    wanted[place] = float(score[k]), slots[offsets[k] : offsets[k + 1]].tobytes()
+            assert found == wanted
+    plain = model.baseline_weights(8)[0]
+    for bad in (("ACNT", "A"), ("A", "Ä"), ("A" * 9, "A"), (None, "A")):
+        with pytest.raises(Exception, match="unsupported nucleotide|has 9 bases|sequence is null"):
+            spark.createDataFrame([bad], "a string, b string").select(jvm.footprint(spark, F.col("a"), F.col("b"), plain, True)).collect()
+
+
+def test_fits_are_the_same_without_the_jvm(small, monkeypatch):
+    def fits():
+        configs = [fit.Config(max_iter=3), fit.Config(max_iter=2, aligner="glocal", label_prior="symmetric_90_10")]
+        return [(f.loglik, f.auprc, f.subgradient, f.model.alpha) for f in fit.fit_many(small, configs)]
+
+    found = fits()
+    monkeypatch.setenv("STRANDLINK_JVM", "0")
+    for a, b in zip(found, fits(), strict=True):
+        for x, y in zip(a, b, strict=True):
+            assert x == pytest.approx(y, rel=1e-12)
+
+
+def test_sums_from_moments_are_those_of_the_rows(spark):
+    rng = np.random.default_rng(9)
+    score = np.concatenate([rng.normal(3, 9, 400), rng.integers(-3, 9, 100), [0.0, -1e-17, 40.5, -37.0]])
+    rows = [(0, float(s), int(rng.integers(0, 2)), float(rng.uniform(0, 3))) for s in score]
+    table = spark.createDataFrame(rows, "c int, score double, label int, weight double")
+    nodes = moments.nodes(table)[0]
+    for alpha in (-6.3, 0.0, 2.5):
+        for noise in (None, [[0.9, 0.1], [0.2, 0.8]], [[1 - 1e-6, 1e-6], [1e-5, 1 - 1e-5]]):
+            exact = objective.sums_by_alpha(*(np.array(x, float) for x in list(zip(*rows, strict=True))[1:]), np.array([alpha]), noise)
+            assert objective.sums_by_alpha(*nodes, np.array([alpha]), noise) == pytest.approx(exact, rel=1e-11)
+            if noise:
+                sums = table.agg(*objective.eta_columns(alpha, noise)).first()
+                assert objective.eta_sums(*nodes, alpha, noise) == pytest.approx(list(sums), rel=1e-10)
+        assert objective.terms_at(*nodes, alpha) == pytest.approx(objective.alpha_terms(table, alpha), rel=1e-11)
+    assert moments.nodes(spark.createDataFrame([(0, math.nan, 1, 1.0)], table.schema)) is None
+    assert not moments.smooth([[1.0, 0.0], [0.1, 0.9]]) and moments.smooth(None)
+    assert moments.nodes(table.limit(0)) == {}
+
+
+def test_rounds_of_a_fit_take_few_jobs(spark):
+    rows = spark.createDataFrame([("ACGTACGT", "ACGTTCGA", 1), ("CCCCAAAA", "ACGGTCGA", 0)] * 10, "noncodingRNA string, target_rc string, label int")
+
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "")
+        fit.fit(rows, fit.Config(max_iter=rounds, label_prior="symmetric_90_10"))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}"))
+
+    few, more = jobs(2), jobs(4)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert more - few <= 2 * 14, (few, more)
