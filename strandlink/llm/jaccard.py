@@ -9,8 +9,9 @@ group:
    nothing. Shingles travel as packed bytes, one record to a batch and range of
    hashes, each shingle once a batch.
 2. *Rounds.* What is left is grouped by a min-hash, large groups dealt into
-   blocks, and each block joined by a prefix tree; documents already connected
-   are not compared again. This joins large groups of near copies cheaply.
+   blocks, and each block joined by counts of shared shingles or, if small, by
+   a prefix tree; documents already connected are not compared again. This
+   joins large groups of near copies cheaply.
 3. *Completion.* A shingle that only one component holds counts as private now.
    Documents that can still link outside their component meet under every
    shingle of their prefix (prefix filter); those that shingles connect are a
@@ -36,7 +37,11 @@ from pyspark.sql import functions as F
 from . import kernel
 from .spark_tools import components, free, light_batches, partitions, pieces, ranges_of, record, release, stash, trim
 
-BLOCK = 2000  #: documents that one prefix tree holds at most
+BLOCK = 2000  #: documents that are joined in one place at most
+FEW = 16  #: documents of a block below which a prefix tree joins them
+HELD = 4_000_000  #: shingles of a block beyond which a prefix tree does, set by set
+PIVOTS = 8  #: sets of a block that are compared with all others first
+COUNTED = 4096  #: shingles whose holders are counted together
 SEGMENT = 32  #: shingles to a tree node; bounds are tested at each
 MANY = 0xFFFF  #: in place of a document: several of the batch hold the shingle
 LOW = np.uint64(0xFFFFFFFF)
@@ -151,6 +156,66 @@ class Node:
         return top
 
 
+def block_links(sets: list[np.ndarray], labels: list, num: int = 80, den: int = 100) -> list[tuple]:
+    """Links that connect the labels of ``sets`` that ``PrefixTree`` connects, by counts of shared shingles.
+
+    A few sets are compared with all others first, which finds what surrounds them. Two sets that then belong to different
+    components aren't both in the largest, so the sets outside it are counted against all others, by the lists of sets
+    that hold each shingle.
+    """
+    tree, links = PrefixTree(num, den), []
+    sizes = np.array([len(s) for s in sets])
+    tokens, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
+    names = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+    label = np.array([names[x] for x in labels])
+    known = list(names)
+
+    def roots() -> np.ndarray:
+        return np.array([names[tree.find(x)] for x in known])[label]
+
+    def join(i: int, shared: np.ndarray) -> None:
+        near = np.flatnonzero((num + den) * shared >= num * (sizes[i] + sizes))
+        for k in np.unique(label[near]).tolist():
+            if tree.join(labels[i], known[k]):
+                links.append((labels[i], known[k]))
+
+    seen = np.zeros(len(sets), bool)
+    for _ in range(PIVOTS):
+        root = roots()
+        left = np.flatnonzero(~seen)
+        if not len(left):
+            break
+        i = int(left[len(left) // 2])
+        own = sets[i]
+        same = own[np.minimum(np.searchsorted(own, tokens), len(own) - 1)] == tokens
+        join(i, np.add.reduceat(same, at[:-1], dtype=np.int64))
+        root = roots()
+        seen |= root == root[i]
+    root = roots()
+    outside = np.flatnonzero(root != np.bincount(root).argmax())
+    if not len(outside):
+        return links
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(tokens[order]) != 0))
+    held = np.diff(np.append(first, len(tokens)))
+    number = np.empty(len(tokens), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), held)
+    holders = owner[order]
+    for i in outside.tolist():
+        own = number[at[i] : at[i + 1]]
+        own = own[held[own] > 1]
+        count = held[own]
+        shared = np.zeros(len(sets), np.int64)
+        # A bounded number of places at a time.
+        for k in range(0, len(own), COUNTED):
+            some, n = own[k : k + COUNTED], count[k : k + COUNTED]
+            places = np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared += np.bincount(holders[places], minlength=len(sets))
+        join(i, shared)
+    return links
+
+
 PARTS = pa.schema([("r", pa.int64()), ("batch", pa.int64()), ("body", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary())])
 PARTS_SQL = "r long, batch long, body binary, keys binary, sizes binary"
 
@@ -314,24 +379,40 @@ EDGES = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
 
 def _joined(num: int, den: int, group: tuple[str, ...]):
-    """Prefix trees over rows sorted by ``group``; labels are ``comp``. Yields links between labels."""
+    """Joins of rows sorted by ``group``; labels are ``comp``. Yields links between labels.
+
+    A group's sets are counted against each other; few ones, and what would take too much memory, go into a prefix tree.
+    """
+
+    def treed(tree: PrefixTree, rows: list) -> list:
+        return [link for body, comp in rows for link in tree.add(np.frombuffer(body, "<u8").tolist(), comp)]
+
+    def ended(rows: list) -> list:
+        if len(rows) < 2:
+            return []
+        if len(rows) < FEW:
+            return treed(PrefixTree(num, den), rows)
+        return block_links([np.frombuffer(body, "<u8") for body, _ in rows], [comp for _, comp in rows], num, den)
 
     def of(batches):
-        last, tree, links, alone = None, None, [], None
+        last, tree, links, rows, held = None, None, [], [], 0
         for batch in batches:
             names = list(zip(*(batch.column(c).to_pylist() for c in group), strict=True))
             comps, bodies = batch.column("comp").to_pylist(), batch.column("body").to_pylist()
             for name, comp, body in zip(names, comps, bodies, strict=True):
                 if name != last:
-                    last, tree, alone = name, None, (body, comp)
-                    continue
-                if tree is None:
-                    tree = PrefixTree(num, den)
-                    tree.add(np.frombuffer(alone[0], "<u8").tolist(), alone[1])
-                links += tree.add(np.frombuffer(body, "<u8").tolist(), comp)
+                    links += ended(rows)
+                    last, tree, rows, held = name, None, [], 0
+                rows.append((body, comp))
+                held += len(body) // 8
+                if tree is not None or held > HELD:
+                    tree = tree or PrefixTree(num, den)
+                    links += treed(tree, rows)
+                    rows = []
             if len(links) > 10_000:
                 yield record(EDGES, *(pa.array(c, pa.binary()) for c in zip(*links, strict=True)))
                 links = []
+        links += ended(rows)
         if links:
             yield record(EDGES, *(pa.array(c, pa.binary()) for c in zip(*links, strict=True)))
         tree = None

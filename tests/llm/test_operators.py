@@ -1051,3 +1051,37 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = dict(map(tuple, spark_tools.components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_blocks_by_counts_connect_what_prefix_trees_connect():
+    rng = np.random.default_rng(11)
+    for case in range(12):
+        base = [rng.integers(0, 1 << 63, int(rng.integers(20, 90)), np.uint64) for _ in range(4)]
+        sets = []
+        for _ in range(90):
+            own = base[int(rng.integers(0, 4))]
+            kept = own[rng.random(len(own)) > (0.02, 0.08, 0.2)[case % 3]]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, int(rng.integers(1, 9)), np.uint64)])))
+        labels = [f"{int(rng.integers(0, 30)) if case % 2 else k}".encode() for k in range(len(sets))]
+        links = jaccard.block_links(sets, labels)
+        tree, other = jaccard.PrefixTree(), jaccard.PrefixTree()
+        for a, b in links:
+            assert other.join(a, b)
+        for s, x in zip(sets, labels, strict=True):
+            tree.add(s.tolist(), x)
+        group = lambda t: {x: min(y for y in labels if t.find(y) == t.find(x)) for x in labels}  # noqa: E731, B023
+        assert group(tree) == group(other)
+
+
+def test_blocks_of_unlinked_sets_take_no_pairwise_walk():
+    import time
+
+    rng = np.random.default_rng(12)
+    common = rng.integers(0, 1 << 63, 300, np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(common)[:210], rng.integers(0, 1 << 63, 90, np.uint64)])) for _ in range(500)]
+    began = time.perf_counter()
+    assert jaccard.block_links(sets, [k.to_bytes(4, "big") for k in range(500)]) == []
+    by_counts, began = time.perf_counter() - began, time.perf_counter()
+    tree = jaccard.PrefixTree()
+    assert not any(tree.add(s.tolist(), k) for k, s in enumerate(sets))
+    assert by_counts < (time.perf_counter() - began) / 3
